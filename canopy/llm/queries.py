@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import quality
+from canopy.llm import quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,57 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(ledger, "full-1").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes("base-1")).alias("base_failed"), "kept"
     )
+
+
+#: Fixed values of the contract.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+@query(
+    "op9_url_filter",
+    r"""
+WITH u AS (SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+q AS (SELECT *, regexp_replace(host, ':\d*$', '') AS nm FROM p),
+x AS (SELECT page_id, host, path,
+        CASE WHEN regexp_matches(nm, '^[\d.]+$') THEN nm ELSE regexp_extract(nm, '((?:(?:ac|co|com|edu|gov|net|org)\.[a-z]{2}|[^.]*))$', 1) END AS suffix,
+        CASE WHEN regexp_matches(nm, '^[\d.]+$') OR regexp_extract(nm, '([^.]+\.(?:(?:ac|co|com|edu|gov|net|org)\.[a-z]{2}|[^.]*))$', 1) = '' THEN nm
+             ELSE regexp_extract(nm, '([^.]+\.(?:(?:ac|co|com|edu|gov|net|org)\.[a-z]{2}|[^.]*))$', 1) END AS domain FROM q),
+r(action, rule, rhost, prefix) AS (VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
+  ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')),
+b AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(action, length(rule)) AS action
+      FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, prefix) GROUP BY page_id),
+l AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+o AS (SELECT host, domain, suffix, l.bad FROM x JOIN l ON l.doc_id = TRY_CAST(nullif(regexp_extract(path, '/(\d{1,18})', 1), '') AS BIGINT)),
+h AS (SELECT host, domain, suffix, count(*) AS n, sum(bad) AS k FROM o GROUP BY ALL),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
+s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
+m AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 10) AS mu FROM s),
+v AS (SELECT 'h' AS lv, count(*) AS g, sum(n) AS n, sum(n * (k / n - mu) * (k / n - mu)) AS ss FROM h, m
+      UNION ALL SELECT 'd', count(*), sum(n), sum(n * (k / n - mu) * (k / n - mu)) FROM d, m
+      UNION ALL SELECT 's', count(*), sum(n), sum(n * (k / n - mu) * (k / n - mu)) FROM s, m),
+st AS (SELECT lv, CASE WHEN n IS NULL OR g < 2 OR ss / n - mu * (1 - mu) / (n / g) <= 0 THEN 1000.0
+         ELSE least(1000.0, greatest(1.0, (mu * (1 - mu) - ss / n) / (ss / n - mu * (1 - mu) / (n / g)))) END AS w FROM v, m),
+sp AS (SELECT suffix, (k + w * mu) AS a, n + w AS t FROM s, m, st WHERE lv = 's'),
+dp AS (SELECT d.domain, d.suffix, k + w * sp.a / sp.t AS a, n + w AS t FROM d JOIN sp USING (suffix), st WHERE lv = 'd'),
+hp AS (SELECT h.host, k + w * dp.a / dp.t AS a, n + w AS t FROM h JOIN dp USING (domain, suffix), st WHERE lv = 'h'),
+lo AS (SELECT 'h' AS lv, host AS nm, a / t - 1.645 * sqrt(a / t * (1 - a / t) / (t + 1)) AS low FROM hp
+       UNION ALL SELECT 'd', domain, a / t - 1.645 * sqrt(a / t * (1 - a / t) / (t + 1)) FROM dp
+       UNION ALL SELECT 's', suffix, a / t - 1.645 * sqrt(a / t * (1 - a / t) / (t + 1)) FROM sp)
+SELECT x.page_id, x.host, x.path, b.rule,
+  coalesce(b.action, CASE WHEN coalesce((SELECT max(low) FROM lo WHERE lv = 'h' AND nm = x.host), (SELECT max(low) FROM lo WHERE lv = 'd' AND nm = x.domain),
+    (SELECT max(low) FROM lo WHERE lv = 's' AND nm = x.suffix), 0.0) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM x LEFT JOIN b USING (page_id)
+""",
+)
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the document whose number its path holds: bad if toxic or of low quality."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = url_filter.split_url(F.col("url"))
+    number = F.regexp_extract(path, r"/(\d{1,18})", 1)
+    numbered = pages.select(host.alias("host"), number.alias("_number")).filter("_number <> ''").withColumn("doc_id", F.col("_number").cast("long"))
+    bad = F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(bad).alias("bad"))
+    outcomes = numbered.join(labels, "doc_id").select("host", "bad")
+    return url_filter.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
