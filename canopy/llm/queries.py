@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import quality, url_filter
+from canopy.llm import license_scan, quality, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,41 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(bad).alias("bad"))
     outcomes = numbered.join(labels, "doc_id").select("host", "bad")
     return url_filter.judge(pages, outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _license_sql() -> str:
+    """The same votes, diagonals and spans over (doc_id, word, template) rows."""
+    templates = (*license_scan.BASE, *license_scan.NOTICES)
+    k, slack, heads, grams = license_scan.K, license_scan.SLACK, [], []
+    for i, t in enumerate(templates):
+        w = t.words.split(" ")
+        n = len(w)
+        extra = n if t.coverage == 1 else n + max(slack, n // 4)
+        heads.append(f"({i}, '{t.label}', {t.base}, {n - k + 1}, {extra}, {t.coverage})")
+        grams += [f"({i}, {p}, '{' '.join(w[p : p + k])}')" for p in range(n - k + 1)]
+    return rf"""
+WITH tp(t_id, label, base, n_grams, max_words, coverage) AS (VALUES {", ".join(heads)}),
+tg(t_id, t_pos, g) AS (VALUES {", ".join(grams)}),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(0, len(ws) - {k - 1})) AS pos FROM d WHERE len(ws) >= {k}),
+v AS (SELECT doc_id, t_id, t_pos, pos, pos - t_pos AS dg FROM p JOIN tg ON tg.g = array_to_string(ws[pos + 1:pos + {k}], ' ')),
+dd AS (SELECT doc_id, t_id, dg, count(*) AS votes, list(t_pos) AS ps, min(pos) AS lo, max(pos) AS hi FROM v GROUP BY ALL),
+nw AS (SELECT *, CASE WHEN dg - lag(dg) OVER (PARTITION BY doc_id, t_id ORDER BY dg) <= {slack} THEN 0 ELSE 1 END AS nw FROM dd),
+sp AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id, t_id ORDER BY dg) AS sp FROM nw),
+mg AS (SELECT doc_id, t_id, label, base, n_grams, max_words, coverage, max(hi) - min(lo) + {k} AS nwords, len(list_distinct(flatten(list(ps)))) AS got,
+         count(*) FILTER (votes = n_grams) AS n_exact, min(dg) FILTER (votes = n_grams) AS f, max(dg) FILTER (votes = n_grams) AS l
+       FROM sp JOIN tp USING (t_id) GROUP BY doc_id, t_id, sp.sp, label, base, n_grams, max_words, coverage),
+ok AS (SELECT *, CASE WHEN base THEN n_exact > 0 ELSE (nwords <= max_words AND got / n_grams >= coverage) OR n_exact > 0 END AS ok, got / n_grams AS share FROM mg),
+ag AS (SELECT doc_id, sum(n_exact) FILTER (base AND ok) AS n_base, min(f) FILTER (base AND ok) AS first_word, max(l) FILTER (base AND ok) AS last_word,
+         array_to_string(list_sort(list_distinct(list(label) FILTER (base AND ok))), ',') AS base_labels,
+         array_to_string(list_sort(list_distinct(list(label) FILTER (ok))), ',') AS labels, max(share) FILTER (ok) AS score FROM ok GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN ag USING (doc_id)
+"""
+
+
+@query("op5_license_scan", _license_sql())
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))

@@ -7,10 +7,12 @@ Tables stay until ``clear`` is called or the caller removes the folder: a return
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
 
@@ -55,3 +57,10 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
     finally:
         out.close()
     return path
+
+
+def values(spark: SparkSession, rows: list, fields: str) -> DataFrame:
+    """A small table of literals, folded into the plan; fields: a struct's fields as DDL, in the order of the rows."""
+    names = [f.name for f in spark.range(0).select(F.from_json(F.lit("{}"), fields)).schema[0].dataType]
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.scratch import saved
+from canopy.llm.scratch import saved, values
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
@@ -61,7 +61,7 @@ def best_rule(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     found = []
     labels = F.split("host", r"\.")
     for n, own in sorted(by_labels.items()):
-        side = pages.sparkSession.createDataFrame(own, "_rule_host string, prefix string, rule string, action string")
+        side = values(pages.sparkSession, own, "_rule_host string, prefix string, rule string, action string")
         side = side.groupBy("_rule_host").agg(F.collect_list(F.struct("prefix", "rule", "action")).alias(f"_rules{n}"))
         side = F.broadcast(side) if len(own) <= BROADCAST_RULES else side
         tail = F.when(F.size(labels) >= n, F.array_join(F.slice(labels, F.size(labels) - F.lit(n - 1), F.lit(n)), "."))
