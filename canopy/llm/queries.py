@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import license_scan, quality, simhash, url_filter
+from canopy.llm import bitplane, license_scan, quality, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Where the tokenizer files lie; a parameter of every operator that takes their content.
+TOKENIZERS = os.environ.get("CANOPY_TOKENIZERS", "")
+
+
+def tokenizer_file(name: str) -> str:
+    """The content of a public tokenizer's file, read by the driver."""
+    path = f"{TOKENIZERS}/{name}" if TOKENIZERS else public_tokenizers.path(name)
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -150,3 +163,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_simhash")
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op4_token_binary")
+def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplane.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
