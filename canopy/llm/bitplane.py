@@ -23,7 +23,6 @@ doc_id comes first; an empty table writes no chunk; other columns are not read.
 
 from __future__ import annotations
 
-import gc
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from canopy.llm.scratch import new_path
-from canopy.llm.token_stream import ByteLevelIds, runs
+from canopy.llm.token_stream import ByteLevelIds, of_worker, runs
 
 MAGIC = b"BPL1"
 BLOCK_IDS = 1 << 14
@@ -110,8 +109,7 @@ def write(docs: DataFrame, source: str, path: str, end: int = END, partitions: i
     shared = spark.sparkContext.broadcast(source)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        ids = ByteLevelIds(shared.value)
+        ids = of_worker(ByteLevelIds, shared.value)
         names, held, total, n, first = [], [], 0, 0, 0
 
         def chunk() -> pa.RecordBatch:

@@ -21,7 +21,6 @@ no pieces; columns besides id and text are not read. sequence_id is the task's p
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections import deque
 from collections.abc import Iterator, Sequence
@@ -32,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.token_stream import SpacelessIds, runs
+from canopy.llm.token_stream import SpacelessIds, of_worker, runs
 
 SEQUENCE = 4096
 SENTENCE_PENALTY = 8
@@ -164,6 +163,9 @@ class SentenceIds(SpacelessIds):
         super()._forget()
         self.stops = np.zeros(0, bool)
 
+    def _kept(self, kept: np.ndarray) -> None:
+        self.stops = self.stops[kept]
+
     def _learn(self, keys: list) -> None:
         super()._learn(keys)
         self.stops = np.r_[self.stops, np.fromiter((k.rstrip(b"\"')]").endswith(_STOPS) for k in keys), bool, len(keys))]
@@ -182,8 +184,7 @@ def pack(docs: DataFrame, source: str, sequence: int = SEQUENCE, end: int = END)
     shared = docs.sparkSession.sparkContext.broadcast(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
-        ids = SentenceIds(shared.value)
+        ids = of_worker(SentenceIds, shared.value)
         packer = Packer(TaskContext.get().partitionId() << 40, sequence)
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:

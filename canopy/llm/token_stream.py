@@ -4,18 +4,21 @@ A text is cut at places that no token and no pattern of the tokenizer crosses. A
 library's model encodes each distinct pre-token; the ids of a text are those of its pieces one after the other. That
 gives the library's ids for the whole text and spares it the repetition. Only pieces of characters whose classes no
 version of Unicode changed are split here; the library encodes other pieces, and whole texts in which a place for cutting
-could be unsafe. Pieces seen are remembered up to a fixed number, then forgotten.
+could be unsafe. Pieces are remembered up to a fixed number, for as long as the worker process lives; beyond it, those seen
+least are forgotten.
 """
 
 from __future__ import annotations
 
+import gc
+import hashlib
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-MEMORY = 600_000
+MEMORY = 700_000
 RUN_BYTES = 1 << 21
 #: ASCII that is printed, line breaks, and Latin letters.
 PLAIN = regex.compile("[\\t\\n\\r\\x20-\\x7e\u00c0-\u017f]*")
@@ -49,11 +52,27 @@ class Ids:
     def _forget(self) -> None:
         self.code: dict = {}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.seen = np.zeros(0, np.int64)
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.bad = np.zeros(0, bool)
         self.flat = np.zeros(0, np.int32)
 
+    def _shrink(self) -> None:
+        """Keeps the quarter of the memory that was seen most."""
+        kept = np.sort(np.argsort(-self.seen, kind="stable")[: self.memory // 4])
+        keys = list(self.code)
+        parts = [self.flat[a : a + n] for a, n in zip(self.start[kept], self.size[kept])]
+        self.code = {keys[i]: j for j, i in enumerate(kept.tolist())}
+        self.size, self.bad, self.seen = self.size[kept], self.bad[kept], self.seen[kept] // 2
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.words = {}
+        self._kept(kept)
+
+    def _kept(self, kept: np.ndarray) -> None:
+        """Called with the places of the pieces that are kept."""
+
     def cut(self, text: str) -> list:
         """The keys of a text's pieces."""
         raise NotImplementedError
@@ -75,36 +94,43 @@ class Ids:
         return tuple([t.id for t in self.tokenize(spelt)])
 
     def _learn(self, keys: list) -> None:
-        flat, ends, words = [], [], self.words
+        flat, ends, words, split = [], [], self.words, self.split
         pieces = list(map(self.piece, keys))
         bad = [p is None for p in pieces]
         all_plain = PLAIN.fullmatch("".join([p for p in pieces if p is not None]))
-        for piece in pieces:
-            if piece is None:
-                pass
-            elif all_plain or PLAIN.fullmatch(piece):
-                for w in self.split(piece):
-                    ids = words.get(w)
-                    if ids is None:
-                        ids = words[w] = self.word(w)
-                    flat += ids
-            else:
-                flat += self.tok.encode(piece, add_special_tokens=False).ids
+        parts = [split(p) if p is not None and (all_plain or PLAIN.fullmatch(p)) else None for p in pieces]
+        self.learn_words({w for x in parts if x for w in x if w not in words})
+        for piece, own in zip(pieces, parts):
+            if own is not None:
+                for w in own:
+                    flat += words[w]
+            elif piece is not None:
+                flat += self.other(piece)
             ends.append(len(flat))
         sizes = np.diff(ends, prepend=0)
         size = np.array(sizes, np.int64)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.bad = np.concatenate([self.bad, np.array(bad, bool)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(size), np.int64)])
         self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
 
+    def learn_words(self, new: set[str]) -> None:
+        """Puts the ids of new pre-tokens into words."""
+        for w in new:
+            self.words[w] = self.word(w)
+
+    def other(self, text: str) -> Sequence[int]:
+        """The ids of a text or piece that is not split here."""
+        return self.tok.encode(text, add_special_tokens=False).ids
+
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.int32)
+        return np.array(self.other(text), np.int32)
 
     def codes(self, texts: Sequence[str]) -> list[np.ndarray | None]:
         """The numbers of each text's pieces; None for a text that must go to the library whole."""
         if len(self.code) > self.memory:
-            self._forget()
+            self._shrink()
         code, lists, new = self.code, [], []
         for t in texts:
             if any(s in t for s in self.special):
@@ -123,6 +149,9 @@ class Ids:
             lists.append(np.array(found, np.int64))
         if new:
             self._learn(new)
+        used = [at for at in lists if at is not None]
+        if used:
+            self.seen += np.bincount(np.concatenate(used), minlength=len(self.seen))
         return [None if at is None or self.bad[at].any() else at for at in lists]
 
     def of(self, at: np.ndarray) -> np.ndarray:
@@ -156,6 +185,19 @@ def runs(texts: Iterable[str | None], size: int = RUN_BYTES) -> Iterator[list[st
         yield held
 
 
+_OF_WORKER: dict[tuple[type, str], Ids] = {}
+
+
+def of_worker(kind: type[Ids], source: str) -> Ids:
+    """The worker process's own encoder for a file; tasks that follow each other in one process share its memory."""
+    key = (kind, hashlib.md5(source.encode()).hexdigest())
+    if key not in _OF_WORKER:
+        gc.disable()  # millions of small objects without cycles
+        _OF_WORKER.clear()
+        _OF_WORKER[key] = kind(source)
+    return _OF_WORKER[key]
+
+
 class ByteLevelIds(Ids):
     """For byte-level files whose pre-tokenizer joins a space to the word after it: a text is cut before its spaces.
 
