@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import ball_tree, bitplane, bpe, license_scan, packing, quality, simhash, suffix_dedup, url_filter
+from canopy.llm import ball_tree, bitplane, bpe, license_scan, packing, quality, sentence_spans, simhash, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -198,3 +198,24 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op3_sentence_spans",
+    r"""
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)),
+        lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
+p AS (SELECT doc_id, s, unnest(range(0, len(s) - 1)) AS pos FROM s WHERE len(s) >= 2),
+r AS (SELECT doc_id, pos, s[pos + 1] AS a, s[pos + 2] AS b FROM p
+      WHERE len(regexp_split_to_array(s[pos + 1], '[\x20\x09-\x0D]+')) + len(regexp_split_to_array(s[pos + 2], '[\x20\x09-\x0D]+')) >= 10),
+n AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, pos) AS k FROM r),
+m AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM n WHERE k > 1),
+g AS (SELECT doc_id, list(pos) AS gone FROM m GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_sentences, coalesce(len(gone), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_transform(list_filter(range(0, len(s)), lambda i: NOT coalesce(list_contains(gone, i), false)), lambda i: s[i + 1]), chr(10))) AS kept_sha256
+FROM s LEFT JOIN g USING (doc_id)
+""",
+)
+def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentence_spans.remove_repeated_sentences(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
