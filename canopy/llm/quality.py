@@ -70,7 +70,10 @@ def _repeat_words(hashes: Column, ordered: Column) -> Column:
 
 
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep and the MEASURES (long) of every row."""
+    """keep, the MEASURES (long) and _at of every row.
+
+    _at numbers the rows. A filter that looks at it stays above the measurements, which otherwise it would hold many times over.
+    """
     kept = [c for c in keep if c not in MEASURES]
     t = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(*kept, t.alias("_t"), words_of(t).alias("_w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("_l"))
@@ -95,6 +98,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     n = F.size("_w").cast("long")
     return paired.select(
         *kept,
+        F.monotonically_increasing_id().alias("_at"),
         n.alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.size("_l").cast("long").alias("n_lines"),
@@ -110,7 +114,7 @@ def evaluate(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     for rule in rules:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
     keep = tuple(c for c in keep if c != "fail_bits")
-    return measure(docs, text, keep).withColumn("fail_bits", bits)
+    return measure(docs, text, keep).withColumn("fail_bits", F.when(F.col("_at") >= 0, bits)).drop("_at")
 
 
 def passes(policy: str) -> Column:
