@@ -39,7 +39,6 @@ def marked(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataF
     spans = at.filter(parts[-1].isNotNull()).filter(words >= min_words).select(
         "row", "doc_id", "pos", F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts[::-1]).alias("h2")
     )
-    spans = saved(spans, "spans")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "pos")
     firsts = spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(order).alias("first")).filter("times > 1")
     firsts = saved(firsts.select("h1", "h2", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos")), "firsts")
