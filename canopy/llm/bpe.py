@@ -33,6 +33,8 @@ from canopy.llm.token_stream import PLAIN, ByteLevelIds, of_worker, runs
 
 LEXICON_WORDS = 1 << 17
 COUNTED = 1 << 20
+#: A space that its piece does not start a word with: texts with one are split by the library.
+UNSAFE = re.compile(r" (?:\s|\Z)")
 
 
 class Merges:
@@ -136,7 +138,7 @@ def _counting(source: str):
             for texts in runs(t.as_py() for t in batch.column(0)):
                 for t in texts:
                     keys = ids.cut(t)
-                    if any(s in t for s in ids.special) or not PLAIN.fullmatch(t) or any(ids.piece(k) is None for k in keys):
+                    if any(s in t for s in ids.special) or UNSAFE.search(t) or not PLAIN.fullmatch(t):
                         words.update(w.decode("utf-8", "surrogateescape") for w in ids.pre_tokens(t) if not isinstance(w, int))
                     else:
                         pieces.update(keys)
