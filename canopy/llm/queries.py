@@ -99,8 +99,10 @@ v AS (SELECT 'h' AS lv, count(*) AS g, sum(n) AS n, sum(n * (k / n - mu) * (k /
 st AS (SELECT lv, CASE WHEN n IS NULL OR g < 2 OR ss / n - mu * (1 - mu) / (n / g) <= 0 THEN 1000.0
          ELSE least(1000.0, greatest(1.0, (mu * (1 - mu) - ss / n) / (ss / n - mu * (1 - mu) / (n / g)))) END AS w FROM v, m),
 sp AS (SELECT suffix, (k + w * mu) AS a, n + w AS t FROM s, m, st WHERE lv = 's'),
-dp AS (SELECT d.domain, d.suffix, k + w * sp.a / sp.t AS a, n + w AS t FROM d JOIN sp USING (suffix), st WHERE lv = 'd'),
-hp AS (SELECT h.host, k + w * dp.a / dp.t AS a, n + w AS t FROM h JOIN dp USING (domain, suffix), st WHERE lv = 'h'),
+w AS (SELECT max(w) FILTER (lv = 's') AS ws, max(w) FILTER (lv = 'd') AS wd, max(w) FILTER (lv = 'h') AS wh FROM st),
+dr AS (SELECT d.domain, d.suffix, d.n, d.k, (s.k - d.k + ws * mu) / (s.n - d.n + ws) AS pr FROM d JOIN s USING (suffix), m, w),
+dp AS (SELECT domain, suffix, k + wd * pr AS a, n + wd AS t FROM dr, w),
+hp AS (SELECT h.host, h.k + wh * (dr.k - h.k + wd * pr) / (dr.n - h.n + wd) AS a, h.n + wh AS t FROM h JOIN dr USING (domain, suffix), w),
 lo AS (SELECT 'h' AS lv, host AS nm, a / t - 1.645 * sqrt(a / t * (1 - a / t) / (t + 1)) AS low FROM hp
        UNION ALL SELECT 'd', domain, a / t - 1.645 * sqrt(a / t * (1 - a / t) / (t + 1)) FROM dp
        UNION ALL SELECT 's', suffix, a / t - 1.645 * sqrt(a / t * (1 - a / t) / (t + 1)) FROM sp)

@@ -3,7 +3,8 @@
 Rules name a host and a path prefix and fit that host with all its subdomains; the longest that fits decides. Pages that
 no rule decides are judged by their host's reputation: labelled outcomes (bad or not) are counted per host and shrunk
 through beta-binomial priors from the whole table to the public suffix, from the suffix to the registered domain and from
-the domain to the host. The strength of each prior comes from the counts themselves (method of moments). A page is
+the domain to the host; what a group has is its prior for a member without that member's own outcomes, so that each
+outcome counts once. The strength of each prior comes from the counts themselves (method of moments). A page is
 blocked where the lower posterior bound of its host's bad rate exceeds ``max_bad``.
 
 Only DataFrame functions. Counts are combined before they are shuffled (host, then domain, then suffix from the host
@@ -109,14 +110,20 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     mean = (k + 1) / (n + 10)
     m_suffix, m_domain, m_host = (_strength(x, mean) for x in (by_suffix, by_domain, hosts))
 
-    def shrunk(df: DataFrame, prior: Column, m: float) -> DataFrame:
-        a = F.col("k") + F.lit(m) * prior
-        return df.withColumns({"a": a, "b": F.col("n") + F.lit(m) - a})
+    def posterior(k: Column, n: Column, m: float, prior: Column) -> dict[str, Column]:
+        a = k + F.lit(m) * prior
+        return {"a": a, "b": n + F.lit(m) - a}
 
-    rate = F.col("a") / (F.col("a") + F.col("b"))
-    s = shrunk(by_suffix, F.lit(mean), m_suffix)
-    d = shrunk(by_domain.join(s.select("suffix", rate.alias("prior")), "suffix"), F.col("prior"), m_domain).drop("prior")
-    h = shrunk(hosts.join(d.select("domain", "suffix", rate.alias("prior")), ["domain", "suffix"]), F.col("prior"), m_host)
+    def rest(part: str, whole: str, m: float, prior: Column) -> Column:
+        """The rate of what a group has besides one of its members, shrunk to prior."""
+        return (F.col(f"k{whole}") - F.col(f"k{part}") + F.lit(m) * prior) / (F.col(f"n{whole}") - F.col(f"n{part}") + F.lit(m))
+
+    sums = lambda df, x: df.withColumnsRenamed({"n": f"n{x}", "k": f"k{x}"})
+    s = sums(by_suffix, "s").withColumns(posterior(F.col("ks"), F.col("ns"), m_suffix, F.lit(mean)))
+    d = sums(by_domain, "d").join(sums(by_suffix, "s"), "suffix").withColumn("prior", rest("d", "s", m_suffix, F.lit(mean)))
+    d = d.withColumns(posterior(F.col("kd"), F.col("nd"), m_domain, F.col("prior")))
+    h = sums(hosts, "h").join(d.drop("a", "b"), ["domain", "suffix"]).withColumn("prior", rest("h", "d", m_domain, F.col("prior")))
+    h = h.withColumns(posterior(F.col("kh"), F.col("nh"), m_host, F.col("prior")))
     rows = [x.select(F.lit(level).alias("level"), F.col(level).alias("name"), "a", "b") for level, x in (("host", h), ("domain", d), ("suffix", s))]
     everything = outcomes.sparkSession.range(1).select(F.lit("all").alias("level"), F.lit("").alias("name"), F.lit(mean * 10).alias("a"), F.lit((1 - mean) * 10).alias("b"))
     return saved(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(everything), "reputation")
