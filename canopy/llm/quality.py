@@ -145,9 +145,5 @@ def ablations(ledger: DataFrame, policy: str, rules: tuple[Rule, ...] = RULES) -
 
 def filter_documents(docs: DataFrame, policy: str = "full-1") -> DataFrame:
     """The documents that pass the policy, with the columns that they came with."""
-    names = docs.columns
-    clash = [c for c in names if c in MEASURES or c == "fail_bits"]
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_text")) if clash else docs
-    if clash:
-        return evaluate(row, "_text", ("_row",)).filter(passes(policy)).select("_row.*")
-    return evaluate(docs, "text", tuple(names)).filter(passes(policy)).select(*names)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
+    return evaluate(row, "_text", ("_row",)).filter(passes(policy)).select("_row.*")

@@ -78,12 +78,12 @@ class RunIndex:
         sa = suffix_array(symbols)
         bwt = symbols[sa - 1]
         self.run_first = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]]) if n else np.zeros(0, np.int64)
-        last = np.r_[self.run_first[1:], n] - 1
+        last = np.r_[self.run_first[1:], n][: len(self.run_first)] - 1
         self.run_symbol = bwt[self.run_first]
         self.run_head, self.run_tail = sa[self.run_first], sa[last]
         # the neighbours outside the run, -1 at the ends of the order
         self.before_head = np.where(self.run_first > 0, sa[self.run_first - 1], -1)
-        self.after_tail = np.where(last + 1 < n, sa[np.minimum(last + 1, n - 1)], -1)
+        self.after_tail = np.where(last + 1 < n, sa[np.minimum(last + 1, max(n - 1, 0))], -1)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Bytes that the suffixes at a and at b have in common; 0 where b is -1."""

@@ -270,4 +270,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     starts = repeated_starts(docs)
     rows = _identified(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "text"), "_row").join(starts, ["_id", "_hash"], "left")
-    return rows.select("_row.*", F.col("starts").alias("_starts")).mapInArrow(run, schema)
+    return rows.select("_row.*", F.col("starts").alias("_repeated_starts")).mapInArrow(run, schema)
