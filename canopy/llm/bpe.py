@@ -96,8 +96,8 @@ class BpeIds(ByteLevelIds):
         found = self.lexicon.find(words).tolist() if self.lexicon and words else [-1] * len(words)
         return [self.lexicon.ids_of(n) if n >= 0 else self.merges.merge(w) for n, w in zip(found, words)]
 
-    def learn_words(self, new: set[str]) -> None:
-        words = list(new)
+    def prepare(self, parts: list) -> None:
+        words = list({w for own in parts if own is not None and not isinstance(own, str) for w in own if w not in self.words})
         self.words.update(zip(words, self.bytes_ids([w.encode() for w in words])))
 
     def pre_tokens(self, text: str) -> list[bytes | int]:
@@ -123,9 +123,8 @@ def _counting(source: str):
         words: Counter = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for key, n in pieces.items():
-                piece = ids.piece(key)
-                for w in ids.split(piece):
+            for own, n in zip(ids.parts(list(pieces)), pieces.values()):
+                for w in own:
                     words[w] += n
             pieces.clear()
             names = list(words)
@@ -136,12 +135,14 @@ def _counting(source: str):
 
         for batch in batches:
             for texts in runs(t.as_py() for t in batch.column(0)):
+                plain = []
                 for t in texts:
-                    keys = ids.cut(t)
                     if any(s in t for s in ids.special) or UNSAFE.search(t) or not PLAIN.fullmatch(t):
                         words.update(w.decode("utf-8", "surrogateescape") for w in ids.pre_tokens(t) if not isinstance(w, int))
                     else:
-                        pieces.update(keys)
+                        plain.append(t)
+                keys, at, _ = ids.cut_all(plain)
+                pieces.update({k: n for k, n in zip(keys.to_pylist(), np.bincount(at, minlength=len(keys)).tolist()) if n})
                 if len(pieces) + len(words) > COUNTED:
                     yield from flush()
         yield from flush()

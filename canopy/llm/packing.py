@@ -39,7 +39,7 @@ STRETCH_PENALTY = 32
 STRETCH = 256
 SEGMENT_IDS = 1 << 20
 END = 2
-_STOPS = (b".", b"!", b"?")
+_STOPS = (".", "!", "?")
 
 
 def padding(length: int, sequence: int = SEQUENCE) -> int:
@@ -168,7 +168,7 @@ class SentenceIds(SpacelessIds):
 
     def _learn(self, keys: list) -> None:
         super()._learn(keys)
-        self.stops = np.r_[self.stops, np.fromiter((k.rstrip(b"\"')]").endswith(_STOPS) for k in keys), bool, len(keys))]
+        self.stops = np.r_[self.stops, np.fromiter((k.rstrip("\"')]").endswith(_STOPS) for k in keys), bool, len(keys))]
 
     def documents(self, texts: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """ids and the places after which a sentence ends; a text that the library takes whole has no such places."""

@@ -15,15 +15,22 @@ import hashlib
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-MEMORY = 700_000
-RUN_BYTES = 1 << 21
+MEMORY = 600_000
+WORDS = 200_000
+RUN_BYTES = 1 << 23
 #: ASCII that is printed, line breaks, and Latin letters.
 PLAIN = regex.compile("[\\t\\n\\r\\x20-\\x7e\u00c0-\u017f]*")
 
 
+#: Marks that often follow a word; most pieces are a word, or a word and one of them, and need no pattern.
+_STOPS = frozenset(",.;:!?")
+
+
 def load(source: str) -> Tokenizer:
     """A tokenizer from the text of its file, without truncation or padding."""
     tok = Tokenizer.from_str(source)
@@ -50,7 +57,7 @@ class Ids:
         self._forget()
 
     def _forget(self) -> None:
-        self.code: dict = {}
+        self.keys = pa.array([], pa.string())
         self.words: dict[str, tuple[int, ...]] = {}
         self.seen = np.zeros(0, np.int64)
         self.start = np.zeros(0, np.int64)
@@ -61,30 +68,39 @@ class Ids:
     def _shrink(self) -> None:
         """Keeps the quarter of the memory that was seen most."""
         kept = np.sort(np.argsort(-self.seen, kind="stable")[: self.memory // 4])
-        keys = list(self.code)
-        parts = [self.flat[a : a + n] for a, n in zip(self.start[kept], self.size[kept])]
-        self.code = {keys[i]: j for j, i in enumerate(kept.tolist())}
+        flat = self.of(kept)
+        self.keys = self.keys.take(pa.array(kept))
         self.size, self.bad, self.seen = self.size[kept], self.bad[kept], self.seen[kept] // 2
-        self.start = np.cumsum(self.size) - self.size
-        self.flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        self.words = {}
+        self.start, self.flat = np.cumsum(self.size) - self.size, flat
         self._kept(kept)
 
     def _kept(self, kept: np.ndarray) -> None:
         """Called with the places of the pieces that are kept."""
 
-    def cut(self, text: str) -> list:
-        """The keys of a text's pieces."""
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        """The keys of the pieces of each text."""
         raise NotImplementedError
 
+    def first(self, key: str) -> str | None:
+        """The key of a text's first piece, if it differs from that of other pieces; no other piece has it."""
+        return None
+
     def piece(self, key) -> str | None:
         """The piece that a key stands for; None where a text that holds it must go to the library whole."""
         raise NotImplementedError
 
-    def split(self, piece: str) -> list[str]:
+    def split(self, piece: str) -> Sequence[str]:
         """The pre-tokens of a plain piece."""
         raise NotImplementedError
 
+    def parts(self, keys: list) -> list[Sequence[str] | str | None]:
+        """Each piece's pre-tokens; the piece itself if it is not plain; None where the key has no piece."""
+        piece, split, full = self.piece, self.split, PLAIN.fullmatch
+        return [p if p is None else split(p) if full(p) else p for p in map(piece, keys)]
+
+    def prepare(self, parts: list[Sequence[str] | str | None]) -> None:
+        """Called before the ids of parts are looked up in words."""
+
     def word(self, word: str) -> tuple[int, ...]:
         """The ids of one pre-token."""
         if word.isascii() and word.isprintable():
@@ -94,19 +110,25 @@ class Ids:
         return tuple([t.id for t in self.tokenize(spelt)])
 
     def _learn(self, keys: list) -> None:
-        flat, ends, words, split = [], [], self.words, self.split
-        pieces = list(map(self.piece, keys))
-        bad = [p is None for p in pieces]
-        all_plain = PLAIN.fullmatch("".join([p for p in pieces if p is not None]))
-        parts = [split(p) if p is not None and (all_plain or PLAIN.fullmatch(p)) else None for p in pieces]
-        self.learn_words({w for x in parts if x for w in x if w not in words})
-        for piece, own in zip(pieces, parts):
-            if own is not None:
+        if len(self.words) > WORDS:
+            self.words.clear()
+        parts = self.parts(keys)
+        self.prepare(parts)
+        flat, ends, words, word = [], [], self.words, self.word
+        get = words.get
+        for own in parts:
+            if own is None:
+                pass
+            elif isinstance(own, str):
+                flat += self.other(own)
+            else:
                 for w in own:
-                    flat += words[w]
-            elif piece is not None:
-                flat += self.other(piece)
+                    ids = get(w)
+                    if ids is None:
+                        ids = words[w] = word(w)
+                    flat += ids
             ends.append(len(flat))
+        bad = [own is None for own in parts]
         sizes = np.diff(ends, prepend=0)
         size = np.array(sizes, np.int64)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
@@ -115,11 +137,6 @@ class Ids:
         self.seen = np.concatenate([self.seen, np.zeros(len(size), np.int64)])
         self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
 
-    def learn_words(self, new: set[str]) -> None:
-        """Puts the ids of new pre-tokens into words."""
-        for w in new:
-            self.words[w] = self.word(w)
-
     def other(self, text: str) -> Sequence[int]:
         """The ids of a text or piece that is not split here."""
         return self.tok.encode(text, add_special_tokens=False).ids
@@ -129,30 +146,49 @@ class Ids:
 
     def codes(self, texts: Sequence[str]) -> list[np.ndarray | None]:
         """The numbers of each text's pieces; None for a text that must go to the library whole."""
-        if len(self.code) > self.memory:
+        if len(self.keys) > self.memory:
             self._shrink()
-        code, lists, new = self.code, [], []
-        for t in texts:
-            if any(s in t for s in self.special):
-                lists.append(None)
-                continue
-            keys = self.cut(t)
-            found = list(map(code.get, keys))
-            at = -1
-            for _ in range(found.count(None)):
-                at = found.index(None, at + 1)
-                key = keys[at]
-                if key not in code:
-                    code[key] = len(code)
-                    new.append(key)
-                found[at] = code[key]
-            lists.append(np.array(found, np.int64))
-        if new:
-            self._learn(new)
-        used = [at for at in lists if at is not None]
-        if used:
-            self.seen += np.bincount(np.concatenate(used), minlength=len(self.seen))
-        return [None if at is None or self.bad[at].any() else at for at in lists]
+        live = [i for i, t in enumerate(texts) if not any(s in t for s in self.special)]
+        keys, at, ends = self.cut_all([texts[i] for i in live])
+        numbers = self.numbers(keys)
+        at = numbers[at]
+        self.seen += np.bincount(at, minlength=len(self.seen))
+        bad = self.bad[at]
+        bad = bad if bad.any() else None
+        out: list[np.ndarray | None] = [None] * len(texts)
+        start = 0
+        for i, end in zip(live, ends.tolist()):
+            if bad is None or not bad[start:end].any():
+                out[i] = at[start:end]
+            start = end
+        return out
+
+    def cut_all(self, texts: Sequence[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The distinct keys of the pieces of texts, the key of each piece as a place among them, and where each text's pieces end."""
+        lists = self.cut(pa.array(texts, pa.string()))
+        encoded = lists.flatten().dictionary_encode()
+        keys, at = encoded.dictionary, encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = lists.offsets.to_numpy().astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+        heads = offsets[:-1][np.diff(offsets) > 0]
+        more: dict[str, int] = {}
+        for head, key in zip(heads.tolist(), keys.take(pa.array(at[heads])).to_pylist()):
+            own = self.first(key)
+            if own is None:
+                break
+            at[head] = more.setdefault(own, len(keys) + len(more))
+        return pa.concat_arrays([keys, pa.array(list(more), pa.string())]), at, offsets[1:]
+
+    def numbers(self, keys: pa.Array) -> np.ndarray:
+        """The number of each of some distinct keys; new ones are learnt."""
+        found = pc.index_in(keys, value_set=self.keys)
+        out = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        unknown = np.flatnonzero(out < 0)
+        if len(unknown):
+            new = keys.take(pa.array(unknown))
+            out[unknown] = len(self.keys) + np.arange(len(unknown))
+            self.keys = pa.concat_arrays([self.keys, new])
+            self._learn(new.to_pylist())
+        return out
 
     def of(self, at: np.ndarray) -> np.ndarray:
         """The ids of the pieces at, one after the other."""
@@ -208,10 +244,11 @@ class ByteLevelIds(Ids):
     #: The pattern of the files' pre-tokenizer, a fixed value.
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-    def cut(self, text: str) -> list[str]:
-        keys = text.split(" ")
-        keys[0] = " " + keys[0]
-        return keys
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        return pc.split_pattern(texts, " ")
+
+    def first(self, key: str) -> str:
+        return " " + key
 
     def piece(self, key: str) -> str | None:
         if key[:1] == " ":
@@ -221,6 +258,19 @@ class ByteLevelIds(Ids):
     def split(self, piece: str) -> list[str]:
         return self.PATTERN.findall(piece)
 
+    def parts(self, keys: list[str]) -> list[Sequence[str] | str | None]:
+        if not PLAIN.fullmatch("".join(keys)):
+            return super().parts(keys)
+        piece, find, stops = self.piece, self.PATTERN.findall, _STOPS
+        # most pieces are a word, or a word and a mark
+        return [
+            (" " + k,) if k.isalpha()
+            else (" " + k[:-1], k[-1]) if k[-1:] in stops and k[:-1].isalpha()
+            else p if (p := piece(k)) is None
+            else find(p)
+            for k in keys
+        ]
+
 
 class SpacelessIds(Ids):
     """For files whose normalizer lower-cases and whose pre-tokenizer drops white space: a text is cut at ASCII white space."""
@@ -228,11 +278,23 @@ class SpacelessIds(Ids):
     #: The pattern of the files' pre-tokenizer, a fixed value.
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
-    def cut(self, text: str) -> list[bytes]:
-        return text.encode("utf-8", "surrogatepass").split()
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        return pc.ascii_split_whitespace(texts)
 
-    def piece(self, key: bytes) -> str | None:
-        return key.decode("utf-8", "surrogatepass")
+    def piece(self, key: str) -> str | None:
+        return key
 
     def split(self, piece: str) -> list[str]:
         return self.PATTERN.findall(piece.lower())
+
+    def parts(self, keys: list[str]) -> list[Sequence[str] | str | None]:
+        pieces = " ".join(keys)
+        if not PLAIN.fullmatch(pieces):
+            return super().parts(keys)
+        find, stops = self.PATTERN.findall, _STOPS
+        return [
+            (k,) if k.isalpha()
+            else (k[:-1], k[-1]) if k[-1:] in stops and k[:-1].isalpha()
+            else find(k)
+            for k in pieces.lower().split(" ")
+        ]
