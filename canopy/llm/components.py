@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.llm.scratch import saved
+from canopy.llm.scratch import Steps, saved
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,23 +19,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated edges do no harm; an empty table gives an empty result. Nulls are left out.
     """
-    edges = saved(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    steps = Steps(edges.sparkSession)
+    edges = steps.saved(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
     maps = []
     while not edges.isEmpty():
         both = edges.union(edges.select("v", "u")).toDF("node", "other")
         order = F.struct(F.xxhash64("other", F.lit(len(maps))).alias("h"), F.col("other").alias("id"))
         own = F.struct(F.xxhash64("node", F.lit(len(maps))).alias("h"), F.col("node").alias("id"))
         first = both.groupBy("node").agg(F.min(order).alias("best"))
-        step = saved(first.select("node", F.least("best", own)["id"].alias("root")), "map")
+        step = steps.saved(first.select("node", F.least("best", own)["id"].alias("root")), "map")
         maps.append(step)
         left = edges.join(step.toDF("u", "ru"), "u").select("ru", "v")
         moved = left.join(step.toDF("v", "rv"), "v").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v"))
-        edges = saved(moved.filter("u <> v").distinct(), "edges")
-    if not maps:
-        return edges.toDF("node", "root")
-    out = maps.pop()
+        edges = steps.saved(moved.filter("u <> v").distinct(), "edges")
+    out = maps.pop() if maps else edges.toDF("node", "root")
     while maps:
         last = out.toDF("root", "_to")
         out = maps.pop().join(last, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
-        out = saved(out, "labels") if maps else out
+        out = steps.saved(out, "labels") if maps else out
+    out = saved(out, "components")
+    steps.clear()
     return out

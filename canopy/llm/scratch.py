@@ -2,7 +2,7 @@
 
 Iterative operators write each round as Parquet and read it again, so that a lost executor costs only the tasks it ran.
 The folder is the session's ``spark.checkpoint.dir``; only where that is unset (a local session, as in tests) is one set here.
-Tables stay until ``clear`` is called or the caller removes the folder: a returned DataFrame may still read them.
+Tables that a returned DataFrame reads stay until the caller removes the folder; ``Steps`` removes those that nothing reads any more.
 """
 
 from __future__ import annotations
@@ -46,6 +46,24 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class Steps:
+    """Tables of one operator; clear removes them once the last result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths.append(path.rpartition("/")[0])
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+        self.paths = []
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> str:
     """Writes one small driver-made file into the shared folder."""
     jvm = spark._jvm

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.run_index import RunIndex
-from canopy.llm.scratch import saved
+from canopy.llm.scratch import Steps, saved
 
 LEAST = 400
 ANCHOR = 200
@@ -174,15 +174,17 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_starts(docs: DataFrame, max_variants: int = MAX_VARIANTS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """_id, _hash and starts (an array of lo, n) of the documents (doc_id, text) that hold a repeated string."""
     texts = _identified(docs)
-    found = saved(texts.filter(F.octet_length("_text") >= LEAST).mapInArrow(_find, _STRETCH), "stretches")
-    again = saved(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"), "anchors")
-    shared = saved(found.join(again, "anchor"), "shared")
+    steps = Steps(docs.sparkSession)
+    keep = steps.saved
+    found = keep(texts.filter(F.octet_length("_text") >= LEAST).mapInArrow(_find, _STRETCH), "stretches")
+    again = keep(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"), "anchors")
+    shared = keep(found.join(again, "anchor"), "shared")
     kinds = shared.groupBy("anchor", "context", "n").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("_id", "_hash", "lo")).alias("one"))
-    kinds = saved(kinds, "kinds")
-    variants = saved(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1"), "variants")
-    kinds = saved(kinds.join(variants, "anchor", "left").filter("copies > 1 or variants > 1"), "decided")
+    kinds = keep(kinds, "kinds")
+    variants = keep(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("variants")).filter("variants > 1"), "variants")
+    kinds = keep(kinds.join(variants, "anchor", "left").filter("copies > 1 or variants > 1"), "decided")
     stretch = shared.join(kinds, ["anchor", "context", "n"])
-    stretch = saved(stretch.select("_id", "_hash", "lo", "n", "anchor", "copies", F.coalesce("variants", F.lit(1)).alias("variants"), (F.struct("_id", "_hash", "lo") == F.col("one")).alias("chosen")), "open")
+    stretch = keep(stretch.select("_id", "_hash", "lo", "n", "anchor", "copies", F.coalesce("variants", F.lit(1)).alias("variants"), (F.struct("_id", "_hash", "lo") == F.col("one")).alias("chosen")), "open")
     copied = stretch.filter("copies > 1").select("_id", "_hash", "lo", "n")
 
     todo = stretch.filter("variants > 1 and chosen")
@@ -190,14 +192,16 @@ def repeated_starts(docs: DataFrame, max_variants: int = MAX_VARIANTS, bucket_by
     buckets = max(1, -(-total // bucket_bytes))
     bucket = F.when(F.col("variants") <= max_variants, F.pmod(F.xxhash64("anchor"), F.lit(buckets))).otherwise(F.lit(-1))
     parts = todo.groupBy("_id", "_hash").agg(F.collect_list(F.struct(bucket.cast("long").alias("bucket"), "lo", "n", "copies")).alias("parts"))
-    contexts = saved(texts.join(parts, ["_id", "_hash"]).mapInArrow(_context_rows, _CONTEXT), "contexts")
+    contexts = keep(texts.join(parts, ["_id", "_hash"]).mapInArrow(_context_rows, _CONTEXT), "contexts")
     indexed = contexts.filter("bucket >= 0").groupBy("bucket").applyInPandas(_indexed, _RANGE)
 
-    strings = saved(contexts.filter("bucket < 0").mapInArrow(_strings, "_id long, _hash long, lo long, weight long, h1 long, h2 long"), "strings")
-    often = saved(strings.groupBy("h1", "h2").agg(F.sum("weight").alias("times")).filter("times > 1").select("h1", "h2"), "often")
+    strings = keep(contexts.filter("bucket < 0").mapInArrow(_strings, "_id long, _hash long, lo long, weight long, h1 long, h2 long"), "strings")
+    often = keep(strings.groupBy("h1", "h2").agg(F.sum("weight").alias("times")).filter("times > 1").select("h1", "h2"), "often")
     counted = strings.filter("weight = 1").join(often, ["h1", "h2"]).select("_id", "_hash", "lo", F.lit(1).alias("n"))
     ranges = copied.unionByName(indexed).unionByName(counted)
-    return saved(ranges.groupBy("_id", "_hash").agg(F.collect_list(F.struct("lo", "n")).alias("starts")), "starts")
+    starts = saved(ranges.groupBy("_id", "_hash").agg(F.collect_list(F.struct("lo", "n")).alias("starts")), "starts")
+    steps.clear()
+    return starts
 
 
 def spans(starts: list | None, least: int = LEAST) -> list[tuple[int, int]]:
