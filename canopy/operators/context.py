@@ -11,7 +11,12 @@ from canopy.functions.text import country_key, country_of, year_of
 
 def first_qualifier(features: Column, *names: str) -> Column:
     """The first value of the first of these qualifiers, in the first source feature that has it."""
-    found = [F.get(F.get(F.filter(features, lambda f, n=n: (f["type"] == "source") & f["qualifiers"][n].isNotNull()), F.lit(0))["qualifiers"][n], F.lit(0)) for n in names]
+
+    def value(name: str) -> Column:
+        having = F.filter(features, lambda f: (f["type"] == "source") & f["qualifiers"][name].isNotNull())
+        return F.get(F.get(having, F.lit(0))["qualifiers"][name], F.lit(0))
+
+    found = [value(n) for n in names]
     return F.coalesce(*found)
 
 
