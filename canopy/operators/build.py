@@ -69,18 +69,19 @@ def agglomerate(names: Sequence[str], dist: np.ndarray, method: str = "nj", weig
         else:
             score = d
         i, j = divmod(int(np.where(low, score, np.inf).argmin()), n)
+        apart = float(d[i, j])
         if method == "nj":
-            nodes[i].branch_length = (d[i, j] + r[i] - r[j]) / 2
-            nodes[j].branch_length = d[i, j] - nodes[i].branch_length
-            row = (d[i] + d[j] - d[i, j]) / 2
+            nodes[i].branch_length = (apart + r[i] - r[j]) / 2
+            nodes[j].branch_length = apart - nodes[i].branch_length
+            row = (d[i] + d[j] - apart) / 2
         else:
             for k in (i, j):
-                nodes[k].branch_length = d[i, j] / 2 - height[k]
+                nodes[k].branch_length = apart / 2 - height[k]
             row = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j]) if weighted else (d[i] + d[j]) / 2
         joined = Clade(children=[nodes[i], nodes[j]])
         d[j], d[:, j] = row, row
         d[j, j] = 0
-        nodes[j], size[j], height[j] = joined, size[i] + size[j], d[i, j] if method == "nj" else float(score[i, j]) / 2
+        nodes[j], size[j], height[j] = joined, size[i] + size[j], apart / 2
         d = np.delete(np.delete(d, i, 0), i, 1)
         for x in (nodes, size, height):
             del x[i]
@@ -143,7 +144,18 @@ def symbol_sets(sequences: dict[str, str]) -> dict[str, np.ndarray]:
 
 
 def interchanges(clade: Clade):
-    """Every nearest-neighbour interchange, done in place; each is undone when the next is asked for."""
+    """Every nearest-neighbour interchange, done in place; each is undone when the next is asked for.
+
+    Below a root of two children these are neighbours of one edge, so that their children change places, too.
+    """
+    if len(clade.children) == 2:
+        a, b = clade.children
+        for i in range(len(a.children)):
+            for j in range(len(b.children)):
+                x, y = a.children[i], b.children[j]
+                a.children[i], b.children[j] = y, x
+                yield
+                a.children[i], b.children[j] = x, y
     stack = [clade]
     while stack:
         c = stack.pop()
