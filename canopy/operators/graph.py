@@ -57,6 +57,40 @@ def statements(subtrees: DataFrame, uid: str = UID) -> DataFrame:
     return tree.union(sub).union(support).orderBy("_t", "_s", "_o", "value").select("value")
 
 
+def quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1)
+
+
+def metadata_statements(records: DataFrame, uid: str = UID) -> DataFrame:
+    """subtree and value: one statement per row of records (subtree, terminal, record) that creates metadata, features and qualifiers.
+
+    terminal: newick and terminal_hash; record: the fields of an annotated record. Null properties are left out.
+    """
+
+    def feature(f: Column, i: Column) -> Column:
+        n = F.concat(F.lit("f_"), i.cast("string"))
+        own = F.array_compact(
+            F.array(
+                F.concat(F.lit("type: "), quoted(f["type"])),
+                F.concat(F.lit("location: "), quoted(f["location"])),
+                F.concat(F.lit("strand: "), f["strand"].cast("string")),
+            )
+        )
+        made = F.concat(F.lit("CREATE (m)-[:HAS_FEATURE]->("), n, F.lit(":Feature {"), F.array_join(own, ", "), F.lit("})"))
+
+        def qualifier(q: Column, j: Column) -> Column:
+            name = F.concat(F.lit("q_"), i.cast("string"), F.lit("_"), j.cast("string"))
+            return F.concat(F.lit("\nCREATE ("), n, F.lit(")-[:HAS_QUALIFIER]->("), name, F.lit(":Qualifier {key: "), quoted(q["key"]), F.lit(", value: "), F.to_json(q["value"]), F.lit("})"))
+
+        return F.concat(made, F.array_join(F.transform(F.map_entries(f["qualifiers"]), qualifier), ""))
+
+    props = F.transform(F.map_entries(properties(F.col("terminal"), F.col("record"))), lambda e: F.concat_ws(": ", e["key"], e["value"]))
+    lines = F.transform(F.coalesce(F.col("record.features"), F.array().cast(records.schema["record"].dataType["features"].dataType)), feature)
+    start = F.concat(F.lit("MATCH (child:Subtree {name: '"), json_escaped(F.col("subtree")), F.lit(f"', uid: '{uid}'}})\nCREATE (m:Metadata {{"), F.array_join(props, ", "), F.lit("})\nCREATE (child)-[:HAS_METADATA]->(m)"))
+    return records.select("subtree", F.concat_ws("\n", start, F.array_join(lines, "\n"), F.lit(";")).alias("value"))
+
+
 def write_statements(subtrees: DataFrame, path: str, uid: str = UID) -> None:
     statements(subtrees, uid).write.mode("overwrite").text(path)
 

@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from canopy.operators import context
-from canopy.sources import fasta, genbank, tables
+from canopy.operators import context, graph, joins
+from canopy.sources import fasta, genbank, newick, sinks, tables
 from canopy.streaming import ingest
 
 GENBANK = """LOCUS       KY288905               12 bp    RNA     linear   VRL 07-JAN-2016
@@ -83,3 +83,27 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     ingest.write_stream(ingest.dedup_stream(stream, "seq", "ts"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_metadata_statements(spark, tmp_path):
+    (tmp_path / "x.gb").write_text(GENBANK)
+    records = genbank.read_genbank(spark, str(tmp_path)).select(F.lit("t_Inner1").alias("subtree"), F.struct(F.col("name").alias("newick"), F.lit(7).alias("terminal_hash")).alias("terminal"), F.struct("*").alias("record"))
+    out = {r.value.split("newick_id: ")[1].split(",")[0]: r.value for r in graph.metadata_statements(records).collect()}
+    text = out['"KY288905"']
+    assert 'organism: "Zika virus"' in text and 'taxonomy: ["Viruses","Riboviria","Flaviviridae"]' in text and "terminal_hash: 7" in text
+    assert '(f_1:Feature {type: "CDS", location: "[1:7](-)", strand: -1})' in text and 'CREATE (f_1)-[:HAS_QUALIFIER]->(q_1_0:Qualifier {key: "product", value: ["poly protein"]})' in text
+    assert "HAS_FEATURE" not in out['"B2"'] and "organism" not in out['"B2"']
+    edges = graph.metadata_edges(records)
+    assert edges.filter("rel = 'HAS_QUALIFIER'").count() == 5
+
+
+def test_sinks(spark, tmp_path):
+    nodes = newick.to_nodes(spark.createDataFrame([("t1", "(A,B);"), ("t2", "(C,D);")], "tree string, text string"))
+    sinks.write_trees(nodes.filter("tree = 't1'"), str(tmp_path / "trees"))
+    sinks.write_trees(nodes, str(tmp_path / "trees"))
+    back = spark.read.text(str(tmp_path / "trees"))
+    assert sorted(map(tuple, back.select("tree", "value").collect())) == [("t1", "(A,B);"), ("t2", "(C,D);")]
+    sinks.write_csv(spark.createDataFrame([("g", [1, 2])], "base string, items array<int>"), str(tmp_path / "csv"), "base")
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).first()["items"] == "[1,2]"
+    found = joins.verify_accessions(spark.createDataFrame([("A",), ("B",)], "accession string"), spark.createDataFrame([("B",)], "accession string"))
+    assert [r.value for r in sinks.accession_report(found).orderBy("at").collect()] == ["missing: 1", "A"]
