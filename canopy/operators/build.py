@@ -7,6 +7,7 @@ Distances are a DataFrame join of a dataset's sequences with themselves. Agglome
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -109,7 +110,7 @@ def distance_trees(distances: DataFrame, methods: Sequence[str] = CLUSTERINGS, w
     """Node rows of one tree per dataset and method, named tree_{dataset}_{method}."""
     grid = F.explode(F.array(*map(F.lit, methods))).alias("method")
 
-    def build(key, pairs: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple[Any, ...], pairs: pd.DataFrame) -> pd.DataFrame:
         dataset, method = key
         names, d = _square(pairs)
         return node_rows(f"tree_{dataset}_{method}", agglomerate(names, d, method, weighted))
@@ -189,7 +190,7 @@ def parsimony_trees(aligned: DataFrame, methods: Sequence[str] = CLUSTERINGS) ->
     """Node rows of one tree per dataset and start method, named tree_{dataset}_{method}_parsimony."""
     grid = F.explode(F.array(*map(F.lit, methods))).alias("method")
 
-    def build(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         dataset, method = key
         seqs = dict(zip(rows["id"], rows["seq"]))
         names = sorted(seqs)
