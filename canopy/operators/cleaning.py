@@ -17,10 +17,11 @@ CLUSTAL_LIMIT = 20_000
 
 def dataset_flags(seqs: DataFrame, alphabet: str = PROTEIN) -> DataFrame:
     """Per dataset: valid_alphabet, duplicate_ids, duplicate_seqs and clean (valid without duplicates)."""
-    by_seq = seqs.groupBy("dataset", "seq").agg(F.count(F.lit(1)).alias("n"))
-    by_id = seqs.groupBy("dataset", "id").agg(F.count(F.lit(1)).alias("n"))
     good = F.coalesce(F.upper("seq").rlike(f"^[{alphabet}]+$"), F.lit(False))
-    a = by_seq.groupBy("dataset").agg(F.bool_and(good).alias("valid_alphabet"), F.bool_or(F.col("n") > 1).alias("duplicate_seqs"))
+    # digests are shuffled, not sequences
+    by_seq = seqs.groupBy("dataset", F.md5("seq").alias("digest")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(good).alias("good"))
+    by_id = seqs.groupBy("dataset", "id").agg(F.count(F.lit(1)).alias("n"))
+    a = by_seq.groupBy("dataset").agg(F.bool_and("good").alias("valid_alphabet"), F.bool_or(F.col("n") > 1).alias("duplicate_seqs"))
     b = by_id.groupBy("dataset").agg(F.bool_or(F.col("n") > 1).alias("duplicate_ids"))
     out = a.join(b, "dataset")
     return out.withColumn("clean", F.col("valid_alphabet") & ~F.col("duplicate_ids") & ~F.col("duplicate_seqs"))
@@ -28,8 +29,9 @@ def dataset_flags(seqs: DataFrame, alphabet: str = PROTEIN) -> DataFrame:
 
 def first_repeats(seqs: DataFrame) -> DataFrame:
     """Per dataset that repeats a sequence: the id and place of the first row that does."""
-    second = seqs.groupBy("dataset", "seq").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rows = seqs.join(second.select("dataset", "seq", "first"), ["dataset", "seq"]).filter(F.col("pos") > F.col("first"))
+    rows = seqs.select("dataset", "pos", "id", F.md5("seq").alias("digest"))
+    second = rows.groupBy("dataset", "digest").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = rows.join(second.select("dataset", "digest", "first"), ["dataset", "digest"]).filter(F.col("pos") > F.col("first"))
     return rows.groupBy("dataset").agg(F.min_by("id", "pos").alias("id"), F.min("pos").alias("pos"))
 
 
