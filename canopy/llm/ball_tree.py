@@ -13,14 +13,13 @@ Scores are inner products of integers (floor(scale * component)); a score is exa
 below 2^53, and vectors beyond that are scored in integers of any size.
 
 Defined results: vectors that are null, empty, or hold a null or a component that is not finite take no part; vectors of another
-length than the query's are no candidates; ties go to the smaller id; rows of one id are rows each on its own; a query
+length than the query's, and rows of the query's own id, are no candidates; ties go to the smaller id; a query
 without candidates has no rows; a score beyond a long raises; columns besides id and vector are not read.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
