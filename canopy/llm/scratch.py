@@ -7,7 +7,9 @@ Tables that a returned DataFrame reads stay until the caller removes the folder;
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 import uuid
 
@@ -23,8 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {KEY} to a folder that the driver and all executors share")
-        found = getattr(spark.sparkContext, "_canopy_dir", None) or tempfile.mkdtemp(prefix="canopy-")
-        spark.sparkContext._canopy_dir = found
+        found = getattr(spark.sparkContext, "_canopy_dir", None)
+        if not found:
+            found = spark.sparkContext._canopy_dir = tempfile.mkdtemp(prefix="canopy-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
     return found.rstrip("/")
 
 
