@@ -40,7 +40,7 @@ from canopy.llm.scratch import Steps, saved
 LEAST = 400
 ANCHOR = 200
 BLOCK = 1 << 20
-BUCKET_BYTES = 2_000_000
+BUCKET_BYTES = 500_000
 MAX_VARIANTS = 2048
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
