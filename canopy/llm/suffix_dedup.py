@@ -14,6 +14,9 @@ fit one machine, so the corpus is dealt to many small indexes without losing a m
    for one bucket: there the hashes of the single strings are counted instead, combined in each task before they are
    shuffled, which is the same decision.
 
+Strings may be counted in words instead of bytes: a text is then read as the 32-bit hashes of its words, WORD_BYTES a word, and the
+starts between two words are left out. So passages of some number of words are found however short their words are.
+
 So no step gathers a hot passage in one task: counts are combined first, joins are of the kind whose large partitions Spark splits,
 and a bucket's bytes are bounded. Steps are written to the shared folder. A document of any length is read in blocks.
 
@@ -25,7 +28,9 @@ by ``digests``.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,6 +47,8 @@ ANCHOR = 200
 BLOCK = 1 << 20
 BUCKET_BYTES = 500_000
 MAX_VARIANTS = 2048
+WORD_BYTES = 4
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -56,15 +63,20 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 #: Bits for a place in a block.
 _PLACE = np.uint64((1 << 21) - 1)
-_POWER, _BACK = _powers(_MULTIPLIER, BLOCK + LEAST + 1), _powers(_INVERSE, BLOCK + LEAST + 1)
+
+
+@lru_cache(1)
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_MULTIPLIER, n), _powers(_INVERSE, n)
 
 
 def _block_stretches(data: np.ndarray, least: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First start, number of starts and anchor hash (int64) of each stretch of a block of at least least bytes."""
     n = len(data)
+    power, back = _power_tables(BLOCK + max(least, LEAST) + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * _POWER[:n], out=sums[1:])
-    h = (sums[anchor:] - sums[:-anchor]) * _BACK[: n - anchor + 1]
+    np.cumsum(_BYTE_VALUE[data] * power[:n], out=sums[1:])
+    h = (sums[anchor:] - sums[:-anchor]) * back[: n - anchor + 1]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
@@ -93,6 +105,11 @@ def stretches(data: bytes, least: int = LEAST, anchor: int = ANCHOR) -> tuple[np
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def word_codes(data: memoryview) -> bytes:
+    """The 32-bit hashes of a text's words, one after the other."""
+    return b"".join(map(xxhash.xxh32_digest, bytes(data).split()))
+
+
 def _identified(docs: DataFrame, *more: str) -> DataFrame:
     """_id, _hash (they tell documents apart), _text and more."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -102,7 +119,12 @@ def _identified(docs: DataFrame, *more: str) -> DataFrame:
 _STRETCH = "_id long, _hash long, lo long, n int, anchor long, context long"
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _view(text: pa.Scalar, code: Callable[[memoryview], bytes] | None) -> memoryview:
+    data = memoryview(text.as_buffer() or b"")
+    return memoryview(code(data)) if code else data
+
+
+def _find(batches: Iterator[pa.RecordBatch], least: int, anchor_bytes: int, code: Callable[[memoryview], bytes] | None) -> Iterator[pa.RecordBatch]:
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -114,12 +136,11 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_id", "_hash", "lo", "n", "anchor", "context"])
 
         for i, text in enumerate(batch.column(2)):
-            data = text.as_buffer()
-            if data is None or data.size < LEAST:
+            view = _view(text, code)
+            if len(view) < least:
                 continue
-            view = memoryview(data)
-            lo, n, anchor = stretches(view)
-            contexts += [digest(view[a : a + s + LEAST - 1]) for a, s in zip(lo.tolist(), n.tolist())]
+            lo, n, anchor = stretches(view, least, anchor_bytes)
+            contexts += [digest(view[a : a + s + least - 1]) for a, s in zip(lo.tolist(), n.tolist())]
             which.append(np.full(len(lo), i))
             los.append(lo)
             sizes.append(n)
@@ -132,14 +153,14 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield made()
 
 
-def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _context_rows(batches: Iterator[pa.RecordBatch], least: int, code: Callable[[memoryview], bytes] | None) -> Iterator[pa.RecordBatch]:
     """From _id, _hash, _text, bucket lists: one row per stretch, with its context."""
     for batch in batches:
         rows = []
         for doc, own, text, parts in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), batch.column(3)):
-            view = memoryview(text.as_buffer())
+            view = _view(text, code)
             for p in parts.as_py():
-                rows.append((p["bucket"], doc, own, p["lo"], p["n"], p["copies"], bytes(view[p["lo"] : p["lo"] + p["n"] + LEAST - 1])))
+                rows.append((p["bucket"], doc, own, p["lo"], p["n"], p["copies"], bytes(view[p["lo"] : p["lo"] + p["n"] + least - 1])))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _CONTEXTS)], schema=_CONTEXTS)
 
@@ -149,10 +170,10 @@ _CONTEXT = "bucket long, _id long, _hash long, lo long, n int, copies long, cont
 _RANGE = "_id long, _hash long, lo long, n int"
 
 
-def _indexed(rows: pd.DataFrame) -> pd.DataFrame:
+def _indexed(rows: pd.DataFrame, least: int) -> pd.DataFrame:
     """The repeated starts of a bucket's contexts, as ranges."""
     index = RunIndex(rows["context"].to_list())
-    good = index.matching_statistics() >= LEAST
+    good = index.matching_statistics() >= least
     out = []
     for at, doc, own, lo, n, copies in zip(index.starts.tolist(), rows["_id"], rows["_hash"], rows["lo"], rows["n"], rows["copies"]):
         if copies == 1:
@@ -162,21 +183,33 @@ def _indexed(rows: pd.DataFrame) -> pd.DataFrame:
     return frame.astype({"_id": "int64", "_hash": "int64", "lo": "int64", "n": "int32"})
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _strings(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """From contexts: one row per string, with two hashes of it."""
     for batch in batches:
         for bucket, doc, own, lo, n, copies, context in zip(*(c.to_pylist() for c in batch.columns)):
-            both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(context[i : i + LEAST]) for i in range(n)]), ">u8").reshape(-1, 2)
+            both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(context[i : i + least]) for i in range(n)]), ">u8").reshape(-1, 2)
             columns = [np.full(n, doc), np.full(n, own), lo + np.arange(n), np.full(n, min(copies, 2)), both[:, 0].astype(np.uint64).view(np.int64), both[:, 1].astype(np.uint64).view(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["_id", "_hash", "lo", "weight", "h1", "h2"])
 
 
-def repeated_starts(docs: DataFrame, max_variants: int = MAX_VARIANTS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """_id, _hash and starts (an array of lo, n) of the documents (doc_id, text) that hold a repeated string."""
+def repeated_starts(
+    docs: DataFrame,
+    max_variants: int = MAX_VARIANTS,
+    bucket_bytes: int = BUCKET_BYTES,
+    *,
+    least: int = LEAST,
+    anchor: int = ANCHOR,
+    code: Callable[[memoryview], bytes] | None = None,
+) -> DataFrame:
+    """_id, _hash and starts (an array of lo, n) of the documents (doc_id, text) that hold a repeated string of least bytes.
+
+    With code, the strings and starts are those of the bytes that code makes of a text.
+    """
     texts = _identified(docs)
+    long = texts if code else texts.filter(F.octet_length("_text") >= least)
     steps = Steps(docs.sparkSession)
     keep = steps.saved
-    found = keep(texts.filter(F.octet_length("_text") >= LEAST).mapInArrow(_find, _STRETCH), "stretches")
+    found = keep(long.mapInArrow(lambda b: _find(b, least, anchor, code), _STRETCH), "stretches")
     again = keep(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("anchor"), "anchors")
     shared = keep(found.join(again, "anchor"), "shared")
     kinds = shared.groupBy("anchor", "context", "n").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("_id", "_hash", "lo")).alias("one"))
@@ -188,14 +221,14 @@ def repeated_starts(docs: DataFrame, max_variants: int = MAX_VARIANTS, bucket_by
     copied = stretch.filter("copies > 1").select("_id", "_hash", "lo", "n")
 
     todo = stretch.filter("variants > 1 and chosen")
-    total = todo.filter(F.col("variants") <= max_variants).agg(F.sum(F.col("n") + F.lit(LEAST))).first()[0] or 0
+    total = todo.filter(F.col("variants") <= max_variants).agg(F.sum(F.col("n") + F.lit(least))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     bucket = F.when(F.col("variants") <= max_variants, F.pmod(F.xxhash64("anchor"), F.lit(buckets))).otherwise(F.lit(-1))
     parts = todo.groupBy("_id", "_hash").agg(F.collect_list(F.struct(bucket.cast("long").alias("bucket"), "lo", "n", "copies")).alias("parts"))
-    contexts = keep(texts.join(parts, ["_id", "_hash"]).mapInArrow(_context_rows, _CONTEXT), "contexts")
-    indexed = contexts.filter("bucket >= 0").groupBy("bucket").applyInPandas(_indexed, _RANGE)
+    contexts = keep(texts.join(parts, ["_id", "_hash"]).mapInArrow(lambda b: _context_rows(b, least, code), _CONTEXT), "contexts")
+    indexed = contexts.filter("bucket >= 0").groupBy("bucket").applyInPandas(lambda rows: _indexed(rows, least), _RANGE)
 
-    strings = keep(contexts.filter("bucket < 0").mapInArrow(_strings, "_id long, _hash long, lo long, weight long, h1 long, h2 long"), "strings")
+    strings = keep(contexts.filter("bucket < 0").mapInArrow(lambda b: _strings(b, least), "_id long, _hash long, lo long, weight long, h1 long, h2 long"), "strings")
     often = keep(strings.groupBy("h1", "h2").agg(F.sum("weight").alias("times")).filter("times > 1").select("h1", "h2"), "often")
     counted = strings.filter("weight = 1").join(often, ["h1", "h2"]).select("_id", "_hash", "lo", F.lit(1).alias("n"))
     ranges = copied.unionByName(indexed).unionByName(counted)
@@ -206,13 +239,29 @@ def repeated_starts(docs: DataFrame, max_variants: int = MAX_VARIANTS, bucket_by
 
 def spans(starts: list | None, least: int = LEAST) -> list[tuple[int, int]]:
     """The maximal runs of bytes, as (from, to), that the strings at starts cover."""
+    return union([(s["lo"], s["lo"] + s["n"] + least - 1) for s in starts or ()])
+
+
+def passage_spans(data: bytes, starts: list | None, words: int) -> list[tuple[int, int]]:
+    """The runs of bytes that the passages of so many words at starts (in word codes) cover, from word to word."""
+    if not starts:
+        return []
+    places, out = [m.span() for m in _WORD.finditer(data)], []
+    for s in starts:
+        first, last = -(-s["lo"] // WORD_BYTES), (s["lo"] + s["n"] - 1) // WORD_BYTES
+        if first <= last:
+            out.append((places[first][0], places[last + words - 1][1]))
+    return out
+
+
+def union(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The maximal runs that parts cover together."""
     out: list[list[int]] = []
-    for lo, n in sorted((s["lo"], s["n"]) for s in starts or ()):
-        end = lo + n + least - 1
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
+    for a, b in sorted(parts):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
         else:
-            out.append([lo, end])
+            out.append([a, b])
     return [(a, b) for a, b in out]
 
 
@@ -246,10 +295,11 @@ def digests(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "_text", "starts").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated strings cut out of text, and n_chars counted anew where there is one.
+def remove_repeats(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR, words: int | None = None) -> DataFrame:
+    """docs with the repeated strings of least bytes cut out of text, and n_chars counted anew where there is one.
 
-    A character of which some bytes are removed goes as a whole.
+    With words, passages of so many words that stand anywhere else go as well, however few bytes they have; the white space between their
+    words does not count. A character of which some bytes are removed goes as a whole.
     """
     names = docs.columns
     schema = docs.schema
@@ -258,10 +308,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in batches:
             columns = dict(zip(names, batch.columns[: len(names)]))
             texts, lengths = [], []
-            for text, starts, n in zip(columns["text"], batch.column(len(names)), columns.get("n_chars", [None] * batch.num_rows)):
-                removed = spans(starts.as_py())
+            for text, starts, passages, n in zip(columns["text"], *batch.columns[len(names) :], columns.get("n_chars", [None] * batch.num_rows)):
+                removed, data = spans(starts.as_py(), least), b""
+                if removed or passages.is_valid:
+                    data = text.as_py().encode("utf-8", "surrogatepass")
+                    removed = union(removed + passage_spans(data, passages.as_py(), words))
                 if removed:
-                    parts = kept_parts(text.as_py().encode("utf-8", "surrogatepass"), removed)
+                    parts = kept_parts(data, removed)
                     texts.append("".join(p.decode("utf-8", "ignore") for p in parts))
                     lengths.append(len(texts[-1]))
                 else:
@@ -272,6 +325,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array(lengths, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=names)
 
-    starts = repeated_starts(docs)
+    starts = repeated_starts(docs, least=least, anchor=anchor)
+    if words:
+        coded = repeated_starts(docs, least=WORD_BYTES * words, anchor=WORD_BYTES * words // 2, code=word_codes)
+        starts = starts.join(coded.withColumnRenamed("starts", "passages"), ["_id", "_hash"], "full")
+    else:
+        starts = starts.withColumn("passages", F.lit(None).cast("array<struct<lo:bigint,n:int>>"))
     rows = _identified(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), "doc_id", "text"), "_row").join(starts, ["_id", "_hash"], "left")
-    return rows.select("_row.*", F.col("starts").alias("_repeated_starts")).mapInArrow(run, schema)
+    return rows.select("_row.*", F.col("starts").alias("_repeated_starts"), F.col("passages").alias("_repeated_passages")).mapInArrow(run, schema)

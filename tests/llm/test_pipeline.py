@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline as pipeline
@@ -56,3 +57,16 @@ def test_stages_keep_columns(spark, docs):
     for _, stage in pipeline.STAGES[:3]:
         assert stage(spark, docs, "").columns == docs.columns
     assert suffix_dedup.LEAST == 400
+
+
+def test_passages_below_400_bytes_go(spark):
+    rng = random.Random(8)
+    prose = lambda n: ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 6))) for _ in range(n)]
+    passage, shorter, own = prose(51), prose(50), [prose(40) for _ in range(8)]
+    assert len(" ".join(passage)) < 400 and len(" ".join(shorter)) < 400
+    texts = [(own[0], passage, own[1]), (own[2], passage, []), (own[3], shorter, own[4]), (own[5], shorter, own[6])]
+    rows = [(i, " ".join([*a, *b, *c])) for i, (a, b, c) in enumerate(texts)] + [(4, " ".join(own[7]) + "\n" + "\n".join(passage))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in pipeline.repeated_strings(spark, docs, "").collect()}
+    want = {0: [*own[0], *own[1]], 1: own[2], 2: rows[2][1].split(), 3: rows[3][1].split(), 4: own[7]}
+    assert {k: v.split() for k, v in got.items()} == want
