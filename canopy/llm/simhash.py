@@ -9,6 +9,11 @@ Equal fingerprints are combined before anything is emitted, a variant is met by
 table of a group's members is ever made, so thousands of copies cost no more than one document each. A variant's row is its value and
 the flipped bit; the fingerprint follows from both.
 
+Two bits are far less than texts of a shingle similarity of 0.8 differ by, so ``similar_groups`` takes its candidates elsewhere: BANDS
+bands of ROWS minima of shingle hashes, and texts that share a band are compared by their true shingle sets before they are linked.
+Equal word sequences are one before anything is emitted. In every band's bucket one text is compared with all others first, twice, and
+pairs that are still in different groups after that are compared each with each.
+
 Defined results: a null or empty text has fingerprint zero and is linked like any other; repeated rows are rows of one
 group; a text with fewer words than a shingle is one shingle; an empty table gives an empty result; a null doc_id stays in
 its group but never names it, except in a group without any other. Columns besides id and text are not read.
@@ -26,11 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.llm.components import components
-from canopy.llm.scratch import saved
+from canopy.llm.scratch import Steps, saved
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
+BANDS = 24
+ROWS = 3
+STARS = 2
 BLOCK = 1 << 22
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
@@ -47,9 +55,9 @@ def _word_blocks(data: bytes, size: int = BLOCK) -> Iterator[list[bytes]]:
         at = end
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of one text, unsigned: a bit is set if it is set in over half the shingle hashes."""
-    digest, ones, n, words = xxhash.xxh64_digest, np.zeros(64, np.int64), 0, []
+def _shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, eight bytes (high ones first) each, by blocks; of all words together where they are fewer."""
+    digest, any_, words = xxhash.xxh64_digest, False, []
     for more in _word_blocks((text or "").encode("utf-8", "surrogatepass")):
         words = words[len(words) - shingle + 1 :] + more if len(words) >= shingle else words + more
         if len(words) < shingle:
@@ -59,17 +67,56 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         ends = np.cumsum(sizes + 1) - 1
         starts = (ends - sizes).tolist()
         hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())])
-        bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1)
-        ones += np.add.reduce(bits, axis=0, dtype=np.uint32)
-        n += len(bits)
-    if not n:
-        if not words:
-            return 0
-        return int.from_bytes(digest(b" ".join(words), SEED), "big")
+        any_ = True
+        yield np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+    if words and not any_:
+        yield np.frombuffer(digest(b" ".join(words), SEED), np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of one text, unsigned: a bit is set if it is set in over half the shingle hashes."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in _shingle_hashes(text, shingle):
+        ones += np.add.reduce(np.unpackbits(hashes, axis=1), axis=0, dtype=np.uint32)
+        n += len(hashes)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a text (uint64), in order."""
+    found = [h.view(np.uint64).ravel() for h in _shingle_hashes(text, shingle)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def word_hash(text: str | None) -> int:
+    """A 64-bit hash of a text's word sequence."""
+    out = xxhash.xxh3_64()
+    for words in _word_blocks((text or "").encode("utf-8", "surrogatepass")):
+        if words:
+            out.update(b" ".join(words) + b" ")
+    return out.intdigest()
+
+
+_FACTORS, _OFFSETS = np.random.Generator(np.random.PCG64(SEED)).integers(1, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)
+_FACTORS = 2 * _FACTORS + np.uint64(1)
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """One hash (uint64) for each band of minima of a set of shingle hashes; none of an empty set."""
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 4096):
+        mixed = (shingles[at : at + 4096] ^ _OFFSETS) * _FACTORS
+        least = np.minimum(least, mixed.min(axis=1))
+    out = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        out = (out ^ row) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
     """keep and fp (the fingerprint as a signed long) of every row."""
     names = [c for c in keep if c != "fp"]
     rows = docs.select(*names, F.col(text).alias("_text"))
@@ -77,7 +124,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+            found = [fingerprint(t.as_py(), shingle) for t in batch.column(batch.num_columns - 1)]
             fp = pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], names=[*names, "fp"])
 
@@ -110,6 +157,78 @@ def groups(fps: DataFrame) -> DataFrame:
     return known.join(names, "root").select("fp", "component_id")
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that a worker holds few texts and shingle sets at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def signatures(docs: DataFrame, shingle: int, keep: tuple[str, ...]) -> DataFrame:
+    """keep, fp (the hash of the word sequence) and bands of every row of docs."""
+    rows = docs.select(*keep, "text")
+    schema = rows.select(*keep, F.lit(0).cast("long").alias("fp"), F.array().cast("array<long>").alias("bands")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            texts = batch.column(len(keep)).to_pylist()
+            fp = pa.array(np.array([word_hash(t) for t in texts], np.uint64).view(np.int64), pa.int64())
+            found = pa.array([bands(shingle_set(t, shingle)).view(np.int64) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], fp, found], names=[*keep, "fp", "bands"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def similar_groups(rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """fp and component_id (the smallest doc_id reachable) for every distinct fp of rows (doc_id, _id, _hash, fp, bands).
+
+    Links are pairs whose shingle sets share similarity or more of their union; texts has the _id, _hash and text of rows.
+    """
+    steps = Steps(rows.sparkSession)
+    one = F.min(F.struct("_id", "_hash")).alias("one")
+    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), one), "distinct")
+    met = rows.select("fp", F.explode("bands").alias("band")).distinct()
+    often = met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+    member = steps.saved(met.join(often, "band"), "members")
+    wanted = distinct.join(member.select("fp").distinct(), "fp").select("fp", "one.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            sets = pa.array([shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["fp", "s"])
+
+    # rows of one _id and _hash have one text
+    read = texts.join(wanted, ["_id", "_hash"]).select("fp", "text").dropDuplicates(["fp"]).mapInArrow(run, "fp long, s array<long>")
+    sets = steps.saved(read, "sets")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+        shared = F.size(F.array_intersect("a", "b"))
+        return both.filter(shared / (F.size("a") + F.size("b") - shared) >= F.lit(similarity)).select("u", "v")
+
+    found, roots = None, None
+    for turn in range(STARS + 1):
+        # buckets whose members are not of one group yet
+        at = member if roots is None else steps.saved(member.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+        at = at.withColumn("root", F.col("fp")) if roots is None else at
+        order = F.struct(F.xxhash64("fp", F.lit(turn)).alias("h"), F.col("fp").alias("u"), F.col("root").alias("ru"))
+        split = at.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(order).alias("c")).filter("lo <> hi")
+        open_ = at.join(split.select("band", "c"), "band")
+        if turn < STARS:
+            pairs = open_.select(F.col("c.u").alias("u"), F.col("c.ru").alias("ru"), F.col("fp").alias("v"), F.col("root").alias("rv"))
+        else:
+            left = open_.select("band", F.col("fp").alias("u"), F.col("root").alias("ru"))
+            pairs = left.join(open_.select("band", F.col("fp").alias("v"), F.col("root").alias("rv")), "band").filter("u < v")
+        pairs = pairs.filter("ru <> rv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        new = steps.saved(linked(pairs), "links")
+        found = new if found is None else found.unionByName(new)
+        roots = components(found).toDF("fp", "root")
+    known = saved(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
+    steps.clear()
+    names = known.groupBy("root").agg(F.min("first").alias("component_id"))
+    return known.join(names, "root").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs."""
     fps = saved(fingerprints(docs, text), "fps")
@@ -117,15 +236,22 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One row of each group of near-duplicates, with the columns that it came with: that of the smallest doc_id.
 
-    Rows of one doc_id are told apart by their text; of rows equal in both, one stays.
+    With similarity, texts are near-duplicates if their sets of shingles share so much of their union; without, if their
+    fingerprints are within RADIUS bits. Rows of one doc_id are told apart by their text; of rows equal in both, one stays.
     """
     identity = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_hash")]
-    fps = saved(fingerprints(docs.select("doc_id", "text", *identity), keep=("doc_id", "_id", "_hash")), "fps")
+    told = docs.select("doc_id", "text", *identity)
+    if similarity is None:
+        fps = saved(fingerprints(told, keep=("doc_id", "_id", "_hash"), shingle=shingle), "fps")
+        found = groups(fps.select("doc_id", "fp"))
+    else:
+        fps = saved(signatures(told, shingle, ("doc_id", "_id", "_hash")), "fps")
+        found = similar_groups(fps, told, shingle, similarity)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("without"), F.col("_id"), F.col("_hash")))
-    grouped = fps.join(groups(fps.select("doc_id", "fp")).withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"))
+    grouped = fps.join(found.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"))
     # a group is named by its smallest doc_id; where that is null, by its fingerprint
     key = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("_alone")]
     chosen = grouped.groupBy(*key).agg(best.alias("b")).select("b._id", "b._hash")

@@ -70,3 +70,40 @@ def test_passages_below_400_bytes_go(spark):
     got = {r.doc_id: r.text for r in pipeline.repeated_strings(spark, docs, "").collect()}
     want = {0: [*own[0], *own[1]], 1: own[2], 2: rows[2][1].split(), 3: rows[3][1].split(), 4: own[7]}
     assert {k: v.split() for k, v in got.items()} == want
+
+
+def test_near_copies_at_0_8_go(spark):
+    rng = random.Random(9)
+    prose = lambda n: ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    likeness = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+    texts = []
+    for changed in (1, 2, 3, 4, 4, 5, 7, 9):
+        base = prose(184)  # 180 shingles; each changed word alters five
+        copy = list(base)
+        for k in range(changed):
+            copy[10 + 15 * k] = "Z"
+        texts += [base, copy]
+    head = prose(244)  # a chain: each links to the next, not to all
+    for k in range(4):
+        head = [*head[:60 * k + 5], "Y", "Y", *head[60 * k + 7 :]]
+        texts.append(head)
+    tail = prose(404)  # 400 shingles, of which 320 and 319 are in the second text
+    texts += [tail, tail[:324], prose(10) * 2, tail[85:404]]
+    parent = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if likeness(texts[i], texts[j]) >= 0.8:
+                parent = [parent[i] if p == parent[j] else p for p in parent]
+    assert any(0.8 <= likeness(texts[i], texts[i + 1]) < 0.81 for i in range(len(texts) - 1))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == sorted({min(i for i, p in enumerate(parent) if p == q) for q in parent})
+
+
+def test_unlike_texts_of_near_fingerprints_stay(spark):
+    # a common half and other words: no link without a true similarity of 0.8
+    common = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([*common, *(f"v{k}x{i}" for i in range(60))])) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert pipeline.near_duplicates(spark, docs, "").count() == 6
