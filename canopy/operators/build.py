@@ -1,46 +1,92 @@
 """From aligned sequences to trees: distances, agglomeration, parsimony, and the grid of methods.
 
-Distances are a DataFrame join of a dataset's sequences with themselves. Agglomeration is sequential by nature and runs per
-(dataset, method) group in Arrow-backed functions on the group's distances alone; a group has as many rows as its dataset has pairs.
+Distances compare blocks of a dataset's sequences as arrays, a pair of blocks per task, so that a large dataset spreads. Agglomeration is
+sequential by nature and runs per (dataset, method) group in Arrow-backed functions; its memory is quadratic in the dataset's sequences.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import shutil
+import subprocess
+import tempfile
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from pathlib import Path
 from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from canopy.operators.align import align
 from canopy.operators.cleaning import without_ignored
 from canopy.operators.trees import NODE
-from canopy.sources.newick import Clade, node_rows
+from canopy.sources.newick import Clade, node_rows, parse, read_text
 
 ALIGNERS = ("clustalo", "mafft")
 CLUSTERINGS = ("nj", "upgma")
 EXTERNAL = ("iqtree", "fasttree", "raxml", "mrbayes")
+BLOCK_ROWS = 512
 
 
-def identity_distances(aligned: DataFrame) -> DataFrame:
-    """dataset, id_a < id_b, dist: the share of columns that differ. Gaps against gaps are equal columns; rows of a dataset are equally long."""
-    a = aligned.select("dataset", F.col("id").alias("id_a"), F.col("seq").alias("_a"))
-    b = aligned.select("dataset", F.col("id").alias("id_b"), F.col("seq").alias("_b"))
-    same = F.aggregate(F.zip_with(F.split("_a", ""), F.split("_b", ""), lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    size = F.greatest(F.length("_a"), F.lit(1))
-    pairs = a.join(b, "dataset").filter("id_a < id_b")
-    return pairs.select("dataset", "id_a", "id_b", (F.lit(1.0) - F.when(F.length("_a") == 0, F.lit(1)).otherwise(same) / size).alias("dist"))
+def _symbols(seqs: Sequence[str], width: int, fill: int) -> np.ndarray:
+    """Sequences as rows of code points, filled up to width."""
+    out = np.full((len(seqs), width), fill, np.uint32)
+    for row, s in zip(out, seqs):
+        row[: len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def difference(a: Sequence[str], b: Sequence[str]) -> np.ndarray:
+    """The share of columns in which each of a differs from each of b; 0 for empty rows."""
+    width = max(map(len, [*a, *b]), default=0)
+    x, y = _symbols(a, width, 0x110000), _symbols(b, width, 0x110001)
+    size = np.array([max(len(s), 1) for s in a])
+    same = np.array([(y == row).sum(axis=1) for row in x]).reshape(len(a), len(b))
+    same[np.array([not s for s in a], bool)] = 1
+    return 1.0 - same / size[:, None]
 
 
-def method_grid(datasets: DataFrame, mode: str = "auto", ignored: str | Sequence[str] | None = None) -> DataFrame:
-    """dataset, aligner, method, submethod of the trees that a mode builds: auto has eight, advanced eight more."""
+def identity_distances(aligned: DataFrame) -> DataFrame:
+    """dataset, id_a < id_b, dist: the share of columns that differ. Gaps against gaps are equal columns; rows of a dataset are equally long.
+
+    Ids are unique in a dataset. A dataset is dealt to blocks of BLOCK_ROWS, and each two of its blocks meet in one group.
+    """
+    rows = aligned.select("dataset", "id", F.coalesce("seq", F.lit("")).alias("seq"))
+    blocks = rows.groupBy("dataset").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_n"))
+    rows = rows.join(blocks, "dataset").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = rows.select("dataset", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") <= F.col("_other")).alias("_first"), "id", "seq")
+
+    def run(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
+        one = part[part["_first"]]
+        other = one if key[1] == key[2] else part[~part["_first"]]
+        dist = difference(one["seq"].tolist(), other["seq"].tolist()).ravel()
+        a, b = np.repeat(one["id"].to_numpy(object), len(other)), np.tile(other["id"].to_numpy(object), len(one))
+        keep = (a < b) if key[1] == key[2] else (a != b)
+        low = np.where(a < b, a, b)
+        return pd.DataFrame({"dataset": key[0], "id_a": low[keep], "id_b": np.where(a < b, b, a)[keep], "dist": dist[keep]})
+
+    return rows.groupBy("dataset", "_i", "_j").applyInPandas(run, "dataset string, id_a string, id_b string, dist double")
+
+
+def method_grid(datasets: DataFrame, mode: str = "auto", ignored: str | Sequence[str] | None = None, single: tuple[str, str, str | None] | None = None) -> DataFrame:
+    """dataset, aligner, method, submethod of the trees that a mode builds: auto has eight, advanced eight more, single the one that is given."""
     spark = datasets.sparkSession
-    rows = [(a, m, c) for a in ALIGNERS for m in ("distance", "parsimony") for c in CLUSTERINGS]
-    if mode == "advanced":
-        rows += [(a, m, None) for a in ALIGNERS for m in EXTERNAL]
-    elif mode != "auto":
-        raise ValueError("mode is auto or advanced")
+    if mode == "single":
+        if single is None:
+            raise ValueError("single names an aligner, a method and a submethod")
+        aligner, method, sub = single
+        if method in CLUSTERINGS:  # a clustering alone means distances
+            method, sub = "distance", method
+        if method not in ("distance", "parsimony", *EXTERNAL):
+            raise ValueError(f"{method} is no method")
+        rows = [(aligner, method, None if method in EXTERNAL else sub or CLUSTERINGS[0])]
+    elif mode in ("auto", "advanced"):
+        rows = [(a, m, c) for a in ALIGNERS for m in ("distance", "parsimony") for c in CLUSTERINGS]
+        rows += [(a, m, None) for a in ALIGNERS for m in EXTERNAL] if mode == "advanced" else []
+    else:
+        raise ValueError("mode is auto, advanced or single")
     grid = spark.createDataFrame(rows, "aligner string, method string, submethod string")
     grid = without_ignored(without_ignored(grid, ignored).withColumn("_s", F.coalesce("submethod", F.lit(""))), ignored, "_s").drop("_s")
     return datasets.select("dataset").distinct().join(F.broadcast(grid))
@@ -97,55 +143,104 @@ def agglomerate(names: Sequence[str], dist: np.ndarray, method: str = "nj", weig
     return nodes[0] if nodes else Clade()
 
 
-def _square(pairs: pd.DataFrame) -> tuple[list[str], np.ndarray]:
-    names = sorted(set(pairs["id_a"]) | set(pairs["id_b"]))
+def _unique(names: Sequence[str]) -> list[str]:
+    if len(set(names)) < len(names):
+        raise ValueError("an id stands twice in a dataset")
+    return list(names)
+
+
+def _square(rows: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+    """Names and matrix of rows (id_a, id_b, dist), of which those without id_b name a sequence only."""
+    pairs = rows[rows["id_b"].notna()]
+    names = sorted(set(pairs["id_a"]) | set(pairs["id_b"]) | set(_unique(rows["id_a"][rows["id_b"].isna()])))
     at = {n: i for i, n in enumerate(names)}
     d = np.zeros((len(names), len(names)))
-    i, j = pairs["id_a"].map(at).to_numpy(), pairs["id_b"].map(at).to_numpy()
+    i, j = pairs["id_a"].map(at).to_numpy(int), pairs["id_b"].map(at).to_numpy(int)
     d[i, j] = d[j, i] = pairs["dist"].to_numpy()
     return names, d
 
 
-def distance_trees(distances: DataFrame, methods: Sequence[str] = CLUSTERINGS, weighted: bool = False) -> DataFrame:
-    """Node rows of one tree per dataset and method, named tree_{dataset}_{method}."""
+def distance_trees(distances: DataFrame, methods: Sequence[str] = CLUSTERINGS, weighted: bool = False, members: DataFrame | None = None) -> DataFrame:
+    """Node rows of one tree per dataset and method, named tree_{dataset}_{method}.
+
+    members (dataset, id) names the sequences: a dataset of one, which has no distances, is a tree of one leaf, and an id that stands twice raises.
+    """
     grid = F.explode(F.array(*map(F.lit, methods))).alias("method")
+    rows = distances.select("dataset", "id_a", "id_b", "dist")
+    if members is not None:
+        rows = rows.unionByName(members.select("dataset", F.col("id").alias("id_a"), F.lit(None).cast("string").alias("id_b"), F.lit(None).cast("double").alias("dist")))
 
-    def build(key: tuple[Any, ...], pairs: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
         dataset, method = key
-        names, d = _square(pairs)
+        names, d = _square(part)
         return node_rows(f"tree_{dataset}_{method}", agglomerate(names, d, method, weighted))
 
-    return distances.select("*", grid).groupBy("dataset", "method").applyInPandas(build, NODE)
-
+    return rows.select("*", grid).groupBy("dataset", "method").applyInPandas(build, NODE)
 
-def fitch(clade: Clade, states: dict[str, np.ndarray]) -> int:
-    """The least number of changes: states are sets of symbols per column, as bits."""
-    changes = 0
 
-    def up(c: Clade) -> np.ndarray:
-        nonlocal changes
-        if not c.children:
-            return states[c.name]
-        out = up(c.children[0])
-        for child in c.children[1:]:
-            other = up(child)
-            both = out & other
-            changes += int((both == 0).sum())
-            out = np.where(both == 0, out | other, both)
-        return out
-
-    up(clade)
-    return changes
-
-
-def symbol_sets(sequences: dict[str, str]) -> dict[str, np.ndarray]:
+def symbol_sets(sequences: Mapping[str, str]) -> dict[str, np.ndarray]:
     symbols = sorted({c for s in sequences.values() for c in s})
     bit = {c: np.uint64(1 << i) for i, c in enumerate(symbols)}
     return {n: np.array([bit[c] for c in s], np.uint64) for n, s in sequences.items()}
 
 
-def interchanges(clade: Clade):
-    """Every nearest-neighbour interchange, done in place; each is undone when the next is asked for.
+class Changes:
+    """The least numbers of changes below each node of a clade; states are sets of symbols per column, as bits."""
+
+    def __init__(self, clade: Clade, states: Mapping[str, np.ndarray]):
+        self.sets: dict[int, np.ndarray] = {}
+        self.own: dict[int, int] = {}
+        self.parent: dict[int, Clade] = {}
+        order, todo = [], [clade]
+        while todo:
+            c = todo.pop()
+            order.append(c)
+            for child in c.children:
+                self.parent[id(child)] = c
+            todo += c.children
+        for c in reversed(order):
+            if c.children:
+                self.sets[id(c)], self.own[id(c)] = self._met(c)
+            else:
+                self.sets[id(c)], self.own[id(c)] = states[c.name], 0
+        self.total = sum(self.own.values())
+
+    def _met(self, c: Clade) -> tuple[np.ndarray, int]:
+        out, n = self.sets[id(c.children[0])], 0
+        for child in c.children[1:]:
+            other = self.sets[id(child)]
+            both = out & other
+            none = both == 0
+            n += int(np.count_nonzero(none))
+            out = np.where(none, out | other, both)
+        return out, n
+
+    def rescored(self, changed: Sequence[Clade]) -> list[tuple[int, np.ndarray, int]]:
+        """Scores changed, which stand below each other or side by side from the lowest up, and all above anew; returns what was there."""
+        before, todo = [], list(changed)
+        while todo:
+            c = todo.pop(0)
+            before.append((id(c), self.sets[id(c)], self.own[id(c)]))
+            self.sets[id(c)], n = self._met(c)
+            self.total += n - self.own[id(c)]
+            self.own[id(c)] = n
+            if not todo and id(c) in self.parent:
+                todo.append(self.parent[id(c)])
+        return before
+
+    def restore(self, before: list[tuple[int, np.ndarray, int]]) -> None:
+        for key, sets, own in reversed(before):
+            self.total += own - self.own[key]
+            self.sets[key], self.own[key] = sets, own
+
+
+def fitch(clade: Clade, states: Mapping[str, np.ndarray]) -> int:
+    """The least number of changes."""
+    return Changes(clade, states).total
+
+
+def interchanges(clade: Clade) -> Iterator[tuple[Clade, ...]]:
+    """Every nearest-neighbour interchange, done in place; each is undone when the next is asked for. Yields the nodes whose children changed, lowest first.
 
     Below a root of two children these are neighbours of one edge, so that their children change places, too.
     """
@@ -155,7 +250,7 @@ def interchanges(clade: Clade):
             for j in range(len(b.children)):
                 x, y = a.children[i], b.children[j]
                 a.children[i], b.children[j] = y, x
-                yield
+                yield a, b
                 a.children[i], b.children[j] = x, y
     stack = [clade]
     while stack:
@@ -167,41 +262,117 @@ def interchanges(clade: Clade):
                     if k != i:
                         inner = child.children[j]
                         child.children[j], c.children[k] = other, inner
-                        yield
+                        yield child, c
                         child.children[j], c.children[k] = inner, other
 
 
-def climb(clade: Clade, sequences: dict[str, str], rounds: int = 1000) -> tuple[Clade, int]:
-    """Hill-climbing by interchanges: the first that needs fewer changes is taken, until none does."""
+def climb(clade: Clade, sequences: Mapping[str, str]) -> tuple[Clade, int]:
+    """Hill-climbing by interchanges: the first that needs fewer changes is taken, until none does.
+
+    An interchange scores the nodes on its way to the root alone. Each step saves a change or more, so that the climb ends.
+    """
     states = symbol_sets(sequences)
-    best = fitch(clade, states)
-    for _ in range(rounds):
-        for _ in interchanges(clade):
-            score = fitch(clade, states)
-            if score < best:
-                best = score
+    better = True
+    while better:
+        score, better = Changes(clade, states), False
+        best = score.total
+        for changed in interchanges(clade):
+            before = score.rescored(changed)
+            if score.total < best:
+                better = True
                 break  # the tree stays as it is now
-        else:
-            break
+            score.restore(before)
     return clade, best
 
 
+def built(dataset: str, name: str, rows: pd.DataFrame, method: str, clustering: str) -> pd.DataFrame:
+    """Node rows of a dataset's tree by distance or parsimony."""
+    names = _unique(sorted(rows["id"]))
+    seqs = dict(zip(rows["id"], rows["seq"]))
+    own = [seqs[n] for n in names]
+    tree = agglomerate(names, difference(own, own), clustering)
+    return node_rows(name, climb(tree, seqs)[0] if method == "parsimony" else tree)
+
+
 def parsimony_trees(aligned: DataFrame, methods: Sequence[str] = CLUSTERINGS) -> DataFrame:
     """Node rows of one tree per dataset and start method, named tree_{dataset}_{method}_parsimony."""
     grid = F.explode(F.array(*map(F.lit, methods))).alias("method")
 
     def build(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         dataset, method = key
-        seqs = dict(zip(rows["id"], rows["seq"]))
-        names = sorted(seqs)
-        data = np.array([list(seqs[n]) for n in names])
-        d = 1 - (data[:, None, :] == data[None, :, :]).mean(axis=2)
-        tree, _ = climb(agglomerate(names, d, method), seqs)
-        return node_rows(f"tree_{dataset}_{method}_parsimony", tree)
+        return built(dataset, f"tree_{dataset}_{method}_parsimony", rows, "parsimony", method)
 
     return aligned.select("dataset", "id", "seq", grid).groupBy("dataset", "method").applyInPandas(build, NODE)
 
 
+#: Command lines of the public programs; {aln} is the alignment, {out} the prefix of what they write. The second entry is the tree's file.
+PROGRAMS: dict[str, tuple[list[str], str]] = {
+    "iqtree": (["iqtree2", "-s", "{aln}", "-m", "GTR+G", "-B", "1000", "-T", "AUTO", "--prefix", "{out}"], "{out}.treefile"),
+    "fasttree": (["FastTree", "-nt", "-gtr", "-out", "{out}.tree", "{aln}"], "{out}.tree"),
+    "raxml": (["raxml-ng", "--msa", "{aln}", "--model", "GTR+G", "--seed", "12345", "--tree", "rand{{10}}", "--prefix", "{out}"], "{out}.raxml.bestTree"),
+    "mrbayes": (["mb", "{out}.nex"], "{out}.nex.con.tre"),
+}
+
+
+def nexus_alignment(ids: Sequence[str], seqs: Sequence[str], generations: int = 1_000_000) -> str:
+    """An alignment with the commands of a Bayesian run."""
+    width = max(map(len, seqs), default=0)
+    rows = "\n".join(f"'{i}' {s}" for i, s in zip(ids, seqs))
+    return (
+        f"#NEXUS\nbegin data;\ndimensions ntax={len(ids)} nchar={width};\nformat datatype=dna missing=? gap=-;\nmatrix\n{rows}\n;\nend;\n"
+        f"begin mrbayes;\nset autoclose=yes nowarn=yes;\nlset nst=6 rates=gamma;\nmcmc ngen={generations};\nsumt burnin=250;\nend;\n"
+    )
+
+
+def external_trees(aligned: DataFrame, method: str, name: str = "tree_{dataset}_{method}", timeout: int = 3600) -> DataFrame:
+    """Node rows of one tree per dataset by an installed program; raises in the task where it is missing."""
+    command, made = PROGRAMS[method]
+
+    def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        if not shutil.which(command[0]):
+            raise RuntimeError(f"{command[0]} is not installed on this worker")
+        with tempfile.TemporaryDirectory() as at:  # the program's own files, within one task
+            places = {"aln": f"{at}/own.fasta", "out": f"{at}/own"}
+            Path(places["aln"]).write_text("".join(f">{i}\n{s}\n" for i, s in zip(rows["id"], rows["seq"])))
+            Path(f"{at}/own.nex").write_text(nexus_alignment(rows["id"].tolist(), rows["seq"].tolist()))
+            subprocess.run([c.format(**places) for c in command], capture_output=True, timeout=timeout, check=True)
+            return node_rows(name.format(dataset=key[0], method=method), parse(read_text(Path(made.format(**places)).read_text())))
+
+    return aligned.select("dataset", "id", "seq").groupBy("dataset").applyInPandas(run, NODE)
+
+
+def grid_trees(seqs: DataFrame, grid: DataFrame, aligners: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """From sequences (dataset, pos, id, seq) to the named trees of a grid: each dataset is aligned by each of its aligners, then each method builds.
+
+    aligners says how each name aligns; by default the native centre star stands in for all. Programs that are not installed raise.
+    """
+    names = [r["aligner"] for r in grid.select("aligner").distinct().collect()]  # a few names of programs
+    given = dict(aligners or {})
+    aligned = None
+    for a in sorted(names):
+        own = seqs.join(grid.filter(F.col("aligner") == a).select("dataset").distinct(), "dataset", "left_semi")
+        made = given.get(a, align)(own).withColumn("aligner", F.lit(a))
+        aligned = made if aligned is None else aligned.unionByName(made)
+    own = grid.filter(~F.col("method").isin(*EXTERNAL))
+    keys = ["dataset", "aligner", "method", "submethod"]
+
+    def build(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        return built(key[0], tree_name(key), rows, key[2], key[3])
+
+    out = aligned.join(own, ["dataset", "aligner"]).select(*keys, "id", "seq").groupBy(*keys).applyInPandas(build, NODE)
+    for r in sorted(map(tuple, grid.filter(F.col("method").isin(*EXTERNAL)).select("aligner", "method").distinct().collect())):
+        part = aligned.filter(F.col("aligner") == r[0]).join(grid.filter((F.col("aligner") == r[0]) & (F.col("method") == r[1])).select("dataset"), "dataset", "left_semi")
+        out = out.unionByName(external_trees(part, r[1], name=f"tree_{{dataset}}_{r[0]}_{{method}}"))
+    return out
+
+
+def registry_names(grid: DataFrame) -> DataFrame:
+    """grid with name, {aligner}_{method}[_{submethod}]_{i}: i counts a name's trees from 1, by dataset."""
+    name = F.concat_ws("_", "aligner", "method", "submethod")
+    place = F.row_number().over(Window.partitionBy("aligner", "method", "submethod").orderBy("dataset"))
+    return grid.withColumn("name", F.concat_ws("_", name, place.cast("string")))
+
+
 def parsimony_scores(nodes: DataFrame, aligned: DataFrame, trees: DataFrame) -> DataFrame:
     """tree and changes, for trees (tree, dataset): Fitch's count over the tree's own leaves."""
     leaf = nodes.join(trees, "tree").join(aligned.select("dataset", F.col("id").alias("name"), "seq"), ["dataset", "name"], "left")

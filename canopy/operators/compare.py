@@ -1,6 +1,7 @@
 """Distances between trees: Robinson-Foulds over clades, quartets, and tables of pairs.
 
-Pairs meet through what they share: |A - B| + |B - A| = |A| + |B| - 2 |A and B|, and the shared part is an equi-join on clades.
+Trees of one dataset are compared. Pairs meet through what they share: |A - B| + |B - A| = |A| + |B| - 2 |A and B|, and the shared part is an
+equi-join on clades. What all trees of a dataset hold (the root's clade at least) is counted once instead of being met by every pair.
 """
 
 from __future__ import annotations
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from canopy.functions.text import item_key
 from canopy.operators.trees import clades
 
+#: Parts that the pairs of a dataset's trees are dealt to.
+SPREAD = 16
+
 
 def clade_sets(nodes: DataFrame, positional: bool = False) -> DataFrame:
     """dataset-free (tree, clade) rows: a clade is its sorted taxa, or with positional the places of its leaves in the tree's own order."""
@@ -22,19 +26,30 @@ def clade_sets(nodes: DataFrame, positional: bool = False) -> DataFrame:
     return own.join(roots, "tree").select("tree", F.array_join(places.cast("array<string>"), ",").alias("clade")).distinct()
 
 
-def symmetric_difference(sets: DataFrame, tree: str = "tree", element: str = "clade", name: str = "rf") -> DataFrame:
-    """tree_a < tree_b and the size of the symmetric difference of their sets, for every pair of trees."""
-    sizes = sets.groupBy(tree).agg(F.count(F.lit(1)).alias("size"))
-    a, b = (sets.select(F.col(tree).alias(f"tree_{s}"), F.col(element).alias("_e")) for s in "ab")
-    shared = a.join(b, "_e").filter("tree_a < tree_b").groupBy("tree_a", "tree_b").agg(F.count(F.lit(1)).alias("both"))
-    left, right = (sizes.select(F.col(tree).alias(f"tree_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab")
-    pairs = left.join(right, F.col("tree_a") < F.col("tree_b"))
-    both = F.coalesce("both", F.lit(0))
-    return pairs.join(shared, ["tree_a", "tree_b"], "left").select("tree_a", "tree_b", (F.col("size_a") + F.col("size_b") - 2 * both).cast("long").alias(name))
-
+def symmetric_difference(sets: DataFrame, tree: str = "tree", element: str = "clade", name: str = "rf", datasets: DataFrame | None = None) -> DataFrame:
+    """tree_a < tree_b of one dataset and the size of the symmetric difference of their sets, for every pair of trees.
 
-def rf_distances(nodes: DataFrame, positional: bool = False) -> DataFrame:
-    return symmetric_difference(clade_sets(nodes, positional))
+    datasets says which dataset each tree is of (tree, dataset); without it, all trees are of one.
+    """
+    sets = sets.select(F.col(tree).alias("_tree"), F.col(element).alias("_e"))
+    sets = sets.join(datasets.select(F.col("tree").alias("_tree"), F.col("dataset").alias("_set")), "_tree") if datasets is not None else sets.withColumn("_set", F.lit(""))
+    sizes = sets.groupBy("_set", "_tree").agg(F.count(F.lit(1)).alias("size"))
+    trees = sizes.groupBy("_set").agg(F.count(F.lit(1)).alias("trees"))
+    held = sets.groupBy("_set", "_e").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(trees, "_set")
+    by_all = held.filter("n = trees").groupBy("_set").agg(F.count(F.lit(1)).alias("by_all"))
+    some = sets.join(held.filter("n < trees").select("_set", "_e"), ["_set", "_e"])
+    a, b = (some.select("_set", "_e", F.col("_tree").alias(f"tree_{s}")) for s in "ab")
+    shared = a.join(b, ["_set", "_e"]).filter("tree_a < tree_b").groupBy("_set", "tree_a", "tree_b").agg(F.count(F.lit(1)).alias("both"))
+    part = F.pmod(F.xxhash64("_tree"), F.lit(SPREAD)).cast("int")
+    left = sizes.select("_set", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part"), F.col("_tree").alias("tree_a"), F.col("size").alias("size_a"))
+    right = sizes.select("_set", part.alias("_part"), F.col("_tree").alias("tree_b"), F.col("size").alias("size_b"))
+    pairs = left.join(right, ["_set", "_part"]).filter("tree_a < tree_b").join(by_all, "_set", "left")
+    both = F.coalesce("both", F.lit(0)) + F.coalesce("by_all", F.lit(0))
+    return pairs.join(shared, ["_set", "tree_a", "tree_b"], "left").select("tree_a", "tree_b", (F.col("size_a") + F.col("size_b") - 2 * both).cast("long").alias(name))
+
+
+def rf_distances(nodes: DataFrame, positional: bool = False, datasets: DataFrame | None = None) -> DataFrame:
+    return symmetric_difference(clade_sets(nodes, positional), datasets=datasets)
 
 
 def matrix(pairs: DataFrame, value: str = "rf") -> DataFrame:
@@ -47,9 +62,10 @@ def matrix(pairs: DataFrame, value: str = "rf") -> DataFrame:
 
 def summary(pairs: DataFrame, value: str = "rf") -> DataFrame:
     """n_trees, n_pairs, mean, median, least, most."""
-    names = F.array_distinct(F.flatten(F.collect_set(F.array("tree_a", "tree_b"))))
-    return pairs.agg(
-        F.size(names).alias("n_trees"), F.count(F.lit(1)).alias("n_pairs"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("least"), F.max(value).alias("most")
+    # each pair stands twice, once for each of its trees, which leaves the mean, the median and the ends as they are
+    rows = pairs.select(value, F.posexplode(F.array("tree_a", "tree_b")).alias("_side", "_tree"))
+    return rows.agg(
+        F.count_distinct("_tree").alias("n_trees"), F.count_if(F.col("_side") == 0).alias("n_pairs"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("least"), F.max(value).alias("most")
     )
 
 
@@ -59,17 +75,17 @@ def accumulated(pairs: DataFrame, keys: tuple[str, str] = ("method_a", "method_b
 
 
 def quartets(nodes: DataFrame, max_leaves: int = 32) -> DataFrame:
-    """tree and signature of each four leaves: for each of their six pairs the leaves of the pair's smallest common clade.
+    """tree and signature of each four leaves: for each of their six pairs the pair's smallest common clade, as the item of its leaves.
 
-    The number of quartets is of the fourth power of the leaves: trees with more than max_leaves raise.
+    The number of quartets is of the fourth power of the leaves, so that trees with more than max_leaves raise; it is a parameter.
     """
-    own = clades(nodes).select("tree", "terminals", "n_terminals")
+    own = clades(nodes).select("tree", "terminals", "n_terminals", item_key(F.col("terminals")).alias("clade"))
     leaf = nodes.filter("is_terminal").select("tree", "name")
     many = leaf.groupBy("tree").agg(F.count(F.lit(1)).alias("n"))
     leaf = leaf.join(many, "tree").withColumn("name", F.when(F.col("n") > max_leaves, F.raise_error(F.lit("too many leaves for quartets")).cast("string")).otherwise(F.col("name"))).drop("n")
-    inside = own.select("tree", "n_terminals", F.array_sort("terminals").alias("t"), F.explode("terminals").alias("x"))
-    pair = inside.alias("p").select("tree", "n_terminals", "t", "x", F.explode("t").alias("y")).filter("x < y")
-    common = pair.groupBy("tree", "x", "y").agg(F.min_by("t", "n_terminals").alias("t"))
+    inside = own.select("tree", "n_terminals", "clade", "terminals", F.explode("terminals").alias("x"))
+    pair = inside.select("tree", "n_terminals", "clade", "x", F.explode("terminals").alias("y")).filter("x < y")
+    common = pair.groupBy("tree", "x", "y").agg(F.min_by("clade", "n_terminals").alias("clade"))
     four = leaf.select("tree", F.col("name").alias("a"))
     for column in "bcd":
         last = chr(ord(column) - 1)
@@ -78,9 +94,9 @@ def quartets(nodes: DataFrame, max_leaves: int = 32) -> DataFrame:
     each = four.select("tree", "a", "b", "c", "d", F.explode(pairs).alias("p")).select("tree", "a", "b", "c", "d", "p.x", "p.y")
     met = each.join(common, ["tree", "x", "y"])
     # the restriction of each clade to the four leaves would lose nothing that the pairs do not tell; whole clades are kept
-    signature = F.array_join(F.array_sort(F.collect_list(F.array_join("t", ","))), ";")
+    signature = F.array_join(F.array_sort(F.collect_list("clade")), ";")
     return met.groupBy("tree", "a", "b", "c", "d").agg(signature.alias("signature")).select("tree", F.concat_ws("|", "a", "b", "c", "d", "signature").alias("signature"))
 
 
-def quartet_distances(nodes: DataFrame) -> DataFrame:
-    return symmetric_difference(quartets(nodes), element="signature", name="quartet")
+def quartet_distances(nodes: DataFrame, datasets: DataFrame | None = None, max_leaves: int = 32) -> DataFrame:
+    return symmetric_difference(quartets(nodes, max_leaves), element="signature", name="quartet", datasets=datasets)

@@ -1,8 +1,9 @@
 """Recurring items over transactions: supports, maximal sets, histograms.
 
 In grid mode an item is in some maximal set at a threshold exactly if its own count reaches it, so supports need one distinct count per
-item and no enumeration. Maximal sets come from tidsets as bitmaps: each transaction is a bit (63 at most per group), items
-of equal bitmaps are one, and every maximal set at a count is the set of all items that hold a closed tidset.
+item and no enumeration. Maximal sets come from tidsets as bitmaps of as many words as a group's transactions take: items of equal
+bitmaps are one, and every maximal set at a count is the set of all items that hold a closed tidset. Closed tidsets are rows that grow in
+rounds; nothing of a group is gathered in one row or task.
 """
 
 from __future__ import annotations
@@ -10,11 +11,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_TRANSACTIONS = 63
-MAX_CLOSED = 100_000
+from canopy.operators.steps import cut
 
 
 def grid(float_parity: bool = False) -> list[float]:
@@ -23,9 +23,9 @@ def grid(float_parity: bool = False) -> list[float]:
 
 
 def min_count(threshold: Column, rows: Column, exact: bool = True) -> Column:
-    """Transactions that a threshold asks for. Exact grids compare in tenths, without binary noise."""
+    """Transactions that a threshold asks for, any share; exact ones are free of binary noise (to a millionth of a transaction)."""
     if exact:
-        return F.ceil(F.round(threshold * 10) * rows / F.lit(10)).cast("long")
+        return F.ceil(F.round(threshold * rows, 6)).cast("long")
     return F.ceil(threshold * rows).cast("long")
 
 
@@ -45,6 +45,23 @@ def grid_supports(counts: DataFrame, thresholds: Sequence[float] | None = None,
     return out.filter(F.size("supports") > 0)
 
 
+def occurrences(supports: DataFrame) -> DataFrame:
+    """supports (rows, support) with occurrences, the whole transactions that a support stands for, and percent, to two digits."""
+    return supports.withColumns({"occurrences": F.floor(F.round(F.col("rows") * F.col("support"), 6)).cast("long"), "percent": F.round(F.col("support") * 100, 2)})
+
+
+def one_hot(rows: DataFrame, items: Sequence[str], tree: str = "tree", item: str = "item") -> DataFrame:
+    """A row per transaction and a column (0 or 1) per item of a list; mining itself keeps the long form."""
+    held = F.max(F.when(F.col(item).isNotNull(), 1)).alias("held")
+    return rows.groupBy(tree).pivot(item, list(items)).agg(held).fillna(0, list(items))
+
+
+def item_subtrees(subtrees: DataFrame, items: DataFrame) -> DataFrame:
+    """item, tree, subtree, terminals, n_terminals and supports of every subtree that has one of some items."""
+    kept = [c for c in ("tree", "subtree", "terminals", "n_terminals", "supports") if c in subtrees.columns]
+    return subtrees.join(items.select("item").distinct(), "item").select("item", *kept)
+
+
 def annotate(subtrees: DataFrame, supports: DataFrame, keys: Sequence[str] = ("base", "item")) -> DataFrame:
     """subtrees with the supports of their items; empty where an item reaches none."""
     side = supports.select(*keys, "supports")
@@ -58,43 +75,52 @@ def first_tree(subtrees: DataFrame) -> DataFrame:
 
 
 def bitmaps(rows: DataFrame, group: str, tree: str, item: str) -> DataFrame:
-    """group, bitmap (the transactions of equal items), items (sorted) and rows. Raises where a group has more than 63."""
+    """group, bitmap (the transactions of equal items, 64 a word), items (sorted) and rows, of items with a transaction."""
     trees = rows.select(group, tree).distinct()
-    listed = trees.groupBy(group).agg(F.array_sort(F.collect_list(tree)).alias("_trees"))
-    many = F.when(F.size("_trees") > MAX_TRANSACTIONS, F.raise_error(F.lit("a group has more than 63 transactions")).cast("array<string>")).otherwise(F.col("_trees"))
-    placed = listed.withColumn("_trees", many).select(group, F.size("_trees").alias("rows"), F.posexplode("_trees").alias("bit", tree))
+    sizes = trees.groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
+    placed = trees.withColumn("_at", F.row_number().over(Window.partitionBy(group).orderBy(tree)) - 1)
     bits = rows.select(group, tree, item).distinct().join(placed, [group, tree])
-    one = bits.groupBy(group, item).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bitmap"), F.first("rows").alias("rows"))
-    return one.groupBy(group, "bitmap").agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("rows").alias("rows"))
+    words = bits.groupBy(group, item, F.floor(F.col("_at") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, _at % 64)")).alias("bits"))
+    one = words.groupBy(group, item).agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("_m")).join(sizes, group)
+    whole = F.transform(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / 64).cast("int")), lambda w: F.coalesce(F.col("_m")[w], F.lit(0).cast("long")))
+    return one.withColumn("bitmap", whole).groupBy(group, "bitmap").agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("rows").alias("rows"))
+
+
+def _bits(bitmap: Column) -> Column:
+    return F.aggregate(bitmap, F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w))
 
 
-def maximal_itemsets(rows: DataFrame, threshold: float, group: str, tree: str, item: str, max_closed: int = MAX_CLOSED) -> DataFrame:
+def maximal_itemsets(rows: DataFrame, threshold: float, group: str, tree: str, item: str) -> DataFrame:
     """group, items, n and support of each maximal frequent set.
 
-    The closed tidsets are all intersections of the bitmaps; they are built in rounds that each add intersections with the
-    bitmaps, keep those with enough bits, and end when no new one comes. max_closed bounds them per group: beyond it this raises.
+    The frequent closed tidsets are the frequent items' bitmaps and all their intersections that are frequent. Each round
+    intersects the new ones with all items' bitmaps and saves those not seen before, until none comes. A tidset's items are a maximal set exactly
+    if no other item's bitmap leaves it frequent. Sets that are maximal at a low threshold may be exponentially many in the items; nothing is cut.
     """
     maps = bitmaps(rows, group, tree, item)
-    need = min_count(F.lit(threshold), F.col("rows")) if abs(threshold * 10 - round(threshold * 10)) < 1e-9 else F.ceil(F.lit(threshold) * F.col("rows"))
-    maps = maps.withColumn("need", F.greatest(need.cast("long"), F.lit(1))).filter(F.bit_count("bitmap") >= F.col("need"))
-    packed = maps.groupBy(group).agg(F.collect_list(F.struct("bitmap", "items")).alias("own"), F.first("need").alias("need"), F.first("rows").alias("rows"))
-
-    def closed(own: Column, need: Column) -> Column:
-        seeds = F.array_distinct(F.transform(own, lambda o: o["bitmap"]))
-        grow = lambda acc, o: F.array_distinct(
-            F.concat(acc, F.filter(F.transform(acc, lambda t: t.bitwiseAND(o["bitmap"])), lambda t: F.bit_count(t) >= need))
-        )
-        capped = lambda acc: F.when(F.size(acc) > max_closed, F.raise_error(F.lit("too many closed sets")).cast("array<bigint>")).otherwise(acc)
-        return F.aggregate(own, seeds, lambda acc, o: capped(grow(acc, o)))
-
-    tids = packed.select(group, "own", "need", "rows", closed(F.col("own"), F.col("need")).alias("tids"))
-    # a set is maximal exactly if no other closed tidset with enough bits lies inside its own
-    least = F.filter("tids", lambda t: ~F.exists("tids", lambda u: (u != t) & (u.bitwiseAND(t) == u)))
-    each = tids.withColumn("least", least).select(group, "own", "rows", F.explode("least").alias("tid"))
-    inside = F.filter("own", lambda o: o["bitmap"].bitwiseAND(F.col("tid")) == F.col("tid"))
-    items = F.array_sort(F.flatten(F.transform(inside, lambda o: o["items"])))
-    n = F.bit_count("tid").cast("long")
-    return each.select(group, items.alias("items"), n.alias("n"), (n / F.col("rows")).alias("support"))
+    maps = maps.withColumn("need", F.greatest(min_count(F.lit(threshold), F.col("rows")), F.lit(1))).withColumn("n", _bits(F.col("bitmap"))).filter("n >= need")
+    maps = cut(maps)
+    known = new = maps.select(group, "bitmap")
+    side = maps.select(F.col(group).alias("_g"), F.col("bitmap").alias("_b"), "need")
+    open_ = []
+    while True:
+        met = new.join(side, (new[group] == side["_g"]) & (new["bitmap"] != side["_b"])).drop("_g")
+        met = met.withColumn("_and", F.zip_with("bitmap", "_b", lambda x, y: x.bitwiseAND(y)))
+        grown = cut(met.filter((F.col("_and") != F.col("bitmap")) & (_bits(F.col("_and")) >= F.col("need"))).select(group, "bitmap", "_and"))
+        open_.append(grown.select(group, "bitmap"))
+        new = cut(grown.select(group, F.col("_and").alias("bitmap")).distinct().join(known, [group, "bitmap"], "left_anti"))
+        if new.isEmpty():
+            break
+        known = known.unionByName(new)
+    grows = open_[0]
+    for more in open_[1:]:
+        grows = grows.unionByName(more)
+    least = known.join(grows.distinct(), [group, "bitmap"], "left_anti").withColumnRenamed("bitmap", "_tid")
+    own = maps.select(group, F.col("bitmap").alias("_b"), "items", "rows")
+    inside = least.join(own, group).filter(F.zip_with("_tid", "_b", lambda x, y: x.bitwiseAND(y)) == F.col("_tid"))
+    n = _bits(F.col("_tid"))
+    out = inside.groupBy(group, "_tid").agg(F.array_sort(F.flatten(F.collect_list("items"))).alias("items"), F.first("rows").alias("rows"))
+    return out.select(group, "items", n.alias("n"), (n / F.col("rows")).alias("support"))
 
 
 def histogram(values: DataFrame, column: str, bins: int = 10) -> DataFrame:
@@ -113,6 +139,4 @@ def histogram(values: DataFrame, column: str, bins: int = 10) -> DataFrame:
 
 def exact_min_count(threshold: float, rows: int, float_parity: bool = False) -> int:
     """min_count for plain numbers."""
-    if float_parity:
-        return math.ceil(threshold * rows)
-    return -(-round(threshold * 10) * rows // 10)
+    return math.ceil(threshold * rows if float_parity else round(threshold * rows, 6))

@@ -1,16 +1,18 @@
 """Trees as node tables, and their clades.
 
 A node is a row (tree, node_id, parent_id, child_ord, name, branch_length, is_terminal, pre, post, depth). A clade's leaves
-are those whose pre lies inside the clade's interval of pre and post, so that subtree queries are interval joins inside a
-tree, not recursion; trees are dealt by name.
+are a slice of its tree's leaves in pre-order, and its nodes a slice of the tree's nodes, so that subtree queries are joins by number,
+not recursion.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from canopy.functions.text import base_name, hash16, item_hash, item_key, without_version
+from canopy.operators.steps import cut
 
 NODE = "tree string, node_id int, parent_id int, child_ord int, name string, branch_length double, is_terminal boolean, pre int, post int, depth int"
 
@@ -22,19 +24,50 @@ def label_internals(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("name", F.when(nameless, F.concat(F.lit("Inner"), number.cast("string"))).otherwise(F.col("name")))
 
 
+def _placed(nodes: DataFrame) -> DataFrame:
+    """nodes with _rank (from 1, by pre), _size (of the node's subtree), _leaf (leaves before it, by pre) and n_terminals (leaves of its subtree).
+
+    What a node has below it is finished before it and begins after it, so running counts by pre and by post give both numbers.
+    """
+    by_pre, by_post = Window.partitionBy("tree").orderBy("pre"), Window.partitionBy("tree").orderBy("post")
+    leaf = F.col("is_terminal").cast("int")
+    out = nodes.withColumns({"_rank": F.row_number().over(by_pre), "_leaf": F.sum(leaf).over(by_pre) - leaf})
+    out = out.withColumns({"_done": F.row_number().over(by_post), "_leaves_done": F.sum(leaf).over(by_post)})
+    # _done counts the node, all below it and all that are left of it; ranks up to its own less one count its ancestors, too
+    return out.withColumns({"_size": F.col("_done") - F.col("_rank") + 1 + F.col("depth"), "n_terminals": (F.col("_leaves_done") - F.col("_leaf")).cast("int")}).drop("_done", "_leaves_done")
+
+
+def clade_sizes(nodes: DataFrame) -> DataFrame:
+    """tree, node_id, name, pre and n_terminals of each clade of more than one leaf, without listing its leaves."""
+    return _placed(nodes).filter("not is_terminal and n_terminals > 1").select("tree", "node_id", "name", "pre", "n_terminals")
+
+
 def clades(nodes: DataFrame) -> DataFrame:
     """Per clade of more than one leaf: tree, node_id, subtree, pre, terminals (pre-order), n_terminals.
 
-    A node's subtree ends at the pre of its last descendant; leaves meet the clades of their own tree only.
+    In pre-order the leaves of a clade are a slice of its tree's leaves, so that clades meet their own leaves only, by number.
     """
-    tops = nodes.filter(~F.col("is_terminal")).select("tree", "node_id", "name", "pre", F.col("post").alias("_post"))
-    leaves = nodes.filter("is_terminal").select("tree", F.col("pre").alias("_pre"), F.col("post").alias("_lpost"), F.col("name").alias("_leaf"))
-    inside = (F.col("_pre") > F.col("pre")) & (F.col("_lpost") < F.col("_post"))
-    met = tops.join(leaves, "tree").filter(inside)
-    listed = F.sort_array(F.collect_list(F.struct("_pre", "_leaf")))
-    out = met.groupBy("tree", "node_id", "name", "pre").agg(listed.alias("_l"))
-    out = out.withColumn("terminals", F.transform("_l", lambda x: x["_leaf"])).filter(F.size("terminals") > 1)
-    return out.select("tree", "node_id", F.concat_ws("_", "tree", "name").alias("subtree"), "pre", "terminals", F.size("terminals").alias("n_terminals"))
+    placed = _placed(nodes)
+    tops = placed.filter("not is_terminal and n_terminals > 1").select("tree", "node_id", F.col("name").alias("_name"), "pre", "n_terminals", F.explode(F.sequence(F.col("_leaf"), F.col("_leaf") + F.col("n_terminals") - 1)).alias("_at"))
+    leaves = placed.filter("is_terminal").select("tree", F.col("_leaf").alias("_at"), "name")
+    listed = F.sort_array(F.collect_list(F.struct("_at", "name")))
+    out = tops.join(leaves, ["tree", "_at"]).groupBy("tree", "node_id").agg(*[F.first(c).alias(c) for c in ("_name", "pre", "n_terminals")], listed.alias("_l"))
+    return out.select("tree", "node_id", F.concat_ws("_", "tree", "_name").alias("subtree"), "pre", F.transform("_l", lambda x: x["name"]).alias("terminals"), "n_terminals")
+
+
+def clade_nodes(nodes: DataFrame) -> DataFrame:
+    """Node rows of each clade of more than one leaf as a tree of its own, named tree_clade."""
+    placed = _placed(label_internals(nodes))
+    tops = placed.filter("not is_terminal and n_terminals > 1").select(
+        "tree", F.concat_ws("_", "tree", "name").alias("_subtree"), F.col("node_id").alias("_top"), F.col("pre").alias("_pre"), F.col("depth").alias("_depth"),
+        F.col("post").alias("_post"), F.col("_size").alias("_n"), F.explode(F.sequence(F.col("_rank"), F.col("_rank") + F.col("_size") - 1)).alias("_rank"),
+    )
+    own = tops.join(placed.drop("n_terminals", "_leaf", "_size"), ["tree", "_rank"])
+    first = F.col("node_id") == F.col("_top")
+    return own.select(
+        F.col("_subtree").alias("tree"), "node_id", F.when(~first, F.col("parent_id")).alias("parent_id"), F.when(first, 0).otherwise(F.col("child_ord")).alias("child_ord"), "name",
+        "branch_length", "is_terminal", (F.col("pre") - F.col("_pre")).alias("pre"), (F.col("post") - F.col("_post") + F.col("_n") - 1).alias("post"), (F.col("depth") - F.col("_depth")).alias("depth"),
+    )
 
 
 def subtrees(nodes: DataFrame, parity: bool = False) -> DataFrame:
@@ -61,21 +94,51 @@ def largest_subtree(rows: DataFrame, by_tree: bool = True) -> DataFrame:
 def counters(nodes: DataFrame) -> DataFrame:
     """Nodes, leaves and clades of more than one leaf, per tree."""
     own = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if("is_terminal").alias("n_terminals"))
-    return own.join(clades(nodes).groupBy("tree").agg(F.count(F.lit(1)).alias("n_subtrees")), "tree", "left").fillna(0, ["n_subtrees"])
+    return own.join(clade_sizes(nodes).groupBy("tree").agg(F.count(F.lit(1)).alias("n_subtrees")), "tree", "left").fillna(0, ["n_subtrees"])
 
 
-def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """ancestor, descendant and distance over edges (parent, child) of a shallow hierarchy.
+def closure(edges: DataFrame) -> DataFrame:
+    """ancestor, descendant and distance (the least) over edges (parent, child), to any depth; a cycle raises.
 
-    Paths double each round, so that max_depth levels take its logarithm of joins.
+    Each round joins the longest paths to all paths and so doubles the distance that is reached; it is saved, so that plans do not grow.
     """
-    paths = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("distance"))
-    reach = 1
-    while reach < max_depth:
-        a, b = paths.alias("a"), paths.alias("b")
-        longer = a.join(b, F.col("a.descendant") == F.col("b.ancestor")).select(
-            F.col("a.ancestor"), F.col("b.descendant"), (F.col("a.distance") + F.col("b.distance")).alias("distance")
-        )
-        paths = paths.unionByName(longer).groupBy("ancestor", "descendant").agg(F.min("distance").alias("distance"))
-        reach *= 2
-    return paths
+    paths = cut(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("distance")).filter("ancestor is not null and descendant is not null").distinct())
+    new, reach = paths, 1
+    while True:
+        found = new.agg(F.count(F.lit(1)), F.bool_or(F.col("ancestor") == F.col("descendant"))).first()
+        if found[1]:
+            raise ValueError("the edges hold a cycle")
+        if not found[0]:
+            return paths
+        a, b = new.filter(F.col("distance") == reach).alias("a"), paths.alias("b")
+        longer = a.join(b, F.col("a.descendant") == F.col("b.ancestor")).groupBy(F.col("a.ancestor"), F.col("b.descendant")).agg(F.min(F.col("a.distance") + F.col("b.distance")).alias("distance"))
+        new = cut(longer.join(paths, ["ancestor", "descendant"], "left_anti"))
+        paths, reach = paths.unionByName(new), 2 * reach
+
+
+def single_linkage(pairs: DataFrame, value: str = "distance") -> DataFrame:
+    """dataset, step (from 1), a, b, height and size: the merges of a dendrogram by single linkage of pairs (dataset, a, b, value).
+
+    a and b are the smallest members of the two clusters, a before b; equal heights go by the pair that joins them. A dataset's pairs,
+    quadratic in its members, meet in one task.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        root: dict = {}
+        size: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for x, y, height in rows.sort_values([value, "a", "b"])[["a", "b", value]].itertuples(index=False):
+            a, b = sorted((find(x), find(y)))
+            if a != b:
+                root[b], size[a] = a, size.get(a, 1) + size.get(b, 1)
+                out.append((rows["dataset"].iloc[0], len(out) + 1, a, b, float(height), size[a]))
+        return pd.DataFrame(out, columns=["dataset", "step", "a", "b", "height", "size"])
+
+    ordered = pairs.select("dataset", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col(value).cast("double").alias(value)).filter("a <> b")
+    return ordered.groupBy("dataset").applyInPandas(run, "dataset string, step int, a string, b string, height double, size int")

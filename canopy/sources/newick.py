@@ -113,13 +113,18 @@ def nexus_newick(text: str) -> str:
     return write(clade)
 
 
+def read_text(text: str) -> str:
+    """A tree's newick, from newick or nexus text."""
+    return nexus_newick(text) if text.lstrip()[:6].lower() == "#nexus" else text
+
+
 def to_nodes(texts: DataFrame) -> DataFrame:
     """Node rows of texts (tree, text), newick or nexus."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for tree, text in zip(batch["tree"], batch["text"]):
-                yield node_rows(tree, parse(nexus_newick(text) if text.lstrip()[:6].lower() == "#nexus" else text))
+                yield node_rows(tree, parse(read_text(text)))
 
     return texts.select("tree", "text").mapInPandas(run, NODE)
 

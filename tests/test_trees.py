@@ -1,7 +1,9 @@
 import itertools
 import random
+import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from canopy.operators import align, build, compare, graph, mining, trees
@@ -148,5 +150,160 @@ def test_graph(spark):
 
 
 def test_closure(spark):
-    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(9)], "parent string, child string")
-    assert trees.closure(edges, 16).count() == 45
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(200)], "parent string, child string")
+    found = trees.closure(edges).collect()
+    assert len(found) == 200 * 201 // 2 and all(int(r.descendant) - int(r.ancestor) == r.distance for r in found)
+    several = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "d")], "parent string, child string")
+    assert {tuple(r) for r in trees.closure(several).collect()} == {("a", "b", 1), ("b", "c", 1), ("a", "c", 1), ("c", "d", 1), ("x", "d", 1), ("b", "d", 2), ("a", "d", 2)}
+    with pytest.raises(ValueError):
+        trees.closure(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "parent string, child string"))
+    assert trees.closure(edges.limit(0)).count() == 0
+
+
+def random_clade(rng, names):
+    if len(names) == 1:
+        return newick.Clade(name=names[0])
+    cuts = sorted(rng.sample(range(1, len(names)), min(len(names) - 1, rng.choice([1, 1, 2, 3]))))
+    return newick.Clade(children=[random_clade(rng, names[a:b]) for a, b in zip([0, *cuts], [*cuts, len(names)])])
+
+
+def leaves(c):
+    return [n for x in c.children for n in leaves(x)] if c.children else [c.name]
+
+
+def test_clades_of_random_trees(spark):
+    rng = random.Random(3)
+    rows, want = [], {}
+    for t in range(12):
+        names = [f"x{i}" for i in range(rng.randint(1, 40))]
+        rng.shuffle(names)
+        clade = random_clade(rng, names)
+        rows.append((f"t_{t}", newick.write(clade)))
+        todo = [clade]
+        while todo:
+            c = todo.pop()
+            todo += c.children
+            if len(leaves(c)) > 1:
+                want.setdefault(f"t_{t}", []).append(tuple(leaves(c)))
+    table = nodes(spark, rows)
+    got: dict = {}
+    for r in trees.clades(table).collect():
+        assert r.n_terminals == len(r.terminals)
+        got.setdefault(r.tree, []).append(tuple(r.terminals))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    # each clade as a tree of its own, read back
+    own = {r.tree: r.text for r in newick.to_newick(trees.clade_nodes(table)).collect()}
+    assert sorted(tuple(leaves(newick.parse(x))) for x in own.values()) == sorted(x for v in want.values() for x in v)
+    again = newick.to_nodes(spark.createDataFrame(list(own.items()), "tree string, text string")).select("tree", "name", "pre", "post", "depth")
+    assert again.exceptAll(trees.clade_nodes(table).select(again.columns)).count() == 0
+
+
+def test_single_linkage_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(f"d{k}", f"p{i}", f"p{j}", float(rng.randint(1, 9))) for k in range(6) for i in range(k + 2) for j in range(i)]
+    got: dict = {}
+    for r in trees.single_linkage(spark.createDataFrame(rows, "dataset string, a string, b string, distance double")).orderBy("dataset", "step").collect():
+        got.setdefault(r.dataset, []).append((r.height, r["size"]))
+    for k in range(6):
+        own = {(a, b): d for s, a, b, d in rows if s == f"d{k}"}
+        clusters, heights = [{f"p{i}"} for i in range(k + 2)], []
+        while len(clusters) > 1:
+            apart = lambda x, y: min(d for (a, b), d in own.items() if (a in x and b in y) or (a in y and b in x))  # noqa: E731, B023
+            height, i, j = min((apart(clusters[i], clusters[j]), i, j) for i in range(len(clusters)) for j in range(i))
+            clusters[j] |= clusters.pop(i)
+            heights.append(height)
+        assert [h for h, _ in got[f"d{k}"]] == heights and got[f"d{k}"][-1][1] == k + 2
+
+
+def test_distances_in_blocks(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"d{k}", f"s{i:03d}", "".join(rng.choice("ACG-é") for _ in range(17))) for k, n in enumerate((1, 2, 40)) for i in range(n)] + [("empty", "a", ""), ("empty", "b", "")]
+    df = spark.createDataFrame(rows, "dataset string, id string, seq string").repartition(3)
+    want = {(d, a, b): sum(x != y for x, y in zip(s, t)) / max(len(s), 1) for d, a, s in rows for e, b, t in rows if d == e and a < b}
+    for size in (7, 512):
+        monkeypatch.setattr(build, "BLOCK_ROWS", size)
+        got = {(r.dataset, r.id_a, r.id_b): r.dist for r in build.identity_distances(df).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+
+
+def test_datasets_of_one_sequence(spark):
+    aligned = spark.createDataFrame([("one", "a", "AC"), ("two", "a", "AC"), ("two", "b", "AG")], "dataset string, id string, seq string")
+    made = build.distance_trees(build.identity_distances(aligned), members=aligned)
+    assert {r.tree: r.n for r in made.filter("is_terminal").groupBy("tree").agg(F.count(F.lit(1)).alias("n")).collect()} == {"tree_one_nj": 1, "tree_one_upgma": 1, "tree_two_nj": 2, "tree_two_upgma": 2}
+    twice = aligned.union(aligned.filter("id = 'b'"))
+    with pytest.raises(Exception, match="twice"):
+        build.distance_trees(build.identity_distances(twice), members=twice).count()
+
+
+def test_climb_keeps_count(monkeypatch):
+    """Interchanges scored on their way to the root are as the whole tree scored anew, and no better neighbour is left."""
+    rng = random.Random(6)
+    for n in (4, 5, 9, 14):
+        seqs = {f"s{i}": "".join(rng.choice("ACGT") for _ in range(12)) for i in range(n)}
+        states = build.symbol_sets(seqs)
+        clade = random_clade(rng, list(seqs))
+        score = build.Changes(clade, states)
+        for changed in build.interchanges(clade):
+            before, total = score.rescored(changed), score.total
+            assert total == build.fitch(clade, states)
+            score.restore(before)
+        assert score.total == build.fitch(clade, states)
+        best, found = build.climb(clade, seqs)
+        assert found == build.fitch(best, states) and not any(build.fitch(best, states) < found for _ in build.interchanges(best)) and sorted(leaves(best)) == sorted(seqs)
+
+
+def test_deep_trees_are_scored():
+    text = "(" * 3000 + "A" + ",B)" * 3000 + ";"
+    assert build.fitch(newick.parse(text), build.symbol_sets({"A": "AC", "B": "AG"})) == 1
+
+
+def test_single_mode_and_programs(spark):
+    datasets = spark.createDataFrame([("d",)], "dataset string")
+    one = lambda *x: [tuple(r) for r in build.method_grid(datasets, "single", single=x).collect()]
+    assert one("mafft", "nj", None) == [("d", "mafft", "distance", "nj")] and one("clustalo", "parsimony", "upgma") == [("d", "clustalo", "parsimony", "upgma")]
+    assert one("mafft", "iqtree", "nj") == [("d", "mafft", "iqtree", None)]
+    with pytest.raises(ValueError):
+        one("mafft", "other", None)
+    with pytest.raises(ValueError):
+        build.method_grid(datasets, "else")
+    aligned = spark.createDataFrame([("d", "a", "AC"), ("d", "b", "AG")], "dataset string, id string, seq string")
+    for method in build.EXTERNAL:
+        with pytest.raises(Exception, match="not installed"):
+            build.external_trees(aligned, method).count()
+    assert "ntax=2 nchar=2" in build.nexus_alignment(["a", "b"], ["AC", "AG"])
+
+
+def test_grid_trees(spark):
+    seqs = spark.createDataFrame([("d", 0, "a", "ACGTT"), ("d", 1, "b", "AGTT"), ("d", 2, "c", "ACGT"), ("e", 0, "x", "AA")], "dataset string, pos long, id string, seq string")
+    made = build.grid_trees(seqs, build.method_grid(seqs, "auto", "clustalo").filter("aligner = 'mafft'"))
+    names = {r.tree for r in made.select("tree").distinct().collect()}
+    assert names == {f"tree_{d}_mafft_{c}_{m}" for d in "de" for c in ("nj", "upgma") for m in ("distance", "parsimony")}
+    assert made.filter("is_terminal").count() == 16
+
+
+def test_maximal_sets_of_many_transactions(spark):
+    rng = random.Random(7)
+    sets = {f"t{i:03d}": {x for x in "abcdefgh" if rng.random() < 0.7} for i in range(150)}
+    df = spark.createDataFrame([("g", t, x) for t, s in sets.items() for x in s], "g string, t string, x string")
+    live = [s for s in sets.values() if s]
+    for threshold in (0.3, 1 / 3, 0.6):
+        need = mining.exact_min_count(threshold, len(live))
+        frequent = [frozenset(c) for n in range(1, 9) for c in itertools.combinations("abcdefgh", n) if sum(set(c) <= s for s in live) >= need]
+        want = {"".join(sorted(f)): sum(f <= s for s in live) for f in frequent if not any(f < h for h in frequent)}
+        assert {"".join(r["items"]): r.n for r in mining.maximal_itemsets(df, threshold, "g", "t", "x").collect()} == want
+    assert mining.maximal_itemsets(df.limit(0), 0.5, "g", "t", "x").count() == 0
+
+
+def test_thresholds_off_the_tenths(spark):
+    counts = spark.createDataFrame([("g", "x", 5, 20), ("g", "y", 4, 20), ("h", "x", 2, 3)], "g string, item string, n long, rows long")
+    got = {(r.g, r["item"]): list(r.supports) for r in mining.grid_supports(counts, [0.15, 0.25, 2 / 3]).collect()}
+    assert got == {("g", "x"): [0.15, 0.25], ("g", "y"): [0.15], ("h", "x"): [0.15, 0.25, 2 / 3]}
+
+
+def test_statements_cannot_be_broken_out_of(spark):
+    name = "t\\' }) DETACH DELETE n //"
+    rows = spark.createDataFrame([(name, "s'\n\\", [0.5])], "tree string, subtree string, supports array<double>")
+    for r in graph.statements(rows, "u\\'x").collect():
+        assert "\n" not in r.value
+        outside = re.sub(r"'(?:[^'\\]|\\.)*'", "''", r.value)
+        assert "'" not in outside.replace("''", "") and "DETACH" not in outside and "\\" not in outside
