@@ -21,8 +21,9 @@ def without_version(accession: Column) -> Column:
 
 
 def organism_key(name: Column) -> Column:
-    """Lower case, runs of other than word characters as one underscore, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"[\W_]+", "_"), r"^_|_$", "")
+    """Lower case, runs of other than word characters (of any script) as one underscore, none at the ends; unknown where nothing is left."""
+    key = F.regexp_replace(F.regexp_replace(F.lower(F.trim(name)), r"(?U)[\W_]+", "_"), r"^_|_$", "")
+    return F.coalesce(F.nullif(key, F.lit("")), F.lit("unknown"))
 
 
 def country_of(location: Column) -> Column:
@@ -83,5 +84,21 @@ def wrapped(sequence: Column, width: int = 60) -> Column:
 
 
 def json_escaped(value: Column) -> Column:
-    """A JSON text with single quotes escaped for a graph statement."""
-    return F.replace(value, F.lit("'"), F.lit("\\'"))
+    """A text for single quotes in a graph statement: backslashes are escaped first, so that no text ends the quotes, then quotes and line ends."""
+    out = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    return F.replace(F.replace(out, F.lit("\n"), F.lit("\\n")), F.lit("\r"), F.lit("\\r"))
+
+
+def padded(row: Column, size: int, fill: Column) -> Column:
+    """An array with fill at its end up to size."""
+    return F.concat(row, F.array_repeat(fill, F.greatest(F.lit(size) - F.size(row), F.lit(0)).cast("int")))
+
+
+def is_item_hash(item: Column, hashes: Column) -> Column:
+    """Whether an item is the hash of this list."""
+    return item == item_hash(hashes)
+
+
+def is_terminal_hash(value: Column, name: Column) -> Column:
+    """Whether a leaf's hash is that of this name, with its version."""
+    return value == hash16(name)

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import shutil
 import subprocess
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from canopy.operators.cleaning import CLUSTAL_LIMIT
 
 MATCH, MISMATCH, GAP = 1, -1, -2
 ALIGNED = "dataset string, id string, seq string"
@@ -112,3 +116,18 @@ def external(seqs: DataFrame, strategy: str, timeout: int = 3600) -> DataFrame:
         return pd.DataFrame([(rows["dataset"].iloc[0], h.split()[0], b.replace("\n", "")) for h, _, b in parts], columns=["dataset", "id", "seq"])
 
     return seqs.select("dataset", "id", "seq").groupBy("dataset").applyInPandas(run, ALIGNED)
+
+
+def remembered(seqs: DataFrame, done: DataFrame, chain: Sequence[Callable[[DataFrame], DataFrame]] = (), limit: int = CLUSTAL_LIMIT) -> DataFrame:
+    """Alignments of seqs: those that are done (dataset, id, seq) as they are, the others anew.
+
+    chain has two aligners: datasets whose longest sequence is within limit go to the first, others to the second; without it, all go to
+    the centre star.
+    """
+    first, second = chain or (align, align)
+    wanted = seqs.select("dataset").distinct()
+    todo = seqs.join(done.select("dataset").distinct(), "dataset", "left_anti")
+    over = todo.groupBy("dataset").agg(F.max(F.length("seq")).alias("_longest"))
+    short, long = (todo.join(over.filter(c).select("dataset"), "dataset", "left_semi") for c in (F.coalesce("_longest", F.lit(0)) <= limit, F.col("_longest") > limit))
+    kept = done.join(wanted, "dataset", "left_semi").select("dataset", "id", "seq")
+    return kept.unionByName(first(short)).unionByName(second(long))

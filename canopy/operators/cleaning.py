@@ -48,12 +48,12 @@ def dedup_sequences(seqs: DataFrame) -> DataFrame:
     return keep_first(seqs, ["dataset", F.md5("seq")], ["pos"])
 
 
-def gate(seqs: DataFrame, alphabet: str = PROTEIN) -> DataFrame:
-    """Datasets that are clean stay as they are; others are deduplicated."""
-    flags = dataset_flags(seqs, alphabet).select("dataset", "clean")
-    whole = seqs.join(flags.filter("clean").select("dataset"), "dataset", "left_semi")
-    rest = seqs.join(flags.filter("not clean").select("dataset"), "dataset", "left_semi")
-    return whole.unionByName(dedup_sequences(rest))
+def gate(seqs: DataFrame) -> DataFrame:
+    """Datasets that are clean stay as they are; others are deduplicated.
+
+    A clean dataset repeats no sequence, so that deduplicating it leaves it as it is: one pass does both.
+    """
+    return dedup_sequences(seqs)
 
 
 def refine(seqs: DataFrame, min_length: int, ignore_case: bool = False) -> DataFrame:
@@ -81,10 +81,20 @@ def subsample(seqs: DataFrame, k: int, seed: int = 0) -> DataFrame:
     return seqs.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def chunks(rows: DataFrame, size: int = 50, order: str = "pos", by: str = "dataset") -> DataFrame:
-    """rows with chunk, from 1: every size rows of a dataset in order."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return rows.withColumn("chunk", F.floor((place - 1) / size) + 1)
+def chunks(rows: DataFrame, size: int = 50, order: str = "pos", by: str = "dataset", ranges: int = 64) -> DataFrame:
+    """rows with chunk, from 1: every size rows of a dataset in order (a number).
+
+    Rows are numbered within ranges of the order, whose counts say where each starts, so that a large dataset is not numbered in one task.
+    """
+    ends = rows.select(F.percentile_approx(order, [i / ranges for i in range(1, ranges)])).first()[0] or []
+    at = F.size(F.filter(F.array(*map(F.lit, sorted(set(ends)))), lambda e: e < F.col(order))) if ends else F.lit(0)
+    placed = rows.withColumn("_range", at)
+    counts = placed.groupBy(by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(F.col(by).alias("_by"), F.col("_range").alias("_r"), before.alias("_before"))
+    placed = placed.join(starts, placed[by].eqNullSafe(starts["_by"]) & (placed["_range"] == starts["_r"]))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(by, "_range").orderBy(order))
+    return placed.withColumn("chunk", F.floor((place - 1) / size) + 1).select(*rows.columns, "chunk")
 
 
 def without_ignored(grid: DataFrame, ignored: str | Iterable[str] | None, column: str = "method") -> DataFrame:

@@ -43,13 +43,13 @@ def sequence_supports(subtrees: DataFrame) -> DataFrame:
 
 
 def long_indicators(table: DataFrame, dataset: str) -> DataFrame:
-    """dataset, country, year, metric and value of a wide table; the columns of country and year are found by name."""
+    """dataset, country, year, row (the wide row's place), metric and value of a wide table; the columns of country and year are found by name."""
     country, year = C.first_column(table.columns, C.COUNTRY_COLUMNS), C.first_column(table.columns, C.YEAR_COLUMNS)
     if not country or not year:
         raise ValueError("no column of countries or of years")
     numbers = [n for n, t in table.dtypes if n not in (country, year) and t.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")]
-    wide = table.select(F.col(country).alias("country"), F.col(year).cast("int").alias("year"), *[F.col(n).cast("double").alias(n) for n in numbers])
-    return wide.unpivot(["country", "year"], numbers, "metric", "value").withColumn("dataset", F.lit(dataset))
+    wide = table.select(F.col(country).alias("country"), F.col(year).cast("int").alias("year"), F.monotonically_increasing_id().alias("row"), *[F.col(n).cast("double").alias(n) for n in numbers])
+    return wide.unpivot(["country", "year", "row"], numbers, "metric", "value").withColumn("dataset", F.lit(dataset))
 
 
 def categories(metric: Column) -> Column:
@@ -65,7 +65,7 @@ def extract_metrics(rows: DataFrame) -> DataFrame:
 
 def with_indicators(info: DataFrame, indicators: DataFrame) -> DataFrame:
     """info left-joined to indicator rows on country and year."""
-    side = indicators.select(F.lower("country").alias("_country"), F.col("year").alias("_year"), "dataset", "metric", "value")
+    side = indicators.select(F.lower("country").alias("_country"), F.col("year").alias("_year"), *[c for c in ("dataset", "row", "metric", "value") if c in indicators.columns])
     return info.join(side, (country_key(F.col("country")) == F.col("_country")) & (F.col("year") == F.col("_year")), "left").drop("_country", "_year")
 
 
@@ -82,23 +82,36 @@ def analyse(info: DataFrame, as_of_year: int) -> DataFrame:
     )
 
 
-def insights(joined: DataFrame, fixed: bool = True) -> DataFrame:
-    """joined (with metric, value, support) as insights: only with data and a support above 0."""
-    rows = extract_metrics(joined.filter("value is not null and support > 0"))
+def insights(joined: DataFrame, fixed: bool = True, first_only: bool = False) -> DataFrame:
+    """joined (with metric, value, support) as insights: only with data and a support above 0.
+
+    With first_only, of the rows that a sequence matches in one dataset the first (by row, the order of the indicator table) alone counts; without it all do.
+    """
+    matched = joined.filter("value is not null and support > 0")
+    if first_only:
+        first = matched.groupBy("id", "dataset").agg(F.min("row").alias("row"))
+        matched = matched.join(first, ["id", "dataset", "row"])
+    rows = extract_metrics(matched)
     relation = C.support_relation(F.col("metric"), F.col("value"), F.col("support"), fixed)
     rows = rows.withColumn("support_correlation", relation)
     return rows.withColumn("interpretation", C.interpretation(F.col("support_correlation"), F.col("value"), F.col("support")))
 
 
 def country_rollup(found: DataFrame) -> DataFrame:
-    """Per country: total_sequences, avg_support and avg_epi_value over insights, and the insights by kind."""
-    return found.groupBy("country").agg(
+    """Per country: total_sequences, avg_support and avg_epi_value over insights, and the insights by kind.
+
+    correlations lists the kinds with their numbers, by kind: a list of all would grow with the country.
+    """
+    kinds = found.groupBy("country", F.col("support_correlation").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    listed = kinds.groupBy("country").agg(F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("correlations"))
+    own = found.groupBy("country").agg(
         F.count_distinct("id").alias("total_sequences"),
         F.avg("support").alias("avg_support"),
         F.avg("value").alias("avg_epi_value"),
         F.count(F.lit(1)).alias("n_insights"),
         F.count_if(F.col("support_correlation") == "neutral").alias("n_neutral"),
     )
+    return own.join(listed, own["country"].eqNullSafe(listed["country"])).drop(listed["country"])
 
 
 def summary(info: DataFrame) -> DataFrame:

@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from canopy.functions.text import json_escaped
 
 UID = "<<USER_UID>>"
+
+
+def _plain(text: str) -> str:
+    """A driver's text for single quotes in a statement."""
+    return text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\r", "\\r")
+
+
 PROPERTIES = ("molecule_type", "topology", "date", "source", "organism", "taxonomy", "description", "newick_id", "terminal_hash")
 
 
@@ -40,7 +47,8 @@ def metadata_edges(records: DataFrame) -> DataFrame:
 
 
 def statements(subtrees: DataFrame, uid: str = UID) -> DataFrame:
-    """ord and value: the graph as Cypher text, trees before their subtrees before their supports. Names are escaped."""
+    """value: the graph as Cypher text, trees before their subtrees before their supports. Names are escaped."""
+    uid = _plain(uid)
     name = lambda c: json_escaped(F.col(c))
     tree = subtrees.select("tree").distinct().select(
         F.col("tree").alias("_t"), F.lit("").alias("_s"), F.lit(0).alias("_o"),
@@ -67,6 +75,7 @@ def metadata_statements(records: DataFrame, uid: str = UID) -> DataFrame:
 
     terminal: newick and terminal_hash; record: the fields of an annotated record. Null properties are left out.
     """
+    uid = _plain(uid)
 
     def feature(f: Column, i: Column) -> Column:
         n = F.concat(F.lit("f_"), i.cast("string"))

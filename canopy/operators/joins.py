@@ -47,21 +47,44 @@ def lookup_records(terminals: DataFrame, records: DataFrame) -> DataFrame:
     return terminals.join(first, "accession", "left")
 
 
-def near_similar(seqs: DataFrame, threshold: float, min_length: int = 1) -> DataFrame:
-    """Pairs of a dataset's sequences, the earlier first, whose edit similarity reaches the threshold.
+def _prefix(seq: Column, edits: Column, q: int) -> Column:
+    """The first edits * q + 1 of a text's numbered q-grams in an order of hashes; a mark for all where it has no more than that.
 
-    Lengths bound the similarity, so rows meet only within the same or the next bucket of a geometric grid of lengths.
+    Of the q-grams of a text, an edit changes q at most, so that two texts within so many edits share one of these.
     """
-    base = seqs.filter(F.length("seq") >= min_length).select("dataset", "pos", "id", "seq", F.length("seq").alias("n"))
+    grams = F.when(F.length(seq) >= q, F.transform(F.sequence(F.lit(1), F.length(seq) - F.lit(q - 1)), lambda i: F.substr(seq, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+    # equal grams of one text are told apart by their number
+    sorted_ = F.array_sort(grams)
+    numbered = F.transform(sorted_, lambda g, i: F.xxhash64(g, i - F.array_position(sorted_, g)))
+    wanted = edits * q + 1
+    return F.when(F.size(grams) >= wanted, F.slice(F.array_sort(numbered), F.lit(1), F.greatest(wanted, F.lit(1))))
+
+
+def near_similar(seqs: DataFrame, threshold: float, min_length: int = 1, q: int = 2) -> DataFrame:
+    """Pairs of a dataset's sequences, the earlier first, whose edit similarity (1 less edits by the longer's length) reaches the threshold.
+
+    Equal sequences are one until the end. Others meet where they share a q-gram of their prefixes (those that two sequences within the
+    edits allowed must share) and lie within the same or the next bucket of a geometric grid of lengths; sequences too short for that, by their bucket alone.
+    """
+    base = seqs.filter(F.length("seq") >= min_length).select("dataset", "pos", "id", "seq")
     step = F.log(F.lit(1.0 / threshold)) if threshold < 1 else F.lit(1e-9)
-    base = base.withColumn("bucket", F.floor(F.log("n") / step))
+    texts = base.select("dataset", "seq").distinct().withColumn("n", F.length("seq"))
+    # edits that a partner of any length allows
+    most = F.floor(F.round(F.col("n") / threshold * (1 - threshold), 9)).cast("int")
+    texts = texts.withColumns({"bucket": F.floor(F.log("n") / step), "_p": _prefix(F.col("seq"), most, q)})
+    none = F.array(F.lit(None).cast("long"))
+    # a text without a prefix meets every other of its buckets
+    short = texts.filter("_p is null").select("dataset", "bucket").distinct().withColumn("_short", F.lit(True))
     near = F.explode(F.array(F.col("bucket"), F.col("bucket") + F.lit(1)))
-    a = base.select("dataset", F.col("pos").alias("pos_a"), F.col("id").alias("id_a"), F.col("seq").alias("seq_a"), F.col("n").alias("n_a"), F.col("bucket").alias("b_a"), near.alias("bucket"))
-    b = base.select("dataset", F.col("pos").alias("pos_b"), F.col("id").alias("id_b"), F.col("seq").alias("seq_b"), F.col("n").alias("n_b"), "bucket")
-    met = a.join(b, ["dataset", "bucket"]).filter(((F.col("b_a") < F.col("bucket")) | (F.col("pos_a") < F.col("pos_b"))) & (F.col("pos_a") != F.col("pos_b")))
-    longer = F.greatest("n_a", "n_b")
-    score = F.lit(1.0) - F.levenshtein("seq_a", "seq_b") / longer
-    early = F.col("pos_a") < F.col("pos_b")
-    return met.withColumn("similarity", score).filter(F.col("similarity") >= threshold).select(
-        "dataset", F.when(early, F.col("id_a")).otherwise(F.col("id_b")).alias("id_a"), F.when(early, F.col("id_b")).otherwise(F.col("id_a")).alias("id_b"), "similarity"
-    )
+    spread = texts.withColumn("bucket", near).join(short.select("dataset", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), "_short").distinct(), ["dataset", "bucket"], "left")
+    keys = F.when(F.col("_short"), F.concat(none, F.coalesce("_p", F.array().cast("array<bigint>")))).otherwise(F.col("_p"))
+    spread = spread.select("dataset", "bucket", "seq", "n", F.explode(keys).alias("_k"), F.col("_p").isNull().alias("_s"))
+    a, b = (spread.select(*[F.col(c).alias(f"{c}_{x}") for c in ("dataset", "bucket", "seq", "n", "_k", "_s")]) for x in "ab")
+    met = a.join(b, (F.col("dataset_a") == F.col("dataset_b")) & (F.col("bucket_a") == F.col("bucket_b")) & F.col("_k_a").eqNullSafe(F.col("_k_b")))
+    met = met.filter((F.col("_k_a").isNotNull() | F.col("_s_a") | F.col("_s_b")) & (F.col("seq_a") < F.col("seq_b"))).select(F.col("dataset_a").alias("dataset"), "seq_a", "seq_b", "n_a", "n_b").distinct()
+    score = F.lit(1.0) - F.levenshtein("seq_a", "seq_b") / F.greatest("n_a", "n_b")
+    alike = met.withColumn("similarity", score).filter(F.col("similarity") >= threshold).select("dataset", "seq_a", "seq_b", "similarity")
+    same = base.select("dataset", "seq").distinct().select("dataset", F.col("seq").alias("seq_a"), F.col("seq").alias("seq_b"), F.lit(1.0).alias("similarity"))
+    both = alike.union(alike.select("dataset", "seq_b", "seq_a", "similarity")).union(same)
+    left, right = (base.select("dataset", *[F.col(c).alias(f"{c}_{x}") for c in ("pos", "id", "seq")]) for x in "ab")
+    return both.join(left, ["dataset", "seq_a"]).join(right, ["dataset", "seq_b"]).filter("pos_a < pos_b").select("dataset", "id_a", "id_b", "similarity")

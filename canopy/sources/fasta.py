@@ -14,11 +14,11 @@ def read_fasta(spark: SparkSession, path: str, skip: str = r"\.(dnd|json)$") ->
     lines = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("_block"))
     lines = lines.filter(~F.col("file").rlike(skip)).withColumn("_order", F.monotonically_increasing_id())
     text = F.regexp_replace("value", r"^>|\r", "")
-    head = F.trim(F.substring_index(text, "\n", 1))
+    head = F.regexp_replace(F.substring_index(text, "\n", 1), r"^\s+|\s+$", "")
     rows = lines.select(
         F.regexp_replace("file", r"\.[^.]*$", "").alias("dataset"),
         "_order",
-        F.substring_index(head, " ", 1).alias("id"),
+        F.regexp_extract(head, r"^(\S*)", 1).alias("id"),
         head.alias("description"),
         F.regexp_replace(F.substr(text, F.locate("\n", text) + F.lit(1)), r"\s", "").alias("seq"),
         F.locate("\n", text).alias("_line"),
@@ -27,6 +27,17 @@ def read_fasta(spark: SparkSession, path: str, skip: str = r"\.(dnd|json)$") ->
     return rows.select("dataset", F.col("_order").alias("pos"), "id", "description", "seq")
 
 
+def read_clustal(spark: SparkSession, path: str) -> DataFrame:
+    """dataset (the file's stem), pos (the place among its first block's rows), id and seq of Clustal alignments, whose rows stand in blocks."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file")).withColumn("_order", F.monotonically_increasing_id())
+    row = r"^(\S+)\s+([A-Za-z.*-]+)(?:\s+\d+)?\s*$"
+    rows = lines.filter(F.col("value").rlike(row) & ~F.upper("value").startswith("CLUSTAL")).select(
+        F.regexp_replace("file", r"\.[^.]*$", "").alias("dataset"), F.regexp_extract("value", row, 1).alias("id"), F.regexp_extract("value", row, 2).alias("part"), "_order"
+    )
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_order", "part"))), lambda x: x["part"]), "")
+    return rows.groupBy("dataset", "id").agg(F.min("_order").alias("pos"), joined.alias("seq")).select("dataset", "pos", "id", "seq")
+
+
 def fasta_text(seqs: DataFrame, width: int = 60) -> DataFrame:
     """value: one record's text per row."""
     return seqs.withColumn("value", F.concat(F.lit(">"), F.coalesce("description", "id"), F.lit("\n"), wrapped(F.col("seq"), width)))

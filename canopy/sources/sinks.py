@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from canopy.operators.trees import clade_nodes
 from canopy.sources.newick import to_newick
 
 
@@ -36,12 +39,27 @@ def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).csv(path)
 
 
+def write_clades(nodes: DataFrame, path: str) -> None:
+    """Each clade of more than one leaf as newick, a folder per clade (tree_clade); those that are there stay as they are."""
+    write_trees(clade_nodes(nodes), path)
+
+
+def write_settings(spark: SparkSession, settings: dict, path: str) -> None:
+    """A copy of a run's settings, as filled in, beside its results."""
+    spark.createDataFrame([(json.dumps(settings, ensure_ascii=False, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def accession_report(problems: DataFrame, shown: int = 10) -> DataFrame:
-    """ord and value: lines of a report on problems (accession, problem): both counts, then all accessions by kind.
+    """problem, at, value and in_head: lines of a report on problems (accession, problem): each kind's count, then its accessions in order.
 
-    Lines up to shown of each kind are marked, as the head that a log shows.
+    Lines up to shown of each kind are marked, as the head that a log shows. A kind's lines are numbered by ranges, not in one task.
     """
-    kinds = problems.groupBy("problem").agg(F.array_sort(F.collect_list("accession")).alias("a"))
-    head = kinds.select("problem", F.lit(0).alias("at"), F.concat_ws(": ", "problem", F.size("a").cast("string")).alias("value"), F.lit(True).alias("in_head"))
-    rows = kinds.select("problem", F.posexplode("a").alias("at", "value")).select("problem", (F.col("at") + 1).alias("at"), "value", (F.col("at") < shown).alias("in_head"))
-    return head.union(rows)
+    counts = problems.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    head = counts.select("problem", F.lit(0).cast("long").alias("at"), F.concat_ws(": ", "problem", F.col("n").cast("string")).alias("value"), F.lit(True).alias("in_head"))
+    part = F.substring("accession", 1, 6)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("problem").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = problems.groupBy("problem", part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).select("problem", "_part", before.alias("_before"))
+    rows = problems.select("problem", "accession", part.alias("_part")).join(starts, ["problem", "_part"])
+    at = (F.col("_before") + F.row_number().over(Window.partitionBy("problem", "_part").orderBy("accession"))).cast("long")
+    rows = rows.select("problem", at.alias("at"), F.col("accession").alias("value"))
+    return head.union(rows.withColumn("in_head", F.col("at") <= shown))

@@ -23,11 +23,25 @@ def read_accession_list(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter((F.col("accession") != "") & ~F.startswith("accession", F.lit("#")))
 
 
-def read_mined_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    reader = spark.read.option("multiLine", True)
+def read_mined_json(spark: SparkSession, path: str, schema: str | None = None, lines: bool = False) -> DataFrame:
+    """Rows of JSON files that hold a list each, or with lines (as write_metadata makes them) an object on each line."""
+    reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def search_catalog(catalog: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """place, term and the catalog's columns (title, path, ...) of the entries whose title holds a term, by the order of the terms and then of titles."""
+    listed = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(t).alias("term")) for i, t in enumerate(terms)])
+    rows = catalog.select(F.explode(listed).alias("_t"), *catalog.columns).select("_t.place", "_t.term", *catalog.columns)
+    title = F.replace(F.lower("title"), F.lit(" "), F.lit("_"))
+    return rows.filter(F.contains(title, F.lower("term"))).orderBy("place", "title", "path")
+
+
+def load_from_catalog(spark: SparkSession, catalog: DataFrame, terms: Sequence[str], tried: int = 20) -> DataFrame | None:
+    """The first table with rows among the catalog's entries for some terms, the best term first; tried bounds the entries that are opened."""
+    return first_available(spark, [r["path"] for r in search_catalog(catalog, terms).select("path").limit(tried).collect()])
+
+
 def first_available(spark: SparkSession, paths: Sequence[str]) -> DataFrame | None:
     """The first table of a list of candidates that exists and has rows."""
     for path in paths:

@@ -1,3 +1,5 @@
+import random
+
 from canopy.operators import cleaning, joins, stats
 
 ROWS = [("d", 0, "a", "a", "ACDE"), ("d", 1, "b", "b", "ACDE"), ("d", 2, "a", "a", "ACXE"), ("d", 3, "c", "c", "acde"), ("e", 0, "x", "x", "ACDF"), ("e", 1, "y", "y", "ACDG"), ("f", 0, "z", "z", None)]
@@ -47,6 +49,42 @@ def test_joins(spark):
     assert joins.verify_accessions(e, f).count() == 4
 
 
+def test_near_similar_against_brute_force(spark):
+    rng = random.Random(1)
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    base = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 30))) for _ in range(25)]
+    texts = base + base[:3]
+    for b in base:
+        t = list(b)
+        for _ in range(rng.randint(1, 5)):
+            t[rng.randrange(len(t)) :][:1] = rng.choice(["", "x", "ab"])
+            t.insert(rng.randint(0, len(t)), rng.choice("abx"))
+        texts.append("".join(t))
+    rows = [(f"d{i % 2}", i, f"id{i}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "dataset string, pos long, id string, seq string").repartition(3)
+    for threshold in (0.6, 0.8, 1.0):
+        want = {(a[0], a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and 1 - edits(a[3], b[3]) / max(len(a[3]), len(b[3])) >= threshold}
+        assert {(r.dataset, r.id_a, r.id_b) for r in joins.near_similar(df, threshold).collect()} == want
+
+
+def test_chunks(spark):
+    rows = [(d, i * 7 % 101, str(i)) for d, n in (("a", 90), ("b", 1), (None, 5)) for i in range(n)]
+    df = spark.createDataFrame(rows, "dataset string, pos long, id string").repartition(5)
+    got = {(r.dataset, r.pos): r.chunk for r in cleaning.chunks(df, 10, ranges=8).collect()}
+    for d in ("a", "b", None):
+        own = sorted(p for x, p, _ in rows if x == d)
+        assert [got[d, p] for p in own] == [i // 10 + 1 for i in range(len(own))]
+    assert cleaning.chunks(df.limit(0)).count() == 0
+
+
 def test_stats(spark):
     out = {r.dataset: r for r in stats.align_strategy(stats.sequence_stats(seqs(spark))).collect()}
     assert out["d"].n == 4 and out["d"].avg_length == 4.0 and out["d"].mafft_strategy == "localpair" and not out["d"].clustalo_subsample

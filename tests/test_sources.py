@@ -46,6 +46,33 @@ def test_fasta_round_trip(spark, tmp_path):
     assert len(list(out.glob("dataset=one/chunk=*"))) == 2
 
 
+def test_ids_end_at_white_space(spark, tmp_path):
+    (tmp_path / "x.fasta").write_text(">id1\tdesc one\nAC\n> id2  two \nGG\n")
+    assert [(r.id, r.description, r.seq) for r in fasta.read_fasta(spark, str(tmp_path)).orderBy("pos").collect()] == [("id1", "id1\tdesc one", "AC"), ("id2", "id2  two", "GG")]
+
+
+def test_clustal(spark, tmp_path):
+    (tmp_path / "a.aln").write_text("CLUSTAL W (1.83)\n\ns1   AC-G 4\ns2   A--G 3\n     *  *\n\ns1   TT\ns2   T-\n")
+    assert [(r.dataset, r.id, r.seq) for r in fasta.read_clustal(spark, str(tmp_path)).orderBy("pos").collect()] == [("a", "s1", "AC-GTT"), ("a", "s2", "A--GT-")]
+
+
+def test_catalog(spark, tmp_path):
+    for name, rows in (("none", []), ("some", [("Peru", 2001, 1.5)])):
+        spark.createDataFrame(rows, "Country string, Year int, cases double").write.parquet(str(tmp_path / name))
+    catalog = spark.createDataFrame([("Zika virus", str(tmp_path / "none")), ("Infectious disease", str(tmp_path / "missing")), ("Infectious disease, all", str(tmp_path / "some"))], "title string, path string")
+    found = tables.load_from_catalog(spark, catalog, ["zika", "infectious_disease"])
+    assert found is not None and found.count() == 1 and tables.load_from_catalog(spark, catalog, ["other"]) is None
+    sinks.write_settings(spark, {"a": "é"}, str(tmp_path / "copy"))
+    assert tables.settings("\n".join(r.value for r in spark.read.text(str(tmp_path / "copy")).collect())) == {"a": "é"}
+
+
+def test_first_match_only(spark):
+    info = spark.createDataFrame([("a", "Peru", 2001, 0.9)], "id string, country string, year int, support double")
+    wide = spark.createDataFrame([("Peru", 2001, 5000.0), ("Peru", 2001, 10.0)], "Country string, Year int, cases double").coalesce(1)
+    joined = context.with_indicators(info, context.long_indicators(wide, "w"))
+    assert context.insights(joined).count() == 2 and [r.value for r in context.insights(joined, first_only=True).collect()] == [5000.0]
+
+
 def test_genbank(spark, tmp_path):
     (tmp_path / "x.gb").write_text(GENBANK)
     rows = {r.id: r for r in genbank.read_genbank(spark, str(tmp_path)).collect()}
