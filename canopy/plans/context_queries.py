@@ -74,33 +74,33 @@ def indicators(spark, sf_dir):
     return context.long_indicators(wide, "lines")
 
 
-_CTX = (
+CTX = (
     "s AS (SELECT o_orderkey AS id, n_name AS country, year(o_orderdate)::INT AS year, c_mktsegment AS host, (o_orderkey % 11) / 10 AS support FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), "
     "w AS (SELECT lower(n_name) AS country, year(l_shipdate)::INT AS year, count(*)::DOUBLE AS cases_confirmed, sum(l_quantity) AS death_rate, max(l_extendedprice) AS other FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_returnflag = 'R' GROUP BY ALL), "
     "i AS (SELECT country, year, unnest(['cases_confirmed', 'death_rate', 'other']) AS metric, unnest([cases_confirmed, death_rate, other]) AS value FROM w), "
     "j AS (SELECT s.*, i.metric, i.value FROM s LEFT JOIN i ON lower(s.country) = i.country AND s.year = i.year)"
 )
-_INS = (
+INS = (
     ", n AS (SELECT id, country, year, support, value, c || '_' || metric AS metric FROM (SELECT *, unnest(CASE metric WHEN 'cases_confirmed' THEN ['cases'] WHEN 'death_rate' THEN ['rate'] ELSE [] END) AS c FROM j WHERE value IS NOT NULL AND support > 0)), "
     "r AS (SELECT *, CASE WHEN value = 0 THEN 'no_data' WHEN regexp_matches(metric, 'cases|incidence|prevalence') AND value > 1000 THEN CASE WHEN support > 0.7 THEN 'positive_correlation' ELSE 'unexpected_low_support' END WHEN value < 100 AND support > 0.8 THEN 'unexpected_high_support' ELSE 'neutral' END AS rel FROM n)"
 )
 
 
-@query(f"WITH {_CTX} SELECT id, metric, round(value, 4) AS value FROM j")
+@query(f"WITH {CTX} SELECT id, metric, round(value, 4) AS value FROM j")
 def context_join(spark, sf_dir):
     return context.with_indicators(sequences(spark, sf_dir), indicators(spark, sf_dir)).select("id", "metric", F.round("value", 4).alias("value"))
 
 
-@query(f"WITH {_CTX}{_INS} SELECT id, metric, round(value, 4) AS value, rel AS support_correlation FROM r")
+@query(f"WITH {CTX}{INS} SELECT id, metric, round(value, 4) AS value, rel AS support_correlation FROM r")
 def metric_extract(spark, sf_dir):
     found = context.insights(context.with_indicators(sequences(spark, sf_dir), indicators(spark, sf_dir)))
     return found.select("id", "metric", F.round("value", 4).alias("value"), "support_correlation")
 
 
-@query(f"WITH {_CTX}{_INS} SELECT country, count(DISTINCT id)::BIGINT AS total_sequences, round(avg(support), 9) AS avg_support, round(avg(value), 4) AS avg_epi_value, count(*)::BIGINT AS n_insights, count(*) FILTER (rel = 'neutral')::BIGINT AS n_neutral FROM r GROUP BY country")
+@query(f"WITH {CTX}{INS} SELECT country, count(DISTINCT id)::BIGINT AS total_sequences, round(avg(support), 9) AS avg_support, round(avg(value), 4) AS avg_epi_value, count(*)::BIGINT AS n_insights, count(*) FILTER (rel = 'neutral')::BIGINT AS n_neutral FROM r GROUP BY country")
 def country_rollup(spark, sf_dir):
     out = context.country_rollup(context.insights(context.with_indicators(sequences(spark, sf_dir), indicators(spark, sf_dir))))
-    return out.withColumns({"avg_support": F.round("avg_support", 9), "avg_epi_value": F.round("avg_epi_value", 4)})
+    return out.withColumns({"avg_support": F.round("avg_support", 9), "avg_epi_value": F.round("avg_epi_value", 4)}).drop("correlations")
 
 
 def _flagged(spark, sf_dir):
@@ -109,7 +109,7 @@ def _flagged(spark, sf_dir):
 
 
 @query(
-    f"WITH {_CTX}, a AS (SELECT id, country, year, bool_or(metric IS NOT NULL) AS hit FROM j GROUP BY ALL) SELECT count(*)::BIGINT AS total_sequences, count(*) FILTER (hit)::BIGINT AS sequences_with_data, "
+    f"WITH {CTX}, a AS (SELECT id, country, year, bool_or(metric IS NOT NULL) AS hit FROM j GROUP BY ALL) SELECT count(*)::BIGINT AS total_sequences, count(*) FILTER (hit)::BIGINT AS sequences_with_data, "
     "format('{:.1f}%', 100.0 * count(*) FILTER (hit) / count(*)) AS success_rate, count(DISTINCT country)::BIGINT AS unique_countries, count(DISTINCT year)::BIGINT AS unique_years, min(year) AS min_year, max(year) AS max_year FROM a"
 )
 def summary_stats(spark, sf_dir):
@@ -117,14 +117,14 @@ def summary_stats(spark, sf_dir):
 
 
 @query(
-    f"WITH {_CTX}, a AS (SELECT id, country, year, host, support, bool_or(metric IS NOT NULL) AS hit FROM j GROUP BY ALL) SELECT id, CASE WHEN year >= 1995 THEN 'recent' WHEN year >= 1980 THEN 'modern' WHEN year >= 1950 THEN 'historical_late' ELSE 'historical_early' END AS temporal_context, "
+    f"WITH {CTX}, a AS (SELECT id, country, year, host, support, bool_or(metric IS NOT NULL) AS hit FROM j GROUP BY ALL) SELECT id, CASE WHEN year >= 1995 THEN 'recent' WHEN year >= 1980 THEN 'modern' WHEN year >= 1950 THEN 'historical_late' ELSE 'historical_early' END AS temporal_context, "
     "CASE WHEN support >= 0.8 THEN 'high' WHEN support >= 0.6 THEN 'moderate' WHEN support >= 0.4 THEN 'low' ELSE 'very_low' END AS support_level, CASE WHEN NOT hit THEN 'Tentar busca com termos alternativos ou países vizinhos' END AS recommendations FROM a"
 )
 def recommend(spark, sf_dir):
     return context.analyse(_flagged(spark, sf_dir), AS_OF).select("id", "temporal_context", "support_level", F.array_join("recommendations", ";").alias("recommendations"))
 
 
-@query(f"WITH {_CTX}, a AS (SELECT count(DISTINCT country) AS c, max(year) - min(year) AS y FROM j) SELECT CASE WHEN c > 10 THEN 'Dataset com ampla distribuição geográfica - considerar análise por região' ELSE '' END AS recommendations FROM a")
+@query(f"WITH {CTX}, a AS (SELECT count(DISTINCT country) AS c, max(year) - min(year) AS y FROM j) SELECT CASE WHEN c > 10 THEN 'Dataset com ampla distribuição geográfica - considerar análise por região' ELSE '' END AS recommendations FROM a")
 def recommend_global(spark, sf_dir):
     return context.global_recommendations(context.summary(_flagged(spark, sf_dir))).select(F.array_join("recommendations", ";").alias("recommendations"))
 

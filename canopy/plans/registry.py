@@ -26,4 +26,4 @@ def query(sql: str | None = None):
     return add
 
 
-from canopy.plans import context_queries, sequence_queries, tree_queries  # noqa: E402, F401
+from canopy.plans import context_queries, sequence_queries, source_queries, tree_queries  # noqa: E402, F401

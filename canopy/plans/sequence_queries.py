@@ -68,7 +68,7 @@ def seq_dedup_first(spark, sf_dir):
     "UNION ALL SELECT source, doc_id FROM documents JOIN c USING (source) WHERE clean) GROUP BY dataset"
 )
 def seq_gate(spark, sf_dir):
-    return cleaning.gate(documents(spark, sf_dir), ALPHABET).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum"))
+    return cleaning.gate(documents(spark, sf_dir)).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum"))
 
 
 @query("SELECT source AS dataset, min(doc_id) AS pos FROM documents WHERE length(text) >= 200 GROUP BY source, upper(text)")
@@ -205,3 +205,19 @@ def fasta_wrap(spark, sf_dir):
 def align_centre_star(spark, sf_dir):
     """Alignments of the distinct part types of each brand; the rows of a dataset come out equally long."""
     return align.align(cleaning.dedup_sequences(parts(spark, sf_dir)))
+
+
+@query("SELECT dataset, count(*)::BIGINT AS n, true AS same_length, true AS restored FROM (SELECT DISTINCT p_brand AS dataset, p_type FROM part) GROUP BY dataset")
+def align_shape(spark, sf_dir):
+    """Alignments of each brand's distinct types: all of them, equally long, and without their gaps as they were."""
+    own = cleaning.dedup_sequences(parts(spark, sf_dir)).select("dataset", F.col("id"), F.col("seq").alias("_seq"))
+    made = align_centre_star(spark, sf_dir).groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), (F.count_distinct(F.length("seq")) == 1).alias("same_length"), F.sort_array(F.collect_set(F.replace("seq", F.lit("-"), F.lit("")))).alias("_a"))
+    before = own.groupBy("dataset").agg(F.sort_array(F.collect_set("_seq")).alias("_b"))
+    return made.join(before, "dataset").select("dataset", "n", "same_length", (F.col("_a") == F.col("_b")).alias("restored"))
+
+
+@query("SELECT p_brand AS dataset, p_partkey::VARCHAR AS id, p_type AS seq FROM part WHERE p_brand < 'Brand#2'")
+def align_remembered(spark, sf_dir):
+    """Alignments that are there are used again, of the datasets that are asked for alone."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("dataset"), F.col("p_partkey").alias("pos"), F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("seq"))
+    return align.remembered(rows.filter("dataset < 'Brand#2'"), rows)

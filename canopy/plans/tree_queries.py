@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from canopy.functions import text as T
@@ -25,97 +26,146 @@ _EDGES = "e AS (SELECT 'W' AS parent, 'R' || r_regionkey AS child FROM region UN
     f"WITH RECURSIVE {_EDGES}, c AS (SELECT parent AS ancestor, child AS descendant, 1 AS distance FROM e UNION ALL SELECT c.ancestor, e.child, c.distance + 1 FROM c JOIN e ON e.parent = c.descendant) SELECT * FROM c"
 )
 def tree_closure(spark, sf_dir):
-    return trees.closure(geography(spark, sf_dir), 4)
+    return trees.closure(geography(spark, sf_dir))
 
 
-def two_trees(spark, sf_dir):
-    """Two hierarchies over the nations as node tables: by region, and by first letter and length of the name."""
-    nation = table(spark, sf_dir, "nation").select("n_name", F.concat(F.lit("r"), "n_regionkey").alias("by_region"), F.concat(F.lit("l"), (F.length("n_name") % 4).cast("string")).alias("by_length"))
-    both = nation.select("n_name", F.explode(F.array(F.struct(F.lit("tree_region_a").alias("tree"), F.col("by_region").alias("g")), F.struct(F.lit("tree_region_b").alias("tree"), F.col("by_region").alias("g")), F.struct(F.lit("tree_length_a").alias("tree"), F.col("by_length").alias("g")))).alias("x")).select("x.tree", "x.g", "n_name")
-    w = "row_number() over (partition by tree order by g, n_name)"
+@query(
+    "WITH o AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) "
+    "SELECT a.o_orderkey AS ancestor, b.o_orderkey AS descendant, (b.k - a.k)::INT AS distance FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.k < b.k"
+)
+def chain_closure(spark, sf_dir):
+    """Each customer's orders as a chain, of any length."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    edges = table(spark, sf_dir, "orders").select(before.alias("parent"), F.col("o_orderkey").alias("child"))
+    return trees.closure(edges)
+
+
+def grouped_trees(rows):
+    """Node tables of trees of two levels, from rows (tree, g, name): a root, its groups in order, and their leaves in order."""
+    w = "row_number() over (partition by tree order by g, name)"
     d = "dense_rank() over (partition by tree order by g)"
-    leaves = both.selectExpr("tree", "g", "n_name as name", f"cast({w} + {d} as int) as pre", f"cast({w} + {d} - 2 as int) as post", f"cast({d} as int) as _d")
-    groups = leaves.groupBy("tree", "g").agg((F.min("pre") - 1).alias("pre"), (F.max("post") + 1).alias("post"))
-    roots = leaves.groupBy("tree").agg(F.lit(0).alias("pre"), (F.max("post") + 2).alias("post"))
-    shape = lambda df, name, leaf, depth: df.select("tree", F.col("pre").alias("node_id"), F.lit(None).cast("int").alias("parent_id"), F.lit(0).alias("child_ord"), name.alias("name"), F.lit(None).cast("double").alias("branch_length"), F.lit(leaf).alias("is_terminal"), "pre", "post", F.lit(depth).alias("depth"))
+    leaves = rows.selectExpr("tree", "g", "name", f"cast({w} + {d} as int) as pre", f"cast({w} + {d} - 2 as int) as post", f"cast({d} as int) - 1 as _d")
+    first = F.min("pre").over(Window.partitionBy("tree", "g")) - 1
+    leaves = leaves.withColumns({"parent_id": first, "child_ord": F.col("pre") - first - 1})
+    groups = leaves.groupBy("tree", "g").agg((F.min("pre") - 1).alias("pre"), (F.max("post") + 1).alias("post"), F.lit(0).alias("parent_id"), F.min("_d").alias("child_ord"))
+    roots = leaves.groupBy("tree").agg(F.lit(0).alias("pre"), (F.max("post") + 2).alias("post"), F.lit(None).cast("int").alias("parent_id"), F.lit(0).alias("child_ord"))
+    shape = lambda df, name, leaf, depth: df.select("tree", F.col("pre").alias("node_id"), "parent_id", "child_ord", name.alias("name"), F.lit(None).cast("double").alias("branch_length"), F.lit(leaf).alias("is_terminal"), "pre", "post", F.lit(depth).alias("depth"))
     return shape(leaves, F.col("name"), True, 2).union(shape(groups, F.lit(None).cast("string"), False, 1)).union(shape(roots, F.lit("root"), False, 0))
 
 
-_TREES = (
-    "t AS (SELECT n_name AS leaf, unnest(['tree_region_a', 'tree_region_b', 'tree_length_a']) AS tree, unnest(['r' || n_regionkey, 'r' || n_regionkey, 'l' || (length(n_name) % 4)]) AS g FROM nation), "
+#: The trees of each nation: by segment twice, and by the band of the balance.
+KINDS = ("seg_a", "seg_b", "bal_a")
+
+
+def nation_trees(spark, sf_dir):
+    """Three hierarchies over each nation's customers as node tables; the nation is the dataset."""
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("n"), F.format_string("C%08d", "c_custkey").alias("name"), "c_mktsegment", F.floor(F.col("c_acctbal") / 2000).cast("int").cast("string").alias("band"))
+    kinds = [F.struct(F.concat("n", F.lit(f"_{k}")).alias("tree"), (F.col("c_mktsegment") if k.startswith("seg") else F.concat(F.lit("b"), "band")).alias("g")) for k in KINDS]
+    return grouped_trees(c.select("name", F.explode(F.array(*kinds)).alias("x")).select("x.tree", "x.g", "name"))
+
+
+def nations_of(nodes):
+    """tree and dataset of the trees of a node table."""
+    return nodes.select("tree").distinct().select("tree", F.substring_index("tree", "_", 1).alias("dataset"))
+
+
+TREES = (
+    "t AS (SELECT printf('C%08d', c_custkey) AS leaf, 'n' || c_nationkey || unnest(['_seg_a', '_seg_b', '_bal_a']) AS tree, unnest([c_mktsegment, c_mktsegment, 'b' || floor(c_acctbal / 2000)::INT]) AS g FROM customer), "
     "c AS (SELECT tree, g, list(leaf ORDER BY leaf) AS t FROM t GROUP BY ALL UNION ALL SELECT tree, NULL, list(leaf ORDER BY g, leaf) FROM t GROUP BY tree)"
 )
 
 
 @query(
-    f"WITH {_TREES} SELECT tree, CASE WHEN g IS NULL THEN 'root' ELSE 'Inner' || dense_rank() OVER (PARTITION BY tree, g IS NULL ORDER BY g) END AS name, len(t)::BIGINT AS n FROM c"
+    f"WITH {TREES} SELECT tree, name, n FROM (SELECT tree, CASE WHEN g IS NULL THEN 'root' ELSE 'Inner' || dense_rank() OVER (PARTITION BY tree, g IS NULL ORDER BY g) END AS name, len(t)::BIGINT AS n FROM c) WHERE n > 1"
 )
 def internal_labels(spark, sf_dir):
-    nodes = trees.label_internals(two_trees(spark, sf_dir))
+    nodes = trees.label_internals(nation_trees(spark, sf_dir))
     inner = nodes.filter("not is_terminal").select("tree", "name", "node_id")
-    sizes = trees.clades(two_trees(spark, sf_dir)).select("tree", "node_id", F.col("n_terminals").cast("long").alias("n"))
+    sizes = trees.clades(nation_trees(spark, sf_dir)).select("tree", "node_id", F.col("n_terminals").cast("long").alias("n"))
     return inner.join(sizes, ["tree", "node_id"]).select("tree", "name", "n")
 
 
-@query(f"WITH {_TREES} SELECT tree, md5(array_to_string(list_sort(t), chr(31))) AS item, len(t)::BIGINT AS n_terminals FROM c WHERE len(t) > 1")
+@query(f"WITH {TREES} SELECT tree, md5(array_to_string(list_sort(t), chr(31))) AS item, len(t)::BIGINT AS n_terminals FROM c WHERE len(t) > 1")
 def subtree_items(spark, sf_dir):
-    return trees.subtrees(two_trees(spark, sf_dir)).select("tree", "item", F.col("n_terminals").cast("long").alias("n_terminals"))
+    return trees.subtrees(nation_trees(spark, sf_dir)).select("tree", "item", F.col("n_terminals").cast("long").alias("n_terminals"))
 
 
 @query(
-    f"WITH {_TREES} SELECT tree, cast('0x' || substr(md5('[' || array_to_string(list_transform(t, lambda x: cast('0x' || substr(md5(x), 1, 4) AS INT)::VARCHAR), ', ') || ']'), 1, 4) AS INT)::VARCHAR AS item FROM c WHERE len(t) > 1"
+    f"WITH {TREES} SELECT tree, cast('0x' || substr(md5('[' || array_to_string(list_transform(t, lambda x: cast('0x' || substr(md5(x), 1, 4) AS INT)::VARCHAR), ', ') || ']'), 1, 4) AS INT)::VARCHAR AS item FROM c WHERE len(t) > 1"
 )
 def subtree_items_parity(spark, sf_dir):
-    return trees.subtrees(two_trees(spark, sf_dir), parity=True).select("tree", "item")
+    return trees.subtrees(nation_trees(spark, sf_dir), parity=True).select("tree", "item")
 
 
-@query(f"WITH {_TREES} SELECT tree, arg_max(len(t), len(t))::BIGINT AS n_terminals FROM c GROUP BY tree")
+@query(f"WITH {TREES} SELECT tree, arg_max(len(t), len(t))::BIGINT AS n_terminals FROM c GROUP BY tree")
 def largest_by_tree(spark, sf_dir):
-    return trees.largest_subtree(trees.clades(two_trees(spark, sf_dir))).select("tree", F.col("n_terminals").cast("long").alias("n_terminals"))
+    return trees.largest_subtree(trees.clades(nation_trees(spark, sf_dir))).select("tree", F.col("n_terminals").cast("long").alias("n_terminals"))
 
 
-@query(f"WITH {_TREES} SELECT min(tree) AS tree, max(len(t))::BIGINT AS n_terminals FROM c WHERE len(t) = (SELECT max(len(t)) FROM c)")
+@query(f"WITH {TREES} SELECT min(tree) AS tree, max(len(t))::BIGINT AS n_terminals FROM c WHERE len(t) = (SELECT max(len(t)) FROM c)")
 def largest_subtree(spark, sf_dir):
-    return trees.largest_subtree(trees.clades(two_trees(spark, sf_dir)), by_tree=False).select("tree", F.col("n_terminals").cast("long").alias("n_terminals"))
+    return trees.largest_subtree(trees.clades(nation_trees(spark, sf_dir)), by_tree=False).select("tree", F.col("n_terminals").cast("long").alias("n_terminals"))
 
 
 @query(
-    f"WITH {_TREES}, s AS (SELECT tree, count(*) FILTER (len(t) > 1) AS k FROM c GROUP BY tree) SELECT t.tree, count(*)::BIGINT + count(DISTINCT g) + 1 AS n_nodes, count(*)::BIGINT AS n_terminals, any_value(k)::BIGINT AS n_subtrees FROM t JOIN s USING (tree) GROUP BY t.tree"
+    f"WITH {TREES}, s AS (SELECT tree, count(*) FILTER (len(t) > 1) AS k FROM c GROUP BY tree) SELECT t.tree, count(*)::BIGINT + count(DISTINCT g) + 1 AS n_nodes, count(*)::BIGINT AS n_terminals, any_value(k)::BIGINT AS n_subtrees FROM t JOIN s USING (tree) GROUP BY t.tree"
 )
 def tree_counters(spark, sf_dir):
-    return trees.counters(two_trees(spark, sf_dir))
+    return trees.counters(nation_trees(spark, sf_dir))
 
 
-_SETS = f"WITH {_TREES}, k AS (SELECT DISTINCT tree, list_sort(t) AS t FROM c WHERE len(t) > 1)"
+_SETS = f"WITH {TREES}, k AS (SELECT DISTINCT tree, split_part(tree, '_', 1) AS d, md5(array_to_string(list_sort(t), ',')) AS t FROM c WHERE len(t) > 1)"
 _RF = (
-    ", p AS (SELECT a.tree AS tree_a, b.tree AS tree_b FROM (SELECT DISTINCT tree FROM k) a JOIN (SELECT DISTINCT tree FROM k) b ON a.tree < b.tree), "
-    "rf AS (SELECT tree_a, tree_b, ((SELECT count(*) FROM k WHERE tree = tree_a AND t NOT IN (SELECT t FROM k WHERE tree = tree_b)) + (SELECT count(*) FROM k WHERE tree = tree_b AND t NOT IN (SELECT t FROM k WHERE tree = tree_a)))::BIGINT AS rf FROM p)"
+    ", z AS (SELECT d, tree, count(*) AS n FROM k GROUP BY ALL), h AS (SELECT a.tree AS tree_a, b.tree AS tree_b, count(*) AS n FROM k a JOIN k b ON a.d = b.d AND a.tree < b.tree AND a.t = b.t GROUP BY ALL), "
+    "rf AS (SELECT a.d, a.tree AS tree_a, b.tree AS tree_b, (a.n + b.n - 2 * coalesce(h.n, 0))::BIGINT AS rf FROM z a JOIN z b ON a.d = b.d AND a.tree < b.tree LEFT JOIN h ON h.tree_a = a.tree AND h.tree_b = b.tree)"
 )
 
 
-@query(_SETS + _RF + " SELECT * FROM rf")
+def nation_rf(spark, sf_dir):
+    nodes = nation_trees(spark, sf_dir)
+    return compare.rf_distances(nodes, datasets=nations_of(nodes))
+
+
+@query(_SETS + _RF + " SELECT tree_a, tree_b, rf FROM rf")
 def rf_pairs(spark, sf_dir):
-    return compare.rf_distances(two_trees(spark, sf_dir))
+    return nation_rf(spark, sf_dir)
 
 
-@query(_SETS + _RF + " SELECT tree_a AS a, tree_b AS b, rf FROM rf UNION ALL SELECT tree_b, tree_a, rf FROM rf UNION ALL SELECT DISTINCT tree, tree, 0 FROM k")
+@query(_SETS + _RF + " SELECT tree_a AS a, tree_b AS b, rf FROM rf UNION ALL SELECT tree_b, tree_a, rf FROM rf UNION ALL SELECT DISTINCT tree, tree, 0 FROM k WHERE d IN (SELECT d FROM rf)")
 def rf_matrix(spark, sf_dir):
-    return compare.matrix(compare.rf_distances(two_trees(spark, sf_dir)))
+    return compare.matrix(nation_rf(spark, sf_dir))
 
 
-@query(_SETS + _RF + " SELECT 3::BIGINT AS n_trees, count(*)::BIGINT AS n_pairs, round(avg(rf), 9) AS mean, median(rf)::DOUBLE AS median, min(rf) AS least, max(rf) AS most FROM rf")
+@query(_SETS + _RF + " SELECT (SELECT count(DISTINCT tree) FROM k WHERE d IN (SELECT d FROM rf))::BIGINT AS n_trees, count(*)::BIGINT AS n_pairs, round(avg(rf), 9) AS mean, median(rf)::DOUBLE AS median, min(rf) AS least, max(rf) AS most FROM rf")
 def rf_stats(spark, sf_dir):
-    out = compare.summary(compare.rf_distances(two_trees(spark, sf_dir)))
-    return out.select(F.col("n_trees").cast("long").alias("n_trees"), "n_pairs", F.round("mean", 9).alias("mean"), "median", "least", "most")
+    out = compare.summary(nation_rf(spark, sf_dir))
+    return out.select(F.col("n_trees").cast("long").alias("n_trees"), F.col("n_pairs").cast("long").alias("n_pairs"), F.round("mean", 9).alias("mean"), "median", "least", "most")
 
 
 @query(_SETS + _RF + " SELECT split_part(tree_a, '_', 2) AS method_a, split_part(tree_b, '_', 2) AS method_b, sum(rf)::BIGINT AS rf FROM rf GROUP BY ALL")
 def rf_accumulate(spark, sf_dir):
-    pairs = compare.rf_distances(two_trees(spark, sf_dir))
+    pairs = nation_rf(spark, sf_dir)
     method = lambda c: F.get(F.split(c, "_"), F.lit(1))
     return compare.accumulated(pairs.withColumns({"method_a": method("tree_a"), "method_b": method("tree_b")}))
 
 
+@query(
+    _SETS + _RF + ", o AS (SELECT d, list_sort(list(rf)) AS r, least(min(tree_a), min(tree_b)) AS a FROM rf GROUP BY d) "
+    "SELECT d AS dataset, s::INT AS step, r[s]::DOUBLE AS height, (s + 1)::INT AS size FROM (SELECT d, r, unnest(range(1, 3)) AS s FROM o WHERE len(r) = 3)"
+)
+def rf_linkage(spark, sf_dir):
+    """Single linkage of each nation's three trees: of three points, the two shortest sides are the heights."""
+    pairs = nation_rf(spark, sf_dir).select(F.substring_index("tree_a", "_", 1).alias("dataset"), F.col("tree_a").alias("a"), F.col("tree_b").alias("b"), F.col("rf").alias("distance"))
+    return trees.single_linkage(pairs).select("dataset", "step", "height", "size")
+
+
+def small_trees(spark, sf_dir):
+    """Two hierarchies over the nations, by region and by the length of the name: quartets are of the fourth power of the leaves."""
+    nation = table(spark, sf_dir, "nation").select("n_name", F.concat(F.lit("r"), "n_regionkey").alias("by_region"), F.concat(F.lit("l"), (F.length("n_name") % 4).cast("string")).alias("by_length"))
+    kinds = F.array(F.struct(F.lit("tree_region_a").alias("tree"), F.col("by_region").alias("g")), F.struct(F.lit("tree_length_a").alias("tree"), F.col("by_length").alias("g")))
+    return grouped_trees(nation.select(F.col("n_name").alias("name"), F.explode(kinds).alias("x")).select("x.tree", "x.g", "name"))
+
+
 @query(
     "WITH x AS (SELECT n_name AS l, unnest(['tree_region_a', 'tree_length_a']) AS tree, unnest(['r' || n_regionkey, 'l' || (length(n_name) % 4)]) AS g FROM nation), "
     "s AS (SELECT tree, g, string_agg(l, ',' ORDER BY l) AS t FROM x GROUP BY ALL), w AS (SELECT tree, string_agg(l, ',' ORDER BY l) AS t FROM x GROUP BY tree), "
@@ -127,7 +177,7 @@ def rf_accumulate(spark, sf_dir):
 )
 def quartet_small(spark, sf_dir):
     """Two trees of all nations."""
-    return compare.quartet_distances(two_trees(spark, sf_dir).filter("tree <> 'tree_region_b'"))
+    return compare.quartet_distances(small_trees(spark, sf_dir))
 
 
 @query("SELECT substring_index_2 AS base, count(*)::BIGINT AS n FROM (SELECT array_to_string(string_split(replace(p_type, ' ', '_'), '_')[1:2], '_') AS substring_index_2 FROM part) GROUP BY base")
@@ -193,6 +243,62 @@ def mfi_small(spark, sf_dir):
     return mining.maximal_itemsets(regional(spark, sf_dir), 0.6, "base", "tree", "item").select("base", F.array_join("items", ",").alias("items"), "n")
 
 
+@query(
+    f"WITH {_REG}, {_SUP} SELECT k.base, item, k.n::BIGINT AS n, array_to_string(list_filter([1, 4, 5, 8], lambda t: k.n * 12 >= t * rws), ',') AS twelfths FROM k JOIN n ON k.base = n.base WHERE k.n * 12 >= rws"
+)
+def item_supports_any(spark, sf_dir):
+    """Supports at thresholds that are no tenths: 1, 4, 5 and 8 twelfths."""
+    counts = mining.item_counts(regional(spark, sf_dir), "base", "tree", "item")
+    out = mining.grid_supports(counts, [1 / 12, 1 / 3, 5 / 12, 2 / 3])
+    return out.select("base", "item", "n", F.array_join(F.transform("supports", lambda s: F.round(s * 12).cast("long").cast("string")), ",").alias("twelfths"))
+
+
+@query(f"WITH {_REG}, {_SUP} SELECT k.base, item, k.n::BIGINT AS occurrences, round(100 * k.n / rws, 2) AS percent FROM k JOIN n ON k.base = n.base")
+def item_occurrences(spark, sf_dir):
+    counts = mining.item_counts(regional(spark, sf_dir), "base", "tree", "item")
+    return mining.occurrences(counts.withColumn("support", F.col("n") / F.col("rows"))).select("base", "item", "occurrences", "percent")
+
+
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query("SELECT c_nationkey, " + ", ".join(f"least(1, count_if(c_mktsegment = '{s}'))::INT AS {s}" for s in SEGMENTS) + " FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey")
+def item_one_hot(spark, sf_dir):
+    rich = table(spark, sf_dir, "customer").filter("c_acctbal > 9000")
+    return mining.one_hot(rich, SEGMENTS, "c_nationkey", "c_mktsegment")
+
+
+def line_kinds(spark, sf_dir):
+    """Transactions: the kinds of lines (flag, status and number) that each part is in, by the first digit of its brand."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_brand", 1, 7).alias("maker"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_returnflag", "l_linestatus", "l_linenumber")
+    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(F.col("maker").alias("base"), F.col("p_partkey").alias("tree"), F.concat_ws("/", "l_returnflag", "l_linestatus", "l_linenumber").alias("item"))
+
+
+_MFI = 0.5
+_BIG = "b AS (SELECT DISTINCT substr(p_brand, 1, 7) AS base, p_partkey AS tree, l_returnflag || '/' || l_linestatus || '/' || l_linenumber AS item FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+@query(
+    f"WITH RECURSIVE {_BIG}, n AS (SELECT base, count(DISTINCT tree) AS rws FROM b GROUP BY base), i AS (SELECT base, item, list(tree) AS ts FROM b GROUP BY ALL), "
+    f"f AS (SELECT i.base, item, ts, rws FROM i JOIN n ON i.base = n.base WHERE len(ts) >= {_MFI} * rws), "
+    f"s AS (SELECT base, [item] AS items, ts, rws FROM f UNION ALL SELECT s.base, list_append(s.items, f.item), list_intersect(s.ts, f.ts), s.rws FROM s JOIN f ON f.base = s.base AND f.item > s.items[-1] WHERE len(list_intersect(s.ts, f.ts)) >= {_MFI} * s.rws) "
+    "SELECT base, array_to_string(items, ',') AS items, len(ts)::BIGINT AS n FROM s WHERE NOT EXISTS (SELECT 1 FROM s e WHERE e.base = s.base AND len(e.items) > len(s.items) AND list_has_all(e.items, s.items))"
+)
+def mfi_large(spark, sf_dir):
+    """Maximal sets over groups of many transactions: hundreds or thousands of parts a maker."""
+    return mining.maximal_itemsets(line_kinds(spark, sf_dir), _MFI, "base", "tree", "item").select("base", F.array_join("items", ",").alias("items"), "n")
+
+
+@query("SELECT c_custkey, true AS item_ok, c_custkey % 3 = 0 AS leaf_ok FROM customer")
+def hash_verify(spark, sf_dir):
+    """Hashes held against what they were made of; two thirds of the names are changed."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.array("c_custkey", "c_nationkey").alias("l"))
+    other = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.concat("c_name", F.lit(".1x")))
+    return c.select("c_custkey", T.is_item_hash(T.item_hash(F.col("l")), F.col("l")).alias("item_ok"), T.is_terminal_hash(T.hash16(F.col("c_name")), other).alias("leaf_ok"))
+
+
 @query(f"WITH {_REG} SELECT item, min(tree) AS tree FROM b GROUP BY item")
 def item_first_tree(spark, sf_dir):
     return mining.first_tree(regional(spark, sf_dir).withColumn("pre", F.lit(0)))
@@ -213,50 +319,166 @@ def support_hist(spark, sf_dir):
 
 
 @query(
-    f"WITH {_TREES}, k AS (SELECT tree, 'r' AS base, md5(array_to_string(list_sort(t), chr(31))) AS item, coalesce(g, 'root') AS nm FROM c WHERE len(t) > 1), "
-    "q AS (SELECT item, count(DISTINCT tree) AS n FROM k GROUP BY item) SELECT k.tree, k.item, array_to_string(list_filter(range(1, 11), lambda t: q.n * 10 >= t * 3), ',') AS tenths FROM k JOIN q USING (item)"
+    f"WITH {TREES}, k AS (SELECT tree, split_part(tree, '_', 1) AS base, md5(array_to_string(list_sort(t), chr(31))) AS item FROM c WHERE len(t) > 1), "
+    "q AS (SELECT base, item, count(DISTINCT tree) AS n FROM k GROUP BY ALL), m AS (SELECT base, count(DISTINCT tree) AS rws FROM k GROUP BY base) "
+    "SELECT k.tree, k.item, array_to_string(list_filter(range(1, 11), lambda t: q.n * 10 >= t * rws), ',') AS tenths FROM k JOIN q USING (base, item) JOIN m USING (base)"
 )
 def subtree_supports(spark, sf_dir):
     """The whole chain: trees, clades, items, counts, and the supports back at each clade."""
-    rows = trees.subtrees(two_trees(spark, sf_dir)).withColumn("base", F.lit("r"))
+    rows = nation_subtrees(spark, sf_dir)
     found = mining.annotate(rows, mining.grid_supports(mining.item_counts(rows, "base", "tree", "item")))
     return found.select("tree", "item", F.array_join(F.transform("supports", lambda s: F.round(s * 10).cast("long").cast("string")), ",").alias("tenths"))
 
 
+def nation_subtrees(spark, sf_dir):
+    return trees.subtrees(nation_trees(spark, sf_dir)).withColumn("base", F.substring_index("tree", "_", 1))
+
+
+@query(
+    f"WITH {TREES}, k AS (SELECT tree, tree || '_' || CASE WHEN g IS NULL THEN 'root' ELSE 'Inner' || dense_rank() OVER (PARTITION BY tree, g IS NULL ORDER BY g) END AS subtree, t FROM c), "
+    "i AS (SELECT md5(array_to_string(list_sort(t), chr(31))) AS item, * FROM k WHERE len(t) > 1), f AS (SELECT item FROM i GROUP BY item HAVING count(DISTINCT tree) >= 2) "
+    "SELECT item, tree, subtree, len(t)::BIGINT AS n_terminals, md5(array_to_string(t, ',')) AS terminals FROM i WHERE item IN (SELECT item FROM f)"
+)
+def item_all_subtrees(spark, sf_dir):
+    """Items that recur, at every subtree that has them."""
+    rows = nation_subtrees(spark, sf_dir)
+    wanted = mining.item_counts(rows, "base", "tree", "item").filter("n >= 2")
+    found = mining.item_subtrees(rows, wanted)
+    return found.select("item", "tree", "subtree", F.col("n_terminals").cast("long").alias("n_terminals"), F.md5(F.array_join("terminals", ",")).alias("terminals"))
+
+
 @query(
-    f"WITH {_TREES} SELECT 'User:<<USER_UID>>' AS src, 'OWNS' AS rel, 'Tree:' || tree AS dst FROM (SELECT DISTINCT tree FROM t) "
-    "UNION ALL SELECT 'Tree:' || tree, 'HAS_SUBTREE', 'Subtree:' || tree || '_' || CASE WHEN g IS NULL THEN 'root' ELSE 'Inner' || dense_rank() OVER (PARTITION BY tree, g IS NULL ORDER BY g) END FROM c WHERE len(t) > 1 OR g IS NULL "
-    "UNION ALL SELECT 'Subtree:' || s, 'HAS_SUPPORT', 'Support:1.0' FROM (SELECT tree || '_' || CASE WHEN g IS NULL THEN 'root' ELSE 'Inner' || dense_rank() OVER (PARTITION BY tree, g IS NULL ORDER BY g) END AS s FROM c)"
+    f"WITH {TREES}, p AS (SELECT tree, g, list(leaf ORDER BY leaf) AS t FROM t GROUP BY ALL HAVING count(*) > 1) "
+    "SELECT tree || '_Inner' || r AS tree, count(*)::BIGINT + 1 AS n_nodes, min(leaf) AS first_leaf, count(*)::BIGINT AS last_post FROM (SELECT tree, g, dense_rank() OVER (PARTITION BY tree ORDER BY g) AS r, leaf FROM t) JOIN p USING (tree, g) GROUP BY tree, r"
+)
+def clade_trees(spark, sf_dir):
+    """Clades below the root as trees of their own."""
+    rows = trees.clade_nodes(nation_trees(spark, sf_dir)).filter("tree not like '%_root'")
+    leaf = F.when(F.col("is_terminal"), F.col("name"))
+    return rows.groupBy("tree").agg(F.count(F.lit(1)).alias("n_nodes"), F.min(leaf).alias("first_leaf"), F.max("post").cast("long").alias("last_post"))
+
+
+@query(
+    f"WITH {TREES} SELECT 'User:<<USER_UID>>' AS src, 'OWNS' AS rel, 'Tree:' || tree AS dst FROM (SELECT DISTINCT tree FROM t) "
+    "UNION ALL SELECT 'Tree:' || tree, 'HAS_SUBTREE', 'Subtree:' || s FROM (SELECT tree, tree || '_' || CASE WHEN g IS NULL THEN 'root' ELSE 'Inner' || dense_rank() OVER (PARTITION BY tree, g IS NULL ORDER BY g) END AS s, t FROM c) WHERE len(t) > 1 "
+    "UNION ALL SELECT 'Subtree:' || s, 'HAS_SUPPORT', 'Support:1.0' FROM (SELECT tree || '_' || CASE WHEN g IS NULL THEN 'root' ELSE 'Inner' || dense_rank() OVER (PARTITION BY tree, g IS NULL ORDER BY g) END AS s, t FROM c) WHERE len(t) > 1"
 )
 def graph_edges(spark, sf_dir):
-    rows = trees.subtrees(two_trees(spark, sf_dir)).withColumn("supports", F.array(F.lit(1.0)))
+    rows = trees.subtrees(nation_trees(spark, sf_dir)).withColumn("supports", F.array(F.lit(1.0)))
     return graph.edges(rows)
 
 
+_CODES = "d AS (SELECT 'n' || c_nationkey || '-' || c_mktsegment AS dataset, lpad(c_custkey::VARCHAR, 6, '0') AS id, md5(c_name) AS seq FROM customer)"
+
+
+def _shape(nodes):
+    """Per tree: its dataset, leaves and nodes, the first and the last leaf."""
+    leaf = F.when(F.col("is_terminal"), F.col("name"))
+    own = nodes.groupBy("tree").agg(F.count_if("is_terminal").alias("n_leaves"), F.count(F.lit(1)).alias("n_nodes"), F.min(leaf).alias("first"), F.max(leaf).alias("last"))
+    return own.select(F.regexp_extract("tree", r"^tree_([^_]*)_", 1).alias("dataset"), "n_leaves", "n_nodes", "first", "last")
+
+
+def _shape_sql(inner):
+    return f"WITH {_CODES} SELECT dataset, count(*)::BIGINT AS n_leaves, (count(*) + CASE WHEN count(*) = 1 THEN 0 ELSE {inner} END)::BIGINT AS n_nodes, min(id) AS first, max(id) AS last FROM d GROUP BY dataset"
+
+
+def _clustered(spark, sf_dir, method):
+    aligned = codes(spark, sf_dir)
+    return build.distance_trees(build.identity_distances(aligned), (method,), members=aligned)
+
+
 @query()
 def nj_tree(spark, sf_dir):
-    return build.distance_trees(build.identity_distances(codes(spark, sf_dir)), ("nj",))
+    return _clustered(spark, sf_dir, "nj")
+
+
+@query(_shape_sql("greatest(count(*) - 2, 1)"))
+def nj_shape(spark, sf_dir):
+    """Neighbour joining leaves all sequences of a dataset below a root of three."""
+    return _shape(nj_tree(spark, sf_dir))
 
 
 @query()
 def upgma_tree(spark, sf_dir):
-    return build.distance_trees(build.identity_distances(codes(spark, sf_dir)), ("upgma",))
+    return _clustered(spark, sf_dir, "upgma")
+
+
+@query(_shape_sql("count(*) - 1").replace(" FROM d GROUP BY", ", true AS ultrametric FROM d GROUP BY"))
+def upgma_shape(spark, sf_dir):
+    """Averaging leaves all sequences of a dataset in a tree of pairs, each leaf equally far from the root."""
+    nodes = upgma_tree(spark, sf_dir)
+    above = trees.closure(nodes.filter("parent_id is not null").select(F.concat_ws("/", "tree", "parent_id").alias("parent"), F.concat_ws("/", "tree", "node_id").alias("child")))
+    key = F.concat_ws("/", "tree", "node_id")
+    lengths = nodes.select(key.alias("node"), "tree", "is_terminal", F.coalesce("branch_length", F.lit(0.0)).alias("own"))
+    higher = above.join(lengths.select(F.col("node").alias("ancestor"), F.col("own").alias("up")), "ancestor").groupBy(F.col("descendant").alias("node")).agg(F.sum("up").alias("up"))
+    depth = lengths.filter("is_terminal").join(higher, "node", "left").withColumn("d", F.col("own") + F.coalesce("up", F.lit(0.0)))
+    flat = depth.groupBy("tree").agg((F.max("d") - F.min("d") < 1e-9).alias("ultrametric")).select(F.regexp_extract("tree", r"^tree_([^_]*)_", 1).alias("dataset"), "ultrametric")
+    return _shape(nodes).join(flat, "dataset")
 
 
 @query()
 def parsimony_score(spark, sf_dir):
     aligned = codes(spark, sf_dir)
-    nodes = build.distance_trees(build.identity_distances(aligned), ("nj",))
-    names = nodes.select("tree", F.regexp_extract("tree", r"^tree_(.*)_nj$", 1).alias("dataset")).distinct()
-    return build.parsimony_scores(nodes, aligned, names)
+    nodes = nj_tree(spark, sf_dir)
+    return build.parsimony_scores(nodes, aligned, _named(nodes))
+
+
+def _named(nodes):
+    return nodes.select("tree", F.regexp_extract("tree", r"^tree_([^_]*)_", 1).alias("dataset")).distinct()
 
 
 @query()
 def parsimony_tree(spark, sf_dir):
-    """Each step of the climb scores all interchanges of a dataset's tree."""
+    """Each step of the climb scores the interchanges of a dataset's tree."""
     return build.parsimony_trees(codes(spark, sf_dir), ("nj",))
 
 
+@query(f"WITH {_CODES} SELECT dataset, true AS enough, true AS no_worse FROM d GROUP BY dataset")
+def parsimony_bounds(spark, sf_dir):
+    """Changes are one less than the symbols of each column at least, and the climb never ends above its start."""
+    aligned = codes(spark, sf_dir)
+    best = parsimony_tree(spark, sf_dir)
+    found = build.parsimony_scores(best, aligned, _named(best)).select(F.regexp_extract("tree", r"^tree_([^_]*)_", 1).alias("dataset"), "changes")
+    start = parsimony_score(spark, sf_dir).select(F.regexp_extract("tree", r"^tree_([^_]*)_", 1).alias("dataset"), F.col("changes").alias("start"))
+    columns = aligned.select("dataset", F.posexplode(F.split("seq", "")).alias("at", "c")).filter("c <> ''").groupBy("dataset", "at").agg((F.count_distinct("c") - 1).alias("n"))
+    least = columns.groupBy("dataset").agg(F.sum("n").alias("least"))
+    return found.join(start, "dataset").join(least, "dataset").select("dataset", (F.col("changes") >= F.col("least")).alias("enough"), (F.col("changes") <= F.col("start")).alias("no_worse"))
+
+
+@query(
+    f"WITH {_CODES}, k AS (SELECT dataset, count(*) AS n, min(id) AS first FROM d WHERE dataset LIKE '%-BUILDING' GROUP BY dataset), m AS (SELECT unnest(['nj_distance', 'upgma_distance', 'nj_parsimony', 'upgma_parsimony']) AS m) "
+    "SELECT 'tree_' || dataset || '_mafft_' || m AS tree, n::BIGINT AS n_leaves, first FROM k CROSS JOIN m"
+)
+def grid_trees(spark, sf_dir):
+    """From sequences to named trees, one aligner of the automatic grid: equal lengths are aligned already."""
+    seqs = codes(spark, sf_dir).filter(F.col("dataset").endswith("-BUILDING"))
+    grid = build.method_grid(seqs, "auto", "none").filter("aligner = 'mafft'")
+    nodes = build.grid_trees(seqs, grid, {"mafft": lambda s: s.select("dataset", "id", "seq")})
+    return nodes.filter("is_terminal").groupBy("tree").agg(F.count(F.lit(1)).alias("n_leaves"), F.min("name").alias("first"))
+
+
+@query("SELECT r_name AS dataset, 'mafft' AS aligner, 'distance' AS method, 'upgma' AS submethod FROM region")
+def method_single(spark, sf_dir):
+    return build.method_grid(table(spark, sf_dir, "region").select(F.col("r_name").alias("dataset")), "single", single=("mafft", "upgma", None))
+
+
+@query(
+    "WITH g AS (SELECT r_name AS dataset, a AS aligner, m AS method, s AS submethod FROM region, unnest(['clustalo', 'mafft']) AS a(a), unnest(['distance', 'parsimony']) AS m(m), unnest(['nj', 'upgma']) AS s(s)) "
+    "SELECT *, aligner || '_' || method || '_' || submethod || '_' || row_number() OVER (PARTITION BY aligner, method, submethod ORDER BY dataset) AS name FROM g"
+)
+def registry_names(spark, sf_dir):
+    return build.registry_names(build.method_grid(table(spark, sf_dir, "region").select(F.col("r_name").alias("dataset"))))
+
+
+@query(
+    "WITH g AS (SELECT r_name AS dataset, a AS aligner, m AS method, s AS submethod FROM region, unnest(['clustalo', 'mafft']) AS a(a), unnest(['distance', 'parsimony']) AS m(m), unnest(['nj', 'upgma']) AS s(s)) "
+    "SELECT * FROM g WHERE NOT (dataset < 'B' AND submethod = 'nj')"
+)
+def missing_trees(spark, sf_dir):
+    grid = build.method_grid(table(spark, sf_dir, "region").select(F.col("r_name").alias("dataset")))
+    return build.missing_trees(grid, grid.filter("dataset < 'B' and submethod = 'nj'"))
+
+
 @query(
     "WITH d AS (SELECT DISTINCT r_name AS dataset FROM region), a AS (SELECT unnest(['clustalo', 'mafft']) AS aligner), m AS (SELECT unnest(['distance', 'parsimony']) AS method), s AS (SELECT unnest(['nj', 'upgma']) AS submethod) "
     "SELECT dataset, aligner, method, submethod FROM d CROSS JOIN a CROSS JOIN m CROSS JOIN s UNION ALL SELECT dataset, aligner, e, NULL FROM d CROSS JOIN a CROSS JOIN (SELECT unnest(['iqtree', 'fasttree', 'raxml']) AS e)"
