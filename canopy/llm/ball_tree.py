@@ -1,13 +1,17 @@
 """Exact top-k by inner product: ball-tree branch and bound per shard.
 
-Vectors are dealt into shards of a bounded number of rows, and each shard builds a ball tree: every node has a centre, a
-radius and its smallest id. No vector of a node can score more with a query q than q.centre + |q| radius, so nodes are opened in
-the order of that bound and a search ends where the bound falls below the kth score so far.
+Every vector goes to the nearest of some centres, fitted on a sample of SAMPLE_ROWS at most (a documented bound; the index holds
+every row), so that shards are compact; a cluster beyond a shard's size is split by row. Each shard's ball tree is built and saved once: every node has
+a centre, a radius and its smallest id. No vector of a node can score more with a query q than q.centre + |q| radius, so nodes are
+opened in the order of that bound and a search ends where the bound falls below the kth score so far.
 
-The kth score is shared between shards in two rounds. First each query searches one shard alone, its home, and so learns
-k scores that are reached for certain. Then it visits all other shards in blocks of queries, starting from that kth score,
-so that most of their nodes are never opened; a shard whose root lies below it costs one comparison. The two rounds'
-candidates, k a shard at most, are merged per query by score and id.
+The kth score is shared between shards in rounds. First each query searches one shard alone, its home, and so learns k scores that are
+reached for certain. The shards' roots, small and of a bounded size, are known to all tasks: of the other shards, a query is sent only to those whose
+root's bound reaches its kth score, the NEXT best of them first, then, with the kth score found there, the rest. All rounds' candidates, k a shard
+at most, are merged per query by score and id.
+
+Of vectors that are equal, only those of the k + 1 smallest ids can be among the k best of any query; the others stay out of the
+shards, so that a vector that a third of all rows hold costs no more than a few.
 
 Scores are inner products of integers (floor(scale * component)); a score is exact in double arithmetic while it stays
 below 2^53, and vectors beyond that are scored in integers of any size.
@@ -20,9 +24,13 @@ without candidates has no rows; a score beyond a long raises; columns besides id
 from __future__ import annotations
 
 import heapq
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +41,12 @@ SCALE = 256
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 4096
 LEAF_ROWS = 64
+SAMPLE_ROWS = 1 << 15
+#: Vectors of the sample for each centre, at least.
+PER_CENTRE = 16
+#: All roots' bytes, at most: shards grow instead.
+ROOT_BYTES = 1 << 26
+NEXT = 4
 EXACT = float(1 << 53)
 
 
@@ -118,6 +132,30 @@ class BallTree:
         return sorted(((s, -i) for s, i in found), key=lambda x: (-x[0], x[1]))
 
 
+def upper_bounds(q: np.ndarray, centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """For each query (row) and ball: a score that no vector of the ball exceeds, with what rounding may take."""
+    size = np.sqrt((q * q).sum(axis=1))[:, None]
+    out = q @ centres.T + size * radii
+    return out + 1e-9 * (np.abs(out) + size * (radii + np.sqrt((centres**2).sum(axis=1)))) + 1e-6
+
+
+def fitted(sample: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """n centres of a sample by a few rounds of k-means from rows spread over it; fewer where rows are equal."""
+    centres = np.unique(sample[np.linspace(0, len(sample) - 1, n).astype(int)], axis=0)
+    for _ in range(rounds):
+        own = nearest(sample, centres)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        times = np.bincount(own, minlength=len(centres))
+        centres = np.where(times[:, None] > 0, sums / np.maximum(times, 1)[:, None], centres)
+    return centres
+
+
+def nearest(x: np.ndarray, centres: np.ndarray, block: int = 1024) -> np.ndarray:
+    half = (centres**2).sum(axis=1) / 2
+    return np.concatenate([(x[i : i + block] @ centres.T - half).argmax(axis=1) for i in range(0, len(x), block)]) if len(x) else np.zeros(0, np.int64)
+
+
 def whole(vector: Column, scale: int = SCALE) -> Column:
     """floor(scale * x) of each component as a double; null where the vector takes no part.
 
@@ -130,52 +168,137 @@ def whole(vector: Column, scale: int = SCALE) -> Column:
 
 
 _FOUND = "query_id long, vec_id long, score long"
+_SHARD = ["dim", "cluster", "part"]
+_TREE = "dim int, cluster int, part int, centre array<double>, radius double, tree binary"
 
 
-def _searched(shards: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A column of vectors of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _by_length(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches with vectors of one length each (column dim)."""
+    for batch in batches:
+        dims = batch.column("dim").to_numpy()
+        for dim in np.unique(dims):
+            own = np.flatnonzero(dims == dim)
+            for at in range(0, len(own), rows):
+                yield int(dim), batch.take(pa.array(own[at : at + rows]))
+
+
+def _built(rows: pd.DataFrame) -> pd.DataFrame:
+    tree = BallTree(np.stack(rows["x"].to_list()).astype(np.float64), rows["vec_id"].to_numpy(np.int64))
+    first = rows.iloc[0]
+    out = {"dim": first["dim"], "cluster": first["cluster"], "part": first["part"], "centre": tree.centres[0].tolist(), "radius": float(tree.radii[0]), "tree": pickle.dumps(tree)}
+    return pd.DataFrame([out])
+
+
+def _searched(trees: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     out: list[tuple[int, int, int]] = []
-    if len(shards) and len(queries):
-        tree = BallTree(np.stack(shards["x"].to_list()).astype(np.float64), shards["vec_id"].to_numpy(np.int64))
+    if len(trees) and len(queries):
+        tree: BallTree = pickle.loads(trees["tree"].iloc[0])
         for qid, q, floor in zip(queries["vec_id"], queries["x"], queries["floor"]):
             floor = -np.inf if floor is None or np.isnan(floor) else floor
             out += [(int(qid), i, s) for s, i in tree.search(np.asarray(q, np.float64), int(qid), k, floor)]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score of the k best of each row of vectors (vec_id, embedding) that is_query names."""
+def index(base: DataFrame, counts: dict[int, int], shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The saved shards of base (dim, row, vec_id, x): dim, cluster, part, centre, radius and tree. counts: rows by length of vector."""
+    centres: dict[int, np.ndarray] = {}
+    for dim, n in counts.items():
+        size = max(shard_rows, -(-n * (dim + 1) * 8 // ROOT_BYTES))
+        own = base.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("row", F.lit(7)), F.lit(max(1, n // max(1, sample_rows // 2)))) == 0))
+        clusters = min(-(-n // size), max(1, sample_rows // PER_CENTRE))
+        sample = np.array([r["x"] for r in own.select("x").limit(sample_rows).collect()], np.float64).reshape(-1, dim) if clusters > 1 else np.zeros((0, dim))
+        centres[dim] = fitted(sample, min(clusters, len(sample))) if len(sample) else np.zeros((1, dim))
+    shared = base.sparkSession.sparkContext.broadcast(centres)
+    names = base.columns
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, batch in _by_length(batches):
+            own = nearest(_matrix(batch.column("x")), shared.value[dim])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own.astype(np.int32))], names=[*names, "cluster"])
+
+    dealt = saved(base.mapInArrow(assign, base.withColumn("cluster", F.lit(0)).schema), "assigned")
+    rows = F.element_at(F.create_map(*[F.lit(x) for dim, n in counts.items() for x in (dim, max(shard_rows, -(-n * (dim + 1) * 8 // ROOT_BYTES)))]), F.col("dim"))
+    parts = dealt.groupBy("dim", "cluster").agg(F.ceil(F.count(F.lit(1)) / F.first(rows)).cast("int").alias("_parts"))
+    dealt = dealt.join(parts, ["dim", "cluster"]).withColumn("part", F.pmod(F.xxhash64("row"), "_parts").cast("int"))
+    return saved(dealt.select(*_SHARD, "vec_id", "x").groupBy(*_SHARD).applyInPandas(_built, _TREE), "trees")
+
+
+def roots_of(trees: DataFrame) -> dict[int, tuple]:
+    """Centres, radii, clusters and parts of the shards by length of vector: ROOT_BYTES at most for each length."""
+    roots = {}
+    for dim, own in trees.drop("tree").toPandas().groupby("dim"):
+        own = own.sort_values(["cluster", "part"])
+        roots[int(dim)] = (np.stack(own["centre"].to_list()), own["radius"].to_numpy(), own["cluster"].to_numpy(np.int32), own["part"].to_numpy(np.int32))
+    return roots
+
+
+def routed(queries: DataFrame, shared: Broadcast, turn: int, turns: tuple[int, ...] = (1, NEXT)) -> DataFrame:
+    """queries (dim, row, vec_id, x, floor) with each shard that they go to in a turn: the home first, all that reach the floor at last. shared: roots_of."""
+    first, last = sum(turns[:turn]), sum(turns[: turn + 1]) if turn < len(turns) else None
+    names = queries.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dim, batch in _by_length(batches, 256):
+            centres, radii, cluster, part = shared.value[dim]
+            q = _matrix(batch.column("x"))
+            bounds = upper_bounds(q, centres, radii)
+            # the home is the shard of the best centre; the others go by their bounds
+            order = bounds.copy()
+            order[np.arange(len(q)), (q @ centres.T).argmax(axis=1)] = np.inf
+            place = np.argsort(-order, axis=1, kind="stable")[:, first:last]
+            floor = np.nan_to_num(batch.column("floor").to_numpy(zero_copy_only=False).astype(np.float64), nan=-np.inf)
+            goes = np.take_along_axis(bounds, place, axis=1) >= floor[:, None]
+            at, where = np.repeat(np.arange(len(q)), goes.sum(axis=1)), place[goes]
+            for i in range(0, len(at), 8192):
+                rows = batch.take(pa.array(at[i : i + 8192]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cluster[where[i : i + 8192]]), pa.array(part[where[i : i + 8192]])], names=[*names, "cluster", "part"])
+
+    return queries.mapInArrow(run, queries.withColumns({"cluster": F.lit(0), "part": F.lit(0)}).schema)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE, shard_rows: int = SHARD_ROWS, visits: list | None = None) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score of the k best of each row of vectors (vec_id, embedding) that is_query names.
+
+    visits, if given, gets the number of searches of a shard in each turn. Lengths of vectors are few: a row of each comes to the driver.
+    """
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole(F.col("embedding"), scale).alias("x"))
     base = base.filter("x is not null and vec_id is not null")
     base = saved(base.withColumns({"dim": F.size("x"), "row": F.monotonically_increasing_id()}), "vectors")
-    # one row per length of vector; the numbers of shards and blocks bound the rows of each
-    sizes = base.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).collect()
-    if not sizes:
+    same = Window.partitionBy(F.xxhash64("x"), "x")
+    first = base.withColumn("_id", F.dense_rank().over(same.orderBy("vec_id"))).filter(F.col("_id") <= k + 1)
+    first = first.withColumn("_time", F.row_number().over(Window.partitionBy(F.xxhash64("x"), "x", "vec_id").orderBy("row"))).filter(F.col("_time") <= k)
+    kept = saved(first.select("dim", "row", "vec_id", "x"), "candidates")
+    counts = {r["dim"]: r["n"] for r in kept.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
         return base.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
-
-    def parts(of: str, most: int) -> Column:
-        pairs = [F.lit(x) for r in sizes for x in (r["dim"], max(1, -(-r[of] // most)))]
-        return F.element_at(F.create_map(*pairs), F.col("dim"))
-
-    # dealt by row, so that equal vectors and equal ids spread
-    dealt = base.withColumns({"n_shards": parts("n", shard_rows), "n_blocks": parts("q", BLOCK_QUERIES)})
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("row"), "n_shards").cast("int"))
-    queries = dealt.filter(is_query).withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), "n_blocks").cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - F.lit(1)).cast("array<int>")).alias("block")
-    rows = dealt.select("dim", "shard", every, "vec_id", "x")
-    pair = ["dim", "shard", "block"]
+    trees = index(kept, counts, shard_rows)
+    shared = trees.sparkSession.sparkContext.broadcast(roots_of(trees))
+    queries = base.filter(is_query).select("dim", "row", "vec_id", "x")
 
     def search(asked: DataFrame) -> DataFrame:
         run = lambda key, a, b: _searched(a, b, k)
-        asked = asked.toDF(*asked.columns)  # both sides come from one table
-        return rows.groupBy(*pair).cogroup(asked.groupBy(*pair)).applyInPandas(run, _FOUND)
-
-    home = queries.select(*pair, "vec_id", "x", F.lit(None).cast("double").alias("floor"))
-    first = saved(search(home), "home")
-    reached = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"))
-    floors = reached.select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("low")).cast("double").alias("floor"))
-    asked = queries.join(floors, "vec_id", "left")
-    others = F.filter(F.sequence(F.lit(0), F.col("n_shards") - F.lit(1)), lambda s: s != F.col("shard"))
-    away = asked.filter("n_shards > 1").select("dim", F.explode(others.cast("array<int>")).alias("shard"), "block", "vec_id", "x", "floor")
-    found = first.unionByName(search(away))
+        asked = saved(asked, "asked")
+        blocks = saved(asked.groupBy(*_SHARD).agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("_blocks")), "blocks")
+        if visits is not None:
+            visits.append(blocks.agg(F.sum("n")).first()[0] or 0)
+        side = trees.select(*_SHARD, "tree").join(blocks, _SHARD).select(*_SHARD, F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("block"), "tree")
+        own = asked.join(blocks, _SHARD).select(*_SHARD, F.pmod(F.xxhash64("row"), "_blocks").cast("int").alias("block"), "vec_id", "x", "floor")
+        own, pair = own.toDF(*own.columns), [*_SHARD, "block"]
+        return side.groupBy(*pair).cogroup(own.groupBy(*pair)).applyInPandas(run, _FOUND)
+
+    found, turns = None, (1, NEXT)
+    for turn in range(len(turns) + 1):
+        if found is None:
+            asked = queries.withColumn("floor", F.lit(None).cast("double"))
+        else:
+            kth = F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).cast("double")
+            asked = queries.join(found.groupBy(F.col("query_id").alias("vec_id")).agg(kth.alias("floor")), "vec_id", "left").select(*queries.columns, "floor")
+        new = saved(search(routed(asked, shared, turn, turns)), "found")
+        found = new if found is None else found.unionByName(new)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
