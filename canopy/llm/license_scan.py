@@ -28,14 +28,13 @@ from canopy.llm.scratch import values
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 3
 SLACK = 3
-MAX_GRAMS = 62
 BROADCAST_GRAMS = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
 class Template:
-    """words: lower-case, space-separated, K words at least and K + MAX_GRAMS - 1 at most; coverage: share that accepts."""
+    """words: lower-case, space-separated, K words at least; coverage: share that accepts."""
 
     label: str
     words: str
@@ -49,7 +48,7 @@ BASE = (
     Template("apache-2", "apache license version 2", base=True, coverage=1.0),
     Template("cc-by-nc", "cc by nc", base=True, coverage=1.0),
 )
-#: Names and notices of public licenses.
+#: Names and notices of public licenses, and opening clauses.
 NOTICES = (
     Template("gpl", "under the gnu general public license", coverage=1.0),
     Template("gpl-3", "gnu general public license version 3", coverage=1.0),
@@ -68,6 +67,35 @@ NOTICES = (
 )
 
 
+#: Whole texts of public licenses, as their words: fixed values.
+_MIT = """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software
+to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell
+copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and
+this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind
+express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the
+authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in
+connection with the software or the use or other dealings in the software"""
+_ISC = """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright
+notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software
+including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages
+or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in
+connection with the use or performance of this software"""
+_BSD = """redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form
+must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the
+distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the
+implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for
+any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use
+data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or
+otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""
+_ZLIB = """this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the
+use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it
+freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if
+you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be
+plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution"""
+TEXTS = tuple(Template(label, " ".join(text.split())) for label, text in (("mit", _MIT), ("isc", _ISC), ("bsd", _BSD), ("zlib", _ZLIB)))
+
+
 def words_of(text: Column) -> Column:
     """A-Z lower-cased, split at every ASCII character that is neither letter nor digit."""
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAK), "")
@@ -78,8 +106,8 @@ def template_grams(spark, templates: Sequence[Template], k: int = K) -> DataFram
     rows = []
     for i, t in enumerate(templates):
         words = t.words.split(" ")
-        if not k <= len(words) < k + MAX_GRAMS:
-            raise ValueError(f"a template has {k} to {k + MAX_GRAMS - 1} words: {t.words[:40]}")
+        if len(words) < k:
+            raise ValueError(f"a template has {k} words or more: {t.words[:40]}")
         rows += [(i, p, *words[p : p + k]) for p in range(len(words) - k + 1)]
     names = [f"w{j}" for j in range(k)]
     df = values(spark, rows, "t_id int, t_pos int, " + ", ".join(f"{n} string" for n in names))
@@ -115,7 +143,7 @@ def spans(docs: DataFrame, templates: Sequence[Template], keep: Sequence[str] =
         .agg(
             *heads,
             F.count("t_id").alias("votes"),
-            F.bit_or(F.expr("shiftleft(1L, t_pos)")).alias("mask"),
+            F.collect_list("t_pos").alias("places"),  # a template's places at most
             F.min("pos").alias("low"),
             F.max("pos").alias("high"),
         )
@@ -128,12 +156,12 @@ def spans(docs: DataFrame, templates: Sequence[Template], keep: Sequence[str] =
         F.sum("votes").alias("votes"),
         F.min("low").alias("first"),
         (F.max("high") - F.min("low") + F.lit(k)).alias("words"),
-        F.bit_count(F.bit_or("mask")).alias("grams"),
-        F.sort_array(F.collect_list(F.when(F.bit_count("mask") == size, F.col("diagonal")))).alias("exact_at"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("grams"),
+        F.sort_array(F.collect_list(F.when(F.col("votes") == size, F.col("diagonal")))).alias("exact_at"),
     )
 
 
-def scan(docs: DataFrame, own: Sequence[Template] = NOTICES, keep: Sequence[str] = ("doc_id",), text: str = "text", k: int = K, slack: int = SLACK) -> DataFrame:
+def scan(docs: DataFrame, own: Sequence[Template] = (*NOTICES, *TEXTS), keep: Sequence[str] = ("doc_id",), text: str = "text", k: int = K, slack: int = SLACK) -> DataFrame:
     """Per row of docs: keep, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score: the largest share of a template's k-grams among accepted spans, 0 without one. A span is accepted where it
