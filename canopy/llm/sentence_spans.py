@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences after ``.``, ``!`` or ``?`` followed by white space, and at line breaks. Every run of RUN
-consecutive sentences with MIN_WORDS words or more is hashed (two independent 64-bit hashes); equal runs meet in one global join. The first occurrence, by doc_id,
-row and place, stays; sentences covered by any other occurrence go.
+A text is cut into sentences after ``.``, ``!`` or ``?`` followed by white space, and at line breaks. From every sentence, the run of RUN
+consecutive sentences is hashed (two independent 64-bit hashes), lengthened by the sentences that follow until it has MIN_WORDS words. Where the
+text ends before that, its last sentences with MIN_WORDS words are a run, so that every sentence of a text of MIN_WORDS words stands in a hashed run. Equal
+runs meet in one global join. The first occurrence, by doc_id, row and place, stays; sentences covered by any other occurrence go.
 
 Only DataFrame functions. Occurrences are counted and the first chosen before anything is joined (one row per task and
 run), and the join back is one whose large partitions Spark splits, so a passage that a third of all documents hold does not gather in
@@ -30,21 +31,40 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(broken, "\n"), lambda s: F.regexp_replace(s, rf"^{_BLANK}+|{_BLANK}+$", "")), lambda s: s != "")
 
 
+def _reaching(words: Column, at: Column, run: int, least: int) -> Column:
+    """How many sentences from at, run or more, have least words together; 0 where the text ends before."""
+    first = F.lit(0)
+    for i in range(run):
+        first = first + F.get(words, at + F.lit(i))
+    more = F.aggregate(
+        F.slice(words, at + F.lit(run + 1), F.lit(least)),  # a sentence has a word or more
+        F.struct(first.alias("n"), F.lit(run).alias("len")),
+        lambda a, w: F.when(a["n"] >= least, a).otherwise(F.struct((a["n"] + w).alias("n"), (a["len"] + F.lit(1)).alias("len"))),
+    )
+    return F.when(first >= least, F.lit(run)).otherwise(F.when(more["n"] >= least, more["len"]).otherwise(F.lit(0)))
+
+
+def _ending(words: Column, run: int, least: int) -> Column:
+    """How many of the last sentences, run or more, have least words together; 0 where all have fewer."""
+    return _reaching(F.reverse(F.slice(words, -F.least(F.size(words), F.lit(run + least)), F.least(F.size(words), F.lit(run + least)))), F.lit(0), run, least)
+
+
 def marked(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, sentences and kept (the places of the sentences that stay) of every row of docs (doc_id, text)."""
     rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), sentences(F.col("text")).alias("s")), "sentences")
-    at = rows.filter(F.size("s") >= run).select("row", "doc_id", "s", F.posexplode("s").alias("pos", "_first"))
-    parts = [F.get("s", F.col("pos") + F.lit(i)) for i in range(run)]
-    words = sum((F.size(F.split(p, rf"{_BLANK}+")) for p in parts), F.lit(0))
-    spans = at.filter(parts[-1].isNotNull()).filter(words >= min_words).select(
-        "row", "doc_id", "pos", F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts[::-1]).alias("h2")
-    )
+    counted = rows.filter(F.size("s") >= run).withColumn("n", F.transform("s", lambda x: F.size(F.split(x, rf"{_BLANK}+"))))
+    # each run as its first place and its number of sentences
+    runs = F.transform(F.sequence(F.lit(0), F.size("s") - F.lit(run)), lambda i: F.struct(i.alias("pos"), _reaching(F.col("n"), i, run, min_words).alias("len")))
+    last = _ending(F.col("n"), run, min_words)
+    runs = F.array_distinct(F.concat(runs, F.array(F.struct((F.size("s") - last).alias("pos"), last.alias("len")))))
+    at = counted.select("row", "doc_id", "s", F.explode(F.filter(runs, lambda r: r["len"] > 0)).alias("r")).select("row", "doc_id", F.col("r.pos").alias("pos"), F.col("r.len").alias("len"), F.slice("s", F.col("r.pos") + 1, F.col("r.len")).alias("p"))
+    spans = at.select("row", "doc_id", "pos", "len", F.xxhash64("p").alias("h1"), F.xxhash64(F.lit(1), F.reverse("p")).alias("h2"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "pos")
     firsts = spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(order).alias("first")).filter("times > 1")
     firsts = saved(firsts.select("h1", "h2", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos")), "firsts")
     again = spans.join(firsts, ["h1", "h2"]).filter("row <> first_row or pos <> first_pos")
-    marks = again.groupBy("row").agg(F.collect_set("pos").alias("marks"))
-    covered = F.flatten(F.transform("marks", lambda p: F.sequence(p, p + F.lit(run - 1))))
+    marks = again.groupBy("row").agg(F.collect_set(F.struct("pos", "len")).alias("marks"))
+    covered = F.flatten(F.transform("marks", lambda m: F.sequence(m["pos"], m["pos"] + m["len"] - F.lit(1))))
     places = F.when(F.size("s") > 0, F.sequence(F.lit(0), F.size("s") - F.lit(1))).otherwise(F.array().cast("array<int>"))
     kept = F.when(F.col("marks").isNull(), places).otherwise(F.array_except(places, covered))
     return rows.join(marks, "row", "left").select("doc_id", F.col("s").alias("sentences"), kept.alias("kept"))
