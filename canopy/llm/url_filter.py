@@ -5,15 +5,20 @@ no rule decides are judged by their host's reputation: labelled outcomes (bad or
 through beta-binomial priors from the whole table to the public suffix, from the suffix to the registered domain and from
 the domain to the host; what a group has is its prior for a member without that member's own outcomes, so that each
 outcome counts once. The strength of each prior comes from the counts themselves (method of moments). A page is
-blocked where the lower posterior bound of its host's bad rate exceeds ``max_bad``.
+blocked where the lower posterior bound of its host's bad rate exceeds a limit. The limit comes from the table's own rates: it is
+the mean of all hosts' bounds plus SPREADS of their standard deviations, so that hosts are blocked that stand out among their
+like, whatever share of all pages is bad; ``max_bad`` gives a fixed limit instead. A host without outcomes has the mean of its
+domain (else of its suffix, else the overall one) at the strength of a host's prior.
+
+Registered domains follow a rule, or a table of public suffixes where one is given.
 
 Only DataFrame functions. Counts are combined before they are shuffled (host, then domain, then suffix from the host
-counts), so a host that holds a third of all pages costs one row per task; pages meet the posteriors in a left join
-whose large partitions Spark can split. Three moments are collected, one row per level.
+counts), so a host that holds a third of all pages costs one row per task; pages meet the posteriors in left joins
+whose large partitions Spark can split. A row per level and one row of the limit are collected.
 
 Defined results: a url that is null or has no ``://`` has empty host and path, fits no rule and is judged by the overall
 rate; repeated pages are judged each on its own and each counts as an outcome; a label given twice counts as bad if one
-is; without labels nothing is blocked but by rule; columns besides id and url are not read.
+is; without labels, or where all hosts are alike, nothing is blocked but by rule; columns besides id and url are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +33,8 @@ from canopy.llm.scratch import saved, values
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 BROADCAST_RULES = 10_000
-MAX_BAD, Z, STRENGTH = 0.5, 1.645, (1.0, 1000.0)
+#: A prior counts for a hundred outcomes at most, so that what a host does itself is seen.
+SPREADS, Z, STRENGTH = 1.0, 1.645, (1.0, 100.0)
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -77,56 +83,85 @@ def best_rule(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     return pages.withColumn("_best", best).drop(*found)
 
 
-def _strength(counts: DataFrame, mean: float) -> float:
-    """Prior strength of a level by the method of moments, within STRENGTH."""
-    p = F.col("k") / F.col("n")
-    one = counts.agg(
-        F.count(F.lit(1)).alias("groups"),
-        F.sum("n").alias("n"),
-        F.sum(F.col("n") * (p - F.lit(mean)) * (p - F.lit(mean))).alias("ss"),
-    ).first()
-    low, high = STRENGTH
-    if not one["n"] or one["groups"] < 2:
-        return high
-    size = one["n"] / one["groups"]
-    between, noise = one["ss"] / one["n"], mean * (1 - mean)
-    over = between - noise / size
-    return high if over <= 0 else min(high, max(low, (noise - between) / over))
-
+def domains_by(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """hosts (host) with domain and suffix by a table of public suffixes (suffix): the longest that ends a host, and one label more.
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """host, a and b of its posterior, from outcomes (host, bad); the posteriors of domains and suffixes stand as rows, too.
-
-    Rows: level (host, domain, suffix or all), name, a, b.
+    A host that no suffix ends has its last label for one; addresses of digits are their own domain and suffix.
+    """
+    name = F.regexp_replace("host", r":\d*$", "")
+    labels = F.split(name, r"\.")
+    places = F.sequence(F.lit(1), F.size(labels))
+    tails = hosts.select("host", name.alias("_name"), labels.alias("_labels"), F.explode(places).alias("_n")).withColumn("suffix", F.array_join(F.slice("_labels", F.size("_labels") - F.col("_n") + 1, F.col("_n")), "."))
+    found = tails.join(suffixes.select(F.lower("suffix").alias("suffix")).distinct().withColumn("_known", F.lit(True)), "suffix", "left")
+    best = found.groupBy("host").agg(F.first("_name").alias("_name"), F.first("_labels").alias("_labels"), F.coalesce(F.max(F.when(F.col("_known"), F.col("_n"))), F.lit(1)).alias("_n"))
+    tail = lambda n: F.array_join(F.slice("_labels", F.greatest(F.size("_labels") - n + 1, F.lit(1)), n), ".")
+    digits = F.col("_name").rlike(r"^[\d.]+$")
+    return best.select("host", F.when(digits, F.col("_name")).otherwise(tail(F.col("_n") + 1)).alias("domain"), F.when(digits, F.col("_name")).otherwise(tail(F.col("_n"))).alias("suffix"))
+
+
+def with_domains(rows: DataFrame, suffixes: DataFrame | None) -> DataFrame:
+    """rows (host) with domain and suffix."""
+    if suffixes is None:
+        domain, suffix = domains(F.col("host"))
+        return rows.withColumns({"domain": domain, "suffix": suffix})
+    return rows.join(domains_by(rows.select("host").distinct(), suffixes), "host", "left")
+
+
+def _strengths(levels: dict[str, DataFrame]) -> tuple[float, dict[str, float]]:
+    """The overall mean, and each level's prior strength by the method of moments, within STRENGTH."""
+    rows = None
+    for name, counts in levels.items():
+        own = counts.select(F.lit(name).alias("level"), "n", "k")
+        rows = own if rows is None else rows.unionByName(own)
+    k, n = F.col("k").cast("double"), F.col("n").cast("double")
+    sums = {r["level"]: r for r in rows.groupBy("level").agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(k * k / n).alias("kk")).collect()}
+    total = sums.get("suffix")
+    mean = ((total["k"] if total else 0) + 1) / ((total["n"] if total else 0) + 10)
+    low, high = STRENGTH
+    out = {}
+    for level in levels:
+        one = sums.get(level)
+        if not one or one["groups"] < 2:
+            out[level] = high
+            continue
+        between = (one["kk"] - 2 * mean * one["k"] + mean * mean * one["n"]) / one["n"]
+        noise = mean * (1 - mean)
+        over = between - noise / (one["n"] / one["groups"])
+        out[level] = high if over <= 0 else min(high, max(low, (noise - between) / over))
+    return mean, out
+
+
+def reputation(outcomes: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Posteriors from outcomes (host, bad): level (host, domain, suffix or all), name, a, b.
+
+    Those of domains, suffixes and all are what a host there has that has no outcomes.
     """
-    domain, suffix = domains(F.col("host"))
     hosts = outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("k"))
-    hosts = saved(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
+    hosts = saved(with_domains(hosts, suffixes), "hosts")
     sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
-    by_domain = hosts.groupBy("domain", "suffix").agg(*sums)
+    by_domain = saved(hosts.groupBy("domain", "suffix").agg(*sums), "domains")
     by_suffix = by_domain.groupBy("suffix").agg(*sums)
-    total = by_suffix.agg(*sums).first()
-    n, k = total["n"] or 0, total["k"] or 0
-    mean = (k + 1) / (n + 10)
-    m_suffix, m_domain, m_host = (_strength(x, mean) for x in (by_suffix, by_domain, hosts))
-
-    def posterior(k: Column, n: Column, m: float, prior: Column) -> dict[str, Column]:
-        a = k + F.lit(m) * prior
-        return {"a": a, "b": n + F.lit(m) - a}
+    mean, strength = _strengths({"host": hosts, "domain": by_domain, "suffix": by_suffix})
+    m_suffix, m_domain, m_host = (strength[x] for x in ("suffix", "domain", "host"))
 
-    def rest(part: str, whole: str, m: float, prior: Column) -> Column:
-        """The rate of what a group has besides one of its members, shrunk to prior."""
-        return (F.col(f"k{whole}") - F.col(f"k{part}") + F.lit(m) * prior) / (F.col(f"n{whole}") - F.col(f"n{part}") + F.lit(m))
+    def shrunk(k: Column, n: Column, m: float, prior: Column) -> Column:
+        return (k + F.lit(m) * prior) / (n + F.lit(m))
 
     sums = lambda df, x: df.withColumnsRenamed({"n": f"n{x}", "k": f"k{x}"})
-    s = sums(by_suffix, "s").withColumns(posterior(F.col("ks"), F.col("ns"), m_suffix, F.lit(mean)))
-    d = sums(by_domain, "d").join(sums(by_suffix, "s"), "suffix").withColumn("prior", rest("d", "s", m_suffix, F.lit(mean)))
-    d = d.withColumns(posterior(F.col("kd"), F.col("nd"), m_domain, F.col("prior")))
-    h = sums(hosts, "h").join(d.drop("a", "b"), ["domain", "suffix"]).withColumn("prior", rest("h", "d", m_domain, F.col("prior")))
-    h = h.withColumns(posterior(F.col("kh"), F.col("nh"), m_host, F.col("prior")))
-    rows = [x.select(F.lit(level).alias("level"), F.col(level).alias("name"), "a", "b") for level, x in (("host", h), ("domain", d), ("suffix", s))]
-    everything = outcomes.sparkSession.range(1).select(F.lit("all").alias("level"), F.lit("").alias("name"), F.lit(mean * 10).alias("a"), F.lit((1 - mean) * 10).alias("b"))
-    return saved(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(everything), "reputation")
+    s = sums(by_suffix, "s").withColumn("rate", shrunk(F.col("ks"), F.col("ns"), m_suffix, F.lit(mean)))
+    # a group's prior is what the group above has besides it
+    d = sums(by_domain, "d").join(sums(by_suffix, "s"), "suffix").withColumn("prior", shrunk(F.col("ks") - F.col("kd"), F.col("ns") - F.col("nd"), m_suffix, F.lit(mean)))
+    d = d.withColumn("rate", shrunk(F.col("kd"), F.col("nd"), m_domain, F.col("prior")))
+    h = sums(hosts, "h").join(d, ["domain", "suffix"]).withColumn("host_prior", shrunk(F.col("kd") - F.col("kh"), F.col("nd") - F.col("nh"), m_domain, F.col("prior")))
+    h = h.withColumn("rate", shrunk(F.col("kh"), F.col("nh"), m_host, F.col("host_prior")))
+    everything = outcomes.sparkSession.range(1).select(F.lit("").alias("all"), F.lit(mean).alias("rate"), F.lit(0).alias("nh"))
+    none = F.lit(0)
+    rows = None
+    for level, part, n in (("host", h, F.col("nh")), ("domain", d, none), ("suffix", s, none), ("all", everything, none)):
+        size = n + F.lit(m_host)
+        own = part.select(F.lit(level).alias("level"), F.col(level).alias("name"), (F.col("rate") * size).alias("a"), ((1 - F.col("rate")) * size).alias("b"))
+        rows = own if rows is None else rows.unionByName(own)
+    return saved(rows, "reputation")
 
 
 def lower_bound(a: Column, b: Column, z: float = Z) -> Column:
@@ -135,20 +170,29 @@ def lower_bound(a: Column, b: Column, z: float = Z) -> Column:
     return rate - F.lit(z) * F.sqrt(rate * (1 - rate) / (a + b + 1))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], max_bad: float = MAX_BAD) -> DataFrame:
+def limit(known: DataFrame, spreads: float = SPREADS) -> float:
+    """The mean of the hosts' bounds plus so many of their standard deviations; beyond every bound where there is no host."""
+    low = lower_bound(F.col("a"), F.col("b"))
+    one = known.filter("level = 'host'").select(low.alias("low")).agg(F.avg("low").alias("mean"), F.stddev_pop("low").alias("sd")).first()
+    return 1.0 if one["mean"] is None or not one["sd"] > 1e-9 else one["mean"] + spreads * one["sd"]
+
+
+def judge(
+    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], max_bad: float | None = None, suffixes: DataFrame | None = None, spreads: float = SPREADS
+) -> DataFrame:
     """page_id, host, path, rule, verdict and p_bad_low of every row of pages (page_id, url).
 
-    outcomes: (host, bad), bad 0 or 1. A host without outcomes has its domain's posterior, then its suffix's.
+    outcomes: (host, bad), bad 0 or 1. suffixes: (suffix), public suffixes of one label or more.
     """
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    domain, suffix = domains(F.col("host"))
-    rows = best_rule(rows, rules).withColumns({"_domain": domain, "_suffix": suffix})
-    known = reputation(outcomes)
+    rows = with_domains(best_rule(rows, rules), suffixes).withColumnsRenamed({"domain": "_domain", "suffix": "_suffix"})
+    known = reputation(outcomes, suffixes)
     for level, key in (("host", "host"), ("domain", "_domain"), ("suffix", "_suffix")):
-        side = known.filter(F.col("level") == level).groupBy("name").agg(F.max(lower_bound(F.col("a"), F.col("b"))).alias(f"_{level}_low"))
+        side = known.filter(F.col("level") == level).select("name", lower_bound(F.col("a"), F.col("b")).alias(f"_{level}_low"))
         rows = rows.join(side, rows[key] == side["name"], "left").drop("name")
-    overall = known.filter(F.col("level") == "all").select(lower_bound(F.col("a"), F.col("b"))).first()[0]
+    overall = known.filter("level = 'all'").select(lower_bound(F.col("a"), F.col("b"))).first()[0]
     low = F.coalesce("_host_low", "_domain_low", "_suffix_low", F.lit(overall))
-    verdict = F.coalesce(F.col("_best.action"), F.when(low > F.lit(max_bad), F.lit("block")).otherwise(F.lit("allow")))
+    most = limit(known, spreads) if max_bad is None else max_bad
+    verdict = F.coalesce(F.col("_best.action"), F.when(low > F.lit(most), F.lit("block")).otherwise(F.lit("allow")))
     return rows.select("page_id", "host", "path", F.col("_best.rule").alias("rule"), verdict.alias("verdict"), low.alias("p_bad_low"))
