@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import json
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -49,7 +50,16 @@ def byte_alphabet() -> dict[int, str]:
 class Ids:
     """Encodes texts piece by piece; the subclasses say where texts may be cut and how a plain piece splits."""
 
+    #: The parts of a file that the way of cutting and splitting rests on, with the values that they must have.
+    EXPECTS: dict = {}
+
     def __init__(self, source: str, memory: int = MEMORY):
+        spec = json.loads(source)
+        found = {k: spec.get(k) for k in self.EXPECTS}
+        found["model"] = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
+        odd = [k for k, v in self.EXPECTS.items() if found[k] != v and k != "model"] + [k for k, v in self.EXPECTS.get("model", {}).items() if found["model"].get(k) != v]
+        if odd or any(t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens", [])):
+            raise ValueError(f"this tokenizer file works otherwise than {type(self).__name__} does: {odd or 'added tokens'}")
         self.tok, self.memory = load(source), memory
         self.tokenize = self.tok.model.tokenize
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -228,9 +238,10 @@ def of_worker(kind: type[Ids], source: str) -> Ids:
     """The worker process's own encoder for a file; tasks that follow each other in one process share its memory."""
     key = (kind, hashlib.md5(source.encode()).hexdigest())
     if key not in _OF_WORKER:
-        gc.disable()  # millions of small objects without cycles
         _OF_WORKER.clear()
         _OF_WORKER[key] = kind(source)
+        gc.collect()
+        gc.freeze()  # what the file holds stays as long as the worker: later collections need not look at it
     return _OF_WORKER[key]
 
 
@@ -241,6 +252,12 @@ class ByteLevelIds(Ids):
     white space is no safe place, so that such texts are left to the library.
     """
 
+    EXPECTS = {
+        "normalizer": None,
+        "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True},
+        "post_processor": None,
+        "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+    }
     #: The pattern of the files' pre-tokenizer, a fixed value.
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -277,6 +294,18 @@ class SpacelessIds(Ids):
 
     #: The pattern of the files' pre-tokenizer, a fixed value.
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    EXPECTS = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": PATTERN.pattern}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+        "post_processor": None,
+        "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+    }
 
     def cut(self, texts: pa.Array) -> pa.ListArray:
         return pc.ascii_split_whitespace(texts)
