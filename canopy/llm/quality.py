@@ -21,7 +21,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 5
-MEASURES = ("n_words", "word_chars", "n_lines", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: ASCII letters, and all characters beyond ASCII.
+LETTER = r"[A-Za-z\x{80}-\x{10FFFF}]"
+BULLET = r"^[\x20\x09-\x0D]*(?:[-*+]|\x{2022}|\x{2023})[\x20\x09-\x0D]"
+ELLIPSIS = r"(?:\.\.\.|\x{2026})[\x20\x09-\x0D]*$"
+MEASURES = ("n_words", "word_chars", "n_lines", "n_symbols", "n_dup_lines", "n_repeat_words", "n_letters", "n_bullet_lines", "n_ellipsis_lines")
 
 
 @dataclass(frozen=True)
@@ -40,9 +44,12 @@ RULES = (
     Rule(3, "duplicate_lines", "n_lines >= 4 and 10 * n_dup_lines > 4 * n_lines"),
     Rule(4, "short_words", "word_chars < 2 * n_words"),
     Rule(5, "long_words", "word_chars > 20 * n_words"),
+    Rule(6, "few_letters", "2 * n_letters < word_chars"),
+    Rule(7, "bullet_lines", "n_lines >= 4 and 10 * n_bullet_lines > 9 * n_lines"),
+    Rule(8, "ellipsis_lines", "n_lines >= 4 and 10 * n_ellipsis_lines > 3 * n_lines"),
 )
 BASE = 0b000011
-POLICIES = {"base-1": BASE, "full-1": 0b111111}
+POLICIES = {"base-1": BASE, "full-1": 0b111111, "full-2": 0b111111111}
 
 
 def words_of(text: Column) -> Column:
@@ -105,6 +112,9 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         F.regexp_count("_t", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("_o").isNull(), F.lit(0)).otherwise(_repeat_words(F.col("_h"), F.col("_o"))).cast("long").alias("n_repeat_words"),
+        F.regexp_count("_t", F.lit(LETTER)).cast("long").alias("n_letters"),
+        F.size(F.filter("_l", lambda x: x.rlike(BULLET))).cast("long").alias("n_bullet_lines"),
+        F.size(F.filter("_l", lambda x: x.rlike(ELLIPSIS))).cast("long").alias("n_ellipsis_lines"),
     )
 
 
@@ -143,7 +153,7 @@ def ablations(ledger: DataFrame, policy: str, rules: tuple[Rule, ...] = RULES) -
     )
 
 
-def filter_documents(docs: DataFrame, policy: str = "full-1") -> DataFrame:
+def filter_documents(docs: DataFrame, policy: str = "full-2") -> DataFrame:
     """The documents that pass the policy, with the columns that they came with."""
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
     return evaluate(row, "_text", ("_row",)).filter(passes(policy)).select("_row.*")

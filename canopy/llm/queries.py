@@ -40,9 +40,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query(
-    "op6_quality_rules",
-    r"""
+_LEDGER = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
@@ -52,22 +50,40 @@ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_i
 c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM r) GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(ls) AS n_lines,
         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
-        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+        len(regexp_extract_all(t, '[A-Za-z\x{80}-\x{10FFFF}]')) AS n_letters,
+        len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*(?:[-*+]|\x{2022}|\x{2023})[\x20\x09-\x0D]'))) AS n_bullets,
+        len(list_filter(ls, lambda x: regexp_matches(x, '(?:\.\.\.|\x{2026})[\x20\x09-\x0D]*$'))) AS n_ellipses
       FROM w LEFT JOIN c USING (doc_id)),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR (n_lines >= 4 AND 10 * n_dup_lines > 4 * n_lines)
-       OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept
-FROM b
-""",
-)
+b AS (SELECT *, [n_words < 10, 100 * n_repeat_words > 20 * n_words, 10 * n_symbols > 3 * n_words, n_lines >= 4 AND 10 * n_dup_lines > 4 * n_lines,
+        word_chars < 2 * n_words, word_chars > 20 * n_words, 2 * n_letters < word_chars, n_lines >= 4 AND 10 * n_bullets > 9 * n_lines,
+        n_lines >= 4 AND 10 * n_ellipses > 3 * n_lines] AS fails FROM m)
+"""
+POLICY = "full-2"
+
+
+@query("op6_quality_rules", _LEDGER + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fails[1] OR fails[2] AS base_failed, NOT list_contains(fails, true) AS kept FROM b")
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.evaluate(table(spark, sf_dir, "documents"))
-    return quality.apply_policy(ledger, "full-1").select(
+    return quality.apply_policy(ledger, POLICY).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~quality.passes("base-1")).alias("base_failed"), "kept"
     )
 
 
+@query(
+    "quality_ablations",
+    _LEDGER
+    + """, n AS (SELECT unnest(range(1, 10)) AS i, unnest(['few_words', 'repeated_windows', 'symbols_per_word', 'duplicate_lines', 'short_words', 'long_words', 'few_letters', 'bullet_lines', 'ellipsis_lines']) AS rule),
+f AS (SELECT fails, len(list_filter(fails, lambda x: x)) AS k FROM b)
+SELECT rule, count(*) FILTER (fails[i])::BIGINT AS n_failed, count(*) FILTER (fails[i] AND k = 1)::BIGINT AS n_failed_alone,
+  count(*) FILTER (k = 0 OR (k = 1 AND fails[i]))::BIGINT AS n_kept_without FROM n, f GROUP BY rule
+""",
+)
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the policy decides alone, from the ledger's bits."""
+    return quality.ablations(quality.evaluate(table(spark, sf_dir, "documents")), POLICY)
+
+
 #: Fixed values of the contract.
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -96,20 +112,20 @@ m AS (SELECT (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 10) AS mu FROM s
 v AS (SELECT 'h' AS lv, count(*) AS g, sum(n) AS n, sum(n * (k / n - mu) * (k / n - mu)) AS ss FROM h, m
       UNION ALL SELECT 'd', count(*), sum(n), sum(n * (k / n - mu) * (k / n - mu)) FROM d, m
       UNION ALL SELECT 's', count(*), sum(n), sum(n * (k / n - mu) * (k / n - mu)) FROM s, m),
-st AS (SELECT lv, CASE WHEN n IS NULL OR g < 2 OR ss / n - mu * (1 - mu) / (n / g) <= 0 THEN 1000.0
-         ELSE least(1000.0, greatest(1.0, (mu * (1 - mu) - ss / n) / (ss / n - mu * (1 - mu) / (n / g)))) END AS w FROM v, m),
-sp AS (SELECT suffix, (k + w * mu) AS a, n + w AS t FROM s, m, st WHERE lv = 's'),
+st AS (SELECT lv, CASE WHEN n IS NULL OR g < 2 OR ss / n - mu * (1 - mu) / (n / g) <= 0 THEN 100.0
+         ELSE least(100.0, greatest(1.0, (mu * (1 - mu) - ss / n) / (ss / n - mu * (1 - mu) / (n / g)))) END AS w FROM v, m),
 w AS (SELECT max(w) FILTER (lv = 's') AS ws, max(w) FILTER (lv = 'd') AS wd, max(w) FILTER (lv = 'h') AS wh FROM st),
 dr AS (SELECT d.domain, d.suffix, d.n, d.k, (s.k - d.k + ws * mu) / (s.n - d.n + ws) AS pr FROM d JOIN s USING (suffix), m, w),
-dp AS (SELECT domain, suffix, k + wd * pr AS a, n + wd AS t FROM dr, w),
-hp AS (SELECT h.host, h.k + wh * (dr.k - h.k + wd * pr) / (dr.n - h.n + wd) AS a, h.n + wh AS t FROM h JOIN dr USING (domain, suffix), w),
-lo AS (SELECT 'h' AS lv, host AS nm, a / t - 1.645 * sqrt(a / t * (1 - a / t) / (t + 1)) AS low FROM hp
-       UNION ALL SELECT 'd', domain, a / t - 1.645 * sqrt(a / t * (1 - a / t) / (t + 1)) FROM dp
-       UNION ALL SELECT 's', suffix, a / t - 1.645 * sqrt(a / t * (1 - a / t) / (t + 1)) FROM sp)
+ps AS (SELECT 'h' AS lv, h.host AS nm, (h.k + wh * (dr.k - h.k + wd * pr) / (dr.n - h.n + wd)) / (h.n + wh) AS rate, h.n + wh AS t FROM h JOIN dr USING (domain, suffix), w
+       UNION ALL SELECT 'd', domain, (k + wd * pr) / (n + wd), wh FROM dr, w
+       UNION ALL SELECT 's', suffix, (k + ws * mu) / (n + ws), wh FROM s, m, w
+       UNION ALL SELECT 'a', '', mu, wh FROM m, w),
+lo AS (SELECT lv, nm, rate - 1.645 * sqrt(rate * (1 - rate) / (t + 1)) AS low FROM ps),
+li AS (SELECT CASE WHEN count(*) = 0 OR stddev_pop(low) <= 1e-9 THEN 1.0 ELSE avg(low) + stddev_pop(low) END AS li FROM lo WHERE lv = 'h')
 SELECT x.page_id, x.host, x.path, b.rule,
-  coalesce(b.action, CASE WHEN coalesce((SELECT max(low) FROM lo WHERE lv = 'h' AND nm = x.host), (SELECT max(low) FROM lo WHERE lv = 'd' AND nm = x.domain),
-    (SELECT max(low) FROM lo WHERE lv = 's' AND nm = x.suffix), 0.0) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
-FROM x LEFT JOIN b USING (page_id)
+  coalesce(b.action, CASE WHEN coalesce(lh.low, ld.low, ls.low, la.low) > li THEN 'block' ELSE 'allow' END) AS verdict
+FROM x LEFT JOIN b USING (page_id) LEFT JOIN lo lh ON lh.lv = 'h' AND lh.nm = x.host LEFT JOIN lo ld ON ld.lv = 'd' AND ld.nm = x.domain
+  LEFT JOIN lo ls ON ls.lv = 's' AND ls.nm = x.suffix, (SELECT low FROM lo WHERE lv = 'a') la, li
 """,
 )
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +142,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _license_sql() -> str:
     """The same votes, diagonals and spans over (doc_id, word, template) rows."""
-    templates = (*license_scan.BASE, *license_scan.NOTICES)
+    templates = (*license_scan.BASE, *license_scan.NOTICES, *license_scan.TEXTS)
     k, slack, heads, grams = license_scan.K, license_scan.SLACK, [], []
     for i, t in enumerate(templates):
         w = t.words.split(" ")
@@ -207,11 +223,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)),
         lambda x: regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
-p AS (SELECT doc_id, s, unnest(range(0, len(s) - 1)) AS pos FROM s WHERE len(s) >= 2),
-r AS (SELECT doc_id, pos, s[pos + 1] AS a, s[pos + 2] AS b FROM p
-      WHERE len(regexp_split_to_array(s[pos + 1], '[\x20\x09-\x0D]+')) + len(regexp_split_to_array(s[pos + 2], '[\x20\x09-\x0D]+')) >= 10),
-n AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, pos) AS k FROM r),
-m AS (SELECT DISTINCT doc_id, unnest([pos, pos + 1]) AS pos FROM n WHERE k > 1),
+w AS (SELECT doc_id, s, list_transform(s, lambda x: len(regexp_split_to_array(x, '[\x20\x09-\x0D]+'))) AS n FROM s WHERE len(s) >= 2),
+p AS (SELECT doc_id, s, n, unnest(range(1, len(s))) AS a FROM w),
+f AS (SELECT doc_id, s, a, list_filter(range(a + 1, len(s) + 1), lambda j: list_sum(n[a:j]) >= 10)[1] AS b FROM p),
+t AS (SELECT doc_id, s, list_filter(range(len(s) - 1, 0, -1), lambda i: list_sum(n[i:]) >= 10)[1] AS a, len(s) AS b FROM w),
+r AS (SELECT DISTINCT doc_id, a, b, array_to_string(s[a:b], chr(10)) AS k FROM (SELECT doc_id, s, a, b FROM f WHERE b IS NOT NULL UNION ALL SELECT doc_id, s, a, b FROM t WHERE a IS NOT NULL)),
+n AS (SELECT doc_id, a, b, row_number() OVER (PARTITION BY k ORDER BY doc_id, a) AS nth FROM r),
+m AS (SELECT DISTINCT doc_id, unnest(range(a - 1, b)) AS pos FROM n WHERE nth > 1),
 g AS (SELECT doc_id, list(pos) AS gone FROM m GROUP BY doc_id)
 SELECT doc_id, len(s)::BIGINT AS n_sentences, coalesce(len(gone), 0)::BIGINT AS n_removed,
   sha256(array_to_string(list_transform(list_filter(range(0, len(s)), lambda i: NOT coalesce(list_contains(gone, i), false)), lambda i: s[i + 1]), chr(10))) AS kept_sha256
