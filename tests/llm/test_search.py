@@ -47,6 +47,45 @@ def test_operator(spark):
     assert ball_tree.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_clusters_are_left_out(spark):
+    """Of clustered vectors, queries reach few shards, and nothing is lost."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(16, 6)) * 4
+    x = centres[rng.integers(0, 16, 3000)] + rng.normal(size=(3000, 6)) * 0.05
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    visits = []
+    got = {tuple(r) for r in ball_tree.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows=128, visits=visits).collect()}
+    whole = np.floor(256 * x)
+    want = set()
+    for q in range(0, 3000, 50):
+        score = whole @ whole[q]
+        order = [i for i in np.lexsort((np.arange(3000), -score)) if i != q][:5]
+        want |= {(q, r + 1, int(i), int(score[i])) for r, i in enumerate(order)}
+    assert got == want
+    queries, shards = 60, 3000 / 128
+    assert visits[0] == queries and sum(visits) < 0.4 * queries * shards
+
+
+def test_both_verdicts_on_the_tables(spark):
+    from canopy.llm.queries import QUERIES
+
+    rows = QUERIES["op9_url_filter"](spark, "/root/testdata/sf0.1").filter("rule is null").groupBy("verdict").count()
+    n = {r["verdict"]: r["count"] for r in rows.collect()}
+    assert set(n) == {"allow", "block"} and n["block"] < n["allow"], n
+
+
+def test_suffix_table(spark):
+    hosts = {"a.b.city.example": ("b.city.example", "city.example"), "x.example": ("x.example", "example"), "city.example": ("city.example", "city.example"), "q.r.other": ("r.other", "other"), "10.0.0.1": ("10.0.0.1", "10.0.0.1")}
+    table = spark.createDataFrame([("city.example",), ("example",)], "suffix string")
+    rows = url_filter.with_domains(spark.createDataFrame([(h,) for h in hosts], "host string"), table).collect()
+    assert {r.host: (r.domain, r.suffix) for r in rows} == hosts
+    outcomes = spark.createDataFrame([("a.b.city.example", 1), ("x.example", 0)] * 30, "host string, bad int")
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)], "page_id long, url string")
+    got = {r.page_id: r.p_bad_low for r in url_filter.judge(pages, outcomes, (), suffixes=table).collect()}
+    assert len(got) == 5 and got[0] > got[1]
+
+
 RULED = {
     "http://a.ORG/x": ("a.org", "/x", "org/", "allow"), "https://www.example.org/es/1": ("www.example.org", "/es/1", "example.org/es/", "block"),
     "http://example.org/en/12?q": ("example.org", "/en/12", "example.org/en/1", "block"), "http://example.org/en/2": ("example.org", "/en/2", "org/", "allow"),

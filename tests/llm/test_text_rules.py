@@ -18,11 +18,14 @@ def measured(text):
         if times[w] > 1:
             covered |= set(range(i, i + 5))
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0d]", x)]
-    return len(words), sum(map(len, words)), len(lines), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+    letters = sum(c.isascii() and c.isalpha() or ord(c) > 127 for c in t)
+    bullets = sum(bool(re.match(r"[\x20\x09-\x0d]*[-*+•‣][\x20\x09-\x0d]", x)) for x in lines)
+    ellipses = sum(x.rstrip("\x20\x09\x0a\x0b\x0c\x0d").endswith(("...", "…")) for x in lines)
+    return len(words), sum(map(len, words)), len(lines), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered), letters, bullets, ellipses
 
 
 def test_measurements(docs, none):
-    got = [(r.doc_id, r.n_words, r.word_chars, r.n_lines, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.evaluate(docs).collect()]
+    got = [(r.doc_id, r.n_words, r.word_chars, r.n_lines, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.n_letters, r.n_bullet_lines, r.n_ellipsis_lines) for r in quality.evaluate(docs).collect()]
     assert Counter(got) == Counter((r[0], *measured(r[1])) for r in ROWS)
     assert quality.evaluate(none).count() == 0
 
@@ -39,6 +42,15 @@ def test_policies_and_ablations(docs):
         assert r.n_kept_without == sum(x.fail_bits & mask & ~bit == 0 for x in rows)
 
 
+def test_marks_of_lists(spark):
+    text = "- one two three\n* four five six\n • seven eight\n+ nine ten\n" + "plain words end here...\nand here… \n12 34 56 78\n"
+    r = quality.evaluate(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_bullet_lines, r.n_ellipsis_lines, r.n_lines) == measured(text)[7:] + (7,) == (4, 2, 7) and r.n_letters == measured(text)[6]
+    rows = [(1, "- a list of words\n" * 2 + "- another list of words\n" + "- and one more list of words\n"), (2, "1234 5678 9012 " * 3 + "a b c d e"), (3, "it goes on\nand goes on...\nand on and on...\nto the end of it")]
+    got = {r.doc_id: r.fail_bits >> 6 for r in quality.evaluate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 2, 2: 1, 3: 4}
+
+
 def test_filter_keeps_columns(docs, none):
     kept = quality.filter_documents(docs)
     assert kept.columns == docs.columns
@@ -48,8 +60,9 @@ def test_filter_keeps_columns(docs, none):
 
 
 def fails(text):
-    words, chars, lines, symbols, dup, repeat = measured(text)
-    return words < 10 or 100 * repeat > 20 * words or 10 * symbols > 3 * words or (lines >= 4 and 10 * dup > 4 * lines) or chars < 2 * words or chars > 20 * words
+    words, chars, lines, symbols, dup, repeat, letters, bullets, ellipses = measured(text)
+    first = words < 10 or 100 * repeat > 20 * words or 10 * symbols > 3 * words or (lines >= 4 and 10 * dup > 4 * lines) or chars < 2 * words or chars > 20 * words
+    return first or 2 * letters < chars or (lines >= 4 and (10 * bullets > 9 * lines or 10 * ellipses > 3 * lines))
 
 
 def test_license_base(docs, none):
@@ -82,6 +95,18 @@ def test_license_notices(spark):
     assert all(0 <= s <= 1 for _, s in got.values())
 
 
+def test_whole_license_texts(spark):
+    rows = []
+    for i, t in enumerate(license_scan.TEXTS):
+        words = t.words.split()
+        assert len(words) > 100
+        # the body alone, without its opening, and with a word in twenty changed
+        rows += [(10 * i, " ".join(words[len(words) // 8 :])), (10 * i + 1, "x y " + " ".join("other" if j % 25 == 24 else w for j, w in enumerate(words)) + " z"), (10 * i + 2, " ".join(words[: len(words) // 3][::-1]))]
+    got = {r.doc_id: r.labels for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in enumerate(license_scan.TEXTS):
+        assert got[10 * i] == got[10 * i + 1] == t.label and got[10 * i + 2] == ""
+
+
 def test_template_lengths():
     with pytest.raises(ValueError):
         license_scan.template_grams(None, [license_scan.Template("x", "too short")])
@@ -92,17 +117,35 @@ def cut(text):
     return [s for s in (re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x) for x in broken.split("\n")) if s]
 
 
+def runs_of(sentences, least=sentence_spans.MIN_WORDS):
+    """The hashed runs: from each sentence two or more until they have the words, and the last ones that have them."""
+    n = [len(re.split(r"[\x20\x09-\x0D]+", x)) for x in sentences]
+    out = {(a, next(b for b in range(a + 2, len(n) + 1) if sum(n[a:b]) >= least)) for a in range(len(n) - 1) if sum(n[a:]) >= least}
+    return out | {(a, len(n)) for a in range(len(n) - 2, -1, -1) if sum(n[a:]) >= least and (a == len(n) - 2 or sum(n[a + 1 :]) < least)}
+
+
+def test_short_sentences_stand_in_runs(spark):
+    verse = "Go on.\nCome in.\nSo it is.\nNo more.\nThen rest."  # no two of them have ten words
+    texts = [verse, "Something else was said before all that was heard.\n" + verse, "Go on.\nCome in.", "Go on.\nCome in.", "Never.\n" + verse + "\nAt all."]
+    assert {i for a, b in runs_of(verse.split("\n")) for i in range(a, b)} == set(range(5))
+    got = {r.doc_id: r.text for r in sentence_spans.remove_repeated_sentences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: verse, 1: "Something else was said before all that was heard.", 2: texts[2], 3: texts[3], 4: "Never.\nAt all."}
+
+
 def test_sentence_spans(docs, none):
     unique = docs.dropDuplicates(["doc_id", "text"]).filter("doc_id is not null and text <> 'another text of the same id'")
     rows = sorted((r.doc_id, cut(r.text)) for r in unique.select("doc_id", "text").collect())
     seen, want = set(), {}
     for doc_id, s in rows:
         gone = set()
-        for i in range(len(s) - 1):
-            if len(re.split(r"[\x20\x09-\x0D]+", s[i])) + len(re.split(r"[\x20\x09-\x0D]+", s[i + 1])) >= sentence_spans.MIN_WORDS:
-                if (s[i], s[i + 1]) in seen:
-                    gone |= {i, i + 1}
-                seen.add((s[i], s[i + 1]))
+        for a, b in runs_of(s):
+            if tuple(s[a:b]) in seen:
+                gone |= set(range(a, b))
+        # within a text, later places come after earlier ones
+        for a, b in sorted(runs_of(s)):
+            if tuple(s[a:b]) in {tuple(s[c:d]) for c, d in runs_of(s) if c < a}:
+                gone |= set(range(a, b))
+        seen |= {tuple(s[a:b]) for a, b in runs_of(s)}
         want[doc_id] = (len(s), len(gone), "\n".join(x for i, x in enumerate(s) if i not in gone))
     got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in sentence_spans.remove_repeated_sentences(unique).collect()}
     assert got == want and any(n for _, n, _ in got.values())

@@ -179,3 +179,13 @@ def test_packing_operator(docs, none, word_file):
     padded = check_pieces([tuple(r) for r in packing.pack(docs, word_file).collect()], want, 4096)
     assert padded < 0.05 * sum(len(x) for _, x in want)
     assert packing.pack(none, word_file).count() == 0
+
+
+def test_other_files_are_refused():
+    files = {kind: tokenizer_file(name) for kind, name in ((token_stream.ByteLevelIds, "byte_bpe_50k.json"), (token_stream.SpacelessIds, "word_bpe_49k.json"))}
+    for kind, own in files.items():
+        kind(own)
+        for other in files.values():
+            if other is not own:
+                with pytest.raises(ValueError):
+                    kind(other)
