@@ -292,3 +292,45 @@ def country_correlations(spark, sf_dir):
     """Each country's correlations, as how often each kind comes."""
     rows = context.country_rollup(context.insights(context.with_indicators(sequences(spark, sf_dir), indicators(spark, sf_dir))))
     return rows.select("country", F.array_join(F.transform("correlations", lambda c: F.concat_ws(":", c["kind"], c["n"].cast("string"))), ",").alias("correlations"))
+
+
+@query(f"WITH {CTX}{INS} SELECT id, metric, rel AS support_correlation, " + " ".join(["CASE rel", *[f"WHEN '{k}' THEN '" + v.split("%")[0].replace("'", "''") + "'" for k, v in C.INTERPRETATIONS.items()], f"ELSE '{C.UNDETERMINED}' END"]) + " AS begins FROM r")
+def interpretations(spark, sf_dir):
+    """How each insight's sentence begins, up to its first number."""
+    found = context.insights(context.with_indicators(sequences(spark, sf_dir), indicators(spark, sf_dir)))
+    lengths = [x for k, v in C.INTERPRETATIONS.items() for x in (F.lit(k), F.lit(len(v.split("%")[0])))]
+    n = F.coalesce(F.element_at(F.create_map(*lengths), F.col("support_correlation")), F.length("interpretation"))
+    return found.select("id", "metric", "support_correlation", F.substr("interpretation", F.lit(1), n).alias("begins"))
+
+
+@query(
+    f"WITH {CTX}{INS}, a AS (SELECT DISTINCT id, bool_or(metric IS NOT NULL) OVER (PARTITION BY id) AS has_data FROM j) "
+    "SELECT 'sequences' AS part, count(*)::BIGINT AS n, count_if(has_data)::BIGINT AS hits FROM a UNION ALL SELECT 'insights', count(*), count(DISTINCT id) FROM r UNION ALL SELECT 'countries', count(DISTINCT country), count(DISTINCT country) FROM r UNION ALL SELECT 'summary', 1, (SELECT count_if(has_data) FROM a)"
+)
+def report_files(spark, sf_dir):
+    """The whole report written as JSON and read back: rows of each part, and how many have data."""
+    path = new_folder(spark)
+    sinks.write_report(context.report(sequences(spark, sf_dir), indicators(spark, sf_dir), 2000), path)
+    read = lambda part, schema: spark.read.schema(schema).json(f"{path}/{part}")
+    count = F.count(F.lit(1)).alias("n")
+    parts = [
+        read("sequences", "id long, has_data boolean").agg(count, F.count_if("has_data").alias("hits")),
+        read("insights", "id long").agg(count, F.count_distinct("id").alias("hits")),
+        read("countries", "country string").agg(count, F.count_distinct("country").alias("hits")),
+        read("summary", "sequences_with_data long").agg(count, F.max("sequences_with_data").alias("hits")),
+    ]
+    out = None
+    for name, df in zip(("sequences", "insights", "countries", "summary"), parts):
+        own = df.select(F.lit(name).alias("part"), "n", "hits")
+        out = own if out is None else out.union(own)
+    return out
+
+
+@query(
+    "SELECT 'n' || n_nationkey AS tree, unnest(['Inner1', 'root', 'x', 'y ' || n_name, 'z''z']) AS name, unnest([1, 0, 2, 3, 4])::INT AS pre, unnest([0.25, NULL, 1.5, 0.1, 2.0])::DOUBLE AS branch_length FROM nation"
+)
+def newick_lengths(spark, sf_dir):
+    """Node tables to text and back: lengths, missing lengths, names with spaces and quotes, inner labels."""
+    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("tree"), F.concat(F.lit("((x:1.5,'y "), "n_name", F.lit("':0.1):0.25,'z''z':2.0)root;")).alias("text"))
+    nodes = trees.label_internals(newick.to_nodes(newick.to_newick(newick.to_nodes(rows))))
+    return nodes.select("tree", "name", "pre", "branch_length")

@@ -27,6 +27,12 @@ def write_metadata(subtrees: DataFrame, path: str) -> None:
     subtrees.write.partitionBy("base").mode("overwrite").json(path)
 
 
+def write_report(report: dict[str, DataFrame], path: str) -> None:
+    """A report's tables as JSON lines, a folder each."""
+    for name, df in report.items():
+        df.write.mode("overwrite").json(f"{path}/{name}")
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, so that any table fits CSV."""
     nested = ("array", "map", "struct")
