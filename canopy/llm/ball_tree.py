@@ -224,7 +224,8 @@ def index(base: DataFrame, counts: dict[int, int], shard_rows: int = SHARD_ROWS,
     dealt = saved(base.mapInArrow(assign, base.withColumn("cluster", F.lit(0)).schema), "assigned")
     rows = F.element_at(F.create_map(*[F.lit(x) for dim, n in counts.items() for x in (dim, max(shard_rows, -(-n * (dim + 1) * 8 // ROOT_BYTES)))]), F.col("dim"))
     parts = dealt.groupBy("dim", "cluster").agg(F.ceil(F.count(F.lit(1)) / F.first(rows)).cast("int").alias("_parts"))
-    dealt = dealt.join(parts, ["dim", "cluster"]).withColumn("part", F.pmod(F.xxhash64("row"), "_parts").cast("int"))
+    # a row per cluster: as many as a length's sample has centres at most
+    dealt = dealt.join(F.broadcast(parts), ["dim", "cluster"]).withColumn("part", F.pmod(F.xxhash64("row"), "_parts").cast("int"))
     return saved(dealt.select(*_SHARD, "vec_id", "x").groupBy(*_SHARD).applyInPandas(_built, _TREE), "trees")
 
 
