@@ -1,6 +1,6 @@
 """Exact top-k by inner product: ball-tree branch and bound per shard.
 
-Every vector goes to the nearest of some centres, fitted on a sample of SAMPLE_ROWS at most (a documented bound; the index holds
+Every vector goes to the nearest of some centres, fitted on a sample of SAMPLE_ROWS and SAMPLE_VALUES at most (documented bounds; the index holds
 every row), so that shards are compact; a cluster beyond a shard's size is split by row. Each shard's ball tree is built and saved once: every node has
 a centre, a radius and its smallest id. No vector of a node can score more with a query q than q.centre + |q| radius, so nodes are
 opened in the order of that bound and a search ends where the bound falls below the kth score so far.
@@ -42,6 +42,8 @@ SHARD_ROWS = 8192
 BLOCK_QUERIES = 4096
 LEAF_ROWS = 64
 SAMPLE_ROWS = 1 << 15
+#: Components of the sample, at most, so that long vectors do not fill the driver.
+SAMPLE_VALUES = 1 << 21
 #: Vectors of the sample for each centre, at least.
 PER_CENTRE = 16
 #: All roots' bytes, at most: shards grow instead.
@@ -174,6 +176,8 @@ _TREE = "dim int, cluster int, part int, centre array<double>, radius double, tr
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """A column of vectors of one length as rows."""
+    if not len(column):
+        return np.zeros((0, 0))
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
@@ -208,10 +212,10 @@ def index(base: DataFrame, counts: dict[int, int], shard_rows: int = SHARD_ROWS,
     """The saved shards of base (dim, row, vec_id, x): dim, cluster, part, centre, radius and tree. counts: rows by length of vector."""
     centres: dict[int, np.ndarray] = {}
     for dim, n in counts.items():
-        size = max(shard_rows, -(-n * (dim + 1) * 8 // ROOT_BYTES))
-        own = base.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("row", F.lit(7)), F.lit(max(1, n // max(1, sample_rows // 2)))) == 0))
-        clusters = min(-(-n // size), max(1, sample_rows // PER_CENTRE))
-        sample = np.array([r["x"] for r in own.select("x").limit(sample_rows).collect()], np.float64).reshape(-1, dim) if clusters > 1 else np.zeros((0, dim))
+        size, most = max(shard_rows, -(-n * (dim + 1) * 8 // ROOT_BYTES)), min(sample_rows, max(PER_CENTRE, SAMPLE_VALUES // dim))
+        own = base.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("row", F.lit(7)), F.lit(max(1, n // max(1, most // 2)))) == 0))
+        clusters = min(-(-n // size), max(1, most // PER_CENTRE))
+        sample = _matrix(own.select("x").limit(most).toArrow().column("x").combine_chunks()) if clusters > 1 else np.zeros((0, dim))
         centres[dim] = fitted(sample, min(clusters, len(sample))) if len(sample) else np.zeros((1, dim))
     shared = base.sparkSession.sparkContext.broadcast(centres)
     names = base.columns
