@@ -51,14 +51,22 @@ def _ending(words: Column, run: int, least: int) -> Column:
 
 def marked(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, sentences and kept (the places of the sentences that stay) of every row of docs (doc_id, text)."""
-    rows = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), sentences(F.col("text")).alias("s")), "sentences")
-    counted = rows.filter(F.size("s") >= run).withColumn("n", F.transform("s", lambda x: F.size(F.split(x, rf"{_BLANK}+"))))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), sentences(F.col("text")).alias("s"))
+    # saved with the numbers of words, which are looked up for every place
+    rows = saved(rows.withColumn("n", F.transform("s", lambda x: F.size(F.split(x, rf"{_BLANK}+")))), "sentences")
+    counted = rows.filter(F.size("s") >= run)
     # each run as its first place and its number of sentences
     runs = F.transform(F.sequence(F.lit(0), F.size("s") - F.lit(run)), lambda i: F.struct(i.alias("pos"), _reaching(F.col("n"), i, run, min_words).alias("len")))
     last = _ending(F.col("n"), run, min_words)
-    runs = F.array_distinct(F.concat(runs, F.array(F.struct((F.size("s") - last).alias("pos"), last.alias("len")))))
-    at = counted.select("row", "doc_id", "s", F.explode(F.filter(runs, lambda r: r["len"] > 0)).alias("r")).select("row", "doc_id", F.col("r.pos").alias("pos"), F.col("r.len").alias("len"), F.slice("s", F.col("r.pos") + 1, F.col("r.len")).alias("p"))
-    spans = at.select("row", "doc_id", "pos", "len", F.xxhash64("p").alias("h1"), F.xxhash64(F.lit(1), F.reverse("p")).alias("h2"))
+    tail = F.size("s") - last
+    # the last sentences are a run of their own unless the one from their first is the same
+    alone = F.when((last > 0) & (_reaching(F.col("n"), tail, run, min_words) != last), last).otherwise(F.lit(0))
+    runs = F.concat(runs, F.array(F.struct(tail.alias("pos"), alone.alias("len"))))
+    # two hashes of each sentence, and of a run those of its sentences' hashes
+    hashed = counted.select("row", "doc_id", F.filter(runs, lambda r: r["len"] > 0).alias("r"), F.transform("s", lambda x: F.xxhash64(x)).alias("a"), F.transform("s", lambda x: F.xxhash64(F.lit(1), x)).alias("b"))
+    at = hashed.select("row", "doc_id", "a", "b", F.explode("r").alias("r")).select("row", "doc_id", "a", "b", F.col("r.pos").alias("pos"), F.col("r.len").alias("len"))
+    own = lambda c: F.slice(c, F.col("pos") + 1, F.col("len"))
+    spans = at.select("row", "doc_id", "pos", "len", F.xxhash64(own("a")).alias("h1"), F.xxhash64(F.lit(1), own("b")).alias("h2"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "pos")
     firsts = spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.min(order).alias("first")).filter("times > 1")
     firsts = saved(firsts.select("h1", "h2", F.col("first.row").alias("first_row"), F.col("first.pos").alias("first_pos")), "firsts")
