@@ -57,24 +57,30 @@ def suffix_array(symbols: np.ndarray, packed: int = 4) -> np.ndarray:
 
 
 class RunIndex:
-    """The index of strings. run_symbol, run_first: the transform; run_head, run_tail: positions sampled at each run's ends."""
+    """The index of strings of symbols of width bytes each (1 or 4). run_symbol, run_first: the transform; run_head, run_tail: positions sampled at each run's ends.
 
-    def __init__(self, strings: Sequence[bytes]):
+    Positions and lengths are in symbols.
+    """
+
+    def __init__(self, strings: Sequence[bytes], width: int = 1):
         m = len(strings)
-        sizes = np.fromiter(map(len, strings), np.int64, m)
+        sizes = np.fromiter(map(len, strings), np.int64, m) // width
         self.starts = np.cumsum(sizes + 1) - sizes - 1
         n = int(sizes.sum()) + m
         ends = self.starts + sizes
-        data = np.frombuffer(b"\0".join([*strings, b""]), np.uint8) if m else np.zeros(0, np.uint8)
+        data = np.frombuffer((b"\0" * width).join([*strings, b""]), np.uint8 if width == 1 else "<u4") if m else np.zeros(0, np.uint8)
+        if width > 1:  # numbers in the order of the symbols
+            data = np.unique(data, return_inverse=True)[1]
         symbols = data.astype(np.int64) + m
         symbols[ends] = np.arange(m)
         self.n = n
-        self.left = np.repeat(ends, sizes + 1) - np.arange(n)  # bytes up to each position's terminator
-        #: eight bytes from each position on
-        padded = np.r_[data, np.zeros(8, np.uint8)]
+        self.left = np.repeat(ends, sizes + 1) - np.arange(n)  # symbols up to each position's terminator
+        #: eight bytes' worth of symbols from each position on
+        self.per, self.bits = 8 // width, 8 * width
+        padded = np.r_[data, np.zeros(self.per, data.dtype)].astype(np.uint64)
         self.words = np.zeros(n, np.uint64)
-        for k in range(8):
-            self.words = (self.words << np.uint64(8)) | padded[k : k + n]
+        for k in range(self.per):
+            self.words = (self.words << np.uint64(self.bits)) | padded[k : k + n]
         sa = suffix_array(symbols)
         bwt = symbols[sa - 1]
         self.run_first = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]]) if n else np.zeros(0, np.int64)
@@ -86,7 +92,7 @@ class RunIndex:
         self.after_tail = np.where(last + 1 < n, sa[np.minimum(last + 1, max(n - 1, 0))], -1)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Bytes that the suffixes at a and at b have in common; 0 where b is -1."""
+        """Symbols that the suffixes at a and at b have in common; 0 where b is -1."""
         out = np.zeros(len(a), np.int64)
         most = np.where(b >= 0, np.minimum(self.left[a], self.left[np.maximum(b, 0)]), 0)
         todo = np.flatnonzero(most > 0)
@@ -94,16 +100,16 @@ class RunIndex:
         while len(todo):
             x, y = a[todo] + at, b[todo] + at
             differ = self.words[np.minimum(x, self.n - 1)] ^ self.words[np.minimum(y, self.n - 1)]
-            same = (differ == 0) & (most[todo] > at + 8)
+            same = (differ == 0) & (most[todo] > at + self.per)
             done = todo[~same]
             d = differ[~same]
-            # equal leading bytes of a difference
-            lead = np.full(len(d), 8)
-            for k in range(8):
-                lead = np.where((lead == 8) & ((d >> np.uint64(56 - 8 * k)) & np.uint64(255) != 0), k, lead)
+            # equal leading symbols of a difference
+            lead = np.full(len(d), self.per)
+            for k in range(self.per):
+                lead = np.where((lead == self.per) & ((d >> np.uint64(64 - self.bits * (k + 1))) & np.uint64((1 << self.bits) - 1) != 0), k, lead)
             out[done] = np.minimum(at + lead, most[done])
             todo = todo[same]
-            at += 8
+            at += self.per
         return out
 
     def matching_statistics(self) -> np.ndarray:
