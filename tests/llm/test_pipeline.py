@@ -1,12 +1,11 @@
 import random
-from collections import Counter
+import re
 
 import corpus_pipeline as pipeline
-from canopy.llm import scratch, suffix_dedup
+from canopy.llm import scratch, simhash, suffix_dedup
 
 from .conftest import ROWS
-from .test_simhash import groups_of
-from .test_suffix import removed
+from .test_suffix import passages_cut
 from .test_text_rules import fails
 from .test_tokens import check_pieces
 
@@ -15,33 +14,32 @@ def test_stage_names():
     assert [n for n, _ in pipeline.STAGES] == ["quality_rules", "simhash", "suffix_dedup", "packing"] and pipeline.ORACLE_SQL is None
 
 
+def alike(texts, words=5, similarity=0.8):
+    """A number for each text: that of its group, by the five-word shingles of every pair."""
+    parts = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    sets = [{tuple(p[i : i + words]) for i in range(max(len(p) - words + 1, 1))} if p else set() for p in parts]
+    group = list(range(len(texts)))
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if parts[i] == parts[j] or (a and b and len(a & b) >= similarity * len(a | b)):
+                group = [group[i] if g == group[j] else g for g in group]
+    return group
+
+
 def test_run_against_brute_force(spark, docs, tmp_path):
     import numpy as np
     from tokenizers import Tokenizer
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     rows = [r for r in ROWS if not fails(r[1])]
-    seen, first = set(), {}
-    for r, (_, _, c) in zip(rows, groups_of(rows)):
+    first = {}
+    for r, c in zip(rows, alike([r[1] for r in rows])):
         if c not in first or (r[0] is not None and (first[c][0] is None or r[0] < first[c][0])):
             first[c] = r
     rows = list(first.values())
-    assert len(rows) > 10 and not seen
+    assert len(rows) > 10
     tok = Tokenizer.from_str(pipeline.tokenizer_file(pipeline.TOKENIZER))
-    want = []
-    for r, (_, _, n, _, _) in zip(rows, removed(rows)):
-        data, gone = r[1].encode(), bytearray(len(r[1].encode()))
-        if n:
-            starts = Counter(x[1].encode()[i : i + 400] for x in rows for i in range(len(x[1].encode()) - 399))
-            for i in range(len(data) - 399):
-                if starts[data[i : i + 400]] > 1:
-                    gone[i : i + 400] = b"\1" * 400
-        parts, at = [], 0
-        for i in range(len(data) + 1):
-            if i == len(data) or gone[i]:
-                parts.append(data[at:i].decode("utf-8", "ignore"))
-                at = i + 1
-        want.append((r[0], np.array([*tok.encode("".join(parts), add_special_tokens=False).ids, 2], "<u4")))
+    want = [(doc_id, np.array([*tok.encode(text, add_special_tokens=False).ids, 2], "<u4")) for doc_id, _, text in passages_cut(rows, pipeline.PASSAGE_WORDS)]
     got = [tuple(r) for r in pipeline.run(spark, str(tmp_path)).collect()]
     check_pieces(got, want, 4096)
 
@@ -107,3 +105,21 @@ def test_unlike_texts_of_near_fingerprints_stay(spark):
     rows = [(k, " ".join([*common, *(f"v{k}x{i}" for i in range(60))])) for k in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     assert pipeline.near_duplicates(spark, docs, "").count() == 6
+
+
+def test_prefixes_lose_no_pair(spark):
+    """Texts that one bucket leaves in different groups are found by their prefixes: groups of near copies, passages that many hold, parts of texts."""
+    rng = random.Random(12)
+    rows, sets = [], []
+    passage = [rng.getrandbits(40) for _ in range(60)]
+    for g in range(8):
+        base = [rng.getrandbits(40) for _ in range(rng.randint(5, 120))]
+        for _ in range(14):
+            kept = [x for x in base if rng.random() > rng.choice([0, 0.05, 0.1, 0.3])] or base[:1]
+            own = {*kept, *(rng.getrandbits(40) for _ in range(rng.choice([0, 0, 3, 12]))), *(passage if rng.random() < 0.3 else [])}
+            sets.append(own)
+    rows = [(i, i, sorted(s)) for i, s in enumerate(sets)]
+    pairs = simhash.prefix_pairs(spark.createDataFrame(rows, "fp long, root long, s array<long>").repartition(3), 0.8).collect()
+    got = {frozenset((r.u, r.v)) for r in pairs}
+    want = {frozenset((i, j)) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(want) > 50 and want <= got and len(got) < 3 * len(want)
