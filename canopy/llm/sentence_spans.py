@@ -46,7 +46,8 @@ def _reaching(words: Column, at: Column, run: int, least: int) -> Column:
 
 def _ending(words: Column, run: int, least: int) -> Column:
     """How many of the last sentences, run or more, have least words together; 0 where all have fewer."""
-    return _reaching(F.reverse(F.slice(words, -F.least(F.size(words), F.lit(run + least)), F.least(F.size(words), F.lit(run + least)))), F.lit(0), run, least)
+    most = F.greatest(F.least(F.size(words), F.lit(run + least)), F.lit(1))  # Spark may look at texts without sentences before it leaves them out
+    return _reaching(F.reverse(F.slice(words, -most, most)), F.lit(0), run, least)
 
 
 def marked(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS) -> DataFrame:

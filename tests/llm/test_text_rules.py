@@ -120,8 +120,15 @@ def cut(text):
 def runs_of(sentences, least=sentence_spans.MIN_WORDS):
     """The hashed runs: from each sentence two or more until they have the words, and the last ones that have them."""
     n = [len(re.split(r"[\x20\x09-\x0D]+", x)) for x in sentences]
-    out = {(a, next(b for b in range(a + 2, len(n) + 1) if sum(n[a:b]) >= least)) for a in range(len(n) - 1) if sum(n[a:]) >= least}
-    return out | {(a, len(n)) for a in range(len(n) - 2, -1, -1) if sum(n[a:]) >= least and (a == len(n) - 2 or sum(n[a + 1 :]) < least)}
+    out = set()
+    for a in range(len(n) - 1):
+        b = a + 2
+        while b < len(n) and sum(n[a:b]) < least:
+            b += 1
+        if sum(n[a:b]) >= least:
+            out.add((a, b))
+    last = next((a for a in range(len(n) - 2, -1, -1) if sum(n[a:]) >= least), None)
+    return out if last is None else out | {(last, len(n))}
 
 
 def test_short_sentences_stand_in_runs(spark):
@@ -137,15 +144,12 @@ def test_sentence_spans(docs, none):
     rows = sorted((r.doc_id, cut(r.text)) for r in unique.select("doc_id", "text").collect())
     seen, want = set(), {}
     for doc_id, s in rows:
-        gone = set()
-        for a, b in runs_of(s):
-            if tuple(s[a:b]) in seen:
+        gone, own = set(), sorted(runs_of(s))
+        first = {tuple(s[a:b]): a for a, b in reversed(own)}  # within a text, later places come after earlier ones
+        for a, b in own:
+            if tuple(s[a:b]) in seen or first[tuple(s[a:b])] < a:
                 gone |= set(range(a, b))
-        # within a text, later places come after earlier ones
-        for a, b in sorted(runs_of(s)):
-            if tuple(s[a:b]) in {tuple(s[c:d]) for c, d in runs_of(s) if c < a}:
-                gone |= set(range(a, b))
-        seen |= {tuple(s[a:b]) for a, b in runs_of(s)}
+        seen |= first.keys()
         want[doc_id] = (len(s), len(gone), "\n".join(x for i, x in enumerate(s) if i not in gone))
     got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in sentence_spans.remove_repeated_sentences(unique).collect()}
     assert got == want and any(n for _, n, _ in got.values())
