@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopy.llm import ball_tree, bitplane, bpe, license_scan, packing, quality, sentence_spans, simhash, suffix_dedup, url_filter
+from canopy.llm import ball_tree, bitplane, bpe, codebooks, lexical, license_scan, mixing, packing, quality, sentence_spans, simhash, suffix_dedup, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -239,3 +239,72 @@ FROM s LEFT JOIN g USING (doc_id)
 def op3_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentence_spans.remove_repeated_sentences(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_sentences", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op11_lexical_search",
+    r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),
+c AS (SELECT count(*) AS nd, sum(len(ws))::BIGINT AS nt FROM d WHERE len(ws) > 0),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS t FROM d) GROUP BY ALL),
+w AS (SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM p GROUP BY t), c),
+b AS (SELECT row_number() OVER () AS k, item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM benchmark),
+i AS (SELECT k, item_id, t, count(*) AS q FROM (SELECT k, item_id, unnest(ws) AS t FROM b) GROUP BY ALL),
+s AS (SELECT k, item_id, r, doc_id, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt))))::BIGINT AS score
+      FROM i JOIN p USING (t) JOIN w USING (t), c GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+""",
+)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def _codes_sql(rounds: int = codebooks.ROUNDS) -> str:
+    """Lloyd's rounds as full scans of all entries, a CTE each; m is a part's squared distance and entry in one number."""
+    scans = []
+    for k in range(rounds + 1):
+        scans.append(
+            f"a{k} AS MATERIALIZED (SELECT r, p, min((list_dot_product(p.x, p.x) - 2 * list_dot_product(p.x, b.x) + list_dot_product(b.x, b.x))::BIGINT * 256 + e) AS m FROM p JOIN b{k} b USING (p) GROUP BY r, p)"
+        )
+        if k < rounds:
+            scans.append(
+                f"b{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.x, b.x) AS x FROM b{k} b LEFT JOIN (SELECT p, e, list(v ORDER BY i) AS x FROM (SELECT p, e, i, floor(sum(v) / count(*)) AS v "
+                f"FROM (SELECT p, m % 256 AS e, unnest(x) AS v, unnest(range(len(x))) AS i FROM a{k} JOIN p USING (r, p)) GROUP BY p, e, i) GROUP BY p, e) n USING (p, e))"
+            )
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, p, x[len(x) * p // 4 + 1 : len(x) * (p + 1) // 4] AS x FROM v, range(4) AS t(p)),
+b0 AS MATERIALIZED (SELECT p, e, x FROM (SELECT r, row_number() OVER (ORDER BY vec_id, x) - 1 AS e FROM v) JOIN p USING (r) WHERE e < 256),
+{", ".join(scans)},
+c AS (SELECT r, string_agg(printf('%02x', (m % 256)::INT), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM a{rounds} GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda v: v::BIGINT::VARCHAR), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM v JOIN c USING (r), h
+"""
+
+
+@query("op12_vector_codes", _codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+@query(
+    "op13_source_mix",
+    r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(concat_ws('/', '0', doc_id::VARCHAR)) AS draw FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS s, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, place % 3 + 1 AS w, 3 * s / (place % 3 + 1) AS ratio FROM s),
+c AS (SELECT *, ((sum(s) OVER ()) - (sum(3 * s) OVER o - 3 * s))::DOUBLE AS rest, ((sum(w) OVER ()) - (sum(w) OVER o - w))::DOUBLE AS weighed FROM w WINDOW o AS (ORDER BY ratio, place ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT rest, weighed FROM c WHERE rest / weighed <= ratio ORDER BY ratio, place LIMIT 1),
+t AS (SELECT source, s, CASE WHEN 3 * s * l.weighed <= w * l.rest THEN (3 * s)::DOUBLE ELSE w * l.rest / l.weighed END AS target FROM w, l),
+o AS (SELECT doc_id, size, s, target, floor(target + 0.5)::BIGINT AS wanted, (sum(size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS off
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, s AS source_size, target,
+  greatest(0, least(size, wanted - off)) + greatest(0, least(size, wanted - s - off)) + greatest(0, least(size, wanted - 2 * s - off)) AS taken FROM o
+""",
+)
+def op13_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
