@@ -6,9 +6,10 @@ largest impact and the kth largest impact. A document's impact for a term is wha
 An item's kth score is bounded from below twice: k documents reach the kth impact of each of its terms, and then the documents that its
 rarest terms lead to are scored exactly, of which the kth counts. Terms of an item stand in the order of their upper bounds (occurrences times
 largest impact). Once the bounds of all terms from one on sum up to less than the item's kth score, a document that holds none of the terms before
-cannot be among the best, so that only the terms before, the rare ones, generate candidates; the longest posting lists are never joined.
-Of the candidates, those whose sum over these terms plus the bound of the rest stays below the kth score go, and the others are scored exactly. No
-candidate is lost, ties included: what is pruned scores strictly less than k other documents.
+cannot be among the best, so that only the terms before, the rare ones, generate candidates; the longest posting lists are never joined. Terms
+are left out from where their bounds sum up to less than SHARE of the kth score, which leaves few candidates: those whose sum over the terms
+joined plus the bound of the rest stays below the kth score go, and the others are scored exactly. No candidate is lost, ties
+included: what is pruned scores strictly less than k other documents.
 
 Rows of a document stay together until its terms meet the items, so that sums per item and document are combined in the task that read it.
 Items are the small side: their terms are known to all tasks where they take ITEM_BYTES at most, and are joined by shuffling beyond that.
@@ -34,6 +35,8 @@ K = 20
 ITEM_BYTES = 1 << 25
 #: Documents that seed an item's threshold: its rarest terms up to so many times k of them, and so many times k of the best are scored.
 SEED_DOCS, SEED_SCORED = 64, 4
+#: The share of the kth score that the bounds of the terms left out may sum up to: the less, the more postings meet and the fewer candidates are scored exactly.
+SHARE = 0.25
 #: Documents of a batch that leaves a task.
 BATCH = 512
 
@@ -159,8 +162,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, doc_id: str = "doc_id"
     floors = steps.saved(floors.select("item", F.greatest("least", F.coalesce("score", F.lit(0))).alias("floor")), "floors")
 
     judged = held.join(floors, "item")
-    open_ = judged.filter(F.col("rest") >= F.col("floor"))
-    beyond = judged.groupBy("item").agg(F.first("floor").alias("floor"), F.coalesce(F.max(F.when(F.col("rest") < F.col("floor"), F.col("rest"))), F.lit(0)).alias("beyond"))
+    least = SHARE * F.col("floor")
+    open_ = judged.filter(F.col("rest") >= least)
+    beyond = judged.groupBy("item").agg(F.first("floor").alias("floor"), F.coalesce(F.max(F.when(F.col("rest") < least, F.col("rest"))), F.lit(0)).alias("beyond"))
     candidates = partial(open_).join(near(beyond), "item").filter((F.col("part") + F.col("beyond") >= F.col("floor")) & (F.col("part") > 0))
     found = best(exact(candidates, "candidates").filter("score > 0"), [F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("row")], k)
     names = asked.select("item", "item_id").distinct()
