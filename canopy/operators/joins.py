@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from canopy.functions.text import without_version
+from canopy.operators.steps import cut
 
 
 def compare_ids(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
@@ -47,43 +50,77 @@ def lookup_records(terminals: DataFrame, records: DataFrame) -> DataFrame:
     return terminals.join(first, "accession", "left")
 
 
-def _prefix(seq: Column, edits: Column, q: int) -> Column:
-    """The first edits * q + 1 of a text's numbered q-grams in an order of hashes; a mark for all where it has no more than that.
+def edits_allowed(n: Column, threshold: float, score: str = "edits") -> Column:
+    """The edits within which a similarity of threshold leaves a text of n letters and any shorter one; of aligned letters, a letter less on each side is an edit."""
+    lost = F.floor(F.round(n * (1.0 - threshold), 9)).cast("int")
+    return 2 * lost if score == "alignment" else lost
 
-    Of the q-grams of a text, an edit changes q at most, so that two texts within so many edits share one of these.
-    """
-    grams = F.when(F.length(seq) >= q, F.transform(F.sequence(F.lit(1), F.length(seq) - F.lit(q - 1)), lambda i: F.substr(seq, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
-    # equal grams of one text are told apart by their number
-    sorted_ = F.array_sort(grams)
-    numbered = F.transform(sorted_, lambda g, i: F.xxhash64(g, i - F.array_position(sorted_, g)))
-    wanted = edits * q + 1
-    return F.when(F.size(grams) >= wanted, F.slice(F.array_sort(numbered), F.lit(1), F.greatest(wanted, F.lit(1))))
 
+def _pieces(n: Column, most: Column) -> Column:
+    """The least length of most + 1 pieces of n letters."""
+    return F.floor(n / (most + 1)).cast("int")
+
+
+@F.pandas_udf(IntegerType())
+def aligned_letters(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The score of a global alignment that counts equal letters and no costs: the longest common subsequence, by the bits of whole numbers."""
+
+    def score(x: str, y: str) -> int:
+        places: dict[str, int] = {}
+        for i, letter in enumerate(x):
+            places[letter] = places.get(letter, 0) | 1 << i
+        full = free = (1 << len(x)) - 1
+        for letter in y:
+            met = free & places.get(letter, 0)
+            free = (free + met | free - met) & full
+        return len(x) - free.bit_count()
 
-def near_similar(seqs: DataFrame, threshold: float, min_length: int = 1, q: int = 2) -> DataFrame:
-    """Pairs of a dataset's sequences, the earlier first, whose edit similarity (1 less edits by the longer's length) reaches the threshold.
+    return pd.Series([score(x, y) for x, y in zip(a, b)], dtype="int32")
 
-    Equal sequences are one until the end. Others meet where they share a q-gram of their prefixes (those that two sequences within the
-    edits allowed must share) and lie within the same or the next bucket of a geometric grid of lengths; sequences too short for that, by their bucket alone.
+
+def near_candidates(texts: DataFrame, threshold: float, score: str = "edits") -> DataFrame:
+    """a and b (a the shorter): all pairs of texts (id, dataset, seq, n) of a dataset that may reach the threshold, each once.
+
+    The longer text is cut into one piece more than the edits allowed, of which some piece then stands in the shorter one, with no
+    more edits before it than pieces and as few after it, so that its place is shifted by no more. Each text's pieces meet the substrings of their
+    length, as many as a text has letters, however many edits are allowed. Only pairs that share a piece where it may stand are left; those grow with the results, and
+    with what the letters share by chance where pieces are short: a low threshold on a small alphabet leaves most pairs.
+    """
+    texts = texts.withColumn("most", edits_allowed(F.col("n"), threshold, score)).withColumn("p", _pieces(F.col("n"), F.col("most")))
+    at = F.floor(F.col("i") * F.col("n") / (F.col("most") + 1)).cast("int")
+    placed = texts.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("most")))).withColumn("at", at)
+    index = placed.select(F.col("dataset").alias("_set"), F.col("p").alias("_p"), F.xxhash64(F.substr("seq", F.col("at") + 1, F.col("p"))).alias("_key"), F.col("id").alias("b"), F.col("n").alias("n_b"), "most", "i", "at")
+    # lengths of pieces of all texts that are long enough for a partner
+    longest = F.greatest(F.floor(F.round(F.col("n") / threshold, 6)).cast("int"), "n")
+    lengths = F.array_distinct(F.transform(F.sequence("n", longest), lambda m: _pieces(m, edits_allowed(m, threshold, score))))
+    asked = texts.withColumn("_p", F.explode(F.filter(lengths, lambda p: p <= F.col("n"))))
+    asked = asked.join(texts.select("dataset", F.col("p").alias("_p")).distinct(), ["dataset", "_p"], "left_semi")
+    asked = asked.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("_p"))))
+    probes = asked.select(F.col("dataset").alias("_set"), "_p", F.xxhash64(F.substr("seq", F.col("q") + 1, F.col("_p"))).alias("_key"), F.col("id").alias("a"), F.col("n").alias("n_a"), "q")
+    shift, gap = F.col("q") - F.col("at"), F.col("n_b") - F.col("n_a")
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    fits = ordered & (gap <= F.col("most")) & (F.abs(shift) <= F.col("i")) & (F.abs(shift + gap) <= F.col("most") - F.col("i"))
+    return probes.join(index, ["_set", "_p", "_key"]).filter(fits).select("a", "b").distinct()
+
+
+def near_similar(seqs: DataFrame, threshold: float, min_length: int = 1, score: str = "edits") -> DataFrame:
+    """Pairs of a dataset's sequences, the earlier first, whose similarity reaches the threshold (above 0).
+
+    The similarity is 1 less the edits by the longer's length, or with score "alignment" the letters that a global alignment pairs by that length.
+    Equal sequences are one until the end. Null sequences and those shorter than min_length take no part.
     """
-    base = seqs.filter(F.length("seq") >= min_length).select("dataset", "pos", "id", "seq")
-    step = F.log(F.lit(1.0 / threshold)) if threshold < 1 else F.lit(1e-9)
-    texts = base.select("dataset", "seq").distinct().withColumn("n", F.length("seq"))
-    # edits that a partner of any length allows
-    most = F.floor(F.round(F.col("n") / threshold * (1 - threshold), 9)).cast("int")
-    texts = texts.withColumns({"bucket": F.floor(F.log("n") / step), "_p": _prefix(F.col("seq"), most, q)})
-    none = F.array(F.lit(None).cast("long"))
-    # a text without a prefix meets every other of its buckets
-    short = texts.filter("_p is null").select("dataset", "bucket").distinct().withColumn("_short", F.lit(True))
-    near = F.explode(F.array(F.col("bucket"), F.col("bucket") + F.lit(1)))
-    spread = texts.withColumn("bucket", near).join(short.select("dataset", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), "_short").distinct(), ["dataset", "bucket"], "left")
-    keys = F.when(F.col("_short"), F.concat(none, F.coalesce("_p", F.array().cast("array<bigint>")))).otherwise(F.col("_p"))
-    spread = spread.select("dataset", "bucket", "seq", "n", F.explode(keys).alias("_k"), F.col("_p").isNull().alias("_s"))
-    a, b = (spread.select(*[F.col(c).alias(f"{c}_{x}") for c in ("dataset", "bucket", "seq", "n", "_k", "_s")]) for x in "ab")
-    met = a.join(b, (F.col("dataset_a") == F.col("dataset_b")) & (F.col("bucket_a") == F.col("bucket_b")) & F.col("_k_a").eqNullSafe(F.col("_k_b")))
-    met = met.filter((F.col("_k_a").isNotNull() | F.col("_s_a") | F.col("_s_b")) & (F.col("seq_a") < F.col("seq_b"))).select(F.col("dataset_a").alias("dataset"), "seq_a", "seq_b", "n_a", "n_b").distinct()
-    score = F.lit(1.0) - F.levenshtein("seq_a", "seq_b") / F.greatest("n_a", "n_b")
-    alike = met.withColumn("similarity", score).filter(F.col("similarity") >= threshold).select("dataset", "seq_a", "seq_b", "similarity")
+    base = seqs.filter(F.length("seq") >= max(1, min_length)).select("dataset", "pos", "id", "seq")
+    texts = cut(base.select("dataset", "seq").distinct().withColumns({"id": F.monotonically_increasing_id(), "n": F.length("seq")}))
+    met = near_candidates(texts, threshold, score)
+    a, b = (texts.select(F.col("id").alias(x), "dataset" if x == "a" else F.lit(None).alias("_"), F.col("seq").alias(f"seq_{x}"), F.col("n").alias(f"n_{x}")).drop("_") for x in "ab")
+    both = met.join(a, "a").join(b, "b")
+    if score == "alignment":
+        similarity = aligned_letters("seq_a", "seq_b") / F.col("n_b")
+    else:
+        # minus one where the edits are more than allowed
+        edits = F.call_function("levenshtein", F.col("seq_a"), F.col("seq_b"), edits_allowed(F.col("n_b"), threshold))
+        similarity = F.when(edits >= 0, F.lit(1.0) - edits / F.col("n_b"))
+    alike = both.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold).select("dataset", "seq_a", "seq_b", "similarity")
     same = base.select("dataset", "seq").distinct().select("dataset", F.col("seq").alias("seq_a"), F.col("seq").alias("seq_b"), F.lit(1.0).alias("similarity"))
     both = alike.union(alike.select("dataset", "seq_b", "seq_a", "similarity")).union(same)
     left, right = (base.select("dataset", *[F.col(c).alias(f"{c}_{x}") for c in ("pos", "id", "seq")]) for x in "ab")

@@ -182,6 +182,38 @@ def near_similar(spark, sf_dir):
     return joins.near_similar(rows, 0.8).select("dataset", "id_a", "id_b", F.round("similarity", 9).alias("similarity"))
 
 
+def strands(spark, sf_dir):
+    """64 letters of DNA for each customer: those of four customers differ by a letter that is A and one that may lack."""
+    seed = F.floor(F.col("c_custkey") / 4).cast("long").cast("string")
+    letters = F.translate(F.concat(F.md5(F.concat(seed, F.lit("a"))), F.md5(F.concat(seed, F.lit("b")))), "0123456789abcdef", "ACGT" * 4)
+    at, gone = F.col("c_custkey") * 7 % 64, F.col("c_custkey") % 3
+    seq = F.overlay(letters, F.lit("A"), (at + 1).cast("int"))
+    seq = F.when(gone == 0, F.concat(F.substring(seq, 1, 20), F.substring(seq, 22, 64))).otherwise(seq)
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("s"), F.col("c_custkey") % 3).alias("dataset"), F.col("c_custkey").alias("pos"), F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("id"), seq.alias("seq"))
+
+
+_STRANDS = (
+    "l AS (SELECT c_custkey AS k, translate(md5((c_custkey // 4) || 'a') || md5((c_custkey // 4) || 'b'), '0123456789abcdef', 'ACGTACGTACGTACGT') AS t FROM customer), "
+    "m AS (SELECT k, substr(t, 1, k * 7 % 64) || 'A' || substr(t, k * 7 % 64 + 2) AS t FROM l), "
+    "d AS (SELECT 's' || (k % 3) AS dataset, k AS pos, lpad(k::VARCHAR, 9, '0') AS id, CASE WHEN k % 3 = 0 THEN substr(t, 1, 20) || substr(t, 22) ELSE t END AS seq FROM m)"
+)
+
+
+@query(
+    f"WITH {_STRANDS} SELECT a.dataset, a.id AS id_a, b.id AS id_b, round(1 - levenshtein(a.seq, b.seq) / greatest(length(a.seq), length(b.seq)), 9) AS similarity FROM d a JOIN d b ON a.dataset = b.dataset AND a.pos < b.pos "
+    "WHERE 1 - levenshtein(a.seq, b.seq) / greatest(length(a.seq), length(b.seq)) >= 0.9"
+)
+def near_strands(spark, sf_dir):
+    """Near copies among strings of four letters, all of about one length."""
+    return joins.near_similar(strands(spark, sf_dir), 0.9).select("dataset", "id_a", "id_b", F.round("similarity", 9).alias("similarity"))
+
+
+@query()
+def near_aligned(spark, sf_dir):
+    """The same by the letters that an alignment pairs; DuckDB has no longest common subsequence."""
+    return joins.near_similar(strands(spark, sf_dir), 0.95, score="alignment").select("dataset", "id_a", "id_b", F.round("similarity", 9).alias("similarity"))
+
+
 @query("SELECT c_custkey, cast('0x' || substr(md5(c_name), 1, 4) AS INT) AS h FROM customer")
 def hash16(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.hash16(F.col("c_name")).alias("h"))

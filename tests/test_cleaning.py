@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from canopy.operators import cleaning, joins, stats
 
 ROWS = [("d", 0, "a", "a", "ACDE"), ("d", 1, "b", "b", "ACDE"), ("d", 2, "a", "a", "ACXE"), ("d", 3, "c", "c", "acde"), ("e", 0, "x", "x", "ACDF"), ("e", 1, "y", "y", "ACDG"), ("f", 0, "z", "z", None)]
@@ -75,6 +77,43 @@ def test_near_similar_against_brute_force(spark):
         assert {(r.dataset, r.id_a, r.id_b) for r in joins.near_similar(df, threshold).collect()} == want
 
 
+def test_aligned_letters_against_brute_force(spark):
+    rng = random.Random(2)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0]
+            for j, y in enumerate(b, 1):
+                row.append(last[j - 1] + 1 if x == y else max(last[j], row[-1]))
+        return row[-1]
+
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 40))) for _ in range(30)]
+    texts += [t[:5] + "b" + t[6:] for t in texts] + [t[1:] for t in texts[:20]] + [None, ""]
+    rows = [(f"d{i % 2}", i, f"id{i}", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "dataset string, pos long, id string, seq string").repartition(3)
+    for threshold in (0.55, 0.85, 1.0):
+        want = {(a[0], a[2], b[2]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[3] and b[3] and common(a[3], b[3]) / max(len(a[3]), len(b[3])) >= threshold}
+        assert {(r.dataset, r.id_a, r.id_b) for r in joins.near_similar(df, threshold, score="alignment").collect()} == want
+
+
+def test_near_similar_on_strands(spark):
+    """5,000 sequences of 300 letters of four: candidates are few, and planted copies are found."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ACGT", k=300)) for _ in range(4800)]
+    for t in texts[:200]:
+        copy = list(t)
+        for _ in range(20):
+            i = rng.randrange(len(copy))
+            copy[i : i + 1] = rng.choice(["", "A", "CG"])
+        texts.append("".join(copy))
+    df = spark.createDataFrame([("d", i, str(i), t) for i, t in enumerate(texts)], "dataset string, pos long, id string, seq string").repartition(4)
+    found = {(int(r.id_a), int(r.id_b)) for r in joins.near_similar(df, 0.9).collect()}
+    assert found >= {(i, 4800 + i) for i in range(200)} and len(found) == 200
+    ids = df.select("dataset", F.col("pos").alias("id"), "seq", F.length("seq").alias("n"))
+    assert joins.near_candidates(ids, 0.9).count() < 5000 * 20
+
+
 def test_chunks(spark):
     rows = [(d, i * 7 % 101, str(i)) for d, n in (("a", 90), ("b", 1), (None, 5)) for i in range(n)]
     df = spark.createDataFrame(rows, "dataset string, pos long, id string").repartition(5)
