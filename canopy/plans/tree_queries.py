@@ -160,7 +160,7 @@ def rf_linkage(spark, sf_dir):
 
 
 def small_trees(spark, sf_dir):
-    """Two hierarchies over the nations, by region and by the length of the name: quartets are of the fourth power of the leaves."""
+    """Two hierarchies over the nations, by region and by the length of the name."""
     nation = table(spark, sf_dir, "nation").select("n_name", F.concat(F.lit("r"), "n_regionkey").alias("by_region"), F.concat(F.lit("l"), (F.length("n_name") % 4).cast("string")).alias("by_length"))
     kinds = F.array(F.struct(F.lit("tree_region_a").alias("tree"), F.col("by_region").alias("g")), F.struct(F.lit("tree_length_a").alias("tree"), F.col("by_length").alias("g")))
     return grouped_trees(nation.select(F.col("n_name").alias("name"), F.explode(kinds).alias("x")).select("x.tree", "x.g", "name"))
@@ -180,6 +180,21 @@ def quartet_small(spark, sf_dir):
     return compare.quartet_distances(small_trees(spark, sf_dir))
 
 
+@query(
+    f"WITH {TREES}, k AS (SELECT tree, g, md5(string_agg(leaf, ',' ORDER BY leaf)) AS s FROM t GROUP BY ALL), w AS (SELECT tree, md5(string_agg(leaf, ',' ORDER BY leaf)) AS s, count(*) AS n FROM t GROUP BY tree), "
+    "m AS (SELECT a.tree, split_part(a.tree, '_', 1) AS d, a.leaf AS x, b.leaf AS y, CASE WHEN a.g = b.g THEN k.s ELSE w.s END AS s FROM t a JOIN t b ON a.tree = b.tree AND a.leaf < b.leaf JOIN k ON k.tree = a.tree AND k.g = a.g JOIN w ON w.tree = a.tree), "
+    "e AS MATERIALIZED (SELECT a.tree || '|' || b.tree AS p, a.x, a.y FROM m a JOIN m b USING (d, x, y, s) WHERE a.tree < b.tree), "
+    "f AS (SELECT p, count(*) AS n FROM (SELECT e.p, e.x AS a, e.y AS b, f.y AS c FROM e JOIN e f ON e.p = f.p AND e.x = f.x AND e.y < f.y JOIN e g ON g.p = e.p AND g.x = e.y AND g.y = f.y) h "
+    "JOIN e USING (p) JOIN e i USING (p) JOIN e j USING (p) WHERE e.x = h.a AND i.x = h.b AND j.x = h.c AND e.y = i.y AND e.y = j.y GROUP BY p) "
+    "SELECT a.tree AS tree_a, b.tree AS tree_b, (a.n * (a.n - 1) * (a.n - 2) * (a.n - 3) // 24 + b.n * (b.n - 1) * (b.n - 2) * (b.n - 3) // 24 - 2 * coalesce(f.n, 0))::BIGINT AS quartet "
+    "FROM w a JOIN w b ON split_part(a.tree, '_', 1) = split_part(b.tree, '_', 1) AND a.tree < b.tree LEFT JOIN f ON f.p = a.tree || '|' || b.tree"
+)
+def quartet_pairs(spark, sf_dir):
+    """Quartet distances of each nation's trees, however many customers they hold; the SQL lists all fours."""
+    nodes = nation_trees(spark, sf_dir)
+    return compare.quartet_distances(nodes, nations_of(nodes))
+
+
 @query("SELECT substring_index_2 AS base, count(*)::BIGINT AS n FROM (SELECT array_to_string(string_split(replace(p_type, ' ', '_'), '_')[1:2], '_') AS substring_index_2 FROM part) GROUP BY base")
 def tree_groups(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(T.base_name(F.replace("p_type", F.lit(" "), F.lit("_"))).alias("base"))
