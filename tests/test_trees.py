@@ -290,10 +290,20 @@ def test_maximal_sets_of_many_transactions(spark):
         need = mining.exact_min_count(threshold, len(live))
         frequent = [frozenset(c) for n in range(1, 9) for c in itertools.combinations("abcdefgh", n) if sum(set(c) <= s for s in live) >= need]
         want = {"".join(sorted(f)): sum(f <= s for s in live) for f in frequent if not any(f < h for h in frequent)}
-        assert {"".join(r["items"]): r.n for r in mining.maximal_itemsets(df, threshold, "g", "t", "x").collect()} == want
+        # in one task, in rounds of rows, and in rounds whose last nodes are finished in tasks
+        for cells in (mining.TASK_CELLS, *(0, 200) * (threshold == 0.6)):
+            assert {"".join(r["items"]): r.n for r in mining.maximal_itemsets(df, threshold, "g", "t", "x", cells).collect()} == want
     assert mining.maximal_itemsets(df.limit(0), 0.5, "g", "t", "x").count() == 0
 
 
+def test_maximal_sets_of_a_long_tail(spark):
+    """A million items of one transaction each, of which none is frequent, and items of the same transactions, which stay together."""
+    tail = spark.range(1_000_000).select(F.lit("g").alias("g"), F.concat(F.lit("t"), F.col("id") % 20).alias("t"), F.concat(F.lit("x"), "id").alias("x"))
+    often = spark.range(60).select(F.lit("g").alias("g"), F.concat(F.lit("t"), F.col("id") % 20).alias("t"), F.concat(F.lit("often"), F.col("id") % 3).alias("x"))
+    got = mining.maximal_itemsets(tail.union(often), 0.3, "g", "t", "x").collect()
+    assert [(r["items"], r.n, r.support) for r in got] == [(["often0", "often1", "often2"], 20, 1.0)]
+
+
 def test_thresholds_off_the_tenths(spark):
     counts = spark.createDataFrame([("g", "x", 5, 20), ("g", "y", 4, 20), ("h", "x", 2, 3)], "g string, item string, n long, rows long")
     got = {(r.g, r["item"]): list(r.supports) for r in mining.grid_supports(counts, [0.15, 0.25, 2 / 3]).collect()}
