@@ -104,14 +104,30 @@ def without_ignored(grid: DataFrame, ignored: str | Iterable[str] | None, column
     return grid.filter(~F.lower(column).isin(names)) if names else grid
 
 
+#: Letters of nucleic acids, ambiguous ones included, and their complements; S, W and N are their own.
+LETTERS, COMPLEMENTS = "ACGTURYKMBVDHacgturykmbvdh", "TGCAAYRMKVBHDtgcaayrmkvbhd"
+_PART = r"\[[<>]?(\d+):[<>]?(\d+)\]\(([+-])\)"
+
+
+def location_parts(location: Column) -> Column:
+    """A location's stretches in the order of reading, as array<struct<start,end,strand>> from 0; null where a part stands in another record or the text is no location."""
+    found = F.regexp_extract_all(location, F.lit(_PART), F.lit(0))
+    field = lambda p, i: F.regexp_extract(p, _PART, i)
+    parts = F.transform(found, lambda p: F.struct(field(p, 1).cast("int").alias("start"), field(p, 2).cast("int").alias("end"), F.when(field(p, 3) == "-", -1).otherwise(1).alias("strand")))
+    return F.when((F.size(found) > 0) & ~location.rlike(r"[\w.]\["), parts)
+
+
+def spliced(seq: Column, parts: Column) -> Column:
+    """The letters of all parts of seq one after the other; those of the other strand are complements, read backwards."""
+    cut = lambda p: F.substr(seq, p["start"] + 1, p["end"] - p["start"])
+    read = F.transform(parts, lambda p: F.when(p["strand"] < 0, F.reverse(F.translate(cut(p), LETTERS, COMPLEMENTS))).otherwise(cut(p)))
+    return F.when(seq.isNotNull(), F.array_join(read, ""))
+
+
 def first_cds(records: DataFrame) -> DataFrame:
-    """Records (with features) that have a CDS: its plain location's part of seq; others unchanged.
+    """Records (with features) that have a CDS: what its location, simple or of several parts, takes from seq; others unchanged.
 
-    Plain locations are ``[a:b](+)``, from 0, or ``(-)`` for the reverse complement.
+    A CDS that stands in another record in part, or whose location cannot be read, leaves no sequence: seq is null.
     """
     cds = F.get(F.filter("features", lambda f: f["type"] == "CDS"), F.lit(0))
-    a = F.regexp_extract(cds["location"], r"^\[<?(\d+):>?(\d+)\]", 1).try_cast("int")
-    b = F.regexp_extract(cds["location"], r"^\[<?(\d+):>?(\d+)\]", 2).try_cast("int")
-    part = F.substr("seq", a + F.lit(1), b - a)
-    turned = F.reverse(F.translate(part, "ACGTacgt", "TGCAtgca"))
-    return records.withColumn("seq", F.coalesce(F.when(F.endswith(cds["location"], F.lit("(-)")), turned).otherwise(part), F.col("seq")))
+    return records.withColumn("seq", F.when(cds.isNull(), F.col("seq")).otherwise(spliced(F.col("seq"), location_parts(cds["location"]))))

@@ -165,6 +165,19 @@ def genbank_cds(spark, sf_dir):
     return cleaning.first_cds(records(spark, sf_dir)).select("id", "seq")
 
 
+@query(
+    f"WITH {_GB}, t AS (SELECT *, substr(seq, 3, 8) AS a, substr(seq, 21, 10) AS b, substr(seq, 41, 1) AS c FROM g) "
+    "SELECT k || '.2' AS id, CASE s_suppkey % 4 WHEN 0 THEN a || b || c WHEN 1 THEN reverse(translate(a || b || c, 'ACGT', 'TGCA')) WHEN 2 THEN a || reverse(translate(b, 'ACGT', 'TGCA')) || c WHEN 3 THEN c || b || a END AS seq FROM t"
+)
+def genbank_spliced(spark, sf_dir):
+    """Coding sequences of several parts: joined, complemented as a whole or in part, and in another order."""
+    whole = ["join(3..10,21..30,41)", "complement(join(3..10,21..30,41))", "join(<3..10,complement(21..30),41)", "order(41,21..30,3..>10)"]
+    where = F.element_at(F.array(*map(F.lit, whole)), (F.regexp_extract("value", r"VERSION     S(\d+)", 1).cast("long") % 4 + 1).cast("int"))
+    path = new_folder(spark)
+    genbank_texts(spark, sf_dir).select(F.regexp_replace("value", F.lit(r"( {5}CDS {13})\S+"), F.concat(F.lit("$1"), where)).alias("value")).write.text(path)
+    return cleaning.first_cds(genbank.read_genbank(spark, path)).select("id", "seq")
+
+
 @query(f"WITH {_GB} SELECT k || '.2' AS id, k || '.2 ' || s_name || ', complete sequence' AS description, seq FROM g")
 def genbank_to_fasta(spark, sf_dir):
     path = new_folder(spark)

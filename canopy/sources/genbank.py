@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +16,74 @@ RECORD = (
 )
 
 
-def _location(text: str) -> tuple[str, int]:
-    """``a..b`` and ``complement(a..b)`` as [a-1:b](+) or (-); others as they stand."""
-    m = re.fullmatch(r"(complement\()?<?(\d+)\.\.>?(\d+)\)?", text)
+class _Part(NamedTuple):
+    """One stretch of a location, from 0, with the marks of open ends and the other record that it may stand in."""
+
+    start: int
+    end: int
+    strand: int = 1
+    before: str = ""
+    after: str = ""
+    other: str = ""
+
+    def text(self) -> str:
+        return f"{self.other}[{self.before}{self.start}:{self.after}{self.end}]({'-' if self.strand < 0 else '+'})"
+
+
+_RANGE = re.compile(r"(?:([\w.]+):)?(<?)(\d+)(?:(\.\.|\.|\^)(>?)(\d+))?")
+
+
+def _listed(text: str) -> list[str]:
+    """text at its commas outside brackets."""
+    out, depth = [""], 0
+    for letter in text:
+        depth += (letter == "(") - (letter == ")")
+        if letter == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += letter
+    return out
+
+
+def location_parts(text: str) -> tuple[str, list[_Part]]:
+    """How a location's parts belong together (join or order, empty for a single one), and the parts in the order of reading.
+
+    The complement of several parts reads them from the last to the first. A location that is none raises ValueError.
+    """
+    text = re.sub(r"\s", "", text)
+    if inner := re.fullmatch(r"complement\((.*)\)", text):
+        how, parts = location_parts(inner[1])
+        return how, [p._replace(strand=-p.strand) for p in reversed(parts)]
+    if inner := re.fullmatch(r"(join|order|bond)\((.*)\)", text):
+        return inner[1], [p for t in _listed(inner[2]) for p in location_parts(t)[1]]
+    m = _RANGE.fullmatch(text)
     if not m:
+        raise ValueError(f"no location: {text}")
+    other, before, first, kind, after, last = m.groups("")
+    if kind == "^":  # between two letters
+        return "", [_Part(int(first), int(first), 1, before, after, other)]
+    return "", [_Part(int(first) - 1, int(last or first), 1, before, after, other)]
+
+
+def _location(text: str) -> tuple[str, int]:
+    """A location's text, ``[a:b](+)`` from 0 or several of them in ``join{...}``, and its strand (0 of mixed ones); what is no location stays as it stands."""
+    try:
+        how, parts = location_parts(text)
+    except ValueError:
         return text, -1 if text.startswith("complement") else 1
-    return f"[{int(m[2]) - 1}:{m[3]}]({'-' if m[1] else '+'})", -1 if m[1] else 1
+    strands = {p.strand for p in parts}
+    written = [p.text() for p in parts]
+    return written[0] if len(parts) == 1 else f"{how}{{{', '.join(written)}}}", strands.pop() if len(strands) == 1 else 0
+
+
+def _open(qualifier: str) -> bool:
+    """Whether a qualifier's value has a quote that is not closed; quotes inside are doubled."""
+    value = qualifier.partition("=")[2]
+    return value.startswith('"') and value.count('"') % 2 == 1
+
+
+def _unquoted(value: str) -> str:
+    return value[1:-1].replace('""', '"') if len(value) > 1 and value[0] == value[-1] == '"' else value.strip('"')
 
 
 def parse_record(text: str) -> dict | None:
@@ -38,13 +101,17 @@ def parse_record(text: str) -> dict | None:
         elif key:
             parts[key] += ("\n" if key == "ORGANISM" else " ") + line.strip()
     locus = parts.get("LOCUS", "").split()
-    organism, _, lineage = parts.get("ORGANISM", "").partition("\n")
+    # a name may take several lines; the lineage has semicolons, or is one word with a full stop at the end
+    lines = parts.get("ORGANISM", "").strip().split("\n")
+    ends = next((i for i, t in enumerate(lines) if i and (";" in t or i == len(lines) - 1 and t.endswith("."))), len(lines))
+    organism, lineage = " ".join(lines[:ends]), " ".join(lines[ends:])
     accessions = parts.get("ACCESSION", "").split()
     features: list[dict] = []
     for line in table.split("\n")[1:]:
-        if line[5:21].strip() and not line[:5].strip():
+        unfinished = bool(features and features[-1]["_q"] and _open(features[-1]["_q"][-1]))
+        if line[5:21].strip() and not line[:5].strip() and not unfinished:
             features.append({"type": line[5:21].strip(), "_loc": line[21:].strip(), "_q": []})
-        elif features and line.strip().startswith("/"):
+        elif features and line.strip().startswith("/") and not unfinished:
             features[-1]["_q"].append(line.strip()[1:])
         elif features and line.strip():
             f = features[-1]
@@ -58,19 +125,19 @@ def parse_record(text: str) -> dict | None:
         found: dict[str, list[str]] = {}
         for q in f.pop("_q"):
             name, _, value = q.partition("=")
-            found.setdefault(name, []).append(value.strip('"'))
+            found.setdefault(name, []).append(_unquoted(value))
         f["qualifiers"] = {k: v for k, v in found.items() if k != "translation"}
     return {
         "id": parts.get("VERSION", "").split(" ")[0] or (accessions[0] if accessions else locus[0] if locus else None),
         "name": locus[0] if locus else None,
         "description": parts.get("DEFINITION", "").rstrip("."),
         "accessions": accessions,
-        "molecule_type": next((t for t in locus if "NA" in t), None),
+        "molecule_type": next((t for unit, t in zip(locus[1:], locus[2:]) if unit in ("bp", "aa", "rc") and "NA" in t), None),
         "topology": next((t for t in locus if t in ("linear", "circular")), None),
         "date": locus[-1] if locus and re.fullmatch(r"\d\d-\w{3}-\d{4}", locus[-1]) else None,
         "source": parts.get("SOURCE"),
         "organism": organism or None,
-        "taxonomy": [t.strip() for t in lineage.replace("\n", " ").rstrip(".").split(";") if t.strip()],
+        "taxonomy": [t.strip() for t in lineage.rstrip(".").split(";") if t.strip()],
         "features": features,
         "seq": re.sub(r"[^A-Za-z]", "", origin.partition("\n")[2].split("//")[0]).upper(),
     }

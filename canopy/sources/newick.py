@@ -108,7 +108,8 @@ def nexus_newick(text: str) -> str:
     while todo:
         c = todo.pop()
         if not c.children and c.name in labels:
-            c.name = labels[c.name].strip("'")
+            label = labels[c.name]
+            c.name = label[1:-1].replace("''", "'") if label[0] == "'" else label
         todo += c.children
     return write(clade)
 
@@ -119,14 +120,14 @@ def read_text(text: str) -> str:
 
 
 def to_nodes(texts: DataFrame) -> DataFrame:
-    """Node rows of texts (tree, text), newick or nexus."""
+    """Node rows of texts (tree, text), newick or nexus; a null text is no tree."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for tree, text in zip(batch["tree"], batch["text"]):
                 yield node_rows(tree, parse(read_text(text)))
 
-    return texts.select("tree", "text").mapInPandas(run, NODE)
+    return texts.filter("text is not null").select("tree", "text").mapInPandas(run, NODE)
 
 
 def to_newick(nodes: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from canopy.operators import context, graph, joins
+from canopy.operators import cleaning, context, graph, joins
 from canopy.sources import fasta, genbank, newick, sinks, tables
 from canopy.streaming import ingest
 
@@ -46,6 +46,53 @@ def test_fasta_round_trip(spark, tmp_path):
     assert len(list(out.glob("dataset=one/chunk=*"))) == 2
 
 
+def _read(text, at):
+    """A location read by hand: the letters that it names."""
+    text = text.replace(" ", "")
+    if text.startswith("complement("):
+        return _read(text[11:-1], at)[::-1].translate(str.maketrans("ACGTRY", "TGCAYR"))
+    if text.startswith(("join(", "order(")):
+        inner, out, depth, part = text[text.index("(") + 1 : -1], "", 0, ""
+        for letter in inner + ",":
+            depth += (letter == "(") - (letter == ")")
+            if letter == "," and not depth:
+                out, part = out + _read(part, at), ""
+            else:
+                part += letter
+        return out
+    ends = [int(x.strip("<>")) for x in text.split("..")]
+    return at[ends[0] - 1 : ends[-1]]
+
+
+LOCATIONS = ("join(1..3,5..9)", "complement(join(1..3,5..9))", "join(complement(5..9),complement(1..3))", "order(2..4,complement(join(6..7,9..11)),1)", "complement(<2..>8)", "7", "join(1..2,complement(order(3..4,complement(8..10))))")
+
+
+def test_compound_locations(spark):
+    seq = "ACGTRYACGTTACA"
+    rows = [(i, seq, [("gene", "[0:1](+)"), ("CDS", genbank._location(text)[0]), ("CDS", "[0:1](+)")]) for i, text in enumerate(LOCATIONS)]
+    rows += [(100, seq, [("CDS", genbank._location("join(1..2,J00194.1:100..202)")[0])]), (101, seq, [("gene", "[0:1](+)")]), (102, seq, [("CDS", "join{nothing}")]), (103, None, [("CDS", "[0:1](+)")]), (104, seq, [("CDS", genbank._location("4^5")[0])])]
+    got = {r.id: r.seq for r in cleaning.first_cds(spark.createDataFrame(rows, "id int, seq string, features array<struct<type:string,location:string>>")).collect()}
+    assert got == {i: _read(text, seq) for i, text in enumerate(LOCATIONS)} | {100: None, 101: seq, 102: None, 103: None, 104: ""}
+    assert genbank._location("complement(join(1..3,<5..9))") == ("join{[<4:9](-), [0:3](-)}", -1) and genbank._location("join(1..3,complement(5..9))")[1] == 0
+    assert genbank._location("what") == ("what", 1)
+
+
+def test_records_that_are_not_regular():
+    record = genbank.parse_record(
+        'LOCUS       DNAK1    9 bp    mRNA    linear   VRL 01-JAN-2000\nDEFINITION  d.\nSOURCE      a virus\n  ORGANISM  A very long name\n            of a virus\n            Viruses; Riboviria;\n            Other.\n'
+        'FEATURES             Location/Qualifiers\n     CDS             join(1..2,\n                     4..5)\n                     /note="see\n                     /country here"\n                     /product="a ""good"" one"\n                     /pseudo\nORIGIN\n        1 acgtacgta\n'
+    )
+    assert record["molecule_type"] == "mRNA" and record["organism"] == "A very long name of a virus" and record["taxonomy"] == ["Viruses", "Riboviria", "Other"]
+    assert record["features"] == [{"type": "CDS", "location": "join{[0:2](+), [3:5](+)}", "strand": 1, "qualifiers": {"note": ["see /country here"], "product": ['a "good" one'], "pseudo": [""]}}]
+    assert genbank.parse_record("LOCUS       X  3 bp\n  ORGANISM  Zika virus\n            Viruses.\n")["taxonomy"] == ["Viruses"]
+
+
+def test_quoted_labels_and_null_trees(spark):
+    assert newick.nexus_newick("#NEXUS\ntranslate 1 'it''s', 2 B;\ntree t = (1,2);") == "('it''s',B);"
+    nodes = newick.to_nodes(spark.createDataFrame([("a", None), ("b", "(x,y);")], "tree string, text string"))
+    assert {r.tree for r in nodes.collect()} == {"b"}
+
+
 def test_ids_end_at_white_space(spark, tmp_path):
     (tmp_path / "x.fasta").write_text(">id1\tdesc one\nAC\n> id2  two \nGG\n")
     assert [(r.id, r.description, r.seq) for r in fasta.read_fasta(spark, str(tmp_path)).orderBy("pos").collect()] == [("id1", "id1\tdesc one", "AC"), ("id2", "id2  two", "GG")]
