@@ -121,7 +121,7 @@ ps AS (SELECT 'h' AS lv, h.host AS nm, (h.k + wh * (dr.k - h.k + wd * pr) / (dr.
        UNION ALL SELECT 's', suffix, (k + ws * mu) / (n + ws), wh FROM s, m, w
        UNION ALL SELECT 'a', '', mu, wh FROM m, w),
 lo AS (SELECT lv, nm, rate - 1.645 * sqrt(rate * (1 - rate) / (t + 1)) AS low FROM ps),
-li AS (SELECT CASE WHEN count(*) = 0 OR stddev_pop(low) <= 1e-9 THEN 1.0 ELSE avg(low) + stddev_pop(low) END AS li FROM lo WHERE lv = 'h')
+li AS (SELECT least(0.5, mu + 0.05) AS li FROM m)
 SELECT x.page_id, x.host, x.path, b.rule,
   coalesce(b.action, CASE WHEN coalesce(lh.low, ld.low, ls.low, la.low) > li THEN 'block' ELSE 'allow' END) AS verdict
 FROM x LEFT JOIN b USING (page_id) LEFT JOIN lo lh ON lh.lv = 'h' AND lh.nm = x.host LEFT JOIN lo ld ON ld.lv = 'd' AND ld.nm = x.domain

@@ -5,20 +5,19 @@ no rule decides are judged by their host's reputation: labelled outcomes (bad or
 through beta-binomial priors from the whole table to the public suffix, from the suffix to the registered domain and from
 the domain to the host; what a group has is its prior for a member without that member's own outcomes, so that each
 outcome counts once. The strength of each prior comes from the counts themselves (method of moments). A page is
-blocked where the lower posterior bound of its host's bad rate exceeds a limit. The limit comes from the table's own rates: it is
-the mean of all hosts' bounds plus SPREADS of their standard deviations, so that hosts are blocked that stand out among their
-like, whatever share of all pages is bad; ``max_bad`` gives a fixed limit instead. A host without outcomes has the mean of its
-domain (else of its suffix, else the overall one) at the strength of a host's prior.
+blocked where the lower posterior bound of its host's bad rate exceeds a limit: the overall rate plus MARGIN, so that a host has to be worse than
+all for certain and not only in its draw of outcomes, and MOST_BAD at most, so that a table which is bad as a whole does not pass. ``margin`` and
+``max_bad`` set both. A host without outcomes has the mean of its domain (else of its suffix, else the overall one) at the strength of a host's prior.
 
 Registered domains follow a rule, or a table of public suffixes where one is given.
 
 Only DataFrame functions. Counts are combined before they are shuffled (host, then domain, then suffix from the host
 counts), so a host that holds a third of all pages costs one row per task; pages meet the posteriors in left joins
-whose large partitions Spark can split. A row per level and one row of the limit are collected.
+whose large partitions Spark can split. A row per level is collected.
 
 Defined results: a url that is null or has no ``://`` has empty host and path, fits no rule and is judged by the overall
 rate; repeated pages are judged each on its own and each counts as an outcome; a label given twice counts as bad if one
-is; without labels, or where all hosts are alike, nothing is blocked but by rule; columns besides id and url are not read.
+is; without labels nothing is blocked but by rule; columns besides id and url are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 BROADCAST_RULES = 10_000
 #: A prior counts for a hundred outcomes at most, so that what a host does itself is seen.
-SPREADS, Z, STRENGTH = 1.0, 1.645, (1.0, 100.0)
+MARGIN, MOST_BAD, Z, STRENGTH = 0.05, 0.5, 1.645, (1.0, 100.0)
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -170,15 +169,13 @@ def lower_bound(a: Column, b: Column, z: float = Z) -> Column:
     return rate - F.lit(z) * F.sqrt(rate * (1 - rate) / (a + b + 1))
 
 
-def limit(known: DataFrame, spreads: float = SPREADS) -> float:
-    """The mean of the hosts' bounds plus so many of their standard deviations; beyond every bound where there is no host."""
-    low = lower_bound(F.col("a"), F.col("b"))
-    one = known.filter("level = 'host'").select(low.alias("low")).agg(F.avg("low").alias("mean"), F.stddev_pop("low").alias("sd")).first()
-    return 1.0 if one["mean"] is None or not one["sd"] > 1e-9 else one["mean"] + spreads * one["sd"]
+def limit(mean: float, margin: float = MARGIN, max_bad: float = MOST_BAD) -> float:
+    """What a host's lower bound has to exceed where so large a share of all outcomes is bad."""
+    return min(max_bad, mean + margin)
 
 
 def judge(
-    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], max_bad: float | None = None, suffixes: DataFrame | None = None, spreads: float = SPREADS
+    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], max_bad: float = MOST_BAD, suffixes: DataFrame | None = None, margin: float = MARGIN
 ) -> DataFrame:
     """page_id, host, path, rule, verdict and p_bad_low of every row of pages (page_id, url).
 
@@ -191,8 +188,8 @@ def judge(
     for level, key in (("host", "host"), ("domain", "_domain"), ("suffix", "_suffix")):
         side = known.filter(F.col("level") == level).select("name", lower_bound(F.col("a"), F.col("b")).alias(f"_{level}_low"))
         rows = rows.join(side, rows[key] == side["name"], "left").drop("name")
-    overall = known.filter("level = 'all'").select(lower_bound(F.col("a"), F.col("b"))).first()[0]
+    overall, mean = known.filter("level = 'all'").select(lower_bound(F.col("a"), F.col("b")), F.col("a") / (F.col("a") + F.col("b"))).first()
     low = F.coalesce("_host_low", "_domain_low", "_suffix_low", F.lit(overall))
-    most = limit(known, spreads) if max_bad is None else max_bad
+    most = limit(mean, margin, max_bad)
     verdict = F.coalesce(F.col("_best.action"), F.when(low > F.lit(most), F.lit("block")).otherwise(F.lit("allow")))
     return rows.select("page_id", "host", "path", F.col("_best.rule").alias("rule"), verdict.alias("verdict"), low.alias("p_bad_low"))

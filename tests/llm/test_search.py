@@ -67,12 +67,31 @@ def test_clusters_are_left_out(spark):
     assert visits[0] == queries and sum(visits) < 0.4 * queries * shards
 
 
-def test_both_verdicts_on_the_tables(spark):
-    from canopy.llm.queries import QUERIES
+def _verdicts(spark, outcomes):
+    """The method's verdict for each host of outcomes."""
+    hosts = sorted({h for h, _ in outcomes})
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)], "page_id long, url string")
+    judged = url_filter.judge(pages, spark.createDataFrame(outcomes, "host string, bad int"), ())
+    return {r.host: r.verdict for r in judged.collect()}
+
+
+def test_noise_alone_blocks_no_host(spark):
+    """Hosts of one true rate draw outcomes by chance: none stands out, whatever the rate and the number of outcomes; a table that is bad as a whole does not pass."""
+    rng = np.random.default_rng(4)
+    for rate, n in ((0.02, 40), (0.25, 40), (0.25, 400), (0.4, 40)):
+        outcomes = [(f"h{i}.net", int(b)) for i in range(300) for b in rng.random(n) < rate]
+        assert set(_verdicts(spark, outcomes).values()) == {"allow"}, (rate, n)
+    assert set(_verdicts(spark, [(f"h{i}.net", int(b)) for i in range(100) for b in rng.random(40) < 0.9]).values()) == {"block"}
+
+
+def test_worse_hosts_are_blocked(spark):
+    rng = np.random.default_rng(5)
+    outcomes = [(f"h{i}.net", int(b)) for i in range(100) for b in rng.random(60) < (0.6 if i < 10 else 0.1)]
+    assert {h for h, v in _verdicts(spark, outcomes).items() if v == "block"} == {f"h{i}.net" for i in range(10)}
+
 
-    rows = QUERIES["op9_url_filter"](spark, "/root/testdata/sf0.1").filter("rule is null").groupBy("verdict").count()
-    n = {r["verdict"]: r["count"] for r in rows.collect()}
-    assert set(n) == {"allow", "block"} and n["block"] < n["allow"], n
+def test_limit():
+    assert url_filter.limit(0.2) == 0.25 and url_filter.limit(0.9) == url_filter.MOST_BAD and url_filter.limit(0.2, 0.1, 0.25) == 0.25
 
 
 def test_suffix_table(spark):
