@@ -13,7 +13,7 @@ from canopy.plans.context_queries import CTX, INS, indicators, sequences
 from canopy.plans.registry import query, table
 from canopy.plans.sequence_queries import documents
 from canopy.plans.tree_queries import TREES, nation_subtrees, nation_trees, regional
-from canopy.sources import fasta, genbank, newick, sinks, tables
+from canopy.sources import blocks, fasta, genbank, named, newick, sinks, tables
 
 
 def part_sequences(spark, sf_dir):
@@ -121,6 +121,15 @@ def itemset_csv(spark, sf_dir):
     return spark.read.csv(path, header=True, schema="item string, n long, supports string, base string").select("base", "item", "n", "supports")
 
 
+@query("SELECT p_brand AS dataset, p_partkey::VARCHAR AS id, p_partkey || ' ' || p_name AS description, translate(md5(p_name), '0123456789', 'ghijklmnop') AS seq FROM part")
+def fasta_blocks(spark, sf_dir):
+    """A file of each brand's sequences, read in blocks that cut records anywhere."""
+    path, p = new_folder(spark), table(spark, sf_dir, "part")
+    rows = p.select(F.col("p_brand").alias("dataset"), F.col("p_partkey").alias("pos"), F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_partkey", "p_name").alias("description"), F.translate(F.md5("p_name"), "0123456789", "ghijklmnop").alias("seq"))
+    named.write_named(fasta.fasta_text(rows, 20), path, "dataset", ("pos",))
+    return blocks.read_blocks(spark, path, block_bytes=5000).select("dataset", "id", "description", "seq")
+
+
 def genbank_texts(spark, sf_dir):
     """A flat-file record per supplier: a source feature with country, host and date, and a coding sequence on either strand."""
     s = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name")), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -160,6 +169,16 @@ def genbank_read(spark, sf_dir):
     return r.select("id", "description", F.array_join("accessions", ",").alias("accessions"), "organism", F.array_join("taxonomy", ",").alias("taxonomy"), F.size("features").alias("n_features"), "molecule_type", "topology", "date", "seq")
 
 
+@query(f"WITH {_GB} SELECT k || '.2' AS id, n_name AS country, seq FROM g")
+def genbank_blocks(spark, sf_dir):
+    """The records by blocks of their files."""
+    path = new_folder(spark)
+    genbank_texts(spark, sf_dir).write.text(path)
+    found = blocks.read_blocks(spark, path, "genbank", block_bytes=3000)
+    source = F.get(F.filter("features", lambda f: f["type"] == "source"), F.lit(0))
+    return found.select("id", F.substring_index(source["qualifiers"]["country"][0], ":", 1).alias("country"), "seq")
+
+
 @query(f"WITH {_GB} SELECT k || '.2' AS id, CASE WHEN s_suppkey % 2 = 0 THEN reverse(translate(substr(seq, 5, 12), 'ACGT', 'TGCA')) ELSE substr(seq, 5, 12) END AS seq FROM g")
 def genbank_cds(spark, sf_dir):
     return cleaning.first_cds(records(spark, sf_dir)).select("id", "seq")

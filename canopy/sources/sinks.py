@@ -8,18 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from canopy.operators.trees import clade_nodes
+from canopy.sources.named import write_named
 from canopy.sources.newick import to_newick
 
 
 def write_trees(nodes: DataFrame, path: str) -> None:
-    """Newick text, one folder per tree; trees that are there stay as they are."""
-    spark = nodes.sparkSession
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    texts = to_newick(nodes)
-    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        there = spark.read.text(path, recursiveFileLookup=False).select("tree").distinct()
-        texts = texts.join(there, "tree", "left_anti")
-    texts.select("tree", F.col("text").alias("value")).write.partitionBy("tree").mode("append").text(path)
+    """Newick text, one folder per tree; trees that are there stay as they are, and a run that fails leaves none of its own."""
+    write_named(to_newick(nodes).select("tree", F.col("text").alias("value")), path, "tree", keep=True)
 
 
 def write_metadata(subtrees: DataFrame, path: str) -> None:
