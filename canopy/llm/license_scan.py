@@ -115,16 +115,29 @@ def template_grams(spark, templates: Sequence[Template], k: int = K) -> DataFram
     return F.broadcast(df) if len(rows) <= BROADCAST_GRAMS else df
 
 
+#: Columns of spans and of scan; a kept column of such a name gives way.
+SPAN = ("n_words", "t_id", "votes", "first", "words", "grams", "exact_at")
+RESULT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+#: Keeps the struct of kept columns from being empty.
+_NONE = "__none"
+
+
 def spans(docs: DataFrame, templates: Sequence[Template], keep: Sequence[str] = ("doc_id",), text: str = "text", k: int = K, slack: int = SLACK) -> DataFrame:
     """Per row of docs and merged span: _row, keep, n_words, t_id, first (word), words (its length), votes, grams (distinct).
 
     Every row of docs has at least one row here, with null t_id where it has no match. exact_at lists the words at which
     all of the template stands consecutively.
     """
+    return _spans(docs, templates, keep, text, k, slack).select("_row", "_keep.*", *SPAN).drop(_NONE)
+
+
+def _spans(docs: DataFrame, templates: Sequence[Template], keep: Sequence[str], text: str, k: int, slack: int) -> DataFrame:
+    """The spans; as one column, _keep, what is kept clashes with no name used here."""
     sizes = [len(t.words.split(" ")) - k + 1 for t in templates]
     grams = template_grams(docs.sparkSession, templates, k)
-    base = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, words_of(F.col(text)).alias("_w"))
-    at = base.select("_row", *keep, "_w", F.size("_w").cast("long").alias("n_words"), F.posexplode_outer("_w").alias("pos", "w"))
+    own = [F.col(f"`{c}`") for c in keep if c not in (*SPAN, "_row")]
+    base = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*own, F.lit(None).cast("string").alias(_NONE)).alias("_keep"), words_of(F.col(text)).alias("_w"))
+    at = base.select("_row", "_keep", "_w", F.size("_w").cast("long").alias("n_words"), F.posexplode_outer("_w").alias("pos", "w"))
     at = at.withColumn("g", F.xxhash64("w", *[F.get("_w", F.col("pos") + F.lit(j)) for j in range(1, k)]))
     hit = (at["g"] == grams["g"]) & (at["w"] == grams["w0"])
     joined = at.join(grams, hit, "left")
@@ -132,10 +145,10 @@ def spans(docs: DataFrame, templates: Sequence[Template], keep: Sequence[str] =
     for j in range(1, k):
         same = same & F.coalesce(F.get("_w", F.col("pos") + F.lit(j)) == F.col(f"w{j}"), F.lit(False))
     votes = joined.filter((F.col("t_id").isNotNull() & same) | (F.coalesce("pos", F.lit(0)) == 0)).select(
-        "_row", *keep, "n_words", F.when(same, F.col("t_id")).alias("t_id"), F.when(same, F.col("t_pos")).alias("t_pos"), "pos"
+        "_row", "_keep", "n_words", F.when(same, F.col("t_id")).alias("t_id"), F.when(same, F.col("t_pos")).alias("t_pos"), "pos"
     )
     size = F.element_at(F.array(*map(F.lit, sizes)), F.col("t_id") + F.lit(1))
-    heads = [F.first(c).alias(c) for c in (*keep, "n_words")]
+    heads = [F.first(c).alias(c) for c in ("_keep", "n_words")]
     diagonals = (
         votes.withColumn("diagonal", F.col("pos") - F.col("t_pos"))
         .repartition("_row")
@@ -168,7 +181,7 @@ def scan(docs: DataFrame, own: Sequence[Template] = (*NOTICES, *TEXTS), keep: Se
     holds its template's coverage within a quarter more words than the template has.
     """
     templates = (*BASE, *own)
-    found = spans(docs, templates, keep, text, k, slack)
+    found = _spans(docs, templates, tuple(c for c in keep if c not in RESULT), text, k, slack)
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("t_id") + F.lit(1))
     counts = [len(t.words.split(" ")) for t in templates]
     share = F.col("grams") / pick([n - k + 1 for n in counts])
@@ -179,11 +192,11 @@ def scan(docs: DataFrame, own: Sequence[Template] = (*NOTICES, *TEXTS), keep: Se
     base_ok = F.col("_base") & F.col("_ok")
     listed = lambda label: F.array_join(F.sort_array(F.collect_set(label)), ",")
     return rows.groupBy("_row").agg(
-        *[F.first(c).alias(c) for c in (*keep, "n_words")],
+        *[F.first(c).alias(c) for c in ("_keep", "n_words")],
         F.coalesce(F.sum(F.when(base_ok, F.size("exact_at"))), F.lit(0)).cast("long").alias("n_base"),
         F.min(F.when(base_ok, F.array_min("exact_at"))).cast("long").alias("first_word"),
         F.max(F.when(base_ok, F.array_max("exact_at"))).cast("long").alias("last_word"),
         listed(F.when(base_ok, F.col("_label"))).alias("base_labels"),
         listed(F.when(F.col("_ok"), F.col("_label"))).alias("labels"),
         F.coalesce(F.max(F.when(F.col("_ok"), F.col("_share"))), F.lit(0.0)).alias("score"),
-    ).drop("_row")
+    ).select("_keep.*", *RESULT).drop(_NONE)

@@ -76,14 +76,16 @@ def _repeat_words(hashes: Column, ordered: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(covered)
 
 
-def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep, the MEASURES (long) and _at of every row.
+#: Numbers the rows. A filter that looks at it stays above the measurements, which otherwise it would hold many times over.
+_AT = "__at"
 
-    _at numbers the rows. A filter that looks at it stays above the measurements, which otherwise it would hold many times over.
-    """
+
+def _measured(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """_keep (a struct of keep and the row's number) and the MEASURES (long) of every row."""
     kept = [c for c in keep if c not in MEASURES]
     t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(*kept, t.alias("_t"), words_of(t).alias("_w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("_l"))
+    # as one column, what is kept clashes with no name used here
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias(_AT)).alias("_keep"), t.alias("_t"), words_of(t).alias("_w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("_l"))
     hashed = base.withColumn(
         "_h",
         F.when(
@@ -104,8 +106,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     )
     n = F.size("_w").cast("long")
     return paired.select(
-        *kept,
-        F.monotonically_increasing_id().alias("_at"),
+        "_keep",
         n.alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.size("_l").cast("long").alias("n_lines"),
@@ -118,13 +119,18 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     )
 
 
+def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keep and the MEASURES (long) of every row."""
+    return _measured(docs, text, keep).select("_keep.*", *MEASURES).drop(_AT)
+
+
 def evaluate(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The ledger: keep, the MEASURES and fail_bits (long)."""
     bits = F.lit(0).cast("long")
     for rule in rules:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
-    keep = tuple(c for c in keep if c != "fail_bits")
-    return measure(docs, text, keep).withColumn("fail_bits", F.when(F.col("_at") >= 0, bits)).drop("_at")
+    rows = _measured(docs, text, tuple(c for c in keep if c != "fail_bits")).withColumn("fail_bits", F.when(F.col(f"_keep.{_AT}") >= 0, bits))
+    return rows.select("_keep.*", *MEASURES, "fail_bits").drop(_AT)
 
 
 def passes(policy: str) -> Column:

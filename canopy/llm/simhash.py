@@ -120,16 +120,17 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE) -> DataFrame:
     """keep and fp (the fingerprint as a signed long) of every row."""
     names = [c for c in keep if c != "fp"]
-    rows = docs.select(*names, F.col(text).alias("_text"))
-    schema = rows.drop("_text").withColumn("fp", F.lit(0).cast("long")).schema
+    # columns go by their places, so that any name may be kept
+    rows = docs.select(*names, F.col(text)).toDF(*[f"c{i}" for i in range(len(names) + 1)])
+    schema = rows.drop(f"c{len(names)}").withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t.as_py(), shingle) for t in batch.column(batch.num_columns - 1)]
             fp = pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], names=[*names, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], names=[*batch.schema.names[:-1], "fp"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).toDF(*names, "fp")
 
 
 def links(distinct: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from canopy.llm import license_scan, quality, sentence_spans
+from canopy.llm import license_scan, quality, sentence_spans, simhash
 
 from .conftest import ROWS
 
@@ -171,3 +171,15 @@ def test_plans_are_native(docs):
 def test_clashing_keep(docs):
     ledger = quality.evaluate(docs.select("doc_id", "text", F.lit(1).alias("n_lines")), keep=("doc_id", "n_lines", "fail_bits"))
     assert ledger.columns.count("n_lines") == 1
+
+
+def test_any_name_may_be_kept(docs):
+    """Columns named like those that the operators use inside, or like their results, which win."""
+    names = ["_t", "_w", "_l", "_h", "_o", "_keep", "_at", "_row", "_text", "pos", "g", "w", "w0", "t_id", "votes", "n_words", "fp", "c0"]
+    odd = docs.select("doc_id", "text", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    first = odd.filter("doc_id = 3").first()
+    for found in (quality.evaluate(odd, keep=("doc_id", *names)), quality.measure(odd, keep=("doc_id", *names)), license_scan.scan(odd, keep=("doc_id", *names)), license_scan.spans(odd, license_scan.NOTICES, keep=("doc_id", *names)), simhash.fingerprints(odd, keep=("doc_id", *names))):
+        own = found.filter("doc_id = 3").first().asDict()
+        assert len(found.columns) == len(set(found.columns))
+        assert all(own[n] == first[n] for n in names if n in own and n not in ("n_words", "fp", "t_id", "votes", "_row"))
+    assert quality.evaluate(odd, keep=("doc_id", *names)).filter("doc_id = 3").first()["n_words"] > 20
