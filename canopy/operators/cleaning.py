@@ -75,10 +75,25 @@ def longest_route(seqs: DataFrame, limit: int = CLUSTAL_LIMIT) -> DataFrame:
     return seqs.groupBy("dataset").agg(F.when(over, "mafft").otherwise("clustalo").alias("aligner"))
 
 
+#: Bits of a draw by which rows are counted before any are chosen.
+DRAW_BITS = 16
+
+
 def subsample(seqs: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """k rows per dataset by a seeded hash of the id; the same rows on each run, in the order of the file."""
-    order = Window.partitionBy("dataset").orderBy(F.md5(F.concat_ws("/", F.lit(seed), "id")), "pos")
-    return seqs.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).drop("_rank")
+    """k rows per dataset by a seeded hash of the id; the same rows on each run.
+
+    Draws are counted by their first bits, which tasks combine: so many rows for each dataset at most tell up to where the k smallest lie. Only rows up to there,
+    k and a small share of the rest, are ranked; a large dataset is neither sorted nor gathered.
+    """
+    draw = F.md5(F.concat_ws("/", F.lit(seed), "id"))
+    rows = seqs.withColumns({"_draw": draw, "_cell": F.conv(F.substring(draw, 1, DRAW_BITS // 4), 16, 10).cast("int")})
+    counts = rows.groupBy(F.col("dataset").alias("_set"), "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_set").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # the last cell that still has rows among the k smallest
+    ends = counts.withColumn("_before", before).filter(F.col("_before") < k).groupBy("_set").agg(F.max("_cell").alias("_end"))
+    near = rows.join(ends, rows["dataset"].eqNullSafe(ends["_set"])).filter(F.col("_cell") <= F.col("_end"))
+    order = Window.partitionBy("dataset").orderBy("_draw", "pos")
+    return near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= k).select(*seqs.columns)
 
 
 def chunks(rows: DataFrame, size: int = 50, order: str = "pos", by: str = "dataset", ranges: int = 64) -> DataFrame:

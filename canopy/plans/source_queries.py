@@ -13,7 +13,7 @@ from canopy.plans.context_queries import CTX, INS, indicators, sequences
 from canopy.plans.registry import query, table
 from canopy.plans.sequence_queries import documents
 from canopy.plans.tree_queries import TREES, nation_subtrees, nation_trees, regional
-from canopy.sources import blocks, fasta, genbank, named, newick, sinks, tables
+from canopy.sources import blocks, fasta, genbank, named, nested, newick, sinks, tables
 
 
 def part_sequences(spark, sf_dir):
@@ -69,6 +69,12 @@ def newick_round_trip(spark, sf_dir):
     return newick.to_nodes(texts).select("tree", "name", "pre", "post", "depth", "is_terminal")
 
 
+@query(f"WITH {TREES}, {_NODES} SELECT tree, name, pre, post, depth, is_terminal FROM n")
+def nested_round_trip(spark, sf_dir):
+    """Trees as nested values and back."""
+    return nested.from_nested(nested.to_nested(nation_trees(spark, sf_dir))).select("tree", "name", "pre", "post", "depth", "is_terminal")
+
+
 @query(f"WITH {TREES} SELECT tree || '_root' AS tree, count(*)::BIGINT AS n_leaves, min(leaf) AS first FROM t GROUP BY tree HAVING count(*) > 1")
 def clade_files(spark, sf_dir):
     """Each clade as a newick text of its own; the whole trees' own are looked at."""
@@ -106,6 +112,15 @@ def metadata_round_trip(spark, sf_dir):
     return tables.read_mined_json(spark, path, "tree string, item string, n_terminals long, terminals array<string>, base string", lines=True).filter(F.size("terminals") == F.col("n_terminals")).select("tree", "item", "n_terminals", "base")
 
 
+@query(f"WITH {TREES} SELECT tree, md5(array_to_string(list_sort(t), chr(31))) AS item, len(t)::BIGINT AS n_terminals, t[1] AS first, split_part(tree, '_', 1) AS base FROM c WHERE len(t) > 1")
+def metadata_variant(spark, sf_dir):
+    """Subtrees' metadata read back without a schema."""
+    path = new_folder(spark)
+    sinks.write_metadata(nation_subtrees(spark, sf_dir), path)
+    get = lambda p, kind: F.variant_get("value", f"$.{p}", kind)
+    return nested.read_mined_variant(spark, path).select(get("tree", "string").alias("tree"), get("item", "string").alias("item"), get("n_terminals", "long").alias("n_terminals"), get("terminals[0]", "string").alias("first"), "base")
+
+
 _REG = "b AS (SELECT DISTINCT 'r' || n_regionkey AS base, 'n' || lpad(c_nationkey::VARCHAR, 2, '0') AS tree, c_mktsegment || '/' || floor(c_acctbal / 1000)::BIGINT AS item FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 
 

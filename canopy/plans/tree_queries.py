@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from canopy.functions import text as T
-from canopy.operators import build, compare, graph, mining, trees
+from canopy.operators import build, compare, graph, mining, runs, trees
 from canopy.plans.registry import query, table
 from canopy.plans.sequence_queries import codes
 
@@ -500,3 +500,17 @@ def missing_trees(spark, sf_dir):
 )
 def method_grid(spark, sf_dir):
     return build.method_grid(table(spark, sf_dir, "region").select(F.col("r_name").alias("dataset")), "advanced", "MrBayes, none")
+
+
+@query(
+    f"WITH {TREES}, k AS (SELECT tree, md5(array_to_string(list_sort(t), chr(31))) AS item, len(t) AS n, split_part(tree, '_', 1) AS base FROM c WHERE len(t) > 1), s AS (SELECT base, count(DISTINCT tree) AS rws FROM k GROUP BY base), "
+    "f AS (SELECT k.base, item FROM k JOIN s USING (base) GROUP BY ALL HAVING count(DISTINCT tree) * 10 >= any_value(rws)) "
+    "SELECT 'nodes' AS stage, true AS done, (SELECT count(*) FROM t) + (SELECT count(*) FROM c) AS rows, 2.0::DOUBLE AS largest, true AS timed UNION ALL SELECT 'subtrees', true, (SELECT count(*) FROM k), (SELECT max(n)::DOUBLE FROM k), true UNION ALL SELECT 'supports', true, (SELECT count(*) FROM f), 1.0, true"
+)
+def run_counters(spark, sf_dir):
+    """A run's stages with what their tasks counted: the deepest node, the largest clade and the greatest support."""
+    run = runs.Run(spark, "trees")
+    nodes = run.saved(nation_trees(spark, sf_dir), "nodes", largest=F.max("depth"))
+    found = run.saved(trees.subtrees(nodes).withColumn("base", F.substring_index("tree", "_", 1)), "subtrees", largest=F.max("n_terminals"))
+    run.saved(mining.grid_supports(mining.item_counts(found, "base", "tree", "item")), "supports", largest=F.max("support"))
+    return run.report().select("stage", "done", "rows", F.col("figures")["largest"].alias("largest"), (F.col("seconds") > 0).alias("timed"))
