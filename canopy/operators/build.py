@@ -1,7 +1,8 @@
 """From aligned sequences to trees: distances, agglomeration, parsimony, and the grid of methods.
 
-Distances compare blocks of a dataset's sequences as arrays, a pair of blocks per task, so that a large dataset spreads. Agglomeration is
-sequential by nature and runs per (dataset, method) group in Arrow-backed functions; its memory is quadratic in the dataset's sequences.
+Distances compare blocks of a dataset's sequences as arrays, a pair of blocks per task, so that a large dataset spreads. Averaging merges all clusters that
+are nearest to each other in saved rounds of rows, so that large datasets spread, too. Neighbour joining is sequential by nature and runs per
+dataset in Arrow-backed functions, as averaging does for small datasets; its memory is quadratic in the dataset's sequences.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from canopy.operators.align import align
 from canopy.operators.cleaning import without_ignored
+from canopy.operators.steps import cut
 from canopy.operators.trees import NODE
 from canopy.sources.newick import Clade, node_rows, parse, read_text
 
@@ -160,8 +162,53 @@ def _square(rows: pd.DataFrame) -> tuple[list[str], np.ndarray]:
     return names, d
 
 
-def distance_trees(distances: DataFrame, methods: Sequence[str] = CLUSTERINGS, weighted: bool = False, members: DataFrame | None = None) -> DataFrame:
-    """Node rows of one tree per dataset and method, named tree_{dataset}_{method}.
+#: Sequences of a dataset that averaging takes in one task, at most.
+TASK_MEMBERS = 1000
+
+
+def averaging_merges(distances: DataFrame, weighted: bool = False) -> DataFrame:
+    """dataset, round, a, b and dist: the merges of averaging over distances (dataset, id_a < id_b, dist); a cluster is named by its smallest member, a < b.
+
+    No merge brings two clusters closer to each other than both were to what was merged, so that all clusters that are each other's nearest may merge
+    at once; the tree is that of merging one pair after the other. Equal distances go by the names. The number of rounds grows with the logarithm of
+    the sequences for distances that scatter, and with their number for a chain of ever larger gaps.
+    """
+    left = cut(distances.select("dataset", F.col("id_a").alias("a"), F.col("id_b").alias("b"), "dist", F.lit(1.0).alias("w")))
+    found, turn = None, 0
+    while found is None or not left.isEmpty():
+        edge = F.struct("dist", "a", "b")
+        best = left.select("dataset", F.explode(F.array("a", "b")).alias("x"), edge.alias("e")).groupBy("dataset", "x").agg(F.min("e").alias("e"))
+        own = cut(best.groupBy("dataset", "e").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("dataset", F.lit(turn).alias("round"), "e.a", "e.b", "e.dist"))
+        found = own if found is None else found.unionByName(own)
+        named = own.select("dataset", F.col("b").alias("x"), F.col("a").alias("to"))
+        moved = left
+        for end in "ab":
+            moved = moved.join(named.withColumnRenamed("x", end), ["dataset", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        moved = moved.filter("a <> b").withColumns({"_a": F.least("a", "b"), "_b": F.greatest("a", "b")})
+        # w is the number of pairs of leaves, or with equal halves it plays no part
+        mean = F.sum(F.col("dist") * F.col("w")) / F.sum("w") if weighted else F.avg("dist")
+        left = cut(moved.groupBy("dataset", F.col("_a").alias("a"), F.col("_b").alias("b")).agg(mean.alias("dist"), F.sum("w").alias("w")))
+        turn += 1
+    return found
+
+
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """The node rows of one dataset's merges."""
+    clades: dict[str, tuple[Clade, float]] = {}
+    top = None
+    for a, b, dist in rows.sort_values(["round", "a"])[["a", "b", "dist"]].itertuples(index=False):
+        children = []
+        for name in (b, a):
+            clade, height = clades.pop(name, None) or (Clade(name=name), 0.0)
+            clade.branch_length = dist / 2 - height
+            children.append(clade)
+        top = Clade(children=children)
+        clades[a] = top, dist / 2
+    return node_rows(f"tree_{rows['dataset'].iloc[0]}_upgma", top)
+
+
+def distance_trees(distances: DataFrame, methods: Sequence[str] = CLUSTERINGS, weighted: bool = False, members: DataFrame | None = None, task_members: int = TASK_MEMBERS) -> DataFrame:
+    """Node rows of one tree per dataset and method, named tree_{dataset}_{method}. Datasets of more than task_members sequences are averaged in rounds.
 
     members (dataset, id) names the sequences: a dataset of one, which has no distances, is a tree of one leaf, and an id that stands twice raises.
     """
@@ -175,7 +222,19 @@ def distance_trees(distances: DataFrame, methods: Sequence[str] = CLUSTERINGS, w
         names, d = _square(part)
         return node_rows(f"tree_{dataset}_{method}", agglomerate(names, d, method, weighted))
 
-    return rows.select("*", grid).groupBy("dataset", "method").applyInPandas(build, NODE)
+    if "upgma" not in methods:
+        return rows.select("*", grid).groupBy("dataset", "method").applyInPandas(build, NODE)
+    pairs = distances.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_members * (task_members - 1) / 2)
+    large = cut(pairs.select("dataset"))
+    if large.isEmpty():
+        return rows.select("*", grid).groupBy("dataset", "method").applyInPandas(build, NODE)
+    if members is not None:
+        twice = members.join(large, "dataset").groupBy("dataset", "id").agg(F.count(F.lit(1)).alias("n"))
+        if not twice.filter("n > 1").isEmpty():
+            raise ValueError("an id stands twice in a dataset")
+    spread = averaging_merges(distances.join(large, "dataset"), weighted).groupBy("dataset").applyInPandas(_merged, NODE)
+    rest = rows.select("*", grid).join(large.withColumn("method", F.lit("upgma")), ["dataset", "method"], "left_anti")
+    return rest.groupBy("dataset", "method").applyInPandas(build, NODE).unionByName(spread)
 
 
 def symbol_sets(sequences: Mapping[str, str]) -> dict[str, np.ndarray]:

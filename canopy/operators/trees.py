@@ -116,11 +116,42 @@ def closure(edges: DataFrame) -> DataFrame:
         paths, reach = paths.unionByName(new), 2 * reach
 
 
-def single_linkage(pairs: DataFrame, value: str = "distance") -> DataFrame:
+#: Pairs of a dataset that one task may take in.
+TASK_PAIRS = 200_000
+
+
+def spanning_edges(pairs: DataFrame) -> DataFrame:
+    """The edges (dataset, a, b, height) of each dataset's least spanning tree (or forest), of pairs (dataset, a, b, height) with a < b; equal heights go by a and b.
+
+    Each round every part's least edge to another part joins both, so that the parts halve at least; then edges between the same two parts are
+    one, the least. Rounds are saved; parts are found by following the joins with doubled steps.
+    """
+    edge = F.struct("height", "a", "b")
+    left = cut(pairs.groupBy("dataset", F.col("a").alias("x"), F.col("b").alias("y")).agg(F.min(edge).alias("e")))
+    found = pairs.limit(0).select("dataset", "a", "b", "height")
+    while not left.isEmpty():
+        both = left.union(left.select("dataset", "y", "x", "e"))
+        best = cut(both.groupBy("dataset", "x").agg(F.min_by("y", "e").alias("y"), F.min("e").alias("e")))
+        found = found.union(cut(best.select("dataset", "e.*").distinct().select("dataset", "a", "b", "height")))
+        # of two parts that choose each other, the smaller one is the root of what hangs at them
+        back = best.select("dataset", F.col("x").alias("y"), F.col("y").alias("_back"))
+        to = cut(best.join(back, ["dataset", "y"]).select("dataset", "x", F.when((F.col("_back") == F.col("x")) & (F.col("x") < F.col("y")), F.col("x")).otherwise(F.col("y")).alias("to")))
+        while True:
+            on = to.select("dataset", F.col("x").alias("to"), F.col("to").alias("_on"))
+            farther = cut(to.join(on, ["dataset", "to"]).select("dataset", "x", F.col("_on").alias("to"), (F.col("to") != F.col("_on")).alias("moved")))
+            to = farther.select("dataset", "x", "to")
+            if farther.filter("moved").isEmpty():
+                break
+        ends = left.join(to.withColumnRenamed("to", "_x"), ["dataset", "x"]).join(to.select("dataset", F.col("x").alias("y"), F.col("to").alias("_y")), ["dataset", "y"]).filter("_x <> _y")
+        left = cut(ends.groupBy("dataset", F.least("_x", "_y").alias("x"), F.greatest("_x", "_y").alias("y")).agg(F.min("e").alias("e")))
+    return found
+
+
+def single_linkage(pairs: DataFrame, value: str = "distance", task_pairs: int = TASK_PAIRS) -> DataFrame:
     """dataset, step (from 1), a, b, height and size: the merges of a dendrogram by single linkage of pairs (dataset, a, b, value).
 
-    a and b are the smallest members of the two clusters, a before b; equal heights go by the pair that joins them. A dataset's pairs,
-    quadratic in its members, meet in one task.
+    a and b are the smallest members of the two clusters, a before b; equal heights go by the pair that joins them. Of a dataset of more than
+    task_pairs pairs only the edges of its spanning tree, one less than its members, meet in a task.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -133,12 +164,16 @@ def single_linkage(pairs: DataFrame, value: str = "distance") -> DataFrame:
             return x
 
         out = []
-        for x, y, height in rows.sort_values([value, "a", "b"])[["a", "b", value]].itertuples(index=False):
+        for x, y, height in rows.sort_values(["height", "a", "b"])[["a", "b", "height"]].itertuples(index=False):
             a, b = sorted((find(x), find(y)))
             if a != b:
                 root[b], size[a] = a, size.get(a, 1) + size.get(b, 1)
                 out.append((rows["dataset"].iloc[0], len(out) + 1, a, b, float(height), size[a]))
         return pd.DataFrame(out, columns=["dataset", "step", "a", "b", "height", "size"])
 
-    ordered = pairs.select("dataset", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col(value).cast("double").alias(value)).filter("a <> b")
-    return ordered.groupBy("dataset").applyInPandas(run, "dataset string, step int, a string, b string, height double, size int")
+    ordered = pairs.select("dataset", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col(value).cast("double").alias("height")).filter("a <> b")
+    many = cut(ordered.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_pairs).select("dataset"))
+    small = ordered.join(many, "dataset", "left_anti") if not many.isEmpty() else ordered
+    large = spanning_edges(ordered.join(many, "dataset")) if not many.isEmpty() else None
+    edges = small if large is None else small.unionByName(large)
+    return edges.groupBy("dataset").applyInPandas(run, "dataset string, step int, a string, b string, height double, size int")

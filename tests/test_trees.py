@@ -215,6 +215,28 @@ def test_single_linkage_against_brute_force(spark):
         assert [h for h, _ in got[f"d{k}"]] == heights and got[f"d{k}"][-1][1] == k + 2
 
 
+def test_spanning_trees_give_the_same_linkage(spark):
+    rng = random.Random(8)
+    rows = [(f"d{k}", f"p{i:02d}", f"p{j:02d}", float(rng.randint(1, 12))) for k, n in enumerate((2, 3, 17, 40)) for i in range(n) for j in range(i)]
+    rows += [("apart", "a", "b", 1.0), ("apart", "c", "d", 1.0), ("same", "x", "x", 0.0)]
+    df = spark.createDataFrame(rows, "dataset string, a string, b string, distance double")
+    small, large = (sorted(map(tuple, trees.single_linkage(df, task_pairs=n).collect())) for n in (trees.TASK_PAIRS, 2))
+    assert small == large and len(small) == 1 + 2 + 16 + 39 + 2
+
+
+def test_averaging_in_rounds(spark):
+    """Datasets that are averaged in rounds of rows have the trees of one merge after the other."""
+    rng = random.Random(9)
+    rows = [(f"d{k}", f"p{i:02d}", f"p{j:02d}", rng.random() + 0.1) for k, n in enumerate((2, 9, 25)) for j in range(n) for i in range(j)]
+    df = spark.createDataFrame(rows, "dataset string, id_a string, id_b string, dist double")
+    members = spark.createDataFrame(sorted({(r[0], x) for r in rows for x in r[1:3]}) + [("one", "z")], "dataset string, id string")
+    for weighted in (False, True):
+        one, many = ({(r.tree, r.pre): (r.name, r.parent_id, r.is_terminal, round(r.branch_length, 9) if r.branch_length is not None else None) for r in build.distance_trees(df, ("upgma",), weighted, members, n).collect()} for n in (1000, 3))
+        assert one == many and len({t for t, _ in one}) == 4
+    with pytest.raises(ValueError, match="twice"):
+        build.distance_trees(df, ("upgma",), False, members.union(members), 3)
+
+
 def test_distances_in_blocks(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(f"d{k}", f"s{i:03d}", "".join(rng.choice("ACG-é") for _ in range(17))) for k, n in enumerate((1, 2, 40)) for i in range(n)] + [("empty", "a", ""), ("empty", "b", "")]
