@@ -64,13 +64,16 @@ def sequences(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("id"), F.col("n_name").alias("country"), F.year("o_orderdate").alias("year"), F.col("c_mktsegment").alias("host"), support.alias("support"))
 
 
-def indicators(spark, sf_dir):
-    """A wide table of nations and years in long form: sums over the suppliers' line items that were returned."""
-    li = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
+def indicators(spark, sf_dir, by_line=False):
+    """A wide table of nations and years in long form: sums over the suppliers' line items that were returned; by_line, a row for each line number, the last one first."""
+    li = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_linenumber")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
     n = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
     rows = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
-    wide = rows.groupBy(F.lower("n_name").alias("Country"), F.year("l_shipdate").alias("Year")).agg(F.count(F.lit(1)).alias("cases_confirmed"), F.sum("l_quantity").alias("death_rate"), F.max("l_extendedprice").alias("other"))
+    keys = [F.lower("n_name").alias("Country"), F.year("l_shipdate").alias("Year"), *[-F.col("l_linenumber").cast("int")] * by_line]
+    wide = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("cases_confirmed"), F.sum("l_quantity").alias("death_rate"), F.max("l_extendedprice").alias("other"))
+    if by_line:
+        wide = wide.orderBy(*wide.columns[:3]).drop(wide.columns[2])
     return context.long_indicators(wide, "lines")
 
 

@@ -248,8 +248,20 @@ def align_shape(spark, sf_dir):
     return made.join(before, "dataset").select("dataset", "n", "same_length", (F.col("_a") == F.col("_b")).alias("restored"))
 
 
-@query("SELECT p_brand AS dataset, p_partkey::VARCHAR AS id, p_type AS seq FROM part WHERE p_brand < 'Brand#2'")
+@query(
+    "WITH c AS (SELECT p_brand || '/' || p_size AS dataset, p_partkey::VARCHAR AS id, p_type AS seq, p_size % 2 = 0 AS done FROM part), m AS (SELECT dataset, max(length(seq)) AS n FROM c GROUP BY dataset) "
+    "SELECT dataset, id, CASE WHEN done THEN lower(seq) WHEN n <= 20 THEN rpad(seq, n::INT, '-') ELSE lpad(seq, n::INT, '.') END AS seq FROM c JOIN m USING (dataset)"
+)
 def align_remembered(spark, sf_dir):
-    """Alignments that are there are used again, of the datasets that are asked for alone."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("dataset"), F.col("p_partkey").alias("pos"), F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("seq"))
-    return align.remembered(rows.filter("dataset < 'Brand#2'"), rows)
+    """Alignments that are there (in lower case) are used as they are; other data sets go to one of two aligners by their longest sequence."""
+    rows = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("dataset"), F.col("p_partkey").alias("pos"), F.col("p_partkey").cast("string").alias("id"), F.col("p_type").alias("seq"), (F.col("p_size") % 2 == 0).alias("_done"))
+    done = rows.filter("_done").select("dataset", "id", F.lower("seq").alias("seq"))
+
+    def padded(pad, mark):
+        def aligner(own):
+            longest = own.groupBy("dataset").agg(F.max(F.length("seq")).alias("n"))
+            return own.join(longest, "dataset").select("dataset", "id", pad("seq", F.col("n"), F.lit(mark)).alias("seq"))
+
+        return aligner
+
+    return align.remembered(rows.drop("_done"), done, (padded(F.rpad, "-"), padded(F.lpad, ".")), limit=20)

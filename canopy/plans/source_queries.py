@@ -325,10 +325,14 @@ def catalog_search(spark, sf_dir):
     return tables.search_catalog(catalog, ["red", "small"])
 
 
-@query(f"WITH {CTX}{INS} SELECT id, metric, round(value, 4) AS value, rel AS support_correlation FROM r")
+#: A row for each line number, of which the last one of a nation and year comes first.
+_FIRST = CTX.replace("AS year, count(*)", "AS year, l_linenumber, count(*)").replace("GROUP BY ALL), i AS", "GROUP BY lower(n_name), year(l_shipdate), l_linenumber QUALIFY row_number() OVER (PARTITION BY lower(n_name), year(l_shipdate) ORDER BY l_linenumber DESC) = 1), i AS")
+
+
+@query(f"WITH {_FIRST}{INS} SELECT id, metric, round(value, 4) AS value, rel AS support_correlation FROM r")
 def insights_first(spark, sf_dir):
-    """Insights of the first matched row of each dataset; each nation and year has one row here."""
-    found = context.insights(context.with_indicators(sequences(spark, sf_dir), indicators(spark, sf_dir)), first_only=True)
+    """Insights of the first matched row of each dataset alone, of several rows that a nation and year have."""
+    found = context.insights(context.with_indicators(sequences(spark, sf_dir), indicators(spark, sf_dir, by_line=True)), first_only=True)
     return found.select("id", "metric", F.round("value", 4).alias("value"), "support_correlation")
 
 

@@ -11,6 +11,9 @@ from canopy.plans.registry import query, table
 from canopy.plans.sequence_queries import codes
 
 
+_CODES = "d AS (SELECT 'n' || c_nationkey || '-' || c_mktsegment AS dataset, lpad(c_custkey::VARCHAR, 6, '0') AS id, md5(c_name) AS seq FROM customer)"
+
+
 def geography(spark, sf_dir):
     """Edges (parent, child) of the hierarchy of regions, nations and customers, named by kind and key."""
     nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
@@ -159,6 +162,19 @@ def rf_linkage(spark, sf_dir):
     return trees.single_linkage(pairs).select("dataset", "step", "height", "size")
 
 
+@query(
+    f"WITH RECURSIVE {_CODES}, e AS (SELECT a.dataset, a.id AS a, b.id AS b, hamming(a.seq, b.seq) AS w FROM d a JOIN d b ON a.dataset = b.dataset AND a.id < b.id), "
+    "n AS (SELECT dataset, a AS x, b AS y, w, a, b FROM e UNION ALL SELECT dataset, b, a, w, a, b FROM e), "
+    "r AS (SELECT dataset, w, a, b, a AS x FROM e UNION SELECT r.dataset, r.w, r.a, r.b, n.y FROM r JOIN n ON n.dataset = r.dataset AND n.x = r.x AND (n.w, n.a, n.b) < (r.w, r.a, r.b)), "
+    "t AS (SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.dataset = e.dataset AND r.a = e.a AND r.b = e.b AND r.x = e.b)) "
+    "SELECT dataset, (row_number() OVER (PARTITION BY dataset ORDER BY w, a, b))::INT AS step, round(w / 32, 9) AS height FROM t"
+)
+def identity_linkage(spark, sf_dir):
+    """Single linkage of each data set's sequences; the SQL keeps a pair if no way of closer pairs joins its two."""
+    pairs = build.identity_distances(codes(spark, sf_dir)).select("dataset", F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("dist").alias("distance"))
+    return trees.single_linkage(pairs).select("dataset", "step", F.round("height", 9).alias("height"))
+
+
 def small_trees(spark, sf_dir):
     """Two hierarchies over the nations, by region and by the length of the name."""
     nation = table(spark, sf_dir, "nation").select("n_name", F.concat(F.lit("r"), "n_regionkey").alias("by_region"), F.concat(F.lit("l"), (F.length("n_name") % 4).cast("string")).alias("by_length"))
@@ -274,13 +290,13 @@ def item_occurrences(spark, sf_dir):
     return mining.occurrences(counts.withColumn("support", F.col("n") / F.col("rows"))).select("base", "item", "occurrences", "percent")
 
 
-SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
-@query("SELECT c_nationkey, " + ", ".join(f"least(1, count_if(c_mktsegment = '{s}'))::INT AS {s}" for s in SEGMENTS) + " FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey")
+@query("SELECT o_custkey, " + ", ".join(f"least(1, count_if(o_orderpriority = '{s}'))::INT AS \"{s}\"" for s in PRIORITIES) + " FROM orders GROUP BY o_custkey")
 def item_one_hot(spark, sf_dir):
-    rich = table(spark, sf_dir, "customer").filter("c_acctbal > 9000")
-    return mining.one_hot(rich, SEGMENTS, "c_nationkey", "c_mktsegment")
+    """The priorities that each customer has used; many lack one."""
+    return mining.one_hot(table(spark, sf_dir, "orders"), PRIORITIES, "o_custkey", "o_orderpriority")
 
 
 def line_kinds(spark, sf_dir):
@@ -383,7 +399,6 @@ def graph_edges(spark, sf_dir):
     return graph.edges(rows)
 
 
-_CODES = "d AS (SELECT 'n' || c_nationkey || '-' || c_mktsegment AS dataset, lpad(c_custkey::VARCHAR, 6, '0') AS id, md5(c_name) AS seq FROM customer)"
 
 
 def _shape(nodes):
@@ -461,15 +476,15 @@ def parsimony_bounds(spark, sf_dir):
 
 
 @query(
-    f"WITH {_CODES}, k AS (SELECT dataset, count(*) AS n, min(id) AS first FROM d WHERE dataset LIKE '%-BUILDING' GROUP BY dataset), m AS (SELECT unnest(['nj_distance', 'upgma_distance', 'nj_parsimony', 'upgma_parsimony']) AS m) "
-    "SELECT 'tree_' || dataset || '_mafft_' || m AS tree, n::BIGINT AS n_leaves, first FROM k CROSS JOIN m"
+    f"WITH {_CODES}, k AS (SELECT dataset, count(*) AS n, min(id) AS first FROM d GROUP BY dataset), m AS (SELECT unnest(['nj_distance', 'upgma_distance', 'nj_parsimony', 'upgma_parsimony']) AS m) "
+    "SELECT 'tree_' || dataset || '_mafft_' || m AS tree, n::BIGINT AS n_leaves, (n + CASE WHEN n = 1 THEN 0 WHEN m LIKE 'nj%' THEN greatest(n - 2, 1) ELSE n - 1 END)::BIGINT AS n_nodes, first FROM k CROSS JOIN m"
 )
 def grid_trees(spark, sf_dir):
     """From sequences to named trees, one aligner of the automatic grid: equal lengths are aligned already."""
-    seqs = codes(spark, sf_dir).filter(F.col("dataset").endswith("-BUILDING"))
+    seqs = codes(spark, sf_dir)
     grid = build.method_grid(seqs, "auto", "none").filter("aligner = 'mafft'")
     nodes = build.grid_trees(seqs, grid, {"mafft": lambda s: s.select("dataset", "id", "seq")})
-    return nodes.filter("is_terminal").groupBy("tree").agg(F.count(F.lit(1)).alias("n_leaves"), F.min("name").alias("first"))
+    return nodes.groupBy("tree").agg(F.count_if("is_terminal").alias("n_leaves"), F.count(F.lit(1)).alias("n_nodes"), F.min(F.when(F.col("is_terminal"), F.col("name"))).alias("first"))
 
 
 @query("SELECT r_name AS dataset, 'mafft' AS aligner, 'distance' AS method, 'upgma' AS submethod FROM region")

@@ -24,7 +24,7 @@ def _plain(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n in registry.ORACLES and n != "quartet_small"])
+@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n in registry.ORACLES])
 def test_against_sql(spark, name):
     db = duckdb.connect()
     for t in TABLES:
