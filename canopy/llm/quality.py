@@ -76,16 +76,19 @@ def _repeat_words(hashes: Column, ordered: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(covered)
 
 
-#: Numbers the rows. A filter that looks at it stays above the measurements, which otherwise it would hold many times over.
-_AT = "__at"
+#: Keeps the struct of kept columns from being empty.
+_NONE = "__none"
 
 
 def _measured(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-    """_keep (a struct of keep and the row's number) and the MEASURES (long) of every row."""
+    """_keep (a struct of keep), _at and the MEASURES (long) of every row.
+
+    _at numbers the rows. A filter that looks at it stays above the measurements, which otherwise it would hold many times over.
+    """
     kept = [c for c in keep if c not in MEASURES]
     t = F.coalesce(F.col(text), F.lit(""))
     # as one column, what is kept clashes with no name used here
-    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept], F.monotonically_increasing_id().alias(_AT)).alias("_keep"), t.alias("_t"), words_of(t).alias("_w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("_l"))
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(None).cast("string").alias(_NONE)).alias("_keep"), t.alias("_t"), words_of(t).alias("_w"), F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)).alias("_l"))
     hashed = base.withColumn(
         "_h",
         F.when(
@@ -107,6 +110,7 @@ def _measured(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
     n = F.size("_w").cast("long")
     return paired.select(
         "_keep",
+        F.monotonically_increasing_id().alias("_at"),
         n.alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.size("_l").cast("long").alias("n_lines"),
@@ -121,7 +125,7 @@ def _measured(docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
 
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep and the MEASURES (long) of every row."""
-    return _measured(docs, text, keep).select("_keep.*", *MEASURES).drop(_AT)
+    return _measured(docs, text, keep).select("_keep.*", *MEASURES).drop(_NONE)
 
 
 def evaluate(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -129,8 +133,8 @@ def evaluate(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
     bits = F.lit(0).cast("long")
     for rule in rules:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(F.lit(0)).cast("long"))
-    rows = _measured(docs, text, tuple(c for c in keep if c != "fail_bits")).withColumn("fail_bits", F.when(F.col(f"_keep.{_AT}") >= 0, bits))
-    return rows.select("_keep.*", *MEASURES, "fail_bits").drop(_AT)
+    rows = _measured(docs, text, tuple(c for c in keep if c != "fail_bits")).withColumn("fail_bits", F.when(F.col("_at") >= 0, bits))
+    return rows.select("_keep.*", *MEASURES, "fail_bits").drop(_NONE)
 
 
 def passes(policy: str) -> Column:
