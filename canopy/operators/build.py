@@ -238,9 +238,11 @@ def distance_trees(distances: DataFrame, methods: Sequence[str] = CLUSTERINGS, w
 
 
 def symbol_sets(sequences: Mapping[str, str]) -> dict[str, np.ndarray]:
+    """Each symbol as a bit; words hold 64 of them, and Python's integers more."""
     symbols = sorted({c for s in sequences.values() for c in s})
-    bit = {c: np.uint64(1 << i) for i, c in enumerate(symbols)}
-    return {n: np.array([bit[c] for c in s], np.uint64) for n, s in sequences.items()}
+    kind = np.uint64 if len(symbols) <= 64 else object
+    bit = {c: 1 << i for i, c in enumerate(symbols)}
+    return {n: np.array([bit[c] for c in s], kind) for n, s in sequences.items()}
 
 
 class Changes:

@@ -215,6 +215,33 @@ def test_single_linkage_against_brute_force(spark):
         assert [h for h, _ in got[f"d{k}"]] == heights and got[f"d{k}"][-1][1] == k + 2
 
 
+def test_alignment_in_blocks(spark, monkeypatch):
+    """Scored by pairs of blocks and laid one by one, alignments are those of one sequence after the other."""
+    monkeypatch.setattr(align, "BLOCK_ROWS", 3)
+    rng = random.Random(10)
+    rows = []
+    for d, n in (("a", 1), ("b", 2), ("c", 9), (None, 4)):
+        base = "".join(rng.choices("ACGT", k=20))
+        for i in range(n):
+            t = list(base)
+            for _ in range(rng.randint(0, 5)):
+                t[rng.randrange(len(t)) :][:1] = []
+                t.insert(rng.randint(0, len(t)), rng.choice(["A", "GG", ""]))
+            rows.append((d, i, f"s{i}", "".join(t)))
+    rows.append(("c", 20, "none", None))
+    got: dict = {}
+    for r in align.align(spark.createDataFrame(rows, "dataset string, pos long, id string, seq string").repartition(3)).collect():
+        got.setdefault(r.dataset, {})[r.id] = r.seq
+    for d in ("a", "b", "c", None):
+        own = [r for r in rows if r[0] == d]
+        assert got[d] == dict(align.centre_star([r[2] for r in own], [r[3] or "" for r in own]))
+
+
+def test_parsimony_of_many_symbols():
+    sequences = {n: "".join(chr(200 + (i * k) % 90) for i in range(90)) for n, k in zip("ABCD", (1, 1, 7, 7))}
+    assert build.fitch(newick.parse("((A,B),(C,D));"), build.symbol_sets(sequences)) == sum(a != b for a, b in zip(sequences["A"], sequences["C"]))
+
+
 def test_spanning_trees_give_the_same_linkage(spark):
     rng = random.Random(8)
     rows = [(f"d{k}", f"p{i:02d}", f"p{j:02d}", float(rng.randint(1, 12))) for k, n in enumerate((2, 3, 17, 40)) for i in range(n) for j in range(i)]
