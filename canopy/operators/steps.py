@@ -25,7 +25,21 @@ def shared(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession) -> str:
-    return f"{shared(spark)}/canopy-{uuid.uuid4().hex}"
+    """A folder of its own for one table; clear removes it."""
+    path = f"{shared(spark)}/canopy-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    context._canopy_folders = [*getattr(context, "_canopy_folders", ()), path]
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes all that this application's operators have saved, and tells how many folders; results that are still to be read have to be written before."""
+    context = spark.sparkContext
+    folders, context._canopy_folders = getattr(context, "_canopy_folders", []), []
+    for path in folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(folders)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from canopy.operators import cleaning, runs
+from canopy.operators import cleaning, runs, steps
 from canopy.sources import nested, newick, sinks
 
 TEXTS = [("a", "((A:1.5,'B \"b\"':2)x:0.5,C)root;"), ("b", "only;"), ("c", "((((p,q),r),s),(t,(u,(v,w))));"), ("d", "(" * 40 + "A" + ",B)" * 40 + ";"), ("e", "(k,(l,m,n),(),o);"), ("f", None)]
@@ -67,3 +67,12 @@ def test_subsample_of_a_large_dataset(spark):
     want = [r.pos for r in large.orderBy(draw, "pos").limit(2).collect()]
     assert sorted(by["large"]) == sorted(want) and sorted(by["small"]) == [1, 2] and sorted(by[None]) == [1, 2] and by["one"] == [1]
     assert cleaning.subsample(odd.limit(0), 3).count() == 0
+
+
+def test_saved_steps_are_removed(spark):
+    path = steps.new_folder(spark)
+    rows = steps.cut(spark.range(3))
+    spark.range(2).write.parquet(path)
+    assert rows.count() == 3 and steps.clear(spark) >= 2 and steps.clear(spark) == 0
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        spark.read.parquet(path)
