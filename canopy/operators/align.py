@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canopy.operators.cleaning import CLUSTAL_LIMIT
+from canopy.operators.cleaning import CLUSTAL_LIMIT, subsample
+from canopy.operators.stats import align_strategy, sequence_stats
 from canopy.operators.steps import cut
 
 MATCH, MISMATCH, GAP = 1, -1, -2
@@ -165,19 +166,37 @@ COMMANDS = {
 }
 
 
-def external(seqs: DataFrame, strategy: str, timeout: int = 3600) -> DataFrame:
-    """Alignment by an installed program; raises in the task where it is missing."""
-    command = COMMANDS[strategy]
+#: What a run of clustalo gets for a data set of very many sequences, and the size from which it does (fixed values).
+ONE_ITERATION = ("--max-guidetree-iterations", "1", "--max-hmm-iterations", "1")
+
+
+def prepared(seqs: DataFrame, max_sequences: int = 500, max_memory_gb: float = 4.0, force_subsample: bool = False, seed: int = 0) -> DataFrame:
+    """seqs as clustalo takes them, with flags (array of arguments): data sets of more than max_sequences sequences, or of more estimated memory, are
+    subsampled to max_sequences; those that had more than 5,000 sequences get one iteration."""
+    known = align_strategy(sequence_stats(seqs), max_sequences, max_memory_gb).select(F.col("dataset").alias("_set"), (F.lit(force_subsample) | F.col("clustalo_subsample")).alias("_cut"), F.col("clustalo_one_iteration").alias("_one"))
+    own = F.col("dataset").eqNullSafe(F.col("_set"))
+    cut_sets = known.filter("_cut").select("_set")
+    chosen = subsample(seqs.join(cut_sets, own, "left_semi"), max_sequences, seed).unionByName(seqs.join(cut_sets, own, "left_anti"))
+    flags = F.when(F.col("_one"), F.array(*map(F.lit, ONE_ITERATION))).otherwise(F.array().cast("array<string>"))
+    return chosen.join(known, own).select(*seqs.columns, flags.alias("flags"))
+
+
+def external(seqs: DataFrame, strategy: str, timeout: int = 3600, threads: int = 1) -> DataFrame:
+    """Alignment by an installed program, with the flags of each data set (``prepared``) if there are any; raises in the task where it is missing."""
+    command = [*COMMANDS[strategy], *(["--threads", str(threads)] if strategy == "clustalo" else ["--thread", str(threads)])]
+    command = command if strategy == "clustalo" else [command[0], *command[-2:], *command[1:-2]]
+    columns = [c for c in ("dataset", "id", "seq", "flags") if c in seqs.columns]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         if not shutil.which(command[0]):
             raise RuntimeError(f"{command[0]} is not installed on this worker")
+        own = [*command, *(rows["flags"].iloc[0] if "flags" in columns else ())]
         text = "".join(f">{i}\n{s}\n" for i, s in zip(rows["id"], rows["seq"]))
-        made = subprocess.run(command, input=text, capture_output=True, text=True, timeout=timeout, check=True).stdout
+        made = subprocess.run(own, input=text, capture_output=True, text=True, timeout=timeout, check=True).stdout
         parts = [r.partition("\n") for r in made.split(">")[1:]]
         return pd.DataFrame([(rows["dataset"].iloc[0], h.split()[0], b.replace("\n", "")) for h, _, b in parts], columns=["dataset", "id", "seq"])
 
-    return seqs.select("dataset", "id", "seq").groupBy("dataset").applyInPandas(run, ALIGNED)
+    return seqs.select(*columns).groupBy("dataset").applyInPandas(run, ALIGNED)
 
 
 def remembered(seqs: DataFrame, done: DataFrame, chain: Sequence[Callable[[DataFrame], DataFrame]] = (), limit: int = CLUSTAL_LIMIT) -> DataFrame:

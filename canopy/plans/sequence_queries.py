@@ -159,6 +159,16 @@ def align_strategy(spark, sf_dir):
     return stats.align_strategy(stats.sequence_stats(documents(spark, sf_dir))).select("dataset", "mafft_strategy", "clustalo_subsample", "clustalo_one_iteration")
 
 
+@query(
+    "WITH d AS (SELECT source AS dataset, doc_id AS pos, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY md5('0/' || doc_id), doc_id) AS k FROM documents), "
+    "s AS (SELECT dataset, count(*) AS m, avg(n) AS a FROM d GROUP BY dataset) "
+    "SELECT d.dataset, pos, CASE WHEN m > 5000 THEN '--max-guidetree-iterations 1 --max-hmm-iterations 1' ELSE '' END AS flags FROM d JOIN s ON s.dataset = d.dataset WHERE NOT (m > 25 OR m * m * a * 4 / 1073741824 > 0.005) OR k <= 25"
+)
+def align_prepared(spark, sf_dir):
+    """Data sets as clustalo takes them: those of more than 25 texts, or too much memory, subsampled."""
+    return align.prepared(documents(spark, sf_dir), 25, 0.005).select("dataset", "pos", F.array_join("flags", " ").alias("flags"))
+
+
 @query(
     "WITH c AS (SELECT 'n' || c_nationkey || '-' || c_mktsegment AS dataset, lpad(c_custkey::VARCHAR, 6, '0') AS id, md5(c_name) AS s FROM customer) "
     "SELECT a.dataset, a.id AS id_a, b.id AS id_b, round(hamming(a.s, b.s) / 32, 9) AS dist FROM c a JOIN c b ON a.dataset = b.dataset AND a.id < b.id"

@@ -237,6 +237,22 @@ def test_alignment_in_blocks(spark, monkeypatch):
         assert got[d] == dict(align.centre_star([r[2] for r in own], [r[3] or "" for r in own]))
 
 
+def test_flags_of_an_installed_program(spark, tmp_path, monkeypatch):
+    """A stand-in program shows what it was called with, as the sequence of each record."""
+    fake = tmp_path / "clustalo"
+    fake.write_text("#!/bin/sh\nargs=$(echo \"$@\" | tr ' ' '_')\ngrep '>' | while read name; do echo \"$name\"; echo \"$args\"; done\n")
+    fake.chmod(0o755)
+    monkeypatch.setitem(align.COMMANDS, "clustalo", [str(fake), *align.COMMANDS["clustalo"][1:]])
+    many = spark.range(5003).select(F.lit("many").alias("dataset"), F.col("id").alias("pos"), F.concat(F.lit("m"), "id").alias("id"), F.lit("ACGT").alias("seq"))
+    few = spark.createDataFrame([("few", 0, "a", "AC"), ("few", 1, "b", "A")], "dataset string, pos long, id string, seq string")
+    got: dict = {}
+    for r in align.external(align.prepared(many.union(few), 6), "clustalo", threads=3).collect():
+        got.setdefault(r.dataset, {})[r.id] = r.seq
+    assert set(got["few"]) == {"a", "b"} and got["few"]["a"].endswith("--threads_3") and len(got["many"]) == 6
+    assert all(v.endswith("--threads_3_--max-guidetree-iterations_1_--max-hmm-iterations_1") for v in got["many"].values())
+    assert align.prepared(few, 1, force_subsample=True).count() == 1
+
+
 def test_parsimony_of_many_symbols():
     sequences = {n: "".join(chr(200 + (i * k) % 90) for i in range(90)) for n, k in zip("ABCD", (1, 1, 7, 7))}
     assert build.fitch(newick.parse("((A,B),(C,D));"), build.symbol_sets(sequences)) == sum(a != b for a, b in zip(sequences["A"], sequences["C"]))
