@@ -1,7 +1,7 @@
 """Distances between trees: Robinson-Foulds over clades, quartets, and tables of pairs.
 
 Trees of one dataset are compared. Pairs meet through what they share: |A - B| + |B - A| = |A| + |B| - 2 |A and B|, and the shared part is an
-equi-join on clades. What all trees of a dataset hold (the root's clade at least) is counted once instead of being met by every pair.
+equi-join on clades. Of what more than half of a dataset's trees hold (the root's clade at least), the trees that lack it meet instead: all others share it.
 """
 
 from __future__ import annotations
@@ -48,16 +48,29 @@ def symmetric_difference(sets: DataFrame, tree: str = "tree", element: str = "cl
     """
     sets = sets.select(F.col(tree).alias("_tree"), F.col(element).alias("_e"))
     sets = sets.join(datasets.select(F.col("tree").alias("_tree"), F.col("dataset").alias("_set")), "_tree") if datasets is not None else sets.withColumn("_set", F.lit(""))
+    # read many times below
+    sets = cut(sets)
     sizes = sets.groupBy("_set", "_tree").agg(F.count(F.lit(1)).alias("size"))
     trees = sizes.groupBy("_set").agg(F.count(F.lit(1)).alias("trees"))
     held = sets.groupBy("_set", "_e").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").join(trees, "_set")
-    by_all = held.filter("n = trees").groupBy("_set").agg(F.count(F.lit(1)).alias("by_all"))
-    some = sets.join(held.filter("n < trees").select("_set", "_e"), ["_set", "_e"])
-    a, b = (some.select("_set", "_e", F.col("_tree").alias(f"tree_{s}")) for s in "ab")
-    shared = a.join(b, ["_set", "_e"]).filter("tree_a < tree_b").groupBy("_set", "tree_a", "tree_b").agg(F.count(F.lit(1)).alias("both"))
-    pairs = _tree_pairs(sizes).join(by_all, "_set", "left")
-    both = F.coalesce("both", F.lit(0)) + F.coalesce("by_all", F.lit(0))
-    return pairs.join(shared, ["_set", "tree_a", "tree_b"], "left").select("tree_a", "tree_b", (F.col("size_a") + F.col("size_b") - 2 * both).cast("long").alias(name))
+    # what most trees hold is met by the trees that lack it
+    often = held.filter("2 * n > trees").select("_set", "_e")
+    lacking = often.join(sizes.select("_set", "_tree"), "_set").join(sets, ["_set", "_tree", "_e"], "left_anti")
+    some = sets.join(held.filter("2 * n <= trees").select("_set", "_e"), ["_set", "_e"])
+
+    def met(rows: DataFrame, name: str) -> DataFrame:
+        a, b = (rows.select("_set", "_e", F.col("_tree").alias(f"tree_{s}")) for s in "ab")
+        return a.join(b, ["_set", "_e"]).filter("tree_a < tree_b").groupBy("_set", "tree_a", "tree_b").agg(F.count(F.lit(1)).alias(name))
+
+    pairs = _tree_pairs(sizes).join(often.groupBy("_set").agg(F.count(F.lit(1)).alias("often")), "_set", "left")
+    lacks = lacking.groupBy("_set", "_tree").agg(F.count(F.lit(1)).alias("n"))
+    for end in "ab":
+        pairs = pairs.join(lacks.select("_set", F.col("_tree").alias(f"tree_{end}"), F.col("n").alias(f"lacks_{end}")), ["_set", f"tree_{end}"], "left")
+    for rows, count in ((some, "shared"), (lacking, "lacking")):
+        pairs = pairs.join(met(rows, count), ["_set", "tree_a", "tree_b"], "left")
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("often", "lacks_a", "lacks_b", "shared", "lacking")}
+    both = n["shared"] + n["often"] - n["lacks_a"] - n["lacks_b"] + n["lacking"]
+    return pairs.select("tree_a", "tree_b", (F.col("size_a") + F.col("size_b") - 2 * both).cast("long").alias(name))
 
 
 def rf_distances(nodes: DataFrame, positional: bool = False, datasets: DataFrame | None = None) -> DataFrame:

@@ -47,6 +47,18 @@ def test_rf_and_quartets(spark):
     assert compare.matrix(compare.rf_distances(nodes(spark))).count() == 9
 
 
+def test_differences_against_sets(spark):
+    """Elements of few, of most and of all trees, and trees without any pair."""
+    rng = random.Random(11)
+    sets = {(d, f"{d}_{t}"): {e for e in range(30) if rng.random() < e / 29} | {99} for d, n in (("x", 9), ("y", 2), ("z", 1), ("w", 4)) for t in range(n)}
+    rows = spark.createDataFrame([(t, e) for (_, t), s in sets.items() for e in s], "tree string, clade int")
+    datasets = spark.createDataFrame([(t, d) for d, t in sets], "tree string, dataset string")
+    got = {(r.tree_a, r.tree_b): r.rf for r in compare.symmetric_difference(rows, datasets=datasets).collect()}
+    assert got == {(a, b): len(sets[d, a] ^ sets[e, b]) for d, a in sets for e, b in sets if d == e and a < b}
+    whole = compare.symmetric_difference(rows).count()
+    assert whole == len(sets) * (len(sets) - 1) // 2
+
+
 def test_supports(spark):
     rows = trees.subtrees(nodes(spark)).withColumn("base", F.lit("all"))
     found = mining.annotate(rows, mining.grid_supports(mining.item_counts(rows, "base", "tree", "item")))
