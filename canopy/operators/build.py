@@ -1,8 +1,8 @@
 """From aligned sequences to trees: distances, agglomeration, parsimony, and the grid of methods.
 
-Distances compare blocks of a dataset's sequences as arrays, a pair of blocks per task, so that a large dataset spreads. Averaging merges all clusters that
-are nearest to each other in saved rounds of rows, so that large datasets spread, too. Neighbour joining is sequential by nature and runs per
-dataset in Arrow-backed functions, as averaging does for small datasets; its memory is quadratic in the dataset's sequences.
+Distances compare blocks of a dataset's sequences as arrays, a pair of blocks per task, so that a large dataset spreads. Averaging and neighbour joining merge
+all clusters that are each other's best in saved rounds of rows, and parsimony scores all interchanges of a round by blocks of columns, so that large
+datasets spread, too. Small datasets are built in a task each, by Arrow-backed functions.
 """
 
 from __future__ import annotations
@@ -162,8 +162,9 @@ def _square(rows: pd.DataFrame) -> tuple[list[str], np.ndarray]:
     return names, d
 
 
-#: Sequences of a dataset that averaging takes in one task, at most.
+#: Sequences of a dataset that averaging takes in one task, at most, and neighbour joining.
 TASK_MEMBERS = 1000
+TASK_JOINED = 4000
 
 
 def averaging_merges(distances: DataFrame, weighted: bool = False) -> DataFrame:
@@ -207,9 +208,66 @@ def _merged(rows: pd.DataFrame) -> pd.DataFrame:
     return node_rows(f"tree_{rows['dataset'].iloc[0]}_upgma", top)
 
 
-def distance_trees(distances: DataFrame, methods: Sequence[str] = CLUSTERINGS, weighted: bool = False, members: DataFrame | None = None, task_members: int = TASK_MEMBERS) -> DataFrame:
-    """Node rows of one tree per dataset and method, named tree_{dataset}_{method}. Datasets of more than task_members sequences are averaged in rounds.
+def joining_merges(distances: DataFrame) -> DataFrame:
+    """dataset, round, a, b, length_a and length_b: the merges of relaxed neighbour joining over distances (dataset, id_a < id_b, dist); a cluster is named by its smallest member, a < b.
 
+    Each round every two clusters whose score is least for both merge. Where a tree has these distances such two are neighbours in it, so that the tree
+    is found, as by merging one pair after the other; elsewhere both ways may give other trees. Scores count to nine places, equal ones go by the names. The last two
+    clusters have no length_a; the round that joins them has their distance as length_b. The number of rounds grows with the logarithm of the sequences for
+    trees that branch evenly, and with their number for a single comb.
+    """
+    left = cut(distances.select("dataset", F.col("id_a").alias("a"), F.col("id_b").alias("b"), "dist"))
+    found, turn = None, 0
+    while found is None or not left.isEmpty():
+        ends = left.select("dataset", F.explode(F.array("a", "b")).alias("x"), "dist").groupBy("dataset", "x").agg(F.sum("dist").alias("r"), (F.count(F.lit(1)) - 1).alias("n"))
+        # n is the number of clusters less two: 0 for the last pair
+        ends = cut(ends.select("dataset", "x", F.coalesce(F.try_divide("r", "n"), F.lit(0.0)).alias("r"), "n"))
+        scored = left.join(ends.select("dataset", F.col("x").alias("a"), F.col("r").alias("r_a"), "n"), ["dataset", "a"]).join(ends.select("dataset", F.col("x").alias("b"), F.col("r").alias("r_b")), ["dataset", "b"])
+        score = F.round(F.col("dist") - F.col("r_a") - F.col("r_b"), 9)
+        edge = F.struct(score.alias("score"), "a", "b", "dist", "r_a", "r_b", "n")
+        best = scored.select("dataset", F.explode(F.array("a", "b")).alias("x"), edge.alias("e")).groupBy("dataset", "x").agg(F.min("e").alias("e"))
+        both = best.groupBy("dataset", "e.a", "e.b").agg(F.count(F.lit(1)).alias("_both"), F.first("e").alias("e")).filter("_both = 2")
+        half = (F.col("e.dist") + F.col("e.r_a") - F.col("e.r_b")) / 2
+        last = F.col("e.n") == 0
+        own = cut(both.select("dataset", F.lit(turn).alias("round"), "a", "b", F.when(~last, half).alias("length_a"), F.when(last, F.col("e.dist")).otherwise(F.col("e.dist") - half).alias("length_b"), F.col("e.dist").alias("_dist")))
+        found = own.drop("_dist") if found is None else found.unionByName(own.drop("_dist"))
+        # what is merged lies half its own distance nearer to all others than its two parts do on average
+        named = own.select("dataset", F.explode(F.array("a", "b")).alias("x"), F.col("a").alias("to"), F.col("_dist").alias("own"))
+        moved = left
+        for end in "ab":
+            moved = moved.join(named.select("dataset", F.col("x").alias(end), "to", F.col("own").alias(f"own_{end}")), ["dataset", end], "left").withColumn(end, F.coalesce("to", end)).drop("to")
+        nearer = (F.coalesce("own_a", F.lit(0.0)) + F.coalesce("own_b", F.lit(0.0))) / 2
+        moved = moved.filter("a <> b").select("dataset", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist", nearer.alias("nearer"))
+        left = cut(moved.groupBy("dataset", "a", "b").agg((F.avg("dist") - F.max("nearer")).alias("dist")))
+        turn += 1
+    return found
+
+
+def _joined(rows: pd.DataFrame) -> pd.DataFrame:
+    """The node rows of one dataset's joins; the last two stand one below the other, as in ``agglomerate``."""
+    clades: dict[str, Clade] = {}
+    top = None
+    for a, b, length_a, length_b in rows.sort_values(["round", "a"])[["a", "b", "length_a", "length_b"]].itertuples(index=False):
+        one, other = (clades.pop(n, None) or Clade(name=n) for n in (a, b))
+        if pd.notna(length_a):
+            one.branch_length, other.branch_length = length_a, length_b
+            top = clades[a] = Clade(children=[one, other])
+            continue
+        if not one.children:
+            one, other = other, one
+        other.branch_length, one.branch_length = length_b, None
+        if one.children:
+            one.children.append(other)
+        top = one if one.children else Clade(children=[one, other])
+    return node_rows(f"tree_{rows['dataset'].iloc[0]}_nj", top)
+
+
+def distance_trees(
+    distances: DataFrame, methods: Sequence[str] = CLUSTERINGS, weighted: bool = False, members: DataFrame | None = None, task_members: int = TASK_MEMBERS, task_joined: int = TASK_JOINED
+) -> DataFrame:
+    """Node rows of one tree per dataset and method, named tree_{dataset}_{method}.
+
+    Datasets of more than task_members sequences are averaged in rounds, those of more than task_joined are joined in rounds (``joining_merges``).
     members (dataset, id) names the sequences: a dataset of one, which has no distances, is a tree of one leaf, and an id that stands twice raises.
     """
     grid = F.explode(F.array(*map(F.lit, methods))).alias("method")
@@ -222,19 +280,22 @@ def distance_trees(distances: DataFrame, methods: Sequence[str] = CLUSTERINGS, w
         names, d = _square(part)
         return node_rows(f"tree_{dataset}_{method}", agglomerate(names, d, method, weighted))
 
-    if "upgma" not in methods:
-        return rows.select("*", grid).groupBy("dataset", "method").applyInPandas(build, NODE)
-    pairs = distances.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > task_members * (task_members - 1) / 2)
-    large = cut(pairs.select("dataset"))
-    if large.isEmpty():
+    limits = {"upgma": task_members, "nj": task_joined}
+    sizes = cut(distances.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min(limits[m] * (limits[m] - 1) / 2 for m in methods)))
+    if sizes.isEmpty():
         return rows.select("*", grid).groupBy("dataset", "method").applyInPandas(build, NODE)
+    over = sizes.select("dataset", F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.lit(limits[m] * (limits[m] - 1) / 2).alias("most")) for m in methods])).alias("m"), "n")
+    over = over.filter("n > m.most").select("dataset", "m.method")
     if members is not None:
-        twice = members.join(large, "dataset").groupBy("dataset", "id").agg(F.count(F.lit(1)).alias("n"))
+        twice = members.join(over.select("dataset").distinct(), "dataset").groupBy("dataset", "id").agg(F.count(F.lit(1)).alias("n"))
         if not twice.filter("n > 1").isEmpty():
             raise ValueError("an id stands twice in a dataset")
-    spread = averaging_merges(distances.join(large, "dataset"), weighted).groupBy("dataset").applyInPandas(_merged, NODE)
-    rest = rows.select("*", grid).join(large.withColumn("method", F.lit("upgma")), ["dataset", "method"], "left_anti")
-    return rest.groupBy("dataset", "method").applyInPandas(build, NODE).unionByName(spread)
+    out = rows.select("*", grid).join(over, ["dataset", "method"], "left_anti").groupBy("dataset", "method").applyInPandas(build, NODE)
+    for m in methods:
+        own = distances.join(over.filter(F.col("method") == m).select("dataset"), "dataset", "left_semi")
+        spread = averaging_merges(own, weighted).groupBy("dataset").applyInPandas(_merged, NODE) if m == "upgma" else joining_merges(own).groupBy("dataset").applyInPandas(_joined, NODE)
+        out = out.unionByName(spread)
+    return out
 
 
 def symbol_sets(sequences: Mapping[str, str]) -> dict[str, np.ndarray]:
@@ -355,15 +416,101 @@ def built(dataset: str, name: str, rows: pd.DataFrame, method: str, clustering:
     return node_rows(name, climb(tree, seqs)[0] if method == "parsimony" else tree)
 
 
-def parsimony_trees(aligned: DataFrame, methods: Sequence[str] = CLUSTERINGS) -> DataFrame:
-    """Node rows of one tree per dataset and start method, named tree_{dataset}_{method}_parsimony."""
+def read_clade(rows: pd.DataFrame) -> Clade:
+    """The clade of one tree's node rows."""
+    by = {int(n): Clade(None if pd.isna(name) else name, None if pd.isna(length) else float(length)) for n, name, length in zip(rows["node_id"], rows["name"], rows["branch_length"])}
+    root = Clade()
+    for n, parent in rows.sort_values("child_ord")[["node_id", "parent_id"]].itertuples(index=False):
+        if pd.isna(parent):
+            root = by[int(n)]
+        else:
+            by[int(parent)].children.append(by[int(n)])
+    return root
+
+
+#: Letters of a dataset's alignment that one task climbs with, and letters of a block of columns beyond that.
+TASK_CELLS = 4_000_000
+BLOCK_CELLS = 1_000_000
+
+
+def column_blocks(aligned: DataFrame, cells: int = BLOCK_CELLS) -> DataFrame:
+    """dataset, block, id and seq: sequences cut into blocks of columns, so many columns that a dataset's block holds about cells letters, one at least."""
+    sizes = aligned.groupBy("dataset").agg(F.greatest(F.floor(F.lit(cells) / F.count(F.lit(1))), F.lit(1)).alias("_width"), F.coalesce(F.max(F.length("seq")), F.lit(0)).alias("_all"))
+    sizes = sizes.select("dataset", "_width", F.greatest(F.ceil(F.col("_all") / F.col("_width")) - 1, F.lit(0)).alias("_last"))
+    rows = aligned.select("dataset", "id", "seq").join(sizes, "dataset").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), "_last")))
+    return rows.select("dataset", "block", "id", F.substr("seq", (F.col("block") * F.col("_width") + 1).cast("int"), F.col("_width").cast("int")).alias("seq"))
+
+
+def _with_blocks(nodes: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Node rows (with dataset) for each block of their dataset's columns, the leaves with what their sequences have there; the tree alone is in every block."""
+    blocks = pieces.select("dataset", "block").distinct()
+    own = pieces.select("dataset", "block", F.col("id").alias("_leaf"), "seq")
+    rows = nodes.join(blocks, "dataset", "left").withColumns({"block": F.coalesce("block", F.lit(0).cast("long")), "_leaf": F.when(F.col("is_terminal"), F.col("name"))})
+    return rows.join(own, ["dataset", "block", "_leaf"], "left").drop("_leaf")
+
+
+def _leaf_sequences(rows: pd.DataFrame) -> dict[str, str]:
+    leaves = rows[rows["is_terminal"]]
+    return dict(zip(leaves["name"], leaves["seq"]))
+
+
+def climbed(nodes: DataFrame, aligned: DataFrame, cells: int = BLOCK_CELLS) -> DataFrame:
+    """Node rows (tree, dataset and the rest) after the climb of ``climb``, for alignments that no task holds.
+
+    Changes are counted by column, so each block of columns scores every interchange of a round on its own, and the sums over the blocks tell the first that
+    saves changes. The tree is in every task, the alignment in none. A round is saved; there is one for each interchange that the climb takes.
+    """
+    pieces = cut(column_blocks(aligned, cells))
+    left, done = cut(nodes.select("dataset", *[f.name for f in nodes.schema if f.name != "dataset"])), None
+
+    def gains(rows: pd.DataFrame) -> pd.DataFrame:
+        clade = read_clade(rows)
+        score = Changes(clade, symbol_sets(_leaf_sequences(rows)))
+        start, out = score.total, []
+        for changed in interchanges(clade):
+            before = score.rescored(changed)
+            out.append(score.total - start)
+            score.restore(before)
+        return pd.DataFrame({"tree": rows["tree"].iloc[0], "at": np.arange(len(out)), "gain": np.array(out, np.int64)})
+
+    def moved(rows: pd.DataFrame) -> pd.DataFrame:
+        clade = read_clade(rows)
+        for at, _ in enumerate(interchanges(clade)):
+            if at == rows["at"].iloc[0]:
+                break  # the tree stays as it is now
+        return node_rows(rows["tree"].iloc[0], clade).assign(dataset=rows["dataset"].iloc[0])
+
+    while True:
+        all_gains = _with_blocks(left, pieces).groupBy("tree", "block").applyInPandas(gains, "tree string, at long, gain long")
+        first = cut(all_gains.groupBy("tree", "at").agg(F.sum("gain").alias("gain")).filter("gain < 0").groupBy("tree").agg(F.min("at").alias("at")))
+        best = left.join(first, "tree", "left_anti")
+        done = best if done is None else done.unionByName(best)
+        if first.isEmpty():
+            return done
+        left = cut(left.join(first, "tree").groupBy("tree").applyInPandas(moved, "dataset string, " + NODE))
+
+
+def parsimony_trees(aligned: DataFrame, methods: Sequence[str] = CLUSTERINGS, task_cells: int = TASK_CELLS, cells: int = BLOCK_CELLS) -> DataFrame:
+    """Node rows of one tree per dataset and start method, named tree_{dataset}_{method}_parsimony.
+
+    Datasets of more than task_cells letters start from ``distance_trees`` and climb in rounds by blocks of columns (``climbed``).
+    """
     grid = F.explode(F.array(*map(F.lit, methods))).alias("method")
 
     def build(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         dataset, method = key
         return built(dataset, f"tree_{dataset}_{method}_parsimony", rows, "parsimony", method)
 
-    return aligned.select("dataset", "id", "seq", grid).groupBy("dataset", "method").applyInPandas(build, NODE)
+    rows = aligned.select("dataset", "id", "seq")
+    large = cut(rows.groupBy("dataset").agg((F.count(F.lit(1)) * F.max(F.length("seq"))).alias("n")).filter(F.col("n") > task_cells).select("dataset"))
+    if large.isEmpty():
+        return rows.select("*", grid).groupBy("dataset", "method").applyInPandas(build, NODE)
+    small = rows.join(large, "dataset", "left_anti").select("*", grid).groupBy("dataset", "method").applyInPandas(build, NODE)
+    own = cut(rows.join(large, "dataset"))
+    start = distance_trees(identity_distances(own), methods, members=own)
+    named = large.select("dataset", grid).select("dataset", F.concat_ws("_", F.lit("tree"), "dataset", "method").alias("tree"))
+    spread = climbed(start.join(named, "tree"), own, cells).drop("dataset").withColumn("tree", F.concat("tree", F.lit("_parsimony")))
+    return small.unionByName(spread)
 
 
 #: Command lines of the public programs; {aln} is the alignment, {out} the prefix of what they write. The second entry is the tree's file.
@@ -434,22 +581,14 @@ def registry_names(grid: DataFrame) -> DataFrame:
     return grid.withColumn("name", F.concat_ws("_", name, place.cast("string")))
 
 
-def parsimony_scores(nodes: DataFrame, aligned: DataFrame, trees: DataFrame) -> DataFrame:
-    """tree and changes, for trees (tree, dataset): Fitch's count over the tree's own leaves."""
-    leaf = nodes.join(trees, "tree").join(aligned.select("dataset", F.col("id").alias("name"), "seq"), ["dataset", "name"], "left")
+def parsimony_scores(nodes: DataFrame, aligned: DataFrame, trees: DataFrame, cells: int = BLOCK_CELLS) -> DataFrame:
+    """tree and changes, for trees (tree, dataset): Fitch's count over the tree's own leaves, summed over blocks of columns. A leaf without a sequence raises."""
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
-        by = {int(r.node_id): Clade(name=r["name"]) for _, r in rows.iterrows()}
-        root = None
-        for _, r in rows.sort_values("child_ord").iterrows():
-            if pd.isna(r.parent_id):
-                root = by[int(r.node_id)]
-            else:
-                by[int(r.parent_id)].children.append(by[int(r.node_id)])
-        seqs = {r["name"]: r["seq"] for _, r in rows[rows["is_terminal"]].iterrows()}
-        return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "changes": [fitch(root, symbol_sets(seqs))]})
+        return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "changes": [fitch(read_clade(rows), symbol_sets(_leaf_sequences(rows)))]})
 
-    return leaf.groupBy("tree").applyInPandas(score, "tree string, changes long")
+    own = _with_blocks(nodes.join(trees, "tree"), column_blocks(aligned, cells))
+    return own.groupBy("tree", "block").applyInPandas(score, "tree string, changes long").groupBy("tree").agg(F.sum("changes").alias("changes"))
 
 
 def missing_trees(grid: DataFrame, built: DataFrame) -> DataFrame:
