@@ -51,9 +51,10 @@ def classify_sample(spark, sf_dir):
     return kinds.union(more).distinct().select("event_type", C.sample_type(F.col("event_type")).alias("kind"))
 
 
-@query("SELECT n_name, CASE WHEN n IN ('Brazil', 'Colombia', 'Mexico', 'India', 'China') THEN 'outbreak_region' WHEN n IN ('Uganda', 'Senegal', 'Ivory Coast', 'Gabon') THEN 'endemic_region' ELSE 'other_region' END AS region FROM (SELECT n_name, upper(n_name[1]) || lower(n_name[2:]) AS n FROM nation)")
+@query("SELECT s_suppkey, n_name, CASE WHEN n IN ('Brazil', 'Colombia', 'Mexico', 'India', 'China') THEN 'outbreak_region' WHEN n IN ('Uganda', 'Senegal', 'Ivory Coast', 'Gabon') THEN 'endemic_region' ELSE 'other_region' END AS region FROM (SELECT s_suppkey, n_name, upper(n_name[1]) || lower(n_name[2:]) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey)")
 def classify_geo(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select("n_name", C.geography(F.initcap(F.lower("n_name"))).alias("region"))
+    nations = F.broadcast(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name"))
+    return table(spark, sf_dir, "supplier").join(nations, "s_nationkey").select("s_suppkey", "n_name", C.geography(F.initcap(F.lower("n_name"))).alias("region"))
 
 
 def sequences(spark, sf_dir):

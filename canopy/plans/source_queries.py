@@ -84,13 +84,13 @@ def clade_files(spark, sf_dir):
     return newick.to_nodes(texts).filter("is_terminal").groupBy("tree").agg(F.count(F.lit(1)).alias("n_leaves"), F.min("name").alias("first"))
 
 
-@query("SELECT 'n' || n_nationkey AS tree, unnest([n_name || '_a', n_name || ' b', 'third']) AS name, unnest([2, 3, 4])::INT AS pre FROM nation")
+@query("SELECT 'c' || c_custkey AS tree, unnest([c_name || '_a', c_name || ' b', 'third']) AS name, unnest([2, 3, 4])::INT AS pre FROM customer")
 def nexus_clean(spark, sf_dir):
     """Consensus trees in nexus text, with a translate block, comments and lengths."""
     text = F.concat(
-        F.lit("#NEXUS\nbegin trees;\n translate\n 1 "), F.concat("n_name", F.lit("_a")), F.lit(",\n 2 '"), F.concat("n_name", F.lit(" b")), F.lit("',\n 3 third\n ;\n tree con = [&U] ((1[&prob=1.0]:0.1,2:0.2):0.3,3:0.5);\nend;\n")
+        F.lit("#NEXUS\nbegin trees;\n translate\n 1 "), F.concat("c_name", F.lit("_a")), F.lit(",\n 2 '"), F.concat("c_name", F.lit(" b")), F.lit("',\n 3 third\n ;\n tree con = [&U] ((1[&prob=1.0]:0.1,2:0.2):0.3,3:0.5);\nend;\n")
     )
-    texts = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("tree"), text.alias("text"))
+    texts = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("tree"), text.alias("text"))
     return newick.to_nodes(texts).filter("is_terminal").select("tree", "name", "pre")
 
 
@@ -378,10 +378,10 @@ def report_files(spark, sf_dir):
 
 
 @query(
-    "SELECT 'n' || n_nationkey AS tree, unnest(['Inner1', 'root', 'x', 'y ' || n_name, 'z''z']) AS name, unnest([1, 0, 2, 3, 4])::INT AS pre, unnest([0.25, NULL, 1.5, 0.1, 2.0])::DOUBLE AS branch_length FROM nation"
+    "SELECT 'c' || c_custkey AS tree, unnest(['Inner1', 'root', 'x', 'y ' || c_name, 'z''z']) AS name, unnest([1, 0, 2, 3, 4])::INT AS pre, unnest([0.25, NULL, 1.5, 0.1, 2.0])::DOUBLE AS branch_length FROM customer"
 )
 def newick_lengths(spark, sf_dir):
     """Node tables to text and back: lengths, missing lengths, names with spaces and quotes, inner labels."""
-    rows = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("tree"), F.concat(F.lit("((x:1.5,'y "), "n_name", F.lit("':0.1):0.25,'z''z':2.0)root;")).alias("text"))
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("tree"), F.concat(F.lit("((x:1.5,'y "), "c_name", F.lit("':0.1):0.25,'z''z':2.0)root;")).alias("text"))
     nodes = trees.label_internals(newick.to_nodes(newick.to_newick(newick.to_nodes(rows))))
     return nodes.select("tree", "name", "pre", "branch_length")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import text as T
 from canopy.operators import build, compare, graph, mining, runs, trees
+from canopy.operators.steps import cut
 from canopy.plans.registry import query, table
 from canopy.plans.sequence_queries import codes
 
@@ -475,6 +476,77 @@ def parsimony_bounds(spark, sf_dir):
     return found.join(start, "dataset").join(least, "dataset").select("dataset", (F.col("changes") >= F.col("least")).alias("enough"), (F.col("changes") <= F.col("start")).alias("no_worse"))
 
 
+_KEYS = "k AS (SELECT 'b' || (c_custkey // 64) AS dataset, lpad(c_custkey::VARCHAR, 9, '0') AS id, (c_custkey::BIGINT * 7919) % 1048573 AS v FROM customer)"
+_SHARED = f"{_KEYS}, g AS (SELECT dataset, l, v >> l AS p, list(id ORDER BY id) AS t FROM k, range(0, 21) AS r(l) GROUP BY ALL), a AS (SELECT dataset, list(id ORDER BY id) AS t FROM k GROUP BY dataset)"
+_SPLITS = (
+    f"WITH {_SHARED}, s AS (SELECT DISTINCT g.dataset, CASE WHEN g.t[1] = a.t[1] THEN list_filter(a.t, lambda x: NOT list_contains(g.t, x)) ELSE g.t END AS t FROM g JOIN a USING (dataset) WHERE len(g.t) BETWEEN 2 AND len(a.t) - 2) "
+    "SELECT way, dataset, len(t)::BIGINT AS size, md5(array_to_string(t, ',')) AS split FROM s CROSS JOIN (SELECT unnest(['task', 'rounds']) AS way)"
+)
+
+
+def keyed(spark, sf_dir):
+    """Customers by 64 with scattered keys v of 20 bits: those that share leading bits are a clade of a binary tree (dataset, id, v)."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"))
+    return c.select(F.concat(F.lit("b"), F.floor(F.col("k") / 64)).alias("dataset"), F.lpad(F.col("k").cast("string"), 9, "0").alias("id"), (F.col("k") * 7919 % 1048573).alias("v"))
+
+
+def key_distances(spark, sf_dir, ends):
+    """How far keys lie apart in their tree: up to the bits that they share and down again, and with ends along branches of the leaves' own."""
+    k = keyed(spark, sf_dir)
+    a, b = k.select("dataset", F.col("id").alias("id_a"), F.col("v").alias("v_a")), k.select("dataset", F.col("id").alias("id_b"), F.col("v").alias("v_b"))
+    both = a.join(b, "dataset").filter("id_a < id_b")  # 64 of a dataset
+    bits = F.length(F.bin(F.col("v_a").bitwiseXOR(F.col("v_b"))))
+    own = (F.col("id_a").cast("long") % 5 + F.col("id_b").cast("long") % 5 + 2) if ends else F.lit(0)
+    return both.select("dataset", "id_a", "id_b", (2 * bits + own).cast("double").alias("dist"))
+
+
+def _splits(nodes, members):
+    """dataset, size and md5 of the parts without the first leaf into which the edges of each tree part its leaves, where both parts have two or more."""
+    found = trees.clades(nodes).select(F.regexp_extract("tree", r"^tree_([^_]*)_", 1).alias("dataset"), F.sort_array("terminals").alias("t"))
+    whole = members.groupBy("dataset").agg(F.sort_array(F.collect_list("id")).alias("all"))
+    side = F.when(F.col("t")[0] == F.col("all")[0], F.array_except("all", "t")).otherwise(F.col("t"))
+    kept = found.join(whole, "dataset").filter(F.size("t") <= F.size("all") - 2).select("dataset", side.alias("t")).distinct()
+    return kept.select("dataset", F.size("t").cast("long").alias("size"), F.md5(F.array_join("t", ",")).alias("split"))
+
+
+def _both_ways(spark, sf_dir, method, ends):
+    distances, out = cut(key_distances(spark, sf_dir, ends)), None
+    members = keyed(spark, sf_dir)
+    for way, most in (("task", 1000), ("rounds", 3)):
+        made = build.distance_trees(distances, (method,), members=members, task_members=most, task_joined=most)
+        own = _splits(made, members).withColumn("way", F.lit(way))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(_SPLITS)
+def nj_splits(spark, sf_dir):
+    """Neighbour joining finds the tree that its distances come from, in a task and in rounds."""
+    return _both_ways(spark, sf_dir, "nj", True)
+
+
+@query(_SPLITS)
+def upgma_splits(spark, sf_dir):
+    """Averaging finds the tree of distances that have all leaves equally far from the root, in a task and in rounds."""
+    return _both_ways(spark, sf_dir, "upgma", False)
+
+
+@query(f"WITH {_SHARED} SELECT way, a.dataset, count_if(len(g.t) < len(a.t))::BIGINT AS changes FROM g JOIN a USING (dataset) CROSS JOIN (SELECT unnest(['task', 'rounds']) AS way) WHERE l < 20 AND len(g.t) > 1 GROUP BY ALL")
+def parsimony_perfect(spark, sf_dir):
+    """Sequences with a column for each clade of their tree: parsimony finds one change for each column that varies, in a task and in rounds."""
+    k = keyed(spark, sf_dir)
+    shared = k.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(19)))).select("dataset", "l", F.expr("shiftright(v, l)").alias("p"))
+    columns = shared.groupBy("dataset", "l", "p").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("l", "p"))).alias("c"))
+    letters = F.transform("c", lambda x: F.when(F.call_function("shiftright", F.col("v"), x["l"]) == x["p"], F.lit("C")).otherwise(F.lit("A")))
+    aligned = cut(k.join(columns, "dataset").select("dataset", "id", F.array_join(letters, "").alias("seq")))
+    out = None
+    for way, most in (("task", build.TASK_CELLS), ("rounds", 0)):
+        made = build.parsimony_trees(aligned, ("nj",), task_cells=most, cells=2000)
+        own = build.parsimony_scores(made, aligned, _named(made), cells=2000).select(F.lit(way).alias("way"), F.regexp_extract("tree", r"^tree_([^_]*)_", 1).alias("dataset"), "changes")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query(
     f"WITH {_CODES}, k AS (SELECT dataset, count(*) AS n, min(id) AS first FROM d GROUP BY dataset), m AS (SELECT unnest(['nj_distance', 'upgma_distance', 'nj_parsimony', 'upgma_parsimony']) AS m) "
     "SELECT 'tree_' || dataset || '_mafft_' || m AS tree, n::BIGINT AS n_leaves, (n + CASE WHEN n = 1 THEN 0 WHEN m LIKE 'nj%' THEN greatest(n - 2, 1) ELSE n - 1 END)::BIGINT AS n_nodes, first FROM k CROSS JOIN m"
@@ -487,34 +559,39 @@ def grid_trees(spark, sf_dir):
     return nodes.groupBy("tree").agg(F.count_if("is_terminal").alias("n_leaves"), F.count(F.lit(1)).alias("n_nodes"), F.min(F.when(F.col("is_terminal"), F.col("name"))).alias("first"))
 
 
-@query("SELECT r_name AS dataset, 'mafft' AS aligner, 'distance' AS method, 'upgma' AS submethod FROM region")
+def sets(spark, sf_dir):
+    """A dataset per supplier."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_name").alias("dataset"))
+
+
+@query("SELECT s_name AS dataset, 'mafft' AS aligner, 'distance' AS method, 'upgma' AS submethod FROM supplier")
 def method_single(spark, sf_dir):
-    return build.method_grid(table(spark, sf_dir, "region").select(F.col("r_name").alias("dataset")), "single", single=("mafft", "upgma", None))
+    return build.method_grid(sets(spark, sf_dir), "single", single=("mafft", "upgma", None))
 
 
 @query(
-    "WITH g AS (SELECT r_name AS dataset, a AS aligner, m AS method, s AS submethod FROM region, unnest(['clustalo', 'mafft']) AS a(a), unnest(['distance', 'parsimony']) AS m(m), unnest(['nj', 'upgma']) AS s(s)) "
+    "WITH g AS (SELECT s_name AS dataset, a AS aligner, m AS method, s AS submethod FROM supplier, unnest(['clustalo', 'mafft']) AS a(a), unnest(['distance', 'parsimony']) AS m(m), unnest(['nj', 'upgma']) AS s(s)) "
     "SELECT *, aligner || '_' || method || '_' || submethod || '_' || row_number() OVER (PARTITION BY aligner, method, submethod ORDER BY dataset) AS name FROM g"
 )
 def registry_names(spark, sf_dir):
-    return build.registry_names(build.method_grid(table(spark, sf_dir, "region").select(F.col("r_name").alias("dataset"))))
+    return build.registry_names(build.method_grid(sets(spark, sf_dir)))
 
 
 @query(
-    "WITH g AS (SELECT r_name AS dataset, a AS aligner, m AS method, s AS submethod FROM region, unnest(['clustalo', 'mafft']) AS a(a), unnest(['distance', 'parsimony']) AS m(m), unnest(['nj', 'upgma']) AS s(s)) "
-    "SELECT * FROM g WHERE NOT (dataset < 'B' AND submethod = 'nj')"
+    "WITH g AS (SELECT s_name AS dataset, a AS aligner, m AS method, s AS submethod FROM supplier, unnest(['clustalo', 'mafft']) AS a(a), unnest(['distance', 'parsimony']) AS m(m), unnest(['nj', 'upgma']) AS s(s)) "
+    "SELECT * FROM g WHERE NOT (right(dataset, 1) < '4' AND submethod = 'nj')"
 )
 def missing_trees(spark, sf_dir):
-    grid = build.method_grid(table(spark, sf_dir, "region").select(F.col("r_name").alias("dataset")))
-    return build.missing_trees(grid, grid.filter("dataset < 'B' and submethod = 'nj'"))
+    grid = build.method_grid(sets(spark, sf_dir))
+    return build.missing_trees(grid, grid.filter("right(dataset, 1) < '4' and submethod = 'nj'"))
 
 
 @query(
-    "WITH d AS (SELECT DISTINCT r_name AS dataset FROM region), a AS (SELECT unnest(['clustalo', 'mafft']) AS aligner), m AS (SELECT unnest(['distance', 'parsimony']) AS method), s AS (SELECT unnest(['nj', 'upgma']) AS submethod) "
+    "WITH d AS (SELECT DISTINCT s_name AS dataset FROM supplier), a AS (SELECT unnest(['clustalo', 'mafft']) AS aligner), m AS (SELECT unnest(['distance', 'parsimony']) AS method), s AS (SELECT unnest(['nj', 'upgma']) AS submethod) "
     "SELECT dataset, aligner, method, submethod FROM d CROSS JOIN a CROSS JOIN m CROSS JOIN s UNION ALL SELECT dataset, aligner, e, NULL FROM d CROSS JOIN a CROSS JOIN (SELECT unnest(['iqtree', 'fasttree', 'raxml']) AS e)"
 )
 def method_grid(spark, sf_dir):
-    return build.method_grid(table(spark, sf_dir, "region").select(F.col("r_name").alias("dataset")), "advanced", "MrBayes, none")
+    return build.method_grid(sets(spark, sf_dir), "advanced", "MrBayes, none")
 
 
 @query(
