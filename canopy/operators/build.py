@@ -23,7 +23,7 @@ from canopy.operators.align import align
 from canopy.operators.cleaning import without_ignored
 from canopy.operators.steps import cut
 from canopy.operators.trees import NODE
-from canopy.sources.newick import Clade, node_rows, parse, read_text
+from canopy.sources.newick import Clade, clade_of, node_rows, parse, read_text
 
 ALIGNERS = ("clustalo", "mafft")
 CLUSTERINGS = ("nj", "upgma")
@@ -418,14 +418,8 @@ def built(dataset: str, name: str, rows: pd.DataFrame, method: str, clustering:
 
 def read_clade(rows: pd.DataFrame) -> Clade:
     """The clade of one tree's node rows."""
-    by = {int(n): Clade(None if pd.isna(name) else name, None if pd.isna(length) else float(length)) for n, name, length in zip(rows["node_id"], rows["name"], rows["branch_length"])}
-    root = Clade()
-    for n, parent in rows.sort_values("child_ord")[["node_id", "parent_id"]].itertuples(index=False):
-        if pd.isna(parent):
-            root = by[int(n)]
-        else:
-            by[int(parent)].children.append(by[int(n)])
-    return root
+    rows = rows.sort_values("pre")
+    return clade_of(*(rows[c] for c in ("node_id", "parent_id", "name", "branch_length")))
 
 
 #: Letters of a dataset's alignment that one task climbs with, and letters of a block of columns beyond that.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -76,8 +76,8 @@ def write(clade: Clade) -> str:
     return "".join(out) + ";"
 
 
-def node_rows(tree: str, root: Clade) -> pd.DataFrame:
-    """The node table of one tree, by pre-order."""
+def _listed(tree: str, root: Clade) -> list[list]:
+    """The node rows of one tree, by pre-order."""
     rows: list[list] = []
     post = 0
     todo = [(root, None, 0, 0, None)]
@@ -91,11 +91,33 @@ def node_rows(tree: str, root: Clade) -> pd.DataFrame:
         rows.append([tree, at, parent, order, c.name, c.branch_length, not c.children, at, 0, depth])
         todo.append((c, parent, order, depth, at))
         todo += [(x, at, i, depth + 1, None) for i, x in reversed(list(enumerate(c.children)))]
+    return rows
+
+
+def _frame(rows: list[list]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=_COLUMNS)
     out["parent_id"] = out["parent_id"].astype("Int32")
     return out
 
 
+def node_rows(tree: str, root: Clade) -> pd.DataFrame:
+    """The node table of one tree, by pre-order."""
+    return _frame(_listed(tree, root))
+
+
+def clade_of(ids: Iterable[int], parents: Iterable[float], names: Iterable[str | None], lengths: Iterable[float]) -> Clade:
+    """The clade of one tree's nodes, by pre-order; the root has a null parent or one below 0."""
+    by: dict[int, Clade] = {}
+    root = Clade()
+    for n, parent, name, length in zip(ids, parents, names, lengths):
+        by[int(n)] = c = Clade(None if pd.isna(name) else name, None if pd.isna(length) else float(length))
+        if pd.isna(parent) or parent < 0:
+            root = c
+        else:
+            by[int(parent)].children.append(c)
+    return root
+
+
 def nexus_newick(text: str) -> str:
     """The first tree of a nexus text as newick, numbers replaced by the labels of its translate block."""
     block = re.search(r"\btranslate\b(.*?);", text, re.IGNORECASE | re.DOTALL)
@@ -119,33 +141,39 @@ def read_text(text: str) -> str:
     return nexus_newick(text) if text.lstrip()[:6].lower() == "#nexus" else text
 
 
+#: Node rows that are sent on together, so many at least; small trees share a batch.
+BATCH_ROWS = 10_000
+
+
 def to_nodes(texts: DataFrame) -> DataFrame:
     """Node rows of texts (tree, text), newick or nexus; a null text is no tree."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[list] = []
         for batch in batches:
             for tree, text in zip(batch["tree"], batch["text"]):
-                yield node_rows(tree, parse(read_text(text)))
+                rows += _listed(tree, parse(read_text(text)))
+                if len(rows) >= BATCH_ROWS:
+                    yield _frame(rows)
+                    rows = []
+        if rows:
+            yield _frame(rows)
 
     return texts.filter("text is not null").select("tree", "text").mapInPandas(run, NODE)
 
 
 def to_newick(nodes: DataFrame) -> DataFrame:
     """tree and newick text of each tree of a node table."""
+    row = F.struct("pre", "node_id", F.coalesce("parent_id", F.lit(-1)).alias("parent_id"), "name", "branch_length")
+    listed = nodes.groupBy("tree").agg(F.sort_array(F.collect_list(row)).alias("n"))
+    columns = ("node_id", "parent_id", "name", "branch_length")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [write(clade_of(*own)) for own in zip(*(batch[c] for c in columns))]
+            yield pd.DataFrame({"tree": batch["tree"], "text": texts})
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pre")
-        by: dict[int, Clade] = {}
-        root = None
-        for r in rows.itertuples():
-            by[r.node_id] = c = Clade(None if pd.isna(r.name) else r.name, None if pd.isna(r.branch_length) else r.branch_length)
-            if pd.isna(r.parent_id):
-                root = c
-            else:
-                by[int(r.parent_id)].children.append(c)
-        return pd.DataFrame({"tree": [rows["tree"].iloc[0]], "text": [write(root)]})
-
-    return nodes.groupBy("tree").applyInPandas(run, "tree string, text string")
+    return listed.select("tree", *[F.col(f"n.{c}").alias(c) for c in columns]).mapInPandas(run, "tree string, text string")
 
 
 def read_trees(spark, path: str) -> DataFrame:
