@@ -16,12 +16,12 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canopy.operators.align import align
 from canopy.operators.cleaning import without_ignored
-from canopy.operators.steps import cut
+from canopy.operators.steps import cut, ranked
 from canopy.operators.trees import NODE
 from canopy.sources.newick import Clade, clade_of, node_rows, parse, read_text
 
@@ -569,10 +569,9 @@ def grid_trees(seqs: DataFrame, grid: DataFrame, aligners: Mapping[str, Callable
 
 
 def registry_names(grid: DataFrame) -> DataFrame:
-    """grid with name, {aligner}_{method}[_{submethod}]_{i}: i counts a name's trees from 1, by dataset."""
-    name = F.concat_ws("_", "aligner", "method", "submethod")
-    place = F.row_number().over(Window.partitionBy("aligner", "method", "submethod").orderBy("dataset"))
-    return grid.withColumn("name", F.concat_ws("_", name, place.cast("string")))
+    """grid with name, {aligner}_{method}[_{submethod}]_{i}: i counts a name's trees from 1, by dataset. A dataset stands once under a name."""
+    found = ranked(grid.withColumn("name", F.concat_ws("_", "aligner", "method", "submethod")), "name", ["dataset"], "_i")
+    return found.withColumn("name", F.concat_ws("_", "name", F.col("_i").cast("string"))).drop("_i")
 
 
 def parsimony_scores(nodes: DataFrame, aligned: DataFrame, trees: DataFrame, cells: int = BLOCK_CELLS) -> DataFrame:

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
 
@@ -47,3 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranked(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """rows with name, their place (from 1) by order among those of an equal key, whose order has no ties. A key's rows are ranked by ranges, so that a key of many spreads."""
+    parts = cut(rows.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("_key", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # no more rows of a key than there are ranges
+    own = parts.withColumn("_row", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)))
+    met = own.join(counts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")))
+    return met.select(*rows.columns, (F.col("_before") + F.col("_row")).alias(name))

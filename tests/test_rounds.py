@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopy.operators import build
+from canopy.operators.steps import ranked
 from canopy.sources import newick
 from tests.test_trees import leaves, random_clade
 
@@ -125,3 +126,13 @@ def test_column_blocks(spark):
     aligned = spark.createDataFrame([("d", "a", "ACGTA"), ("d", "b", "CCGTT"), ("e", "a", ""), ("f", "a", None)], "dataset string, id string, seq string")
     got = {(r.dataset, r.block, r.id): r.seq for r in build.column_blocks(aligned, 4).collect()}
     assert got == {("d", 0, "a"): "AC", ("d", 1, "a"): "GT", ("d", 2, "a"): "A", ("d", 0, "b"): "CC", ("d", 1, "b"): "GT", ("d", 2, "b"): "T", ("e", 0, "a"): "", ("f", 0, "a"): None}
+
+
+def test_ranks_by_ranges(spark):
+    """One key holds most rows, one is null, and the ranges part all of them."""
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 == 0, F.lit("few")).when(F.col("id") % 10 == 1, F.lit(None)).otherwise(F.lit("many")).alias("k"), (F.col("id") * 7919 % 3001).alias("v"))
+    got = ranked(rows, "k", ["v"], "place").collect()
+    for k in ("few", None, "many"):
+        own = sorted((r.v, r.place) for r in got if r.k == k)
+        assert own and [p for _, p in own] == list(range(1, len(own) + 1))
+    assert len(got) == 3000 and ranked(rows.limit(0), "k", ["v"], "place").isEmpty()
