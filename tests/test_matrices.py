@@ -2,7 +2,12 @@
 
 import random
 
+import pytest
+
 from canopy.operators import build, trees
+from canopy.plans import registry
+from canopy.sources import newick
+from tests.test_entry import SF
 
 
 def sequences(rng, sizes, width=12, letters="ACGT"):
@@ -37,3 +42,32 @@ def test_difference_counts_columns():
         a, b = (["".join(rng.choice(letters) for _ in range(rng.choice((0, 5, 9)))) for _ in range(6)] for _ in range(2))
         want = [[1 - sum(p == q for p, q in zip(x, y)) / len(x) if x else 0.0 for y in b] for x in a]
         assert build.difference(a, b).tolist() == want
+
+
+def written(nodes):
+    frame = nodes.toPandas()
+    return {name: newick.write(build.read_clade(part)).replace("-0.00000", "0.00000") for name, part in frame.groupby("tree")}  # rounded either way
+
+
+def test_trees_of_a_matrix_are_those_of_rows(spark):
+    """Names, order and lengths, in a task, by the rounds' merges on the matrix, and by rounds of rows; many distances are equal."""
+    rng = random.Random(9)
+    rows = sequences(rng, {"a": 33, "b": 6, "c": 1, "d": 2, "e": 3}, 14)
+    aligned = spark.createDataFrame(rows, SCHEMA)
+    for weighted in (False, True):
+        for most in (1000, 4):
+            want = written(build.distance_trees(build.identity_distances(aligned), weighted=weighted, members=aligned, task_members=most, task_joined=most))
+            assert len(want) == 10
+            for held in (1000, 5):
+                assert written(build.identity_trees(aligned, weighted=weighted, task_members=most, task_joined=most, matrix_members=held)) == want
+    twice = aligned.union(aligned.filter("dataset = 'd'"))
+    with pytest.raises(Exception, match="twice"):
+        build.identity_trees(twice).count()
+    assert build.identity_trees(aligned.limit(0)).isEmpty()
+
+
+def test_no_rows_of_pairs(spark, monkeypatch):
+    """Trees of identity distances are built without a row for each two sequences."""
+    monkeypatch.setattr(build, "identity_distances", lambda *_: pytest.fail("all pairs as rows"))
+    for name in ("nj_tree", "upgma_tree", "parsimony_score", "identity_linkage"):
+        assert not registry.QUERIES[name](spark, SF).isEmpty()
