@@ -103,25 +103,42 @@ def near_candidates(texts: DataFrame, threshold: float, score: str = "edits") ->
     return probes.join(index, ["_set", "_p", "_key"]).filter(fits).select("a", "b").distinct()
 
 
-def near_similar(seqs: DataFrame, threshold: float, min_length: int = 1, score: str = "edits") -> DataFrame:
-    """Pairs of a dataset's sequences, the earlier first, whose similarity reaches the threshold (above 0).
+#: Rows of a text that meet those of another (or of their own) at once.
+LOT_ROWS = 2048
+
+
+def near_similar(seqs: DataFrame, threshold: float, min_length: int = 1, score: str = "edits", digits: int | None = None) -> DataFrame:
+    """Pairs of a dataset's sequences, the earlier first, whose similarity (rounded to digits, if given) reaches the threshold (above 0).
 
     The similarity is 1 less the edits by the longer's length, or with score "alignment" the letters that a global alignment pairs by that length.
-    Equal sequences are one until the end. Null sequences and those shorter than min_length take no part.
+    Equal sequences are one until the end. Null sequences and those shorter than min_length take no part. The rows of a text are dealt to lots, and
+    two lots meet as lists, so that the pairs of a text of many rows, which all are results, spread and are made in one pass without a shuffle.
     """
-    base = seqs.filter(F.length("seq") >= max(1, min_length)).select("dataset", "pos", "id", "seq")
-    texts = cut(base.select("dataset", "seq").distinct().withColumns({"id": F.monotonically_increasing_id(), "n": F.length("seq")}))
-    met = near_candidates(texts, threshold, score)
-    a, b = (texts.select(F.col("id").alias(x), "dataset" if x == "a" else F.lit(None).alias("_"), F.col("seq").alias(f"seq_{x}"), F.col("n").alias(f"n_{x}")).drop("_") for x in "ab")
+    base = seqs.filter((F.length("seq") >= max(1, min_length)) & F.col("dataset").isNotNull()).select("dataset", "pos", "id", "seq")
+    texts = cut(base.groupBy("dataset", "seq").agg(F.ceil(F.count(F.lit(1)) / LOT_ROWS).cast("int").alias("lots"), (F.count(F.lit(1)) > 1).alias("more")).withColumns({"id": F.monotonically_increasing_id(), "n": F.length("seq")}))
+    met = near_candidates(texts.select("dataset", "seq", "id", "n"), threshold, score)
+    a, b = (texts.select(F.col("id").alias(x), "dataset" if x == "a" else F.lit(None).alias("_"), *[F.col(c).alias(f"{c}_{x}") for c in ("seq", "n", "lots")]).drop("_") for x in "ab")
     both = met.join(a, "a").join(b, "b")
+    # minus one where the edits are more than allowed
+    edits = F.call_function("levenshtein", F.col("seq_a"), F.col("seq_b"), edits_allowed(F.col("n_b"), threshold, score))
     if score == "alignment":
         similarity = aligned_letters("seq_a", "seq_b") / F.col("n_b")
     else:
-        # minus one where the edits are more than allowed
-        edits = F.call_function("levenshtein", F.col("seq_a"), F.col("seq_b"), edits_allowed(F.col("n_b"), threshold))
         similarity = F.when(edits >= 0, F.lit(1.0) - edits / F.col("n_b"))
-    alike = both.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold).select("dataset", "seq_a", "seq_b", "similarity")
-    same = base.select("dataset", "seq").distinct().select("dataset", F.col("seq").alias("seq_a"), F.col("seq").alias("seq_b"), F.lit(1.0).alias("similarity"))
-    both = alike.union(alike.select("dataset", "seq_b", "seq_a", "similarity")).union(same)
-    left, right = (base.select("dataset", *[F.col(c).alias(f"{c}_{x}") for c in ("pos", "id", "seq")]) for x in "ab")
-    return both.join(left, ["dataset", "seq_a"]).join(right, ["dataset", "seq_b"]).filter("pos_a < pos_b").select("dataset", "id_a", "id_b", "similarity")
+    alike = both.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold)
+    lots = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    alike = alike.select("dataset", "a", "b", "similarity", "lots_b", lots(F.col("lots_a")).alias("i")).withColumn("j", lots(F.col("lots_b"))).drop("lots_b")
+    own = texts.filter("more").select("dataset", F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"), "lots", lots(F.col("lots")).alias("i")).withColumn("j", lots(F.col("lots"))).filter("i <= j").drop("lots")
+    pairs = alike.unionByName(own)
+    if digits is not None:
+        pairs = pairs.withColumn("similarity", F.round("similarity", digits))
+    # rows of one place are of one lot
+    rows = base.join(texts.select("dataset", "seq", F.col("id").alias("text"), "lots"), ["dataset", "seq"]).withColumn("lot", F.pmod(F.xxhash64("pos"), F.col("lots")).cast("int"))
+    listed = cut(rows.groupBy("text", "lot").agg(F.collect_list(F.struct("pos", "id")).alias("rows")))
+    left, right = (listed.toDF(t, i, f"rows_{t}") for t, i in ("ai", "bj"))
+    dealt = pairs.join(left, ["a", "i"]).join(right, ["b", "j"]).repartition(16 * seqs.sparkSession.sparkContext.defaultParallelism, "a", "i", "b", "j")
+    each = dealt.select("dataset", "similarity", ((F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))).alias("once"), F.explode("rows_a").alias("x"), "rows_b")
+    each = each.select("dataset", "similarity", "once", F.col("x.pos").alias("p"), F.col("x.id").alias("u"), F.explode("rows_b").alias("y"))
+    first = F.col("p") < F.col("y.pos")
+    each = each.filter(first | (~F.col("once") & (F.col("p") > F.col("y.pos"))))
+    return each.select("dataset", F.when(first, F.col("u")).otherwise(F.col("y.id")).alias("id_a"), F.when(first, F.col("y.id")).otherwise(F.col("u")).alias("id_b"), "similarity")

@@ -114,6 +114,15 @@ def test_near_similar_on_strands(spark):
     assert joins.near_candidates(ids, 0.9).count() < 5000 * 20
 
 
+def test_near_similar_rows_of_a_text_meet_by_lots(spark, monkeypatch):
+    """Many copies, rows of one place, null places and null data sets; similarities may come rounded."""
+    monkeypatch.setattr(joins, "LOT_ROWS", 3)
+    rows = [("d" if i % 9 else None, None if i % 11 == 0 else i // 2, f"id{i}", ("abcdefg", "abcdefx", "zzz")[i % 3]) for i in range(60)]
+    df = spark.createDataFrame(rows, "dataset string, pos long, id string, seq string").repartition(3)
+    want = sorted((a[2], b[2], 1.0 if a[3] == b[3] else 0.86) for a in rows for b in rows if a[0] and a[0] == b[0] and None not in (a[1], b[1]) and a[1] < b[1] and (a[3] == b[3] or "zzz" not in (a[3], b[3])))
+    assert sorted((r.id_a, r.id_b, r.similarity) for r in joins.near_similar(df, 0.8, digits=2).collect()) == want
+
+
 def test_chunks(spark):
     rows = [(d, i * 7 % 101, str(i)) for d, n in (("a", 90), ("b", 1), (None, 5)) for i in range(n)]
     df = spark.createDataFrame(rows, "dataset string, pos long, id string").repartition(5)
