@@ -122,7 +122,8 @@ def near_similar(seqs: DataFrame, threshold: float, min_length: int = 1, score:
     # minus one where the edits are more than allowed
     edits = F.call_function("levenshtein", F.col("seq_a"), F.col("seq_b"), edits_allowed(F.col("n_b"), threshold, score))
     if score == "alignment":
-        similarity = aligned_letters("seq_a", "seq_b") / F.col("n_b")
+        # a letter that an alignment leaves unpaired is an edit: pairs of more edits than allowed need no alignment
+        similarity, both = aligned_letters("seq_a", "seq_b") / F.col("n_b"), both.filter(edits >= 0)
     else:
         similarity = F.when(edits >= 0, F.lit(1.0) - edits / F.col("n_b"))
     alike = both.withColumn("similarity", similarity).filter(F.col("similarity") >= threshold)

@@ -123,6 +123,17 @@ def test_near_similar_rows_of_a_text_meet_by_lots(spark, monkeypatch):
     assert sorted((r.id_a, r.id_b, r.similarity) for r in joins.near_similar(df, 0.8, digits=2).collect()) == want
 
 
+def test_pairs_of_too_many_edits_are_not_aligned(spark, monkeypatch):
+    def refused(a, b):
+        raise RuntimeError("aligned")
+
+    monkeypatch.setattr(joins, "aligned_letters", F.pandas_udf(refused, "int"))
+    df = spark.createDataFrame([("d", 1, "a", "ACGTTGCAA" + "C" * 55), ("d", 2, "b", "ACGTTGCAA" + "G" * 55)], "dataset string, pos long, id string, seq string")
+    ids = df.select("dataset", F.col("pos").alias("id"), "seq", F.length("seq").alias("n"))
+    assert joins.near_candidates(ids, 0.95, "alignment").count() == 1
+    assert joins.near_similar(df, 0.95, score="alignment").count() == 0
+
+
 def test_chunks(spark):
     rows = [(d, i * 7 % 101, str(i)) for d, n in (("a", 90), ("b", 1), (None, 5)) for i in range(n)]
     df = spark.createDataFrame(rows, "dataset string, pos long, id string").repartition(5)
