@@ -36,8 +36,7 @@ def fasta_round_trip(spark, sf_dir):
 def fasta_chunks(spark, sf_dir):
     path = new_folder(spark)
     fasta.write_chunks(part_sequences(spark, sf_dir), path, 7)
-    rows = spark.read.text(path).filter("value like '>%'")
-    return rows.groupBy("dataset", F.col("chunk").cast("long").alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+    return blocks.read_blocks(spark, path, "chunks").groupBy("dataset", "chunk").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT 's' || lpad(s_suppkey::VARCHAR, 6, '0') AS id, substr(translate(md5(s_name), '0123456789', '-ghijklmno'), 1, 30) AS seq FROM supplier")

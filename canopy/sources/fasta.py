@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions.text import wrapped
 from canopy.operators.cleaning import chunks
+from canopy.sources.named import write_named
 
 
 def read_fasta(spark: SparkSession, path: str, skip: str = r"\.(dnd|json)$") -> DataFrame:
@@ -51,5 +52,4 @@ def write_fasta(seqs: DataFrame, path: str, width: int = 60) -> None:
 
 def write_chunks(seqs: DataFrame, path: str, size: int = 50, width: int = 60) -> None:
     """At most size records per folder dataset=.../chunk=..., order kept, numbered from 1."""
-    rows = chunks(fasta_text(seqs, width), size).repartition("dataset", "chunk").sortWithinPartitions("dataset", "chunk", "pos")
-    rows.select("dataset", "chunk", "value").write.partitionBy("dataset", "chunk").mode("overwrite").text(path)
+    write_named(chunks(fasta_text(seqs, width), size), path, ("dataset", "chunk"), ("pos",), overwrite=True)

@@ -56,6 +56,28 @@ def test_genbank_as_texts_read_it(spark, tmp_path):
         assert sorted(blocks.read_blocks(spark, str(tmp_path), "genbank", size).collect()) == want
 
 
+def test_small_blocks_share_tasks(spark, tmp_path):
+    """Each record once where a task has many small blocks, of one file and of many."""
+    text = "".join(f">r{i} x\n{'ACGT' * (i % 50)}\n" for i in range(20_000))
+    (tmp_path / "one.fasta").write_text(text)
+    for i in range(300):
+        (tmp_path / f"s{i}.fasta").write_text(f">s{i}\nAC\n>t{i}\nGG\n")
+    rows = blocks.read_blocks(spark, str(tmp_path), block_bytes=500)
+    assert rows.rdd.getNumPartitions() < 10  # before: one for each of over 4,000 blocks
+    got = rows.select("id", F.length("seq").alias("n")).collect()
+    assert sorted(map(tuple, got)) == sorted([(f"r{i}", 4 * (i % 50)) for i in range(20_000)] + [(f"{k}{i}", 2) for i in range(300) for k in "st"])
+
+
+def test_chunks_are_written_whole_and_read_by_their_folders(spark, tmp_path):
+    path = str(tmp_path / "out")
+    rows = spark.createDataFrame([(d, i, f"{d}{i}", "", "ACGT") for d in ("a/b", "c") for i in range(25)], "dataset string, pos long, id string, description string, seq string")
+    for _ in range(2):
+        fasta.write_chunks(rows.withColumn("description", F.col("id")), path, 10)
+        assert files(path) == {f"dataset={d}/chunk={c}/part-0.txt" for d in ("a%2Fb", "c") for c in (1, 2, 3)}
+    got = blocks.read_blocks(spark, path, "chunks")
+    assert {tuple(r) for r in got.select("dataset", "chunk", "id").collect()} == {(d, i // 10 + 1, f"{d}{i}") for d in ("a/b", "c") for i in range(25)}
+
+
 def files(path):
     return {os.path.relpath(os.path.join(d, f), path) for d, _, names in os.walk(path) for f in names}
 
