@@ -89,7 +89,9 @@ def nexus_clean(spark, sf_dir):
     text = F.concat(
         F.lit("#NEXUS\nbegin trees;\n translate\n 1 "), F.concat("c_name", F.lit("_a")), F.lit(",\n 2 '"), F.concat("c_name", F.lit(" b")), F.lit("',\n 3 third\n ;\n tree con = [&U] ((1[&prob=1.0]:0.1,2:0.2):0.3,3:0.5);\nend;\n")
     )
-    texts = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("tree"), text.alias("text"))
+    # a small file is one partition, of much work for each row
+    own = table(spark, sf_dir, "customer").select("c_custkey", "c_name").repartition(4 * spark.sparkContext.defaultParallelism)
+    texts = own.select(F.concat(F.lit("c"), "c_custkey").alias("tree"), text.alias("text"))
     return newick.to_nodes(texts).filter("is_terminal").select("tree", "name", "pre")
 
 
