@@ -9,8 +9,8 @@ Equal fingerprints are combined before anything is emitted, a variant is met by
 table of a group's members is ever made, so thousands of copies cost no more than one document each. A variant's row is its value and
 the flipped bit; the fingerprint follows from both.
 
-Two bits are far less than texts of a shingle similarity of 0.8 differ by, so ``similar_groups`` takes its candidates elsewhere: BANDS
-bands of ROWS minima of shingle hashes, and texts that share a band are compared by their true shingle sets before they are linked.
+Two bits are far less than texts of a shingle similarity of 0.8 differ by, so ``similar_groups`` takes the pairs that balls find first, and
+further candidates from BANDS bands of ROWS minima of shingle hashes: those that share a band, and those that balls link, are compared by their true shingle sets before they are linked.
 Equal word sequences are one before anything is emitted. In every band's bucket one text is compared with all others: the one whose bands are
 shared most, so that the buckets of a group of near copies agree on a few. Texts of buckets that this leaves in different groups meet by
 prefixes: of their shingles in the order of how rare they are among these texts, two texts of a similarity of 0.8 share one of the first
@@ -24,7 +24,7 @@ its group but never names it, except in a group without any other. Columns besid
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +76,13 @@ def _shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """The 64-bit fingerprint of one text, unsigned: a bit is set if it is set in over half the shingle hashes."""
+    return _majority(_shingle_hashes(text, shingle))
+
+
+def _majority(found: Iterable[np.ndarray]) -> int:
+    """The fingerprint of shingle hashes that come in blocks of rows of eight bytes."""
     ones, n = np.zeros(64, np.int64), 0
-    for hashes in _shingle_hashes(text, shingle):
+    for hashes in found:
         ones += np.add.reduce(np.unpackbits(hashes, axis=1), axis=0, dtype=np.uint32)
         n += len(hashes)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
@@ -85,8 +90,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """The distinct shingle hashes of a text (uint64), in order."""
-    found = [h.view(np.uint64).ravel() for h in _shingle_hashes(text, shingle)]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    return _distinct(_shingle_hashes(text, shingle))
+
+
+def _distinct(found: Iterable[np.ndarray]) -> np.ndarray:
+    blocks = [h.view(np.uint64).ravel() for h in found]
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, np.uint64)
 
 
 def word_hash(text: str | None) -> int:
@@ -167,33 +176,49 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
 
 
 def signatures(docs: DataFrame, shingle: int, keep: tuple[str, ...]) -> DataFrame:
-    """keep, fp (the hash of the word sequence) and bands of every row of docs."""
+    """keep, fp (the hash of the word sequence), ball (the fingerprint) and bands of every row of docs."""
     rows = docs.select(*keep, "text")
-    schema = rows.select(*keep, F.lit(0).cast("long").alias("fp"), F.array().cast("array<long>").alias("bands")).schema
+    schema = rows.select(*keep, F.lit(0).cast("long").alias("fp"), F.lit(0).cast("long").alias("ball"), F.array().cast("array<long>").alias("bands")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             texts = batch.column(len(keep)).to_pylist()
             fp = pa.array(np.array([word_hash(t) for t in texts], np.uint64).view(np.int64), pa.int64())
-            found = pa.array([bands(shingle_set(t, shingle)).view(np.int64) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], fp, found], names=[*keep, "fp", "bands"])
+            balls, found = [], []
+            for t in texts:
+                hashes = list(_shingle_hashes(t, shingle))
+                balls.append(_majority(hashes))
+                found.append(bands(_distinct(hashes)).view(np.int64))
+            ball = pa.array(np.array(balls, np.uint64).view(np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], fp, ball, pa.array(found, pa.list_(pa.int64()))], names=[*keep, "fp", "ball", "bands"])
 
     return rows.mapInArrow(run, schema)
 
 
+def ball_pairs(distinct: DataFrame) -> DataFrame:
+    """u and v: texts of distinct (fp, ball) whose fingerprints are within RADIUS bits: of one fingerprint the first with each other, of two that are linked the first of both."""
+    first = saved(distinct.groupBy("ball").agg(F.min("fp").alias("first")), "balls")
+    same = distinct.join(first, "ball").filter("fp <> first").select(F.col("first").alias("u"), F.col("fp").alias("v"))
+    ends = [first.toDF(f"ball_{x}", x) for x in "uv"]
+    near = links(first.select(F.col("ball").alias("fp"))).distinct().toDF("ball_u", "ball_v")
+    return same.unionByName(near.join(ends[0], "ball_u").join(ends[1], "ball_v").select("u", "v"))
+
+
 def similar_groups(rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """fp and component_id (the smallest doc_id reachable) for every distinct fp of rows (doc_id, _id, _hash, fp, bands).
+    """fp and component_id (the smallest doc_id reachable) for every distinct fp of rows (doc_id, _id, _hash, fp, ball, bands).
 
-    Links are pairs whose shingle sets share similarity or more of their union; texts has the _id, _hash and text of rows.
+    Candidates are the pairs of ``ball_pairs`` and those of the bands. Links are pairs whose shingle sets share similarity or more of their union; texts has the _id, _hash and text of rows.
     """
     steps = Steps(rows.sparkSession)
     one = F.min(F.struct("_id", "_hash")).alias("one")
-    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), one), "distinct")
+    distinct = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("ball").alias("ball"), one), "distinct")
+    balls = steps.saved(ball_pairs(distinct.select("fp", "ball")), "ball_pairs")
     met = rows.select("fp", F.explode("bands").alias("band")).distinct()
     often = met.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     member = steps.saved(met.join(often, "band"), "members")
     weight = steps.saved(member.groupBy("fp").agg(F.sum("n").alias("w")), "weights")
-    wanted = distinct.join(weight.select("fp"), "fp").select("fp", "one.*")
+    named = weight.select("fp").union(balls.select("u")).union(balls.select("v")).distinct()
+    wanted = distinct.join(named, "fp").select("fp", "one.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
@@ -211,7 +236,7 @@ def similar_groups(rows: DataFrame, texts: DataFrame, shingle: int, similarity:
 
     centre = member.join(weight, "fp").groupBy("band").agg(F.max(F.struct("w", "fp"))["fp"].alias("u"))
     starred = member.join(centre, "band").filter("u <> fp").select("u", F.col("fp").alias("v")).distinct()
-    found = linked(starred)
+    found = linked(starred.unionByName(balls).distinct())
     roots = components(found).toDF("fp", "root")
     # texts of buckets whose members are not of one group yet
     rooted = steps.saved(member.select("fp", "band").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")

@@ -85,3 +85,19 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1200)] + [(5000, 5000), (7, 6)]
     root = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert len({root[i] for i in range(201)}) == 1 and len({root[i] for i in range(1000, 1200)}) == 1 and root[0] != root[1000] and 5000 not in root
+
+
+def test_keep_first_takes_what_balls_find(spark, monkeypatch):
+    """Without any bands, near copies whose fingerprints are within two bits are found, and only those that share enough."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(6):
+        own = rng.choices(words, k=400)
+        copies = ([*own[:at], f"new{at}", *own[at + 1 :]] for at in range(400))
+        near = next(c for c in copies if 1 <= (simhash.fingerprint(" ".join(c), 5) ^ simhash.fingerprint(" ".join(own), 5)).bit_count() <= 2)
+        texts += [" ".join(own), " ".join(near), " ".join(own[::-1])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(simhash, "bands", lambda shingles: shingles[:0])
+    assert sorted(r.doc_id for r in simhash.keep_first(df, 5, 0.8).collect()) == [i for i in range(18) if i % 3 != 1]
+    assert simhash.keep_first(df, 5, 0.999).count() == 18
