@@ -303,6 +303,18 @@ def test_distances_in_blocks(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
 
 
+def test_distances_leave_tasks_as_lists(spark, monkeypatch):
+    seqs = {f"s{i:02d}": "".join(random.Random(i).choices("AC", k=1024)) for i in range(30)} | {"half": "A" * 1023 + "C", "zero": "A" * 1024}
+    df = spark.createDataFrame([("d", i, s) for i, s in seqs.items()], "dataset string, id string, seq string")
+    monkeypatch.setattr(build, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(build, "LISTED", 25)
+    made = build.identity_distances(df, digits=9)
+    got = {(r.id_a, r.id_b): r.dist for r in made.collect()}
+    assert len(got) == 32 * 31 // 2 and got["half", "zero"] == 0.000976563  # 1/1024, whose half goes up
+    assert got == {(r.id_a, r.id_b): r.dist for r in build.identity_distances(df).select("id_a", "id_b", F.round("dist", 9).alias("dist")).collect()}
+    assert "posexplode" in made._jdf.queryExecution().toString()
+
+
 def test_datasets_of_one_sequence(spark):
     aligned = spark.createDataFrame([("one", "a", "AC"), ("two", "a", "AC"), ("two", "b", "AG")], "dataset string, id string, seq string")
     made = build.distance_trees(build.identity_distances(aligned), members=aligned)
