@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from canopy.operators import build
 from canopy.operators.steps import ranked
+from canopy.plans import registry
 from canopy.sources import newick
+from tests.conftest import DATA
 from tests.test_trees import leaves, random_clade
 
 
@@ -136,3 +138,16 @@ def test_ranks_by_ranges(spark):
         own = sorted((r.v, r.place) for r in got if r.k == k)
         assert own and [p for _, p in own] == list(range(1, len(own) + 1))
     assert len(got) == 3000 and ranked(rows.limit(0), "k", ["v"], "place").isEmpty()
+
+
+def test_trees_spread_and_are_built_once(spark):
+    """Groups of few bytes are dealt to several tasks for each core, in both ways, and what reads a tree's nodes several times reads saved ones."""
+    rng = random.Random(6)
+    clade = random_clade(rng, [f"s{i:02}" for i in range(9)])
+    lengths(rng, clade)
+    for method in ("nj", "upgma"):
+        for most in (1000, 3):
+            made = build.distance_trees(tables(spark, {"d": clade}), (method,), task_members=most, task_joined=most)
+            assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().toString()
+    found = registry.QUERIES["upgma_splits"](spark, str(DATA / "sf0.001"))
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
