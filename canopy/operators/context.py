@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from canopy.functions import classify as C
 from canopy.functions.text import country_key, country_of, year_of
+from canopy.operators.steps import cut
 
 
 def first_qualifier(features: Column, *names: str) -> Column:
@@ -144,9 +145,14 @@ def global_recommendations(stats: DataFrame) -> DataFrame:
 
 
 def report(info: DataFrame, indicators: DataFrame, as_of_year: int) -> dict[str, DataFrame]:
-    """The whole report as tables: sequences, insights, countries, summary. info has id, country, year, host and support."""
-    joined = with_indicators(info, indicators)
-    has = joined.groupBy("id").agg(F.bool_or(F.col("dataset").isNotNull()).alias("has_data"))
-    sequences = analyse(info.join(has, "id", "left").fillna(False, ["has_data"]), as_of_year)
-    found = insights(joined)
+    """The whole report as tables: sequences, insights, countries, summary. info has id, country, year, host and support.
+
+    Indicators and the two large tables are saved: countries and the summary read what is there. Whether a sequence has data is told by the
+    indicators' countries and years, before any row meets its metrics.
+    """
+    indicators = cut(indicators)
+    places = with_indicators(info.select("id", "country", "year"), indicators.filter("dataset is not null").select("country", "year", "dataset").dropDuplicates(["country", "year"]))
+    has = places.groupBy("id").agg(F.bool_or(F.col("dataset").isNotNull()).alias("has_data"))
+    sequences = cut(analyse(info.join(has, "id", "left").fillna(False, ["has_data"]), as_of_year))
+    found = cut(insights(with_indicators(info, indicators)))
     return {"sequences": sequences, "insights": found, "countries": country_rollup(found), "summary": global_recommendations(summary(sequences))}

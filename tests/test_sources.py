@@ -151,6 +151,17 @@ def test_report(spark):
     assert {r.id: r.has_data for r in out["sequences"].collect()} == {"a": True, "b": False, "c": False}
 
 
+def test_report_reads_what_it_has_saved(spark):
+    """Countries and the summary take no join of sequences and indicators again; an id of two rows has data if one has, whatever the indicators' case."""
+    info = spark.createDataFrame([("a", "Brazil", 2016, "human", 0.9), ("a", "Peru", 1980, None, 0.5), ("b", "Peru", 1980, None, 0.5)], "id string, country string, year int, host string, support double")
+    wide = spark.createDataFrame([("Brazil", 2016, 5000.0, 7), ("BRAZIL", 2016, 1.0, 1)], "Entity string, Year int, cases double, other int")
+    out = context.report(info, context.long_indicators(wide, "w"), 2020)
+    for part in ("summary", "sequences", "insights"):
+        assert "Join" not in out[part]._jdf.queryExecution().toString()
+    assert sorted((r.id, r.country, r.has_data) for r in out["sequences"].collect()) == [("a", "Brazil", True), ("a", "Peru", True), ("b", "Peru", False)]
+    assert [(r.country, r.total_sequences, r.n_insights) for r in out["countries"].collect()] == [("Brazil", 1, 2)]
+
+
 def test_stream(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "seq string, t int").withColumn("ts", F.timestamp_seconds(F.col("t").cast("long")))
     rows.write.parquet(str(tmp_path / "in"))
