@@ -5,9 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from canopy.operators import build
+from canopy.operators import build, steps
 from canopy.operators.steps import ranked
-from canopy.plans import registry
+from canopy.plans import registry, tree_queries
 from canopy.sources import newick
 from tests.conftest import DATA
 from tests.test_trees import leaves, random_clade
@@ -151,3 +151,11 @@ def test_trees_spread_and_are_built_once(spark):
             assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().toString()
     found = registry.QUERIES["upgma_splits"](spark, str(DATA / "sf0.001"))
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+
+
+def test_parts_grow_with_rows(spark, monkeypatch):
+    """What a task of item_counts holds is bounded by rows, not by a fixed number of partitions."""
+    monkeypatch.setattr(steps, "PART_ROWS", 50)
+    own = tree_queries.purchases(spark, str(DATA / "sf0.001"))
+    n = spark.read.parquet(str(DATA / "sf0.001/lineitem.parquet")).count()
+    assert own.rdd.getNumPartitions() == -(-n // 50) and own.count() == n
