@@ -159,3 +159,22 @@ def test_parts_grow_with_rows(spark, monkeypatch):
     own = tree_queries.purchases(spark, str(DATA / "sf0.001"))
     n = spark.read.parquet(str(DATA / "sf0.001/lineitem.parquet")).count()
     assert own.rdd.getNumPartitions() == -(-n // 50) and own.count() == n
+
+
+def test_rounds_and_clades_broadcast_no_rows_of_clusters(spark, monkeypatch):
+    """Saved tables are small as files, and were broadcast by the driver however many rows they held."""
+    plans = []
+    kept = steps.cut
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(build, "cut", cut)
+    rows = spark.createDataFrame([("d", f"s{i}", f"s{j}", float((i ^ j).bit_length())) for j in range(8) for i in range(j)], "dataset string, id_a string, id_b string, dist double")
+    assert build.averaging_merges(rows).count() == build.joining_merges(rows).count() == 7
+    nodes = kept(build.distance_trees(rows, ("upgma",), task_members=3))
+    members = spark.createDataFrame([("d", f"s{i}") for i in range(8)], "dataset string, id string")
+    plans.append(tree_queries._splits(nodes, members)._jdf.queryExecution().executedPlan().toString())
+    joined = [p for p in plans if "MergeJoin" in p]
+    assert len(joined) > 3 and not any("BroadcastHashJoin" in p for p in joined)
