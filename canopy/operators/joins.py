@@ -103,8 +103,8 @@ def near_candidates(texts: DataFrame, threshold: float, score: str = "edits") ->
     return probes.join(index, ["_set", "_p", "_key"]).filter(fits).select("a", "b").distinct()
 
 
-#: Rows of a text that meet those of another (or of their own) at once.
-LOT_ROWS = 2048
+#: Rows of a text that meet those of another (or of their own) at once, on average; Spark holds all pairs that two lots make before it passes them on.
+LOT_ROWS = 128
 
 
 def near_similar(seqs: DataFrame, threshold: float, min_length: int = 1, score: str = "edits", digits: int | None = None) -> DataFrame:
@@ -137,6 +137,7 @@ def near_similar(seqs: DataFrame, threshold: float, min_length: int = 1, score:
     rows = base.join(texts.select("dataset", "seq", F.col("id").alias("text"), "lots"), ["dataset", "seq"]).withColumn("lot", F.pmod(F.xxhash64("pos"), F.col("lots")).cast("int"))
     listed = cut(rows.groupBy("text", "lot").agg(F.collect_list(F.struct("pos", "id")).alias("rows")))
     left, right = (listed.toDF(t, i, f"rows_{t}") for t, i in ("ai", "bj"))
+    left, right = (x.hint("shuffle_hash") for x in (left, right))  # lists are many bytes, and small as a packed file
     dealt = pairs.join(left, ["a", "i"]).join(right, ["b", "j"]).repartition(16 * seqs.sparkSession.sparkContext.defaultParallelism, "a", "i", "b", "j")
     each = dealt.select("dataset", "similarity", ((F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))).alias("once"), F.explode("rows_a").alias("x"), "rows_b")
     each = each.select("dataset", "similarity", "once", F.col("x.pos").alias("p"), F.col("x.id").alias("u"), F.explode("rows_b").alias("y"))

@@ -147,3 +147,23 @@ def test_chunks(spark):
 def test_stats(spark):
     out = {r.dataset: r for r in stats.align_strategy(stats.sequence_stats(seqs(spark))).collect()}
     assert out["d"].n == 4 and out["d"].avg_length == 4.0 and out["d"].mafft_strategy == "localpair" and not out["d"].clustalo_subsample
+
+
+def test_near_similar_makes_few_pairs_at_once(spark, monkeypatch):
+    """Spark held all pairs that two lots of 2,048 rows make, half a gigabyte a task, before it passed them on; and lists are not broadcast."""
+    lists = []
+    kept = joins.cut
+
+    def cut(df):
+        out = kept(df)
+        if "rows" in out.columns:
+            lists.append(out)
+        return out
+
+    monkeypatch.setattr(joins, "cut", cut)
+    df = spark.createDataFrame([("d", i, str(i), "same") for i in range(2000)], "dataset string, pos long, id string, seq string")
+    out = joins.near_similar(df, 0.8)
+    assert out.count() == 2000 * 1999 // 2
+    sizes = [r.n for r in lists[0].selectExpr("size(rows) as n").collect()]
+    assert sum(sizes) == 2000 and max(sizes) ** 2 <= 65_536
+    assert all("rows" not in line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastExchange" in line or "BroadcastHashJoin" in line)
