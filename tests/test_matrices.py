@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from canopy.operators import build, trees
+from canopy.operators import build, profiles, trees
+from canopy.operators.matrices import averaged, joined
+from canopy.operators.profiles import profile_merges
 from canopy.plans import registry
 from canopy.sources import newick
 from tests.test_entry import SF
@@ -71,3 +73,53 @@ def test_no_rows_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(build, "identity_distances", lambda *_: pytest.fail("all pairs as rows"))
     for name in ("nj_tree", "upgma_tree", "parsimony_score", "identity_linkage"):
         assert not registry.QUERIES[name](spark, SF).isEmpty()
+
+
+def test_merges_of_profiles_are_those_of_the_matrix():
+    """Merges, names and lengths without a matrix, with copies and many equal distances; widths are powers of two, so that equal distances are equal numbers both ways."""
+    rng = random.Random(5)
+    for n, width, letters, kinds in ((2, 4, "AC", 1), (3, 8, "AC", 1), (9, 1, "ACGT", 9), (60, 16, "ACGT", 5), (60, 64, "ACGT", 60), (300, 32, "0123456789abcdef", 300), (300, 8, "ACGT", 40), (40, 0, "A", 1)):
+        base = ["".join(rng.choice(letters) for _ in range(width)) for _ in range(kinds)]
+        seqs = [(rng.choice(base)[:-1] + rng.choice(letters)) if width and kinds < n else b for b in (base * n)[:n]]
+        names = [f"s{i:03}" for i in range(n)]
+        for method, merges in (("upgma", averaged), ("nj", joined)):
+            both = [made.assign(dataset="d") for made in (merges(names, build.difference(seqs, seqs)), profile_merges(names, seqs, method))]
+            want, got = (newick.write(build.read_clade((build._merged if method == "upgma" else build._joined)(m))).replace("-0.00000", "0.00000") for m in both)
+            assert want == got, (n, width, method)
+
+
+def test_profiles_scan_anew_and_move_up(monkeypatch):
+    """Lists of two neighbours run out in every round, and blocks hold a few rows."""
+    monkeypatch.setattr(profiles, "LISTED", 2)
+    monkeypatch.setattr(profiles, "SOUGHT", 1)
+    monkeypatch.setattr(profiles, "CELLS", 500)
+    test_merges_of_profiles_are_those_of_the_matrix()
+
+
+def test_large_datasets_of_one_length_make_neither_pairs_nor_a_matrix(spark, monkeypatch):
+    rng = random.Random(6)
+    aligned = spark.createDataFrame(sequences(rng, {"a": 40, "b": 3}, 16), SCHEMA)
+    want = written(build.identity_trees(aligned, task_members=4, task_joined=4))
+    monkeypatch.setattr(build, "identity_distances", lambda *_: pytest.fail("all pairs as rows"))
+    assert written(build.identity_trees(aligned, task_members=4, task_joined=4, matrix_members=5)) == want
+    monkeypatch.setattr(build, "difference", lambda *_: pytest.fail("a matrix"))
+    rows = build.identity_clade_rows("t", "d", [f"s{i}" for i in range(10, 16)], ["ACGT", "ACGA", "ACCA", "TCCA", "TCCC", "TTCC"], "nj", task_joined=4, matrix_members=5)
+    assert rows["is_terminal"].sum() == 6
+
+
+def test_keys_of_more_than_six_digits(spark, tmp_path):
+    """lpad cuts them to equal ids, so that building a tree raised; the SQL counts them all."""
+    import duckdb
+
+    src = f"{SF}/customer.parquet"
+    duckdb.sql(f"copy (select * replace (c_custkey * 7 + 999_900 as c_custkey, c_custkey % 2 as c_nationkey, 'S' as c_mktsegment) from '{src}' order by c_custkey limit 60) to '{tmp_path}/customer.parquet' (format parquet)")
+    con = duckdb.connect()
+    con.execute(f"create view customer as from '{tmp_path}/customer.parquet'")
+    for name in ("nj_shape", "upgma_shape", "grid_trees", "parsimony_bounds"):
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"select {', '.join(got.columns)} from ({registry.ORACLES[name]})").fetchall()
+        assert len(want) and sorted(map(tuple, got.collect())) == sorted(want), name
+    for name in ("nj_tree", "upgma_tree", "parsimony_tree"):
+        leaves = registry.QUERIES[name](spark, str(tmp_path)).filter("is_terminal").select("name").toPandas()["name"]
+        assert leaves.nunique() == 60, name
+    assert registry.QUERIES["parsimony_score"](spark, str(tmp_path)).count() == 2
