@@ -123,3 +123,22 @@ def test_keys_of_more_than_six_digits(spark, tmp_path):
         leaves = registry.QUERIES[name](spark, str(tmp_path)).filter("is_terminal").select("name").toPandas()["name"]
         assert leaves.nunique() == 60, name
     assert registry.QUERIES["parsimony_score"](spark, str(tmp_path)).count() == 2
+
+
+def test_a_clustering_is_made_once_for_both_methods(monkeypatch):
+    import pandas as pd
+
+    made = []
+    kept = build.identity_clade_rows
+    monkeypatch.setattr(build, "identity_clade_rows", lambda *a: made.append(a) or kept(*a))
+    rng = random.Random(8)
+    rows = pd.DataFrame(sequences(rng, {"d": 12}, 16), columns=["dataset", "id", "seq"])
+    both = build.built("d", {"distance": "x", "parsimony": "y"}, rows, "nj")
+    assert len(made) == 1 and set(both["tree"]) == {"x", "y"}
+    for method, name in (("distance", "x"), ("parsimony", "y")):
+        alone = build.built("d", {method: name}, rows, "nj")
+        assert written_one(alone) == written_one(both[both["tree"] == name])
+
+
+def written_one(rows):
+    return newick.write(build.read_clade(rows))
